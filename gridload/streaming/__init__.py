@@ -1,0 +1,6 @@
+"""No streaming operators.
+
+The load calculation is a batch job over a closed period (one month is
+extracted, then aggregated); it has no unbounded input, watermark, late data
+or state across batches, so nothing here is needed to reproduce it.
+"""
