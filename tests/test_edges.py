@@ -1,0 +1,162 @@
+"""Edge cases: one-sided keys, duplicates, NULL and NaN, ties, empty input,
+bad arguments, bad headers."""
+
+import datetime as dt
+import math
+
+import pytest
+from pyspark.sql import types as T
+
+from fixtures import write
+from gridload import (DAILY, MONTHLY, aggregate_generation, aggregate_interchange,
+                      peak_load, peak_load_per_day, regional_load, top_loads)
+from gridload.schemas import generation_schema, interchange_schema, resources_schema
+from gridload.sources.catalog import drop_table, load_tables, register_table, select_all
+from gridload.sources.csv import read_generation, read_interchange
+from gridload.sources.sinks import to_rows
+
+D1 = dt.datetime(2018, 1, 1)
+D2 = dt.datetime(2018, 1, 2)
+
+
+def gen(spark, rows):
+    return spark.createDataFrame(rows, generation_schema(ntz=True))
+
+
+def inter(spark, rows):
+    return spark.createDataFrame(rows, interchange_schema(ntz=True))
+
+
+def res(spark, rows):
+    return spark.createDataFrame(rows, resources_schema())
+
+
+BMAX = [500_000, 0]
+
+
+@pytest.mark.parametrize("bmax", BMAX)
+def test_null_value_is_ignored(spark, bmax):
+    g = gen(spark, [(D1, 1.0, "1", "g1"), (D1, None, "1", "g1"), (D2, None, "1", "g1")])
+    r = res(spark, [("1", "g1", "SE")])
+    daily = {x.data: x.valor for x in aggregate_generation(g, r, DAILY, bmax).collect()}
+    assert daily == {D1: 1.0, D2: None}
+    (m,) = aggregate_generation(g, r, MONTHLY, bmax).collect()
+    assert m.valor == 1.0  # mean over non-NULL rows only
+
+
+@pytest.mark.parametrize("bmax", BMAX)
+def test_nan_propagates(spark, bmax):
+    g = gen(spark, [(D1, float("nan"), "1", "g1"), (D1, 2.0, "1", "g1")])
+    r = res(spark, [("1", "g1", "SE")])
+    (row,) = aggregate_generation(g, r, DAILY, bmax).collect()
+    assert math.isnan(row.valor)
+
+
+@pytest.mark.parametrize("bmax", BMAX)
+def test_null_guids_never_match(spark, bmax):
+    g = gen(spark, [(D1, 5.0, "1", None), (D1, 1.0, "2", "g2")])
+    r = res(spark, [("1", None, "SE"), ("2", "g2", "S")])
+    rows = [(x.subsistema, x.valor) for x in aggregate_generation(g, r, DAILY, bmax).collect()]
+    assert rows == [("S", 1.0)]
+
+
+@pytest.mark.parametrize("bmax", BMAX)
+def test_duplicate_resource_counts_twice(spark, bmax):
+    g = gen(spark, [(D1, 10.0, "1", "g1"), (D1, 30.0, "1", "g1")])
+    r = res(spark, [("1", "g1", "SE"), ("1b", "g1", "SE")])
+    (d,) = aggregate_generation(g, r, DAILY, bmax).collect()
+    assert d.valor == 80.0
+    (m,) = aggregate_generation(g, r, MONTHLY, bmax).collect()
+    assert m.valor == 20.0  # (10+30+10+30)/4
+
+
+@pytest.mark.parametrize("bmax", BMAX)
+def test_unknown_plant_dropped(spark, bmax):
+    g = gen(spark, [(D1, 10.0, "9", "g9")])
+    r = res(spark, [("1", "g1", "SE")])
+    assert aggregate_generation(g, r, DAILY, bmax).count() == 0
+
+
+def test_ties_break_by_subsystem_then_date(spark):
+    g = gen(spark, [(D1, 5.0, "1", "a"), (D1, 5.0, "2", "b"), (D2, 5.0, "1", "a")])
+    r = res(spark, [("1", "a", "SE"), ("2", "b", "N")])
+    i = inter(spark, [(D1, "SE", 0.0), (D1, "N", 0.0), (D2, "SE", 0.0)])
+    load = regional_load(g, i, r, DAILY)
+    (p,) = peak_load(load).collect()
+    assert (p.subsistema, p.data) == ("N", D1)
+    ranked = top_loads(load, 10).collect()
+    assert [(x.subsistema, x.data, x.pos) for x in ranked] == [("N", D1, 1), ("SE", D1, 2),
+                                                                ("SE", D2, 3)]
+    per_day = {(x.subsistema, x.data) for x in peak_load_per_day(load).collect()}
+    assert per_day == {("N", D1), ("SE", D1), ("SE", D2)}  # ties kept
+
+
+def test_empty_interchange_gives_empty_load(spark):
+    g = gen(spark, [(D1, 5.0, "1", "a")])
+    r = res(spark, [("1", "a", "SE")])
+    i = inter(spark, [])
+    load = regional_load(g, i, r, DAILY)
+    assert load.count() == 0
+    assert peak_load(load).collect() == []
+
+
+def test_bad_unit(spark):
+    g = gen(spark, [])
+    with pytest.raises(ValueError, match="anual"):
+        aggregate_interchange(inter(spark, []), "anual")
+    with pytest.raises(ValueError):
+        regional_load(g, inter(spark, []), res(spark, []), "anual")
+
+
+def test_unequal_lists(spark):
+    with pytest.raises(ValueError, match="2 files but 3"):
+        load_tables(spark, ["a", "b"], ["geracao", "intercambio", "recursos"])
+
+
+def test_header_mismatch_is_clear(spark, workdir):
+    p = write(workdir, "bad.csv", "when;sub;value\n2018-01-01T00:00:00.000Z;SE;1.0\n")
+    with pytest.raises(ValueError, match="missing"):
+        read_interchange(spark, p)
+
+
+def test_header_in_other_order(spark, workdir):
+    p = write(workdir, "g.csv", "guid_usina;valor;data;id_usina\n"
+                               "g1;2.5;2018-01-01T00:00:00.000Z;1\n;;;\n")
+    df = read_generation(spark, p)
+    assert df.columns == ["data", "valor", "id_usina", "guid_usina"]
+    rows = df.collect()
+    assert rows[0].valor == 2.5 and rows[0].guid_usina == "g1"
+    assert rows[1].valor is None and rows[1].guid_usina is None  # empty -> NULL, not 'nan'
+
+
+def test_ids_keep_raw_text(spark, workdir):
+    p = write(workdir, "g.csv", "data;valor;id_usina;guid_usina\n"
+                               "2018-01-01T00:00:00.000Z;1.0;0123;007\n")
+    (row,) = read_generation(spark, p).collect()
+    assert (row.id_usina, row.guid_usina) == ("0123", "007")
+
+
+def test_malformed_value_fails(spark, workdir):
+    p = write(workdir, "i.csv", "data;subsistema;valor\n2018-01-01T00:00:00.000Z;SE;abc\n")
+    with pytest.raises(Exception):
+        read_interchange(spark, p).collect()
+
+
+def test_views_register_select_drop(spark):
+    df = inter(spark, [(D1, "SE", 1.0)])
+    register_table("edge_view", df)
+    assert select_all(spark, "edge_view").count() == 1
+    assert drop_table(spark, "edge_view") is True
+    assert drop_table(spark, "edge_view") is False
+
+
+def test_to_rows_refuses_large(spark):
+    df = spark.range(10).toDF("x")
+    assert to_rows(df, max_rows=10) == [[i] for i in range(10)]
+    with pytest.raises(ValueError):
+        to_rows(df, max_rows=5)
+
+
+def test_schema_types(spark):
+    assert interchange_schema()["data"].dataType == T.TimestampType()
+    assert interchange_schema(ntz=True)["data"].dataType == T.TimestampNTZType()
