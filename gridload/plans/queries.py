@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.casts import cast_string, cast_timestamp
 from ..operators.aggregate import aggregate_generation, aggregate_interchange, attach_subsystem
-from ..operators.load import compute_load
+from ..operators.load import compute_load, regional_load
 from ..operators.metrics import (STAGE_GENERATION, STAGE_INTERCHANGE, STAGE_LOAD,
                                  stage_summary)
 from ..operators.profile import table_counts, table_schemas
@@ -39,8 +39,8 @@ TOP_N = 100
 
 
 def _gen_aggr(spark, sf_dir, unit):
-    t = tpch.domain_tables(spark, sf_dir)
-    return aggregate_generation(t["geracao"], t["recursos"], unit)
+    return aggregate_generation(tpch.generation(spark, sf_dir), tpch.resources(spark, sf_dir),
+                                unit)
 
 
 def _inter_aggr(spark, sf_dir, unit):
@@ -48,12 +48,12 @@ def _inter_aggr(spark, sf_dir, unit):
 
 
 def _load(spark, sf_dir, unit):
-    return compute_load(_gen_aggr(spark, sf_dir, unit), _inter_aggr(spark, sf_dir, unit), unit)
+    t = tpch.domain_tables(spark, sf_dir)
+    return regional_load(t["geracao"], t["intercambio"], t["recursos"], unit)
 
 
 def generation_with_subsystem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tpch.domain_tables(spark, sf_dir)
-    g = attach_subsystem(t["geracao"], t["recursos"])
+    g = attach_subsystem(tpch.generation(spark, sf_dir), tpch.resources(spark, sf_dir))
     return g.select(SUBSYSTEM, DATA, PLANT_GUID, F.col(VALUE).cast("double").alias(VALUE))
 
 
@@ -151,8 +151,9 @@ def table_schemas_q(spark, sf_dir):
 
 
 def stage_metrics(spark, sf_dir):
-    g = _gen_aggr(spark, sf_dir, DAILY)
-    i = _inter_aggr(spark, sf_dir, DAILY)
+    t = tpch.domain_tables(spark, sf_dir)
+    g = aggregate_generation(t["geracao"], t["recursos"], DAILY)
+    i = aggregate_interchange(t["intercambio"], DAILY)
     return stage_summary({STAGE_GENERATION: g, STAGE_INTERCHANGE: i,
                           STAGE_LOAD: compute_load(g, i, DAILY)})
 

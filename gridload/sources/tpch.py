@@ -26,9 +26,28 @@ from . import extract as X
 
 VALUE_TYPE = "decimal(18,4)"
 
+# The stored schemas of the test tables. Declaring them skips the
+# footer-reading inference pass on every read (tests check they match).
+TABLE_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+                "c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, "
+              "o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+                "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+                "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+              "value double, props string",
+}
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    schema = TABLE_SCHEMAS.get(name)
+    return (spark.read.schema(schema) if schema else spark.read).parquet(path)
 
 
 def _region_of_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,19 +65,19 @@ def generation(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.col("l_suppkey").cast("string").alias(PLANT_GUID))
 
 
-def resources(spark: SparkSession, sf_dir: str) -> DataFrame:
+def resources(spark: SparkSession, sf_dir: str, geo: DataFrame | None = None) -> DataFrame:
     s = read_table(spark, sf_dir, "supplier")
-    geo = _region_of_nation(spark, sf_dir)
+    geo = geo if geo is not None else _region_of_nation(spark, sf_dir)
     return (s.join(geo, s.s_nationkey == geo._nationkey, "inner")
             .select(s.s_nationkey.cast("string").alias(RESOURCE_ID),
                     s.s_suppkey.cast("string").alias(RESOURCE_GUID),
                     geo[SUBSYSTEM]))
 
 
-def interchange(spark: SparkSession, sf_dir: str) -> DataFrame:
+def interchange(spark: SparkSession, sf_dir: str, geo: DataFrame | None = None) -> DataFrame:
     o = read_table(spark, sf_dir, "orders")
     c = read_table(spark, sf_dir, "customer")
-    geo = _region_of_nation(spark, sf_dir)
+    geo = geo if geo is not None else _region_of_nation(spark, sf_dir)
     signed = F.when(o.o_orderstatus == "F", -o.o_totalprice).otherwise(o.o_totalprice)
     oc = o.join(c, o.o_custkey == c.c_custkey, "inner")
     return (oc.join(geo, oc.c_nationkey == geo._nationkey, "inner")
@@ -67,9 +86,10 @@ def interchange(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def domain_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    geo = _region_of_nation(spark, sf_dir)
     return {"geracao": generation(spark, sf_dir),
-            "intercambio": interchange(spark, sf_dir),
-            "recursos": resources(spark, sf_dir)}
+            "intercambio": interchange(spark, sf_dir, geo),
+            "recursos": resources(spark, sf_dir, geo)}
 
 
 def _partitions(ts: F.Column) -> list[F.Column]:
