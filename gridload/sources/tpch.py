@@ -44,10 +44,23 @@ TABLE_SCHEMAS = {
 }
 
 
+def view_name(sf_dir: str, name: str) -> str:
+    tag = sf_dir.rstrip("/").rsplit("/", 1)[-1].replace(".", "_").replace("-", "_")
+    return f"{name}__{tag}"
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table as a lazy scan. Like the loader's tables, it is registered
+    once per session as a view and later calls resolve the name, so the
+    file listing is not repeated for every query."""
+    view = view_name(sf_dir, name)
+    if spark.catalog.tableExists(view):
+        return spark.table(view)
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     schema = TABLE_SCHEMAS.get(name)
-    return (spark.read.schema(schema) if schema else spark.read).parquet(path)
+    df = (spark.read.schema(schema) if schema else spark.read).parquet(path)
+    df.createOrReplaceTempView(view)
+    return spark.table(view)
 
 
 def _region_of_nation(spark: SparkSession, sf_dir: str) -> DataFrame:

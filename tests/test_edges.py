@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from fixtures import write
 from gridload import (DAILY, MONTHLY, aggregate_generation, aggregate_interchange,
-                      peak_load, peak_load_per_day, regional_load, top_loads)
+                      order_load, peak_load, peak_load_per_day, regional_load, top_loads)
 from gridload.schemas import generation_schema, interchange_schema, resources_schema
 from gridload.sources.catalog import drop_table, load_tables, register_table, select_all
 from gridload.sources.csv import read_generation, read_interchange
@@ -160,3 +160,13 @@ def test_to_rows_refuses_large(spark):
 def test_schema_types(spark):
     assert interchange_schema()["data"].dataType == T.TimestampType()
     assert interchange_schema(ntz=True)["data"].dataType == T.TimestampNTZType()
+
+
+def test_order_load_total_order(spark):
+    i = inter(spark, [(D1, "SE", 0.0), (D1, "N", 0.0), (D2, "SE", 0.0), (D2, "S", 0.0)])
+    g = gen(spark, [(D1, 5.0, "1", "a"), (D1, 9.0, "2", "b"), (D2, 5.0, "1", "a"),
+                    (D2, None, "3", "c")])
+    r = res(spark, [("1", "a", "SE"), ("2", "b", "N"), ("3", "c", "S")])
+    ordered = order_load(regional_load(g, i, r, DAILY)).collect()
+    assert [(x.subsistema, x.data, x.valor) for x in ordered] == [
+        ("N", D1, 9.0), ("SE", D1, 5.0), ("SE", D2, 5.0), ("S", D2, None)]

@@ -1,103 +1,107 @@
-"""Golden values on the real interchange file plus the hand fixture."""
+"""Golden values on the hand fixture, through the CSV readers, on both join
+shapes (broadcast dimension, and pre-aggregate + shuffle join)."""
 
 import datetime as dt
-import os
 
 import pytest
 
-from conftest import REAL_INTERCHANGE
-from fixtures import GENERATION_CSV, RESOURCES_CSV, write
+from conftest import INTERCHANGE_SAMPLE
+from fixtures import (GENERATION_CSV, GENERATION_MONTHLY, INTERCHANGE_CSV, INTERCHANGE_DAILY,
+                      INTERCHANGE_MONTHLY, LOAD_DAILY, LOAD_MONTHLY, RESOURCES_CSV, write)
 from gridload import (DAILY, MONTHLY, aggregate_generation, aggregate_interchange,
                       compute_load, peak_load, regional_load)
 from gridload.sources.csv import read_generation, read_interchange, read_resources
 
-pytestmark = pytest.mark.skipif(not os.path.exists(REAL_INTERCHANGE),
-                                reason="real interchange file not available")
+BMAX = pytest.mark.parametrize("bmax", [500_000, 0], ids=["broadcast", "shuffle"])
 
-UTC = dt.timezone.utc
 
-
-def day(d):
-    return dt.datetime(2018, 1, d)
+def day(d, month=1):
+    return dt.datetime(2018, month, d)
 
 
 @pytest.fixture()
 def tables(spark, workdir):
     return (read_generation(spark, write(workdir, "g.csv", GENERATION_CSV)),
-            read_interchange(spark, REAL_INTERCHANGE),
+            read_interchange(spark, write(workdir, "i.csv", INTERCHANGE_CSV)),
             read_resources(spark, write(workdir, "r.csv", RESOURCES_CSV)))
 
 
-def as_map(df):
-    keys = [c for c in df.columns if c != "valor"]
-    return {tuple(r[k] for k in keys): r["valor"] for r in df.collect()}
+def by_day(df):
+    """{(subsystem, day-of-month): value} of a daily result."""
+    return {(r.subsistema, r.data.day): r.valor for r in df.collect()}
 
 
-def naive(m):
-    return {tuple(k.replace(tzinfo=None) if isinstance(k, dt.datetime) else k for k in key): v
-            for key, v in m.items()}
+def by_sub(df):
+    return {r.subsistema: r.valor for r in df.collect()}
 
 
-def test_interchange_profile(spark):
-    df = read_interchange(spark, REAL_INTERCHANGE)
-    assert df.count() == 434
-    assert {f.name: f.dataType.simpleString() for f in df.schema.fields} == {
-        "data": "timestamp", "subsistema": "string", "valor": "double"}
-    monthly = as_map(aggregate_interchange(df, MONTHLY))
-    expected = {"AR": 0.008810483870967742, "N": 1895.023548387097, "NE": -1263.8275806451616,
-                "PY": 0.0, "S": -389.6395895806452, "SE": 98.7192041182795, "UY": 0.0}
-    assert set(monthly) == {(k,) for k in expected}
-    for k, v in expected.items():
-        assert monthly[(k,)] == pytest.approx(v, abs=1e-9)
-    daily = naive(as_map(aggregate_interchange(df, DAILY)))
-    assert len(daily) == 217
-    for sub, v1, v2 in [("N", 2230.92, 4093.19), ("NE", -2391.04, -3565.03),
-                        ("S", -3503.356, -1226.4991), ("SE", 3663.476, 698.3391),
-                        ("AR", 0, 0), ("PY", 0, 0), ("UY", 0, 0)]:
-        assert daily[(sub, day(1))] == pytest.approx(v1, abs=1e-6)
-        assert daily[(sub, day(2))] == pytest.approx(v2, abs=1e-6)
+def test_reader_types(tables):
+    gen, inter, res = tables
+    assert [(f.name, f.dataType.simpleString()) for f in inter.schema] == [
+        ("data", "timestamp"), ("subsistema", "string"), ("valor", "double")]
+    assert [f.dataType.simpleString() for f in gen.schema] == [
+        "timestamp", "double", "string", "string"]
+    assert [f.dataType.simpleString() for f in res.schema] == ["string"] * 3
+
 
+def test_interchange_golden(tables):
+    _, inter, _ = tables
+    assert inter.count() == 13
+    assert by_day(aggregate_interchange(inter, DAILY)) == pytest.approx(INTERCHANGE_DAILY)
+    assert by_sub(aggregate_interchange(inter, MONTHLY)) == pytest.approx(INTERCHANGE_MONTHLY)
 
-@pytest.mark.parametrize("bmax", [500_000, 0], ids=["broadcast", "shuffle"])
+
+@BMAX
 def test_generation_golden(tables, bmax):
     gen, _, res = tables
-    daily = naive(as_map(aggregate_generation(gen, res, DAILY, bmax)))
+    daily = {(r.subsistema, r.data): r.valor
+             for r in aggregate_generation(gen, res, DAILY, bmax).collect()}
     assert daily == {("S", day(1)): 300.25, ("S", day(2)): 0.0, ("SE", day(1)): 6000.5,
-                     ("SE", day(2)): 5200.0, ("N", dt.datetime(2018, 2, 1)): 7.0}
-    monthly = as_map(aggregate_generation(gen, res, MONTHLY, bmax))
-    assert monthly == {("SE",): 2800.125, ("S",): 150.125, ("N",): 7.0}
+                     ("SE", day(2)): 5200.0, ("N", day(1, 2)): 7.0}
+    assert by_sub(aggregate_generation(gen, res, MONTHLY, bmax)) == GENERATION_MONTHLY
 
 
-@pytest.mark.parametrize("bmax", [500_000, 0], ids=["broadcast", "shuffle"])
+@BMAX
 def test_load_golden(tables, bmax):
     gen, inter, res = tables
-    daily = naive(as_map(regional_load(gen, inter, res, DAILY, bmax)))
-    expected = {("S", day(1)): 3803.606, ("S", day(2)): 1226.4991,
-                ("SE", day(1)): 2337.024, ("SE", day(2)): 4501.6609}
-    assert set(daily) == set(expected)
-    for k, v in expected.items():
-        assert daily[k] == pytest.approx(v, abs=1e-6)
-    monthly = as_map(regional_load(gen, inter, res, MONTHLY, bmax))
-    expected_m = {("SE",): 2701.4057958817207, ("S",): 539.7645895806452,
-                  ("N",): -1888.023548387097}
-    assert set(monthly) == set(expected_m)
-    for k, v in expected_m.items():
-        assert monthly[k] == pytest.approx(v, abs=1e-9)
+    assert by_day(regional_load(gen, inter, res, DAILY, bmax)) == pytest.approx(LOAD_DAILY)
+    assert by_sub(regional_load(gen, inter, res, MONTHLY, bmax)) == pytest.approx(LOAD_MONTHLY)
 
 
 def test_peak_golden(tables):
     gen, inter, res = tables
-    p = peak_load(regional_load(gen, inter, res, DAILY)).collect()
-    assert len(p) == 1
-    assert (p[0].subsistema, p[0].data.replace(tzinfo=None)) == ("SE", day(2))
-    assert p[0].valor == pytest.approx(4501.6609, abs=1e-6)
-    m = peak_load(regional_load(gen, inter, res, MONTHLY)).collect()
-    assert m[0].subsistema == "SE" and m[0].valor == pytest.approx(2701.4057958817207)
+    (p,) = peak_load(regional_load(gen, inter, res, DAILY)).collect()
+    assert (p.subsistema, p.data, p.valor) == ("SE", day(2), 6100.0)
+    (m,) = peak_load(regional_load(gen, inter, res, MONTHLY)).collect()
+    assert (m.subsistema, m.valor) == ("SE", 2687.5625)
 
 
 def test_compute_load_is_inner(tables):
     gen, inter, res = tables
     g = aggregate_generation(gen, res, DAILY)
     i = aggregate_interchange(inter, DAILY)
-    subs = {r.subsistema for r in compute_load(g, i, DAILY).collect()}
-    assert subs == {"S", "SE"}  # AR/PY/UY/NE: interchange only; N: no common day
+    keys = {(r.subsistema, r.data) for r in compute_load(g, i, DAILY).collect()}
+    # N: generation only in February, interchange only in January; NE/AR: no plants
+    assert keys == {("S", day(1)), ("S", day(2)), ("SE", day(1)), ("SE", day(2))}
+
+
+@pytest.mark.skipif(not INTERCHANGE_SAMPLE, reason="GRIDLOAD_INTERCHANGE_SAMPLE not set")
+def test_real_interchange_sample_profile(spark):
+    """Profile of a real month of daily interchange (434 rows, 7 subsystems,
+    31 days, 14 rows a day netting to zero)."""
+    df = read_interchange(spark, INTERCHANGE_SAMPLE)
+    assert df.count() == 434
+    monthly = by_sub(aggregate_interchange(df, MONTHLY))
+    assert monthly == pytest.approx({
+        "AR": 0.008810483870967742, "N": 1895.023548387097, "NE": -1263.8275806451616,
+        "PY": 0.0, "S": -389.6395895806452, "SE": 98.7192041182795, "UY": 0.0}, abs=1e-9)
+    daily = by_day(aggregate_interchange(df, DAILY))
+    assert len(daily) == 217
+    for sub, v1, v2 in [("N", 2230.92, 4093.19), ("NE", -2391.04, -3565.03),
+                        ("S", -3503.356, -1226.4991), ("SE", 3663.476, 698.3391)]:
+        assert daily[(sub, 1)] == pytest.approx(v1, abs=1e-6)
+        assert daily[(sub, 2)] == pytest.approx(v2, abs=1e-6)
+    per_day = {}
+    for (_, d), v in daily.items():
+        per_day[d] = per_day.get(d, 0.0) + v
+    assert len(per_day) == 31 and all(abs(v) < 1e-6 for v in per_day.values())

@@ -2,14 +2,14 @@
 interchange balance of the real file, and invariance under partitioning."""
 
 import datetime as dt
-import os
 
 import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from conftest import REAL_INTERCHANGE, SF_SMALL
+from conftest import SF_SMALL
+from fixtures import INTERCHANGE_CSV, write
 from gridload import DAILY, MONTHLY, aggregate_interchange, regional_load
 from gridload.schemas import generation_schema, interchange_schema, resources_schema
 from gridload.sources import tpch
@@ -68,14 +68,12 @@ def test_matches_brute_force(spark, g, i, r, unit, bmax):
             assert got[k] == pytest.approx(want[k], abs=1e-9)
 
 
-@pytest.mark.skipif(not os.path.exists(REAL_INTERCHANGE), reason="real file not available")
-def test_each_day_of_real_interchange_nets_to_zero(spark):
-    daily = aggregate_interchange(read_interchange(spark, REAL_INTERCHANGE), DAILY)
+def test_hand_fixture_interchange_nets_to_zero_each_day(spark, workdir):
+    df = read_interchange(spark, write(workdir, "i.csv", INTERCHANGE_CSV))
     per_day = {}
-    for r in daily.collect():
+    for r in aggregate_interchange(df, DAILY).collect():
         per_day[r.data] = per_day.get(r.data, 0.0) + r.valor
-    assert len(per_day) == 31
-    assert all(abs(v) < 1e-6 for v in per_day.values())
+    assert len(per_day) == 3 and all(v == 0.0 for v in per_day.values())
 
 
 @pytest.mark.parametrize("unit", [DAILY, MONTHLY])
