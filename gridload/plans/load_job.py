@@ -60,7 +60,11 @@ def run_load_job(spark: SparkSession, datafiles: list[str], table_names: list[st
                  unit: str, out: str, sep: str = ";", metrics_path: str | None = None,
                  output_format: str = "parquet", mode: str = "errorifexists",
                  collect_rows: bool = False, run_id: str | None = None,
-                 broadcast_max_rows: int = DEFAULT_BROADCAST_MAX_ROWS) -> LoadJobResult:
+                 broadcast_max_rows: int = DEFAULT_BROADCAST_MAX_ROWS, ntz: bool = False,
+                 value_type: str = "double") -> LoadJobResult:
+    """Run the whole job; see the module docstring. ``ntz`` reads instants as
+    local (zone-less) timestamps; ``value_type`` ``decimal(p,s)`` makes every
+    sum exact."""
     check_unit(unit)
     if output_format not in ("parquet", "csv"):
         raise ValueError(f"unknown output format {output_format!r}")
@@ -74,7 +78,7 @@ def run_load_job(spark: SparkSession, datafiles: list[str], table_names: list[st
         "csv_separator": sep})
 
     t = time.time()
-    tables = load_tables(spark, datafiles, table_names, sep)
+    tables = load_tables(spark, datafiles, table_names, sep, ntz=ntz, value_type=value_type)
     elapsed = {STAGE_LOAD_DATA: time.time() - t}
 
     t = time.time()
@@ -154,11 +158,16 @@ def main(argv: list[str] | None = None) -> LoadJobResult:
     p.add_argument("--metrics")
     p.add_argument("--format", default="parquet", choices=("parquet", "csv"))
     p.add_argument("--mode", default="errorifexists")
+    p.add_argument("--value-type", default="double",
+                   help="measure type: double, or decimal(p,s) for exact sums")
+    p.add_argument("--local-time", action="store_true",
+                   help="read instants as zone-less local timestamps")
     p.add_argument("--master", default="local[*]")
     a = p.parse_args(argv)
     spark = build_session(a.master)
     res = run_load_job(spark, a.datafiles, a.table_names, a.aggreg_unit, a.out, a.sep,
-                       a.metrics, a.format, a.mode)
+                       a.metrics, a.format, a.mode, ntz=a.local_time,
+                       value_type=a.value_type)
     print(json.dumps({"run_id": res.run_id, "peak": res.peak, "stages": res.stages,
                       "table_counts": res.table_counts, "elapsed": res.elapsed}, default=str))
     return res

@@ -19,12 +19,13 @@ from ..operators.metrics import (STAGE_GENERATION, STAGE_INTERCHANGE, STAGE_LOAD
                                  stage_summary)
 from ..operators.profile import table_counts, table_schemas
 from ..operators.rank import peak_load, peak_load_per_day, top_loads
-from ..schemas import (DAILY, DATA, MONTHLY, PLANT_GUID, RESOURCE_GUID, RESOURCE_ID,
-                       SUBSYSTEM, VALUE)
+from ..schemas import (DAILY, DATA, GENERATION, INTERCHANGE, MONTHLY, PLANT_GUID,
+                       RESOURCE_GUID, RESOURCE_ID, RESOURCES, SUBSYSTEM, VALUE)
 from ..session import scratch_path
+from .load_job import run_load_job
 from ..sources import extract as X
 from ..sources import tpch
-from ..sources.catalog import register_table, select_all
+from ..sources.catalog import load_tables, select_all
 from ..sources.csv import read_interchange
 from ..sources.sinks import write_csv
 
@@ -122,10 +123,26 @@ def sink_csv_roundtrip(spark, sf_dir):
 
 
 def scan_select_all(spark, sf_dir):
-    register_table("region", tpch.read_table(spark, sf_dir, "region"))
+    """Load a table by name through the multi-table loader, then read it back
+    whole by that name."""
+    load_tables(spark, [f"{sf_dir.rstrip('/')}/region.parquet"], ["region"], fmt="parquet",
+                schemas={"region": tpch.TABLE_SCHEMAS["region"]})
     return select_all(spark, "region")
 
 
+def load_job_daily(spark, sf_dir):
+    """The whole load job over CSV copies of the mapped tables (written under
+    the shared folder): header-checked read, profile, load with observed stage
+    metrics, one write, peak and metrics table. Returns the written load."""
+    base = scratch_path(spark, "load-job")
+    names = [GENERATION, INTERCHANGE, RESOURCES]
+    tables = tpch.domain_tables(spark, sf_dir)
+    paths = [write_csv(tables[n], f"{base}/input/{n}") for n in names]
+    result = run_load_job(spark, paths, names, DAILY, f"{base}/carga", ntz=True,
+                          value_type=tpch.VALUE_TYPE, metrics_path=f"{base}/metrics")
+    return spark.read.parquet(result.output)
+
+
 def cast_timestamp_q(spark, sf_dir):
     ev = tpch.read_table(spark, sf_dir, "events")
     as_text = ev.select("event_id", F.col("ts").cast("string").alias("ts"))
@@ -180,4 +197,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "table_counts": table_counts_q,
     "table_schemas": table_schemas_q,
     "stage_metrics": stage_metrics,
+    "load_job_daily": load_job_daily,
 }

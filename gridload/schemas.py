@@ -6,6 +6,8 @@ at scale would mean reading the input twice.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import types as T
 
 # Fixed values shared with the job this library re-expresses: the unit names
@@ -31,20 +33,35 @@ def _ts(ntz: bool) -> T.DataType:
     return T.TimestampNTZType() if ntz else T.TimestampType()
 
 
-def interchange_schema(ntz: bool = False) -> T.StructType:
+def _value(value_type: str | T.DataType) -> T.DataType:
+    """Measure type: ``double`` by default; ``decimal(p,s)`` makes sums exact."""
+    if isinstance(value_type, T.DataType):
+        return value_type
+    text = value_type.strip().lower()
+    if text == "double":
+        return T.DoubleType()
+    m = re.fullmatch(r"decimal\(\s*(\d+)\s*,\s*(\d+)\s*\)", text)
+    if m:
+        return T.DecimalType(int(m.group(1)), int(m.group(2)))
+    raise ValueError(f"value type must be 'double' or 'decimal(p,s)', not {value_type!r}")
+
+
+def interchange_schema(ntz: bool = False, value_type: str | T.DataType = "double"
+                       ) -> T.StructType:
     """`intercambio`: net interchange per subsystem and instant."""
     return T.StructType([
         T.StructField(DATA, _ts(ntz), True),
         T.StructField(SUBSYSTEM, T.StringType(), True),
-        T.StructField(VALUE, T.DoubleType(), True),
+        T.StructField(VALUE, _value(value_type), True),
     ])
 
 
-def generation_schema(ntz: bool = False) -> T.StructType:
+def generation_schema(ntz: bool = False, value_type: str | T.DataType = "double"
+                      ) -> T.StructType:
     """`geracao`: generation per plant and instant."""
     return T.StructType([
         T.StructField(DATA, _ts(ntz), True),
-        T.StructField(VALUE, T.DoubleType(), True),
+        T.StructField(VALUE, _value(value_type), True),
         T.StructField(PLANT_ID, T.StringType(), True),
         T.StructField(PLANT_GUID, T.StringType(), True),
     ])
@@ -59,12 +76,13 @@ def resources_schema() -> T.StructType:
     ])
 
 
-def schema_for(table: str, ntz: bool = False) -> T.StructType:
+def schema_for(table: str, ntz: bool = False, value_type: str | T.DataType = "double"
+               ) -> T.StructType:
     """Schema of a domain table by its name."""
     if table == INTERCHANGE:
-        return interchange_schema(ntz)
+        return interchange_schema(ntz, value_type)
     if table == GENERATION:
-        return generation_schema(ntz)
+        return generation_schema(ntz, value_type)
     if table == RESOURCES:
         return resources_schema()
     raise ValueError(

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..schemas import schema_for
+from ..schemas import GENERATION, INTERCHANGE, RESOURCES, schema_for
 from .csv import read_csv_table
 
+DOMAIN_TABLES = (GENERATION, INTERCHANGE, RESOURCES)
+
 
 def register_table(name: str, df: DataFrame) -> DataFrame:
     df.createOrReplaceTempView(name)
@@ -28,18 +30,29 @@ def select_all(spark: SparkSession, name: str) -> DataFrame:
 
 
 def load_tables(spark: SparkSession, paths: list[str], names: list[str], sep: str = ";",
-                ntz: bool = False, schemas: dict | None = None) -> dict[str, DataFrame]:
+                ntz: bool = False, schemas: dict | None = None, fmt: str = "csv",
+                value_type: str = "double") -> dict[str, DataFrame]:
     """Read ``paths[k]`` as table ``names[k]`` and register it as a view.
 
     The schema comes from ``schemas[name]`` or, for the three domain tables,
-    from the name. Lists of unequal length are an error.
+    from the name (measures as ``value_type``). ``fmt`` is ``csv`` (header,
+    ``sep``) or ``parquet``; a Parquet table with no known schema keeps the
+    file's own. Lists of unequal length are an error.
     """
     if len(paths) != len(names):
         raise ValueError(f"{len(paths)} files but {len(names)} table names: {paths} / {names}")
     if len(set(names)) != len(names):
         raise ValueError(f"table names repeat: {names}")
+    if fmt not in ("csv", "parquet"):
+        raise ValueError(f"unknown format {fmt!r}")
     tables = {}
     for path, name in zip(paths, names):
-        schema = (schemas or {}).get(name) or schema_for(name, ntz)
-        tables[name] = register_table(name, read_csv_table(spark, path, schema, sep))
+        schema = (schemas or {}).get(name)
+        if schema is None and (fmt == "csv" or name in DOMAIN_TABLES):
+            schema = schema_for(name, ntz, value_type)
+        if fmt == "csv":
+            df = read_csv_table(spark, path, schema, sep)
+        else:
+            df = (spark.read.schema(schema) if schema is not None else spark.read).parquet(path)
+        tables[name] = register_table(name, df)
     return tables

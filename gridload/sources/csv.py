@@ -54,18 +54,18 @@ def read_csv_table(spark: SparkSession, path: str | list[str], schema: T.StructT
 
 
 def read_domain_csv(spark: SparkSession, path, table: str, sep: str = ";",
-                    ntz: bool = False, **kw) -> DataFrame:
-    return read_csv_table(spark, path, schema_for(table, ntz), sep, **kw)
+                    ntz: bool = False, value_type: str = "double", **kw) -> DataFrame:
+    return read_csv_table(spark, path, schema_for(table, ntz, value_type), sep, **kw)
 
 
 def read_interchange(spark: SparkSession, path, sep: str = ";", ntz: bool = False,
-                     **kw) -> DataFrame:
-    return read_domain_csv(spark, path, INTERCHANGE, sep, ntz, **kw)
+                     value_type: str = "double", **kw) -> DataFrame:
+    return read_domain_csv(spark, path, INTERCHANGE, sep, ntz, value_type, **kw)
 
 
 def read_generation(spark: SparkSession, path, sep: str = ";", ntz: bool = False,
-                    **kw) -> DataFrame:
-    return read_domain_csv(spark, path, GENERATION, sep, ntz, **kw)
+                    value_type: str = "double", **kw) -> DataFrame:
+    return read_domain_csv(spark, path, GENERATION, sep, ntz, value_type, **kw)
 
 
 def read_resources(spark: SparkSession, path, sep: str = ";", **kw) -> DataFrame:

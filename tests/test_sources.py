@@ -38,3 +38,21 @@ def test_csv_round_trip_keeps_instants_and_values(spark, workdir):
     assert back[0].data == rows[0][0] and back[0].valor == -4560.0474
     assert back[1].subsistema is None and back[1].valor is None
     assert back[2].valor != back[2].valor  # NaN survives
+
+
+def test_load_tables_parquet_and_decimal(spark, workdir):
+    from decimal import Decimal
+
+    from fixtures import INTERCHANGE_CSV, write
+    from gridload.sources.catalog import load_tables, select_all
+
+    t = load_tables(spark, [f"{SF_SMALL}/region.parquet"], ["regiao"], fmt="parquet")
+    assert list(t) == ["regiao"] and select_all(spark, "regiao").count() == 5
+    d = load_tables(spark, [write(workdir, "i.csv", INTERCHANGE_CSV)], ["intercambio"],
+                    value_type="decimal(18,4)")["intercambio"]
+    assert d.schema["valor"].dataType == T.DecimalType(18, 4)
+    assert min(r.valor for r in d.collect()) == Decimal("-1300.2500")
+    with pytest.raises(ValueError):
+        load_tables(spark, ["x"], ["intercambio"], value_type="string")
+    with pytest.raises(ValueError):
+        load_tables(spark, ["x"], ["intercambio"], fmt="orc")
