@@ -95,6 +95,22 @@ FROM customer WHERE NULLIF(c_mktsegment, 'MACHINERY') IS NOT NULL""",
 SELECT 'lineitem' AS tabela, COUNT(0) AS c FROM lineitem
 UNION ALL SELECT 'orders' AS tabela, COUNT(0) AS c FROM orders
 UNION ALL SELECT 'supplier' AS tabela, COUNT(0) AS c FROM supplier""",
+    "table_schemas": """
+WITH cols AS (
+  SELECT table_name AS tabela, CAST(ordinal_position AS INTEGER) AS posicao,
+         column_name AS coluna,
+         CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int'
+                        WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string'
+                        WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(data_type) END AS tipo,
+         is_nullable = 'YES' AS anulavel
+  FROM information_schema.columns
+  WHERE table_name IN ('lineitem', 'orders', 'supplier')),
+counts AS (
+  SELECT 'lineitem' AS tabela, COUNT(0) AS registros FROM lineitem
+  UNION ALL SELECT 'orders' AS tabela, COUNT(0) AS registros FROM orders
+  UNION ALL SELECT 'supplier' AS tabela, COUNT(0) AS registros FROM supplier)
+SELECT c.tabela, c.posicao, c.coluna, c.tipo, c.anulavel, n.registros
+FROM cols c JOIN counts n ON c.tabela = n.tabela""",
     "stage_metrics": _with("""
 SELECT 'aggreg_geracao' AS stage, COUNT(0) AS record_count, MAX(valor) AS max_valor FROM gd
 UNION ALL SELECT 'aggreg_intercambio' AS stage, COUNT(0) AS record_count, MAX(valor) AS max_valor

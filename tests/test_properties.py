@@ -87,3 +87,36 @@ def test_invariant_under_partitioning(spark, unit):
 
     one, many = run(1), run(7)
     assert one == many and len(one) > 0
+
+
+pairs = st.lists(st.tuples(st.sampled_from(DAYS), st.sampled_from(SUBS), st.sampled_from(SUBS),
+                           st.integers(1, 400).map(lambda k: k / 4)), min_size=1, max_size=12)
+plant_gen = st.lists(st.tuples(st.sampled_from(SUBS), st.integers(0, 400).map(lambda k: k / 4)),
+                     min_size=1, max_size=6)
+
+
+@settings(max_examples=8, deadline=None,
+          suppress_health_check=[HealthCheck.function_scoped_fixture, HealthCheck.too_slow])
+@given(flows=pairs, gens=plant_gen)
+def test_balanced_interchange_makes_load_sum_equal_generation_sum(spark, flows, gens):
+    """Each flow is exported by one subsystem and imported by another, so
+    every day nets to zero; when every subsystem has generation and
+    interchange on that day, the load summed over subsystems equals the
+    generation summed over subsystems."""
+    inter_rows = []
+    for d, a, b, v in flows:
+        inter_rows += [(d, a, v), (d, b, -v)]
+    # every subsystem: a zero interchange row and some generation on each day
+    inter_rows += [(d, s, 0.0) for d in DAYS for s in SUBS]
+    res_rows = [(s, f"plant-{s}", s) for s in SUBS]
+    gen_rows = [(d, v, "p", f"plant-{s}") for d in DAYS for s, v in gens]
+    gen_rows += [(d, 0.0, "p", f"plant-{s}") for d in DAYS for s in SUBS]
+    load = regional_load(spark.createDataFrame(gen_rows, generation_schema(ntz=True)),
+                         spark.createDataFrame(inter_rows, interchange_schema(ntz=True)),
+                         spark.createDataFrame(res_rows, resources_schema()), DAILY)
+    per_day = {}
+    for r in load.collect():
+        per_day[r.data] = per_day.get(r.data, 0.0) + r.valor
+    gen_per_day = sum(v for _, v in gens)
+    assert set(per_day) == set(DAYS)
+    assert all(v == pytest.approx(gen_per_day, abs=1e-9) for v in per_day.values())
