@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 
 from ..schemas import DATA, SUBSYSTEM, VALUE
 
+# Largest n for top_loads: every task keeps n rows, and the n survivors are
+# numbered in one task. Use order_load for whole orderings.
+MAX_TOP_N = 1_000_000
+
 
 def _order_cols(df: DataFrame) -> list:
     cols = [F.col(VALUE).desc_nulls_last(), F.col(SUBSYSTEM).asc_nulls_last()]
@@ -32,8 +36,8 @@ def top_loads(load: DataFrame, n: int, position: str = "pos") -> DataFrame:
     (``TakeOrderedAndProject``); the position is numbered over those ``n``
     rows only, so the un-partitioned window never sees more than ``n`` rows.
     """
-    if n <= 0:
-        raise ValueError("n must be positive")
+    if not 0 < n <= MAX_TOP_N:
+        raise ValueError(f"n must be in 1..{MAX_TOP_N}; use order_load for a whole ordering")
     order = _order_cols(load)
     head = load.orderBy(*order).limit(n)
     return head.withColumn(position, F.row_number().over(Window.orderBy(*order)).cast("bigint"))

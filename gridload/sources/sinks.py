@@ -1,8 +1,10 @@
 """Writers, and the guarded collect.
 
-Writes are parallel (one file per task) unless a single file is asked for;
+Writes are parallel (one file per task) unless a single file is asked for.
 ``single_file`` shuffles into one final task (the upstream stages stay
-parallel) and is only sensible for small outputs.
+parallel); it first checks that the output has at most
+``single_file_max_rows`` rows and refuses otherwise, so a large table is never
+funnelled through one task by accident.
 """
 
 from __future__ import annotations
@@ -17,11 +19,17 @@ LOCAL_WRITE_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 # Upper bound on rows ``to_rows`` brings to the driver.
 DEFAULT_MAX_COLLECT_ROWS = 1_000_000
+# Upper bound on rows written through one task by ``single_file``.
+DEFAULT_SINGLE_FILE_MAX_ROWS = 10_000_000
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ";", mode: str = "errorifexists",
-              header: bool = True, single_file: bool = False) -> str:
+              header: bool = True, single_file: bool = False,
+              single_file_max_rows: int = DEFAULT_SINGLE_FILE_MAX_ROWS) -> str:
     """Write ``df`` as separator CSV with a header row; returns ``path``."""
+    if single_file and df.limit(single_file_max_rows + 1).count() > single_file_max_rows:
+        raise ValueError(f"more than {single_file_max_rows} rows: write in parallel instead "
+                         "of a single file")
     out = df.repartition(1) if single_file else df
     (out.write.mode(mode)
         .option("sep", sep)

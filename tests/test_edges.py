@@ -170,3 +170,22 @@ def test_order_load_total_order(spark):
     ordered = order_load(regional_load(g, i, r, DAILY)).collect()
     assert [(x.subsistema, x.data, x.valor) for x in ordered] == [
         ("N", D1, 9.0), ("SE", D1, 5.0), ("SE", D2, 5.0), ("S", D2, None)]
+
+
+def test_single_file_write_refuses_large(spark, workdir):
+    import os
+
+    from gridload.sources.sinks import write_csv
+    df = spark.range(100).toDF("x")
+    with pytest.raises(ValueError):
+        write_csv(df, os.path.join(workdir, "big"), single_file=True, single_file_max_rows=10)
+    path = write_csv(df, os.path.join(workdir, "ok"), single_file=True)
+    assert len([f for f in os.listdir(path) if f.endswith(".csv")]) == 1
+
+
+def test_top_n_bounds(spark):
+    load = inter(spark, [(D1, "SE", 1.0)])
+    with pytest.raises(ValueError):
+        top_loads(load, 0)
+    with pytest.raises(ValueError):
+        top_loads(load, 10**9)

@@ -75,3 +75,43 @@ def test_partition_pruning_on_text_partitions(spark, workdir):
     assert "EqualTo(cod_periodograndeza,A)" in text and "EqualTo(tip_classificacao,F)" in text
     direct = extract_generation(src, 1998, 1, "A", "F")
     assert sorted(df.collect()) == sorted(direct.collect())
+
+
+def test_hot_plant_is_split_by_aqe_when_not_broadcast(spark):
+    """A plant with most of the rows, joined without broadcast: AQE splits the
+    skewed partition of the fact side instead of running it in one task."""
+    from pyspark.sql import functions as F
+
+    from gridload import attach_subsystem
+    confs = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+             "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+             "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+             "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+             "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+             "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in confs}
+    for k, v in confs.items():
+        spark.conf.set(k, v)
+    try:
+        ids = spark.range(0, 60000)
+        gen = ids.select(F.lit("2018-01-01").cast("timestamp").alias("data"),
+                         F.lit(1.0).alias("valor"), F.lit("x").alias("id_usina"),
+                         F.when(F.col("id") % 10 < 8, F.lit("hot"))
+                          .otherwise((F.col("id") % 500).cast("string")).alias("guid_usina"))
+        res = spark.range(0, 500).select(F.col("id").cast("string").alias("id_recurso"),
+                                         F.col("id").cast("string").alias("guid_recurso"),
+                                         F.lit("S").alias("subsistema")).union(
+            spark.createDataFrame([("h", "hot", "SE")], "id_recurso string, "
+                                  "guid_recurso string, subsistema string"))
+        out = attach_subsystem(gen, res, broadcast_max_rows=0)
+        rows = out.groupBy("subsistema").count().collect()
+        assert {r.subsistema: r["count"] for r in rows} == {"SE": 48000, "S": 12000}
+        assert len(out.collect()) == 60000  # runs out's own plan, so explain shows its final form
+        final = plan(out, "simple")
+        assert "isFinalPlan=true" in final and "skew=true" in final
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
