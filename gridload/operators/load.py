@@ -2,8 +2,11 @@
 
 Both inputs are already aggregated, so they hold one row per key; the inner
 join cannot fan out. A subsystem or instant present on one side only is
-dropped. In the daily plan the join sits directly on the two aggregation
-exchanges (same keys, same order), so it adds no shuffle.
+dropped. Both aggregates are already hash-partitioned on the join keys (same
+keys, same order), so a sort-merge join runs on those partitions with no
+further shuffle. The join is hinted as such: left to itself, AQE would collect
+one side to the driver and broadcast it, which costs extra jobs and only pays
+off when the sides are not already co-partitioned.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ def compute_load(generation_aggr: DataFrame, interchange_aggr: DataFrame,
                  unit: str) -> DataFrame:
     """Columns: ``subsistema``[, ``data``], ``valor``."""
     keys = group_keys(unit)
-    g = generation_aggr.alias("g")
+    g = generation_aggr.alias("g").hint("merge")
     i = interchange_aggr.alias("i")
     cond = [F.col(f"g.{k}") == F.col(f"i.{k}") for k in keys]
     return (g.join(i, cond, "inner")

@@ -4,10 +4,15 @@ load, write it, find its peak, and record per-stage metrics.
 Actions, in order (everything else is lazy):
 
 1. one header line per input file (schema check on the driver);
-2. one job counting every table (``initial_data_stats``);
+2. one job counting every table (``initial_data_stats``). Counts are not
+   taken by observing the inputs inside the main job: those observations
+   would sit in map stages, whose metrics are applied again when a lost
+   executor's map output is recomputed;
 3. one write of the load, which also fills the ``Observation`` metrics of the
    generation aggregate, the interchange aggregate and the load (record
-   count, highest value) -- no aggregate is evaluated twice;
+   count, highest value). These sit after the final aggregation, in result
+   stages, where Spark applies each task's update once; no aggregate is
+   evaluated twice;
 4. the peak, read back from the written table (a bounded top-1 over the
    small result; the written table also cuts the lineage, so a lost executor
    never recomputes the aggregates);

@@ -55,7 +55,8 @@ def _load(spark, sf_dir, unit):
 
 def generation_with_subsystem(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = attach_subsystem(tpch.generation(spark, sf_dir), tpch.resources(spark, sf_dir))
-    return g.select(SUBSYSTEM, DATA, PLANT_GUID, F.col(VALUE).cast("double").alias(VALUE))
+    return g.select(SUBSYSTEM, DATA, F.col(PLANT_GUID).cast("string").alias(PLANT_GUID),
+                    F.col(VALUE).cast("double").alias(VALUE))
 
 
 def generation_daily(spark, sf_dir):

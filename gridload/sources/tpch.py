@@ -7,7 +7,11 @@
                     status ``F``
 
 Values are DECIMAL(18,4) so sums are exact whatever the task order; instants
-stay ``timestamp_ntz`` as stored. The catalog-shaped sources (Hive column
+stay ``timestamp_ntz`` as stored. Plant keys stay in their stored ``bigint``:
+equality of integers is equality of their text, so the join result is the same
+as on text ids, without casting every fact row to text and hashing strings
+(the long-keyed hash relation is much cheaper). Queries that output a key
+render it as text. The catalog-shaped sources (Hive column
 names plus ``p_ano``/``p_mes`` text partitions) feed the extraction operators.
 
 Joins to ``nation``/``region`` are left to Spark's size-based choice: both
@@ -75,7 +79,7 @@ def generation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(F.col("l_shipdate").alias(DATA),
                      F.col("l_quantity").cast(VALUE_TYPE).alias(VALUE),
                      F.col("l_partkey").cast("string").alias(PLANT_ID),
-                     F.col("l_suppkey").cast("string").alias(PLANT_GUID))
+                     F.col("l_suppkey").alias(PLANT_GUID))
 
 
 def resources(spark: SparkSession, sf_dir: str, geo: DataFrame | None = None) -> DataFrame:
@@ -83,7 +87,7 @@ def resources(spark: SparkSession, sf_dir: str, geo: DataFrame | None = None) ->
     geo = geo if geo is not None else _region_of_nation(spark, sf_dir)
     return (s.join(geo, s.s_nationkey == geo._nationkey, "inner")
             .select(s.s_nationkey.cast("string").alias(RESOURCE_ID),
-                    s.s_suppkey.cast("string").alias(RESOURCE_GUID),
+                    s.s_suppkey.alias(RESOURCE_GUID),
                     geo[SUBSYSTEM]))
 
 
