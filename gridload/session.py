@@ -43,14 +43,19 @@ def shared_dir(spark: SparkSession) -> str:
     On a cluster this is set by the deployment and is read here. Only when it
     is unset (local tests) is a fresh folder created and registered.
     """
-    sc = spark.sparkContext
-    configured = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured:
+        try:
+            configured = spark.sparkContext.getCheckpointDir()
+        except Exception:  # no classic SparkContext (e.g. a remote session)
+            configured = None
     if configured:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(configured)
         return configured.rstrip("/")
     local = tempfile.mkdtemp(prefix="gridload-")
-    sc.setCheckpointDir(local)
+    try:
+        spark.sparkContext.setCheckpointDir(local)
+    except Exception:
+        pass
     return local
 
 

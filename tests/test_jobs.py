@@ -116,3 +116,21 @@ def test_single_file_extract(spark, workdir):
     assert read_interchange(spark, paths["intercambio"]).count() == 13
     first = read_interchange(spark, paths["intercambio"]).orderBy("data").first()
     assert first.data == dt.datetime(2018, 1, 1)
+
+
+def test_command_lines(spark, workdir):
+    from gridload.plans import extract_job, load_job
+
+    i, g, r = catalog(spark, workdir)
+    for name, df in (("cat_i_t", i), ("cat_g_t", g), ("cat_r_t", r)):
+        df.createOrReplaceTempView(name)
+    out = os.path.join(workdir, "cli")
+    paths = extract_job.main(["--interchange", "cat_i_t", "--generation", "cat_g_t",
+                              "--resources", "cat_r_t", "--year", "2018", "--month", "1",
+                              "--out", f"{out}/extract"])
+    res = load_job.main(["--datafiles", paths["geracao"], paths["intercambio"], paths["recursos"],
+                         "--table_names", "geracao", "intercambio", "recursos",
+                         "--aggreg_unit", "diario", "--out", f"{out}/carga",
+                         "--metrics", f"{out}/metrics", "--value-type", "decimal(18,4)"])
+    assert res.peak["subsistema"] == "SE" and res.peak["valor"] == 6100.0
+    assert spark.read.parquet(f"{out}/metrics").where("stage = 'end_job'").count() == 1
