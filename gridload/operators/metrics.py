@@ -5,8 +5,9 @@ Two forms of the same numbers:
 * :func:`observe_stage` attaches an ``Observation`` to a DataFrame. The
   metrics are collected by whatever action runs the plan (the final write),
   so measuring costs no extra job and the intermediate is not evaluated again.
-* :func:`stage_summary` is the same numbers as a DataFrame, for SQL users and
-  checks. Within one plan Spark reuses the shared aggregation exchanges.
+* :func:`stage_summary` is the same numbers as a DataFrame for any named
+  DataFrames; :func:`load_stage_summary` gives the three load stages in one
+  pass over the two aggregates (see there).
 
 :func:`metric_rows` turns a run's measurements into long-format rows
 (``run_id, stage, metric, value, text``) appended to a Parquet table.
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schemas import VALUE
+from ..schemas import VALUE, group_keys
 
 STAGE = "stage"
 RECORD_COUNT = "record_count"
@@ -64,6 +65,35 @@ def stage_summary(stages: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def load_stage_summary(generation_aggr: DataFrame, interchange_aggr: DataFrame,
+                       unit: str) -> DataFrame:
+    """Rows ``(stage, record_count, max_valor)`` for the generation aggregate,
+    the interchange aggregate and the load, from one pass.
+
+    The three summaries cannot simply be unioned: the load's inner join adds
+    ``IS NOT NULL`` filters on the keys below its aggregates, so those differ
+    from the plain ones and both aggregates would be computed twice. Here the
+    aggregates meet once in a full outer join on their keys (co-partitioned,
+    no extra shuffle); each key occurs once per side, so presence flags give
+    exact counts, and matched rows are exactly the load's rows.
+    """
+    keys = group_keys(unit)
+    g = generation_aggr.select(*keys, F.col(VALUE).alias("_g"), F.lit(True).alias("_gp"))
+    i = interchange_aggr.select(*keys, F.col(VALUE).alias("_i"), F.lit(True).alias("_ip"))
+    both = g.hint("merge").join(i, on=keys, how="full_outer")
+    matched = F.col("_gp") & F.col("_ip")
+    totals = both.agg(
+        F.count(F.when(F.col("_gp"), 1)).alias("gn"), F.max("_g").alias("gm"),
+        F.count(F.when(F.col("_ip"), 1)).alias("in"), F.max("_i").alias("im"),
+        F.count(F.when(matched, 1)).alias("cn"),
+        F.max(F.when(matched, F.col("_g") - F.col("_i"))).alias("cm"))
+    rows = [F.struct(F.lit(stage).alias(STAGE), F.col(n).alias(RECORD_COUNT),
+                     F.col(m).alias(MAX_VALUE))
+            for stage, n, m in ((STAGE_GENERATION, "gn", "gm"), (STAGE_INTERCHANGE, "in", "im"),
+                                (STAGE_LOAD, "cn", "cm"))]
+    return totals.select(F.inline(F.array(*rows)))
+
+
 def metric_rows(run_id: str, stage: str, values: dict) -> list[tuple]:
     """Long-format rows for one stage: numbers go to ``value``, anything else
     (subsystem names, units, file lists) to ``text``."""

@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions.casts import cast_string, cast_timestamp
 from ..operators.aggregate import aggregate_generation, aggregate_interchange, attach_subsystem
-from ..operators.load import compute_load, regional_load
-from ..operators.metrics import (STAGE_GENERATION, STAGE_INTERCHANGE, STAGE_LOAD,
-                                 stage_summary)
+from ..operators.load import regional_load
+from ..operators.metrics import load_stage_summary
 from ..operators.profile import table_counts, table_schemas
 from ..operators.rank import peak_load, peak_load_per_day, top_loads
 from ..schemas import (DAILY, DATA, GENERATION, INTERCHANGE, MONTHLY, PLANT_GUID,
@@ -172,8 +171,7 @@ def stage_metrics(spark, sf_dir):
     t = tpch.domain_tables(spark, sf_dir)
     g = aggregate_generation(t["geracao"], t["recursos"], DAILY)
     i = aggregate_interchange(t["intercambio"], DAILY)
-    return stage_summary({STAGE_GENERATION: g, STAGE_INTERCHANGE: i,
-                          STAGE_LOAD: compute_load(g, i, DAILY)})
+    return load_stage_summary(g, i, DAILY)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -189,3 +189,18 @@ def test_top_n_bounds(spark):
         top_loads(load, 0)
     with pytest.raises(ValueError):
         top_loads(load, 10**9)
+
+
+@pytest.mark.parametrize("unit", [DAILY, MONTHLY])
+def test_single_pass_stage_summary_equals_union(spark, unit):
+    from gridload import compute_load
+    from gridload.operators.metrics import load_stage_summary, stage_summary
+
+    g = gen(spark, [(D1, 5.0, "1", "a"), (None, 7.0, "1", "a"), (D2, 1.0, "2", "b"),
+                    (D1, None, "3", "c")])
+    r = res(spark, [("1", "a", "SE"), ("2", "b", "S"), ("3", "c", None)])
+    i = inter(spark, [(D1, "SE", 1.0), (None, "SE", 2.0), (D2, "N", 3.0), (D1, None, 4.0)])
+    ga, ia = aggregate_generation(g, r, unit), aggregate_interchange(i, unit)
+    naive = stage_summary({"aggreg_geracao": ga, "aggreg_intercambio": ia,
+                           "calculate_carga": compute_load(ga, ia, unit)})
+    assert sorted(load_stage_summary(ga, ia, unit).collect()) == sorted(naive.collect())
