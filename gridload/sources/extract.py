@@ -1,9 +1,11 @@
 """Extraction of one period from the partitioned measurement tables.
 
 Sources are DataFrames (``spark.table(...)`` on a catalog or a partitioned
-Parquet read). ``p_ano`` and ``p_mes`` are partition columns held as text,
+Parquet read). ``p_ano`` and ``p_mes`` are partition columns holding text,
 month not zero-padded, so the equality filters become partition filters and
-only the selected month's files are listed and read. The other predicates are
+only the selected month's files are listed and read. They are compared as
+text, which also covers a read that inferred them as integers (the cast is
+dropped by the optimizer when they already are text). The other predicates are
 pushed into the scan and only the projected columns are read. Output columns
 are renamed to the domain names the loader expects.
 """
@@ -33,8 +35,8 @@ GENERATION_CLASS = "Preliminar"
 
 
 def period_filter(year: int | str, month: int | str, period: str, classification: str):
-    return ((F.col(YEAR_COL) == F.lit(str(int(year))))
-            & (F.col(MONTH_COL) == F.lit(str(int(month))))
+    return ((F.col(YEAR_COL).cast("string") == F.lit(str(int(year))))
+            & (F.col(MONTH_COL).cast("string") == F.lit(str(int(month))))
             & (F.col(PERIOD_COL) == F.lit(period))
             & (F.col(CLASS_COL) == F.lit(classification)))
 

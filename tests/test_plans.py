@@ -115,3 +115,15 @@ def test_hot_plant_is_split_by_aqe_when_not_broadcast(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_partition_pruning_when_partitions_inferred_as_numbers(spark, workdir):
+    src = tpch.generation_source(spark, SF_SMALL)
+    path = os.path.join(workdir, "g_part_inferred")
+    src.write.partitionBy("p_ano", "p_mes").parquet(path)
+    inferred = spark.read.parquet(path)
+    assert dict(inferred.dtypes)["p_ano"] == "int"
+    df = extract_generation(inferred, 1998, 1, "A", "F")
+    assert "PartitionFilters: [" in plan(df) and "p_mes" in plan(df).split("PartitionFilters: [")[1]
+    direct = extract_generation(src, 1998, 1, "A", "F")
+    assert sorted(df.collect()) == sorted(direct.collect()) and df.count() > 0
