@@ -6,7 +6,9 @@ file fails with a clear message before any task runs; columns may come in
 any order. Values are then parsed with a fixed schema (no inference pass),
 ``enforceSchema=False`` so every file's header is validated again by the
 scan, and ``FAILFAST`` so malformed values raise instead of turning into
-NULL. An empty field is NULL; ``NaN`` is read as NaN.
+NULL (``mode="PERMISSIVE"`` turns them into NULL instead, for loads where one
+bad field must not fail the whole job). An empty field is NULL; ``NaN`` is
+read as NaN.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ def _file_order(schema: T.StructType, header: list[str], path) -> T.StructType:
 
 def read_csv_table(spark: SparkSession, path: str | list[str], schema: T.StructType,
                    sep: str = ";", check_header: bool = True,
-                   timestamp_format: str | None = None) -> DataFrame:
+                   timestamp_format: str | None = None, mode: str = "FAILFAST") -> DataFrame:
     """Read header CSV with a fixed schema; columns come out in schema order."""
     file_schema = (_file_order(schema, read_header(spark, path, sep), path)
                    if check_header else schema)
@@ -46,7 +48,7 @@ def read_csv_table(spark: SparkSession, path: str | list[str], schema: T.StructT
               .option("sep", sep)
               .option("header", True)
               .option("enforceSchema", not check_header)
-              .option("mode", "FAILFAST"))
+              .option("mode", mode))
     if timestamp_format:
         reader = (reader.option("timestampFormat", timestamp_format)
                   .option("timestampNTZFormat", timestamp_format))

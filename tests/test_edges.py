@@ -204,3 +204,11 @@ def test_single_pass_stage_summary_equals_union(spark, unit):
     naive = stage_summary({"aggreg_geracao": ga, "aggreg_intercambio": ia,
                            "calculate_carga": compute_load(ga, ia, unit)})
     assert sorted(load_stage_summary(ga, ia, unit).collect()) == sorted(naive.collect())
+
+
+def test_permissive_mode_turns_bad_values_into_null(spark, workdir):
+    p = write(workdir, "i.csv", "data;subsistema;valor\n2018-01-01T00:00:00.000Z;SE;abc\n"
+                               "2018-01-01T00:00:00.000Z;S;2.5\n")
+    rows = sorted(read_interchange(spark, p, mode="PERMISSIVE").collect(),
+                  key=lambda r: r.subsistema)
+    assert [(r.subsistema, r.valor) for r in rows] == [("S", 2.5), ("SE", None)]
