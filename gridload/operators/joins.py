@@ -1,10 +1,11 @@
 """Size-checked broadcast.
 
-A side is broadcast only after its row count has been measured to be at most
-``max_rows``. The check reads at most ``max_rows + 1`` rows (``limit`` stops
-the scan early), so it is cheap even when the side turns out to be large. A
-side over the bound is left to a shuffle join, where AQE can still split a
-skewed partition.
+A side is broadcast only after it has been measured: at most ``max_rows``
+rows and at most ``max_bytes`` of data (the text width of its values, a
+close proxy for what the broadcast hash table holds). One small job reads at
+most ``max_rows + 1`` rows (``limit`` stops each scan early), so the check is
+cheap even when the side turns out to be large. A side over either bound is
+left to a shuffle join, where AQE can still split a skewed partition.
 """
 
 from __future__ import annotations
@@ -12,21 +13,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A plant -> subsystem row is two short strings. At this many rows the hash
+# A plant -> subsystem row is two short strings. Within these bounds the hash
 # table built on each executor stays in the tens of MB.
 DEFAULT_BROADCAST_MAX_ROWS = 500_000
+DEFAULT_BROADCAST_MAX_BYTES = 32 * 1024 * 1024
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_MAX_ROWS) -> bool:
-    if max_rows <= 0:
+def _text_width(df: DataFrame):
+    return sum((F.coalesce(F.octet_length(df[c].cast("string")), F.lit(0)) for c in df.columns),
+               F.lit(0))
+
+
+def fits_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_MAX_ROWS,
+                   max_bytes: int = DEFAULT_BROADCAST_MAX_BYTES) -> bool:
+    if max_rows <= 0 or max_bytes <= 0:
         return False
-    return df.limit(max_rows + 1).count() <= max_rows
+    size = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"),
+                                      F.sum(_text_width(df)).alias("b")).first()
+    return size["n"] <= max_rows and (size["b"] or 0) <= max_bytes
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_MAX_ROWS
-                      ) -> tuple[DataFrame, bool]:
-    """``(broadcast(df), True)`` if ``df`` has at most ``max_rows`` rows,
-    else ``(df, False)``."""
-    if fits_broadcast(df, max_rows):
+def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_MAX_ROWS,
+                      max_bytes: int = DEFAULT_BROADCAST_MAX_BYTES) -> tuple[DataFrame, bool]:
+    """``(broadcast(df), True)`` if ``df`` is within both bounds, else
+    ``(df, False)``."""
+    if fits_broadcast(df, max_rows, max_bytes):
         return F.broadcast(df), True
     return df, False

@@ -127,3 +127,16 @@ def test_partition_pruning_when_partitions_inferred_as_numbers(spark, workdir):
     assert "PartitionFilters: [" in plan(df) and "p_mes" in plan(df).split("PartitionFilters: [")[1]
     direct = extract_generation(src, 1998, 1, "A", "F")
     assert sorted(df.collect()) == sorted(direct.collect()) and df.count() > 0
+
+
+def test_broadcast_check_bounds_rows_and_bytes(spark):
+    from pyspark.sql import functions as F
+
+    from gridload.operators.joins import fits_broadcast
+    dim = spark.range(1000).select(F.col("id").cast("string").alias("k"),
+                                   F.repeat(F.lit("x"), 100).alias("v"))
+    assert fits_broadcast(dim)
+    assert not fits_broadcast(dim, max_rows=999)
+    assert not fits_broadcast(dim, max_bytes=50_000)  # ~103 kB of text
+    assert fits_broadcast(dim, max_bytes=200_000)
+    assert not fits_broadcast(dim, max_rows=0)
