@@ -21,6 +21,9 @@ join, where AQE splits a customer that owns a large share of the orders.
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,8 +52,10 @@ TABLE_SCHEMAS = {
 
 
 def view_name(sf_dir: str, name: str) -> str:
-    tag = sf_dir.rstrip("/").rsplit("/", 1)[-1].replace(".", "_").replace("-", "_")
-    return f"{name}__{tag}"
+    """A view name unique to the table's full path."""
+    path = sf_dir.rstrip("/")
+    tag = re.sub(r"\W", "_", path.rsplit("/", 1)[-1])
+    return f"{name}__{tag}_{hashlib.sha1(path.encode()).hexdigest()[:10]}"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

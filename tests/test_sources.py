@@ -56,3 +56,8 @@ def test_load_tables_parquet_and_decimal(spark, workdir):
         load_tables(spark, ["x"], ["intercambio"], value_type="string")
     with pytest.raises(ValueError):
         load_tables(spark, ["x"], ["intercambio"], fmt="orc")
+
+
+def test_view_names_differ_by_full_path():
+    assert tpch.view_name("/a/sf0.1", "orders") != tpch.view_name("/b/sf0.1", "orders")
+    assert tpch.view_name("/a/sf0.1/", "orders") == tpch.view_name("/a/sf0.1", "orders")
