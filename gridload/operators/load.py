@@ -18,17 +18,16 @@ from ..schemas import VALUE, group_keys
 from .aggregate import aggregate_generation, aggregate_interchange
 from .joins import DEFAULT_BROADCAST_MAX_ROWS
 
+_INTERCHANGE = "_valor_intercambio"
+
 
 def compute_load(generation_aggr: DataFrame, interchange_aggr: DataFrame,
                  unit: str) -> DataFrame:
     """Columns: ``subsistema``[, ``data``], ``valor``."""
     keys = group_keys(unit)
-    g = generation_aggr.alias("g").hint("merge")
-    i = interchange_aggr.alias("i")
-    cond = [F.col(f"g.{k}") == F.col(f"i.{k}") for k in keys]
-    return (g.join(i, cond, "inner")
-            .select(*[F.col(f"g.{k}").alias(k) for k in keys],
-                    (F.col(f"g.{VALUE}") - F.col(f"i.{VALUE}")).alias(VALUE)))
+    i = interchange_aggr.withColumnRenamed(VALUE, _INTERCHANGE)
+    return (generation_aggr.hint("merge").join(i, on=keys, how="inner")
+            .select(*keys, (F.col(VALUE) - F.col(_INTERCHANGE)).alias(VALUE)))
 
 
 def regional_load(generation: DataFrame, interchange: DataFrame, resources: DataFrame,

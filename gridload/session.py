@@ -20,6 +20,13 @@ ENGINE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
 
+# Static settings, applied when the session is created. PySpark's DataFrame
+# debugging context records the Python call site of every API call in the JVM
+# (several round trips each); jobs that build plans in code do not need it.
+STATIC_CONF = {
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
+
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
                   app_name: str = "gridload", extra: dict | None = None) -> SparkSession:
@@ -27,7 +34,7 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
                .config("spark.ui.enabled", "false")
                .config("spark.ui.showConsoleProgress", "false")
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions)))
-    for key, value in {**ENGINE_CONF, **(extra or {})}.items():
+    for key, value in {**STATIC_CONF, **ENGINE_CONF, **(extra or {})}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
