@@ -10,7 +10,9 @@ twice counts its generation twice). Two physical shapes, same result:
 * dimension too large to broadcast -> aggregate generation per
   (plant[, instant]) first, then shuffle-join that to the dimension and
   aggregate again. A plant holding a third of all rows arrives at the join as
-  one row per instant, not as a third of the data in one partition.
+  one row per instant, not as a third of the data in one partition. The join
+  is pinned to sort-merge: neither side has a proven size bound here, so
+  neither is broadcast on an optimizer estimate.
 """
 
 from __future__ import annotations
@@ -62,7 +64,7 @@ def aggregate_generation(generation: DataFrame, resources: DataFrame, unit: str,
     parts = (generation.where(F.col(PLANT_GUID).isNotNull())
              .groupBy(*plant_keys)
              .agg(F.sum(VALUE).alias(_PART_SUM), F.count(VALUE).alias(_PART_COUNT)))
-    joined = parts.join(dim, parts[PLANT_GUID] == dim[RESOURCE_GUID], "inner")
+    joined = parts.hint("merge").join(dim, parts[PLANT_GUID] == dim[RESOURCE_GUID], "inner")
     measure = (F.sum(_PART_SUM).cast("double") if unit == DAILY
                else mean_of_parts(_PART_SUM, _PART_COUNT))
     return joined.groupBy(*[dim[SUBSYSTEM] if k == SUBSYSTEM else parts[k]

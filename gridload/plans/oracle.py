@@ -54,6 +54,7 @@ ORACLE_SQL: dict[str, str] = {
     "load_daily": _with("SELECT subsistema, data, valor FROM cd"),
     "load_monthly": _with("SELECT subsistema, valor FROM cm"),
     "load_job_daily": _with("SELECT subsistema, data, valor FROM cd"),
+    "load_daily_large_dimension": _with("SELECT subsistema, data, valor FROM cd"),
     "load_ranked": _with(
         "SELECT subsistema, data, valor, "
         "CAST(ROW_NUMBER() OVER (ORDER BY valor DESC, subsistema, data) AS BIGINT) AS pos "

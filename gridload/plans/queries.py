@@ -82,6 +82,15 @@ def load_monthly(spark, sf_dir):
     return _load(spark, sf_dir, MONTHLY)
 
 
+def load_daily_large_dimension(spark, sf_dir):
+    """The daily load on the path taken when the plant dimension is over the
+    broadcast bound: generation pre-aggregated per (plant, instant), then
+    shuffle-joined to the dimension."""
+    t = tpch.domain_tables(spark, sf_dir)
+    return regional_load(t["geracao"], t["intercambio"], t["recursos"], DAILY,
+                         broadcast_max_rows=0)
+
+
 def load_ranked(spark, sf_dir):
     return top_loads(_load(spark, sf_dir, DAILY), TOP_N, position="pos")
 
@@ -182,6 +191,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "interchange_monthly": interchange_monthly,
     "load_daily": load_daily,
     "load_monthly": load_monthly,
+    "load_daily_large_dimension": load_daily_large_dimension,
     "load_ranked": load_ranked,
     "peak_load_daily": peak_load_daily,
     "peak_load_monthly": peak_load_monthly,

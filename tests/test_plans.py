@@ -40,6 +40,8 @@ def test_large_dimension_preaggregates_before_join(spark, workdir):
     text = plan_simple(regional_load(g, i, r, DAILY, broadcast_max_rows=0))
     # generation is first aggregated per (plant, instant), then joined
     assert re.search(r"HashAggregate\(keys=\[guid_usina#\d+, data#\d+\]", text)
+    # neither side of the plant join is broadcast on an estimate
+    assert re.search(r"SortMergeJoin \[guid_usina#\d+\], \[guid_recurso#\d+\]", text)
     text_m = plan_simple(regional_load(g, i, r, MONTHLY, broadcast_max_rows=0))
     assert re.search(r"HashAggregate\(keys=\[guid_usina#\d+\]", text_m)
 
