@@ -37,9 +37,10 @@ def attach_subsystem(generation: DataFrame, resources: DataFrame,
                      broadcast_max_rows: int = DEFAULT_BROADCAST_MAX_ROWS) -> DataFrame:
     """Generation rows with the ``subsistema`` of their plant (inner join on
     ``guid_usina = guid_recurso``). Columns: generation's, then ``subsistema``."""
-    dim, _ = bounded_broadcast(_plant_dimension(resources), broadcast_max_rows)
-    joined = generation.join(dim, generation[PLANT_GUID] == dim[RESOURCE_GUID], "inner")
-    return joined.select(*[generation[c] for c in generation.columns], dim[SUBSYSTEM])
+    dim, small = bounded_broadcast(_plant_dimension(resources), broadcast_max_rows)
+    fact = generation if small else generation.hint("merge")
+    joined = fact.join(dim, fact[PLANT_GUID] == dim[RESOURCE_GUID], "inner")
+    return joined.select(*[fact[c] for c in generation.columns], dim[SUBSYSTEM])
 
 
 def _measure(unit: str, value: str = VALUE):
