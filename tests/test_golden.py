@@ -105,3 +105,30 @@ def test_real_interchange_sample_profile(spark):
     for (_, d), v in daily.items():
         per_day[d] = per_day.get(d, 0.0) + v
     assert len(per_day) == 31 and all(abs(v) < 1e-6 for v in per_day.values())
+
+
+def test_session_time_zone_does_not_change_groups(spark, workdir):
+    """Instants with an offset group the same under any session zone; the
+    test tables' zone-less timestamps give identical rows."""
+    from pyspark.sql import functions as F
+
+    from conftest import SF_SMALL
+    from gridload.plans.queries import load_daily
+
+    gen = read_generation(spark, write(workdir, "g.csv", GENERATION_CSV))
+    res = read_resources(spark, write(workdir, "r.csv", RESOURCES_CSV))
+    inter = read_interchange(spark, write(workdir, "i.csv", INTERCHANGE_CSV))
+
+    def epochs(df):
+        return sorted((r.subsistema, r.t, r.valor) for r in
+                      df.select("subsistema", F.unix_timestamp("data").alias("t"), "valor").collect())
+
+    old = spark.conf.get("spark.sql.session.timeZone")
+    utc = epochs(regional_load(gen, inter, res, DAILY))
+    utc_rows = sorted(map(tuple, load_daily(spark, SF_SMALL).collect()))
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
+        assert epochs(regional_load(gen, inter, res, DAILY)) == utc
+        assert sorted(map(tuple, load_daily(spark, SF_SMALL).collect())) == utc_rows
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
