@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..functions.measures import mean_of_parts, row_mean, total
 from ..schemas import (DAILY, PLANT_GUID, RESOURCE_GUID, SUBSYSTEM, VALUE, check_unit,
                        group_keys)
-from .joins import DEFAULT_BROADCAST_MAX_ROWS, bounded_broadcast
+from .joins import DEFAULT_BROADCAST_MAX_BYTES, DEFAULT_BROADCAST_MAX_ROWS, bounded_broadcast
 
 _PART_SUM = "_valor_sum"
 _PART_COUNT = "_valor_count"
@@ -34,10 +34,12 @@ def _plant_dimension(resources: DataFrame) -> DataFrame:
 
 
 def attach_subsystem(generation: DataFrame, resources: DataFrame,
-                     broadcast_max_rows: int = DEFAULT_BROADCAST_MAX_ROWS) -> DataFrame:
+                     broadcast_max_rows: int = DEFAULT_BROADCAST_MAX_ROWS,
+                     broadcast_max_bytes: int = DEFAULT_BROADCAST_MAX_BYTES) -> DataFrame:
     """Generation rows with the ``subsistema`` of their plant (inner join on
     ``guid_usina = guid_recurso``). Columns: generation's, then ``subsistema``."""
-    dim, small = bounded_broadcast(_plant_dimension(resources), broadcast_max_rows)
+    dim, small = bounded_broadcast(_plant_dimension(resources), broadcast_max_rows,
+                                   broadcast_max_bytes)
     fact = generation if small else generation.hint("merge")
     joined = fact.join(dim, fact[PLANT_GUID] == dim[RESOURCE_GUID], "inner")
     return joined.select(*[fact[c] for c in generation.columns], dim[SUBSYSTEM])
@@ -48,14 +50,16 @@ def _measure(unit: str, value: str = VALUE):
 
 
 def aggregate_generation(generation: DataFrame, resources: DataFrame, unit: str,
-                         broadcast_max_rows: int = DEFAULT_BROADCAST_MAX_ROWS) -> DataFrame:
+                         broadcast_max_rows: int = DEFAULT_BROADCAST_MAX_ROWS,
+                         broadcast_max_bytes: int = DEFAULT_BROADCAST_MAX_BYTES) -> DataFrame:
     """Generation per subsystem: ``sum`` per (subsystem, instant) for
     ``diario``, mean of rows per subsystem for ``mensal``.
 
     Columns: ``subsistema``[, ``data``], ``valor`` (double).
     """
     keys = group_keys(unit)
-    dim, small = bounded_broadcast(_plant_dimension(resources), broadcast_max_rows)
+    dim, small = bounded_broadcast(_plant_dimension(resources), broadcast_max_rows,
+                                   broadcast_max_bytes)
     if small:
         joined = generation.join(dim, generation[PLANT_GUID] == dim[RESOURCE_GUID], "inner")
         return joined.groupBy(*[dim[SUBSYSTEM] if k == SUBSYSTEM else generation[k]

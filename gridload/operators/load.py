@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import VALUE, group_keys
 from .aggregate import aggregate_generation, aggregate_interchange
-from .joins import DEFAULT_BROADCAST_MAX_ROWS
+from .joins import DEFAULT_BROADCAST_MAX_BYTES, DEFAULT_BROADCAST_MAX_ROWS
 
 _INTERCHANGE = "_valor_intercambio"
 
@@ -31,11 +31,12 @@ def compute_load(generation_aggr: DataFrame, interchange_aggr: DataFrame,
 
 
 def regional_load(generation: DataFrame, interchange: DataFrame, resources: DataFrame,
-                  unit: str, broadcast_max_rows: int = DEFAULT_BROADCAST_MAX_ROWS
-                  ) -> DataFrame:
+                  unit: str, broadcast_max_rows: int = DEFAULT_BROADCAST_MAX_ROWS,
+                  broadcast_max_bytes: int = DEFAULT_BROADCAST_MAX_BYTES) -> DataFrame:
     """Aggregate both sides, then subtract: the whole load calculation as one
     lazy plan (no view, no action besides the dimension size check)."""
-    g = aggregate_generation(generation, resources, unit, broadcast_max_rows)
+    g = aggregate_generation(generation, resources, unit, broadcast_max_rows,
+                             broadcast_max_bytes)
     i = aggregate_interchange(interchange, unit)
     return compute_load(g, i, unit)
 

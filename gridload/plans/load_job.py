@@ -36,7 +36,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import SparkSession
 
 from ..operators.aggregate import aggregate_generation, aggregate_interchange
-from ..operators.joins import DEFAULT_BROADCAST_MAX_ROWS
+from ..operators.joins import DEFAULT_BROADCAST_MAX_BYTES, DEFAULT_BROADCAST_MAX_ROWS
 from ..operators.load import compute_load
 from ..operators.metrics import (MAX_VALUE, METRICS_SCHEMA, RECORD_COUNT, STAGE_END,
                                  STAGE_GENERATION, STAGE_INITIAL_STATS, STAGE_INTERCHANGE,
@@ -66,7 +66,8 @@ def run_load_job(spark: SparkSession, datafiles: list[str], table_names: list[st
                  output_format: str = "parquet", mode: str = "errorifexists",
                  collect_rows: bool = False, run_id: str | None = None,
                  broadcast_max_rows: int = DEFAULT_BROADCAST_MAX_ROWS, ntz: bool = False,
-                 value_type: str = "double") -> LoadJobResult:
+                 value_type: str = "double",
+                 broadcast_max_bytes: int = DEFAULT_BROADCAST_MAX_BYTES) -> LoadJobResult:
     """Run the whole job; see the module docstring. ``ntz`` reads instants as
     local (zone-less) timestamps; ``value_type`` ``decimal(p,s)`` makes every
     sum exact."""
@@ -96,7 +97,8 @@ def run_load_job(spark: SparkSession, datafiles: list[str], table_names: list[st
 
     t = time.time()
     g, obs_g = observe_stage(aggregate_generation(
-        tables[GENERATION], tables[RESOURCES], unit, broadcast_max_rows), STAGE_GENERATION)
+        tables[GENERATION], tables[RESOURCES], unit, broadcast_max_rows, broadcast_max_bytes),
+        STAGE_GENERATION)
     i, obs_i = observe_stage(aggregate_interchange(tables[INTERCHANGE], unit),
                              STAGE_INTERCHANGE)
     load, obs_c = observe_stage(compute_load(g, i, unit), STAGE_LOAD)
