@@ -7,7 +7,8 @@ Actions, in order (everything else is lazy):
 2. one job counting every table (``initial_data_stats``). Counts are not
    taken by observing the inputs inside the main job: those observations
    would sit in map stages, whose metrics are applied again when a lost
-   executor's map output is recomputed;
+   executor's map output is recomputed. For CSV input this is a second read
+   of the data; ``profile=False`` skips it (schemas are still recorded);
 3. one write of the load, which also fills the ``Observation`` metrics of the
    generation aggregate, the interchange aggregate and the load (record
    count, highest value). These sit after the final aggregation, in result
@@ -67,7 +68,8 @@ def run_load_job(spark: SparkSession, datafiles: list[str], table_names: list[st
                  collect_rows: bool = False, run_id: str | None = None,
                  broadcast_max_rows: int = DEFAULT_BROADCAST_MAX_ROWS, ntz: bool = False,
                  value_type: str = "double",
-                 broadcast_max_bytes: int = DEFAULT_BROADCAST_MAX_BYTES) -> LoadJobResult:
+                 broadcast_max_bytes: int = DEFAULT_BROADCAST_MAX_BYTES,
+                 profile: bool = True) -> LoadJobResult:
     """Run the whole job; see the module docstring. ``ntz`` reads instants as
     local (zone-less) timestamps; ``value_type`` ``decimal(p,s)`` makes every
     sum exact."""
@@ -88,12 +90,12 @@ def run_load_job(spark: SparkSession, datafiles: list[str], table_names: list[st
     elapsed = {STAGE_LOAD_DATA: time.time() - t}
 
     t = time.time()
-    counts = {r[TABLE]: r[COUNT] for r in table_counts(tables).collect()}
+    counts = ({r[TABLE]: r[COUNT] for r in table_counts(tables).collect()} if profile else {})
     elapsed[STAGE_INITIAL_STATS] = time.time() - t
-    profile = {"num_tables": len(tables)}
+    stats = {"num_tables": len(tables)}
     for name, df in tables.items():
-        profile[f"count.{name}"] = counts[name]
-        profile[f"schema.{name}"] = json.dumps(schema_json(df))
+        stats[f"count.{name}"] = counts.get(name)
+        stats[f"schema.{name}"] = json.dumps(schema_json(df))
 
     t = time.time()
     g, obs_g = observe_stage(aggregate_generation(
@@ -131,7 +133,7 @@ def run_load_job(spark: SparkSession, datafiles: list[str], table_names: list[st
 
     metrics += metric_rows(run_id, STAGE_LOAD_DATA, {"elapsed_s": elapsed[STAGE_LOAD_DATA]})
     metrics += metric_rows(run_id, STAGE_INITIAL_STATS,
-                           {"elapsed_s": elapsed[STAGE_INITIAL_STATS], **profile})
+                           {"elapsed_s": elapsed[STAGE_INITIAL_STATS], **stats})
     for name, vals in stages.items():
         metrics += metric_rows(run_id, name, {
             "aggregation_unit": unit, RECORD_COUNT: vals.get(RECORD_COUNT),
@@ -169,12 +171,14 @@ def main(argv: list[str] | None = None) -> LoadJobResult:
                    help="measure type: double, or decimal(p,s) for exact sums")
     p.add_argument("--local-time", action="store_true",
                    help="read instants as zone-less local timestamps")
+    p.add_argument("--no-profile", action="store_true",
+                   help="skip the input row counts (a second read of CSV input)")
     p.add_argument("--master", default="local[*]")
     a = p.parse_args(argv)
     spark = build_session(a.master)
     res = run_load_job(spark, a.datafiles, a.table_names, a.aggreg_unit, a.out, a.sep,
                        a.metrics, a.format, a.mode, ntz=a.local_time,
-                       value_type=a.value_type)
+                       value_type=a.value_type, profile=not a.no_profile)
     print(json.dumps({"run_id": res.run_id, "peak": res.peak, "stages": res.stages,
                       "table_counts": res.table_counts, "elapsed": res.elapsed}, default=str))
     return res

@@ -134,3 +134,12 @@ def test_command_lines(spark, workdir):
                          "--metrics", f"{out}/metrics", "--value-type", "decimal(18,4)"])
     assert res.peak["subsistema"] == "SE" and res.peak["valor"] == 6100.0
     assert spark.read.parquet(f"{out}/metrics").where("stage = 'end_job'").count() == 1
+
+
+def test_load_job_without_profile(spark, workdir):
+    paths = extract(spark, workdir)
+    names = ["geracao", "intercambio", "recursos"]
+    res = run_load_job(spark, [paths[n] for n in names], names, DAILY,
+                       os.path.join(workdir, "carga"), profile=False)
+    assert res.table_counts == {} and res.peak["valor"] == 6100.0
+    assert res.stages[STAGE_LOAD]["record_count"] == 4
