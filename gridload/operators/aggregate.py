@@ -34,7 +34,7 @@ def _plant_dimension(resources: DataFrame) -> DataFrame:
 
 
 def attach_subsystem(generation: DataFrame, resources: DataFrame,
-                     broadcast_max_rows: int = DEFAULT_BROADCAST_MAX_ROWS,
+                     broadcast_max_rows: int | None = DEFAULT_BROADCAST_MAX_ROWS,
                      broadcast_max_bytes: int = DEFAULT_BROADCAST_MAX_BYTES) -> DataFrame:
     """Generation rows with the ``subsistema`` of their plant (inner join on
     ``guid_usina = guid_recurso``). Columns: generation's, then ``subsistema``."""
@@ -50,7 +50,7 @@ def _measure(unit: str, value: str = VALUE):
 
 
 def aggregate_generation(generation: DataFrame, resources: DataFrame, unit: str,
-                         broadcast_max_rows: int = DEFAULT_BROADCAST_MAX_ROWS,
+                         broadcast_max_rows: int | None = DEFAULT_BROADCAST_MAX_ROWS,
                          broadcast_max_bytes: int = DEFAULT_BROADCAST_MAX_BYTES) -> DataFrame:
     """Generation per subsystem: ``sum`` per (subsystem, instant) for
     ``diario``, mean of rows per subsystem for ``mensal``.

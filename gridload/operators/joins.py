@@ -6,6 +6,9 @@ close proxy for what the broadcast hash table holds). One small job reads at
 most ``max_rows + 1`` rows (``limit`` stops each scan early), so the check is
 cheap even when the side turns out to be large. A side over either bound is
 left to a shuffle join, where AQE can still split a skewed partition.
+
+``max_rows=None`` skips the check (no job at plan-building time) and adds no
+hint: the join strategy is then Spark's, from its size estimate and AQE.
 """
 
 from __future__ import annotations
@@ -33,10 +36,13 @@ def fits_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_MAX_ROWS,
     return size["n"] <= max_rows and (size["b"] or 0) <= max_bytes
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_MAX_ROWS,
+def bounded_broadcast(df: DataFrame, max_rows: int | None = DEFAULT_BROADCAST_MAX_ROWS,
                       max_bytes: int = DEFAULT_BROADCAST_MAX_BYTES) -> tuple[DataFrame, bool]:
     """``(broadcast(df), True)`` if ``df`` is within both bounds, else
-    ``(df, False)``."""
+    ``(df, False)``; ``(df, True)`` unchecked and unhinted when ``max_rows``
+    is None."""
+    if max_rows is None:
+        return df, True
     if fits_broadcast(df, max_rows, max_bytes):
         return F.broadcast(df), True
     return df, False

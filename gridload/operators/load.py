@@ -31,7 +31,7 @@ def compute_load(generation_aggr: DataFrame, interchange_aggr: DataFrame,
 
 
 def regional_load(generation: DataFrame, interchange: DataFrame, resources: DataFrame,
-                  unit: str, broadcast_max_rows: int = DEFAULT_BROADCAST_MAX_ROWS,
+                  unit: str, broadcast_max_rows: int | None = DEFAULT_BROADCAST_MAX_ROWS,
                   broadcast_max_bytes: int = DEFAULT_BROADCAST_MAX_BYTES) -> DataFrame:
     """Aggregate both sides, then subtract: the whole load calculation as one
     lazy plan (no view, no action besides the dimension size check)."""

@@ -66,7 +66,7 @@ def run_load_job(spark: SparkSession, datafiles: list[str], table_names: list[st
                  unit: str, out: str, sep: str = ";", metrics_path: str | None = None,
                  output_format: str = "parquet", mode: str = "errorifexists",
                  collect_rows: bool = False, run_id: str | None = None,
-                 broadcast_max_rows: int = DEFAULT_BROADCAST_MAX_ROWS, ntz: bool = False,
+                 broadcast_max_rows: int | None = DEFAULT_BROADCAST_MAX_ROWS, ntz: bool = False,
                  value_type: str = "double",
                  broadcast_max_bytes: int = DEFAULT_BROADCAST_MAX_BYTES,
                  profile: bool = True) -> LoadJobResult:

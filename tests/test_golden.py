@@ -132,3 +132,9 @@ def test_session_time_zone_does_not_change_groups(spark, workdir):
         assert sorted(map(tuple, load_daily(spark, SF_SMALL).collect())) == utc_rows
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_unchecked_mode_gives_same_load(tables):
+    gen, inter, res = tables
+    assert by_day(regional_load(gen, inter, res, DAILY, None)) == pytest.approx(LOAD_DAILY)
+    assert by_sub(regional_load(gen, inter, res, MONTHLY, None)) == pytest.approx(LOAD_MONTHLY)
