@@ -24,12 +24,20 @@ Command line::
     python -m gridload.plans.load_job --datafiles g.csv i.csv r.csv \
         --table_names geracao intercambio recursos --aggreg_unit diario \
         --sep ';' --out /shared/carga --metrics /shared/metrics
+
+List values may also be given ``;``-joined, and a bare name (no folder, no
+extension) is read from ``<data-dir>/<name>.csv``, so the classic form works
+as is::
+
+    python -m gridload.plans.load_job --datafiles "geracao;intercambio;recursos" \
+        --table_names "geracao;intercambio;recursos" --aggreg_unit diario --sep ";"
 """
 
 from __future__ import annotations
 
 import argparse
 import json
+import os
 import time
 import uuid
 from dataclasses import dataclass, field
@@ -155,15 +163,29 @@ def run_load_job(spark: SparkSession, datafiles: list[str], table_names: list[st
                          stages=stages, peak=peak, rows=rows, elapsed=elapsed)
 
 
+def _split(values: list[str]) -> list[str]:
+    return [item for value in values for item in value.split(";") if item]
+
+
+def _resolve(name: str, data_dir: str) -> str:
+    if "/" not in name and "." not in name:
+        candidate = os.path.abspath(os.path.join(data_dir, f"{name}.csv"))
+        if os.path.exists(candidate):
+            return candidate
+    return name
+
+
 def main(argv: list[str] | None = None) -> LoadJobResult:
-    from ..session import build_session
+    from ..session import build_session, scratch_path
 
     p = argparse.ArgumentParser(description="Regional electric load (generation - interchange)")
     p.add_argument("--datafiles", nargs="+", required=True)
     p.add_argument("--table_names", nargs="+", required=True)
     p.add_argument("--aggreg_unit", required=True, choices=("diario", "mensal"))
     p.add_argument("--sep", default=";")
-    p.add_argument("--out", required=True)
+    p.add_argument("--out", help="output table (default: a new folder under the shared folder)")
+    p.add_argument("--data-dir", default="data", help="folder of bare data file names")
+    p.add_argument("--collect", action="store_true", help="also print the load rows")
     p.add_argument("--metrics")
     p.add_argument("--format", default="parquet", choices=("parquet", "csv"))
     p.add_argument("--mode", default="errorifexists")
@@ -176,11 +198,16 @@ def main(argv: list[str] | None = None) -> LoadJobResult:
     p.add_argument("--master", default="local[*]")
     a = p.parse_args(argv)
     spark = build_session(a.master)
-    res = run_load_job(spark, a.datafiles, a.table_names, a.aggreg_unit, a.out, a.sep,
-                       a.metrics, a.format, a.mode, ntz=a.local_time,
+    files = [_resolve(f, a.data_dir) for f in _split(a.datafiles)]
+    out = a.out or scratch_path(spark, f"carga-{a.aggreg_unit}")
+    res = run_load_job(spark, files, _split(a.table_names), a.aggreg_unit, out, a.sep,
+                       a.metrics, a.format, a.mode, collect_rows=a.collect, ntz=a.local_time,
                        value_type=a.value_type, profile=not a.no_profile)
-    print(json.dumps({"run_id": res.run_id, "peak": res.peak, "stages": res.stages,
-                      "table_counts": res.table_counts, "elapsed": res.elapsed}, default=str))
+    report = {"run_id": res.run_id, "output": res.output, "peak": res.peak,
+              "stages": res.stages, "table_counts": res.table_counts, "elapsed": res.elapsed}
+    if a.collect:
+        report["rows"] = res.rows
+    print(json.dumps(report, default=str))
     return res
 
 

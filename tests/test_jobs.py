@@ -143,3 +143,20 @@ def test_load_job_without_profile(spark, workdir):
                        os.path.join(workdir, "carga"), profile=False)
     assert res.table_counts == {} and res.peak["valor"] == 6100.0
     assert res.stages[STAGE_LOAD]["record_count"] == 4
+
+
+def test_classic_command_line_form(spark, workdir, monkeypatch):
+    from fixtures import GENERATION_CSV, INTERCHANGE_CSV, RESOURCES_CSV
+    from gridload.plans import load_job
+
+    data = os.path.join(workdir, "data")
+    os.makedirs(data)
+    for name, text in (("geracao", GENERATION_CSV), ("intercambio", INTERCHANGE_CSV),
+                       ("recursos", RESOURCES_CSV)):
+        write(data, f"{name}.csv", text)
+    monkeypatch.chdir(workdir)
+    res = load_job.main(["--datafiles", "geracao;intercambio;recursos",
+                         "--table_names", "geracao;intercambio;recursos",
+                         "--aggreg_unit", "mensal", "--sep", ";", "--collect"])
+    assert {r[0]: r[1] for r in res.rows} == pytest.approx(LOAD_MONTHLY)
+    assert res.peak["subsistema"] == "SE"
