@@ -47,10 +47,10 @@ def brute_force(g, i, r, unit):
     return {k: (None if pd.isna(v) else float(v)) for k, v in out.items()}
 
 
-@settings(max_examples=12, deadline=None,
+@settings(max_examples=15, deadline=None,
           suppress_health_check=[HealthCheck.function_scoped_fixture, HealthCheck.too_slow])
 @given(g=gen_rows, i=int_rows, r=res_rows, unit=st.sampled_from([DAILY, MONTHLY]),
-       bmax=st.sampled_from([500_000, 0]))
+       bmax=st.sampled_from([500_000, 0, None]))
 def test_matches_brute_force(spark, g, i, r, unit, bmax):
     gd = spark.createDataFrame(g, generation_schema(ntz=True))
     idf = spark.createDataFrame(i, interchange_schema(ntz=True))
