@@ -120,3 +120,25 @@ def test_balanced_interchange_makes_load_sum_equal_generation_sum(spark, flows,
     gen_per_day = sum(v for _, v in gens)
     assert set(per_day) == set(DAYS)
     assert all(v == pytest.approx(gen_per_day, abs=1e-9) for v in per_day.values())
+
+
+@pytest.mark.parametrize("unit", [DAILY, MONTHLY])
+def test_hot_plant_same_result_on_both_paths(spark, unit):
+    """A third of the generation rows re-keyed to one plant: the broadcast
+    path and the pre-aggregate + shuffle path agree exactly (DECIMAL sums)."""
+    from pyspark.sql import functions as F
+
+    from conftest import SF_ORACLE
+    from gridload import aggregate_generation
+
+    t = tpch.domain_tables(spark, SF_ORACLE)
+    hot = t["recursos"].agg(F.min("guid_recurso")).first()[0]
+    gen = t["geracao"].withColumn(
+        "guid_usina", F.when(F.pmod(F.hash("id_usina", "data"), F.lit(3)) == 0, F.lit(hot))
+                       .otherwise(F.col("guid_usina")))
+    share = gen.where(F.col("guid_usina") == hot).count() / gen.count()
+    assert share > 0.3
+    broadcast = sorted(map(tuple, aggregate_generation(gen, t["recursos"], unit).collect()))
+    shuffled = sorted(map(tuple, aggregate_generation(gen, t["recursos"], unit,
+                                                      broadcast_max_rows=0).collect()))
+    assert broadcast == shuffled and len(broadcast) > 0
