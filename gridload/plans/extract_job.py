@@ -19,6 +19,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 
 from ..schemas import GENERATION, INTERCHANGE, RESOURCES
+from ..session import job_description
 from ..sources.extract import (DAILY_PERIOD, GENERATION_CLASS, INTERCHANGE_CLASS,
                                extract_generation, extract_interchange, extract_resources)
 from ..sources.sinks import write_csv
@@ -43,8 +44,12 @@ def run_extract_job(spark: SparkSession, interchange: DataFrame | str,
                                        generation_class),
         RESOURCES: extract_resources(_frame(spark, resources)),
     }
-    return {name: write_csv(df, f"{base}/{name}", sep=sep, mode=mode, single_file=single_file)
-            for name, df in frames.items()}
+    paths = {}
+    for name, df in frames.items():
+        with job_description(spark, f"gridload extract {year}-{month}: {name}"):
+            paths[name] = write_csv(df, f"{base}/{name}", sep=sep, mode=mode,
+                                    single_file=single_file)
+    return paths
 
 
 def main(argv: list[str] | None = None) -> dict[str, str]:

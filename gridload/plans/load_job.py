@@ -54,6 +54,7 @@ from ..operators.metrics import (MAX_VALUE, METRICS_SCHEMA, RECORD_COUNT, STAGE_
 from ..operators.profile import COUNT, TABLE, schema_json, table_counts
 from ..operators.rank import peak_load
 from ..schemas import DATA, GENERATION, INTERCHANGE, RESOURCES, SUBSYSTEM, VALUE, check_unit
+from ..session import job_description
 from ..sources.catalog import load_tables
 from ..sources.sinks import append_rows, to_rows, write_csv, write_parquet
 
@@ -70,6 +71,25 @@ class LoadJobResult:
     elapsed: dict[str, float] = field(default_factory=dict)
 
 
+def _compute_and_write(spark, tables, unit, out, sep, output_format, mode,
+                       broadcast_max_rows, broadcast_max_bytes):
+    """The load with its stage observations, written once; returns the
+    written table and the observations (filled by that write)."""
+    g, obs_g = observe_stage(aggregate_generation(
+        tables[GENERATION], tables[RESOURCES], unit, broadcast_max_rows, broadcast_max_bytes),
+        STAGE_GENERATION)
+    i, obs_i = observe_stage(aggregate_interchange(tables[INTERCHANGE], unit),
+                             STAGE_INTERCHANGE)
+    load, obs_c = observe_stage(compute_load(g, i, unit), STAGE_LOAD)
+    if output_format == "parquet":
+        write_parquet(load, out, mode=mode)
+        written = spark.read.parquet(out)
+    else:
+        write_csv(load, out, sep=sep, mode=mode)
+        written = spark.read.schema(load.schema).option("sep", sep).option("header", True).csv(out)
+    return written, {STAGE_GENERATION: obs_g, STAGE_INTERCHANGE: obs_i, STAGE_LOAD: obs_c}
+
+
 def run_load_job(spark: SparkSession, datafiles: list[str], table_names: list[str],
                  unit: str, out: str, sep: str = ";", metrics_path: str | None = None,
                  output_format: str = "parquet", mode: str = "errorifexists",
@@ -94,11 +114,14 @@ def run_load_job(spark: SparkSession, datafiles: list[str], table_names: list[st
         "csv_separator": sep})
 
     t = time.time()
-    tables = load_tables(spark, datafiles, table_names, sep, ntz=ntz, value_type=value_type)
+    with job_description(spark, f"gridload {run_id}: {STAGE_LOAD_DATA}"):
+        tables = load_tables(spark, datafiles, table_names, sep, ntz=ntz, value_type=value_type)
     elapsed = {STAGE_LOAD_DATA: time.time() - t}
 
     t = time.time()
-    counts = ({r[TABLE]: r[COUNT] for r in table_counts(tables).collect()} if profile else {})
+    with job_description(spark, f"gridload {run_id}: {STAGE_INITIAL_STATS}"):
+        counts = ({r[TABLE]: r[COUNT] for r in table_counts(tables).collect()}
+                  if profile else {})
     elapsed[STAGE_INITIAL_STATS] = time.time() - t
     stats = {"num_tables": len(tables)}
     for name, df in tables.items():
@@ -106,22 +129,15 @@ def run_load_job(spark: SparkSession, datafiles: list[str], table_names: list[st
         stats[f"schema.{name}"] = json.dumps(schema_json(df))
 
     t = time.time()
-    g, obs_g = observe_stage(aggregate_generation(
-        tables[GENERATION], tables[RESOURCES], unit, broadcast_max_rows, broadcast_max_bytes),
-        STAGE_GENERATION)
-    i, obs_i = observe_stage(aggregate_interchange(tables[INTERCHANGE], unit),
-                             STAGE_INTERCHANGE)
-    load, obs_c = observe_stage(compute_load(g, i, unit), STAGE_LOAD)
-    if output_format == "parquet":
-        write_parquet(load, out, mode=mode)
-        written = spark.read.parquet(out)
-    else:
-        write_csv(load, out, sep=sep, mode=mode)
-        written = spark.read.schema(load.schema).option("sep", sep).option("header", True).csv(out)
+    with job_description(spark, f"gridload {run_id}: {STAGE_PROCESS}"):
+        written, observations = _compute_and_write(
+            spark, tables, unit, out, sep, output_format, mode, broadcast_max_rows,
+            broadcast_max_bytes)
     elapsed[STAGE_PROCESS] = time.time() - t
 
     t = time.time()
-    top = peak_load(written).collect()
+    with job_description(spark, f"gridload {run_id}: peak"):
+        top = peak_load(written).collect()
     peak = None
     if top:
         peak = {SUBSYSTEM: top[0][SUBSYSTEM], VALUE: top[0][VALUE]}
@@ -135,8 +151,7 @@ def run_load_job(spark: SparkSession, datafiles: list[str], table_names: list[st
         rows = to_rows(written)
         elapsed[STAGE_TO_LIST] = time.time() - t
 
-    stages = {name: dict(obs.get) for name, obs in
-              ((STAGE_GENERATION, obs_g), (STAGE_INTERCHANGE, obs_i), (STAGE_LOAD, obs_c))}
+    stages = {name: dict(obs.get) for name, obs in observations.items()}
     elapsed[STAGE_END] = time.time() - t_job
 
     metrics += metric_rows(run_id, STAGE_LOAD_DATA, {"elapsed_s": elapsed[STAGE_LOAD_DATA]})

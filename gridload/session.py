@@ -6,6 +6,7 @@ The library never builds a session inside an operator: callers pass one.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -70,3 +71,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, never reused path under the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
+
+
+@contextlib.contextmanager
+def job_description(spark: SparkSession, text: str):
+    """Label the Spark jobs started inside the block (event log, cluster UI)."""
+    try:
+        sc = spark.sparkContext
+    except Exception:  # no classic SparkContext
+        yield
+        return
+    previous = sc.getLocalProperty("spark.job.description")
+    sc.setJobDescription(text)
+    try:
+        yield
+    finally:
+        sc.setJobDescription(previous)
