@@ -142,3 +142,36 @@ def test_hot_plant_same_result_on_both_paths(spark, unit):
     shuffled = sorted(map(tuple, aggregate_generation(gen, t["recursos"], unit,
                                                       broadcast_max_rows=0).collect()))
     assert broadcast == shuffled and len(broadcast) > 0
+
+
+catalog_rows = st.lists(st.tuples(
+    st.sampled_from(DAYS + [dt.datetime(2018, 2, 1), dt.datetime(2019, 1, 5)]),
+    st.sampled_from(["SE", "S", None]), st.integers(-50, 50).map(float),
+    st.sampled_from(["DI", "HR"]), st.sampled_from(["Consistido", "Preliminar"])),
+    max_size=20)
+
+
+@settings(max_examples=10, deadline=None,
+          suppress_health_check=[HealthCheck.function_scoped_fixture, HealthCheck.too_slow])
+@given(rows=catalog_rows, year=st.sampled_from([2018, 2019]), month=st.sampled_from([1, 2]))
+def test_extraction_matches_python_filter(spark, rows, year, month):
+    from pyspark.sql import functions as F
+
+    from gridload.sources import extract as X
+
+    full = [(d, s, v, str(d.year), str(d.month), p, c) for d, s, v, p, c in rows]
+    src = spark.createDataFrame(full, f"{X.START_COL} timestamp_ntz, {X.SUBSYSTEM_COL} string, "
+                                      f"{X.INTERCHANGE_VALUE_COL} double, {X.YEAR_COL} string, "
+                                      f"{X.MONTH_COL} string, {X.PERIOD_COL} string, "
+                                      f"{X.CLASS_COL} string")
+    got = sorted(map(tuple, X.extract_interchange(src, year, month).collect()),
+                 key=repr)
+    want = sorted(((d, s, v) for d, s, v, y, m, p, c in full
+                   if y == str(year) and m == str(month) and p == "DI" and c == "Consistido"),
+                  key=repr)
+    assert got == want
+    res = sorted(map(tuple, X.extract_resources(src.select(
+        F.col(X.SUBSYSTEM_COL).alias(X.RESOURCE_ID_COL),
+        F.col(X.CLASS_COL).alias(X.RESOURCE_GUID_COL),
+        F.col(X.SUBSYSTEM_COL))).collect()), key=repr)
+    assert res == sorted(((s, c, s) for d, s, v, y, m, p, c in full if s is not None), key=repr)
