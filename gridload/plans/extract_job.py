@@ -15,6 +15,7 @@ Command line::
 from __future__ import annotations
 
 import argparse
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -70,7 +71,7 @@ def main(argv: list[str] | None = None) -> dict[str, str]:
     spark = build_session(a.master)
     paths = run_extract_job(spark, a.interchange, a.generation, a.resources, a.year, a.month,
                             a.out, a.sep, a.mode, a.single_file)
-    print(paths)
+    print(json.dumps(paths))
     return paths
 
 
