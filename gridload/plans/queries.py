@@ -208,3 +208,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stage_metrics": stage_metrics,
     "load_job_daily": load_job_daily,
 }
+
+
+def main(argv: list[str] | None = None) -> None:
+    """Print a registered query's physical plan (the final adaptive plan with
+    ``--run``)::
+
+        python -m gridload.plans.queries load_daily /root/testdata/sf0.1 --run
+    """
+    import argparse
+
+    from ..session import build_session
+
+    p = argparse.ArgumentParser(description="Show the physical plan of a registered query")
+    p.add_argument("name", choices=sorted(QUERIES))
+    p.add_argument("sf_dir", nargs="?", default="/root/testdata/sf0.01")
+    p.add_argument("--run", action="store_true", help="execute first, then show the final plan")
+    p.add_argument("--master", default="local[*]")
+    a = p.parse_args(argv)
+    df = QUERIES[a.name](build_session(a.master), a.sf_dir)
+    if a.run:
+        df.collect()
+    df.explain(mode="formatted")
+
+
+if __name__ == "__main__":
+    main()
