@@ -2,10 +2,13 @@
 
 A side is broadcast only after it has been measured: at most ``max_rows``
 rows and at most ``max_bytes`` of data (the text width of its values, a
-close proxy for what the broadcast hash table holds). One small job reads at
-most ``max_rows + 1`` rows (``limit`` stops each scan early), so the check is
-cheap even when the side turns out to be large. A side over either bound is
-left to a shuffle join, where AQE can still split a skewed partition.
+close proxy for what the broadcast hash table holds). The measure is one
+global aggregate: each task counts its own split and only one partial row
+per task crosses the shuffle, so no task ever holds more than its split, even
+when the side turns out to be huge. (A ``limit`` would stop scans early but
+funnels up to ``max_rows`` rows per partition into a single task.) A side
+over either bound is left to a shuffle join, where AQE can still split a
+skewed partition.
 
 ``max_rows=None`` skips the check (no job at plan-building time) and adds no
 hint: the join strategy is then Spark's, from its size estimate and AQE.
@@ -31,8 +34,7 @@ def fits_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_MAX_ROWS,
                    max_bytes: int = DEFAULT_BROADCAST_MAX_BYTES) -> bool:
     if max_rows <= 0 or max_bytes <= 0:
         return False
-    size = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"),
-                                      F.sum(_text_width(df)).alias("b")).first()
+    size = df.agg(F.count(F.lit(1)).alias("n"), F.sum(_text_width(df)).alias("b")).first()
     return size["n"] <= max_rows and (size["b"] or 0) <= max_bytes
 
 

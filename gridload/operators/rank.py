@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from ..schemas import DATA, SUBSYSTEM, VALUE
 
-# Largest n for top_loads: every task keeps n rows, and the n survivors are
-# numbered in one task. Use order_load for whole orderings.
-MAX_TOP_N = 1_000_000
+# Largest n for top_loads: every partition hands its n best rows to one task
+# for the final merge, so n x partitions rows meet there. Use order_load
+# (range-partitioned) for long orderings.
+MAX_TOP_N = 10_000
 
 
 def _order_cols(df: DataFrame) -> list:
