@@ -142,3 +142,16 @@ def test_broadcast_check_bounds_rows_and_bytes(spark):
     assert not fits_broadcast(dim, max_bytes=50_000)  # ~103 kB of text
     assert fits_broadcast(dim, max_bytes=200_000)
     assert not fits_broadcast(dim, max_rows=0)
+
+
+def test_size_check_has_no_single_task_funnel(spark, monkeypatch):
+    """The broadcast size check is a plain global aggregate: no limit, whose
+    plan would gather rows from every partition into one task."""
+    from gridload.operators.joins import fits_broadcast
+
+    df = spark.range(100).toDF("k")
+    calls = []
+    original = type(df).limit
+    monkeypatch.setattr(type(df), "limit", lambda self, n: calls.append(n) or original(self, n))
+    assert fits_broadcast(df)
+    assert calls == []
