@@ -34,7 +34,7 @@ def fits_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_MAX_ROWS,
                    max_bytes: int = DEFAULT_BROADCAST_MAX_BYTES) -> bool:
     if max_rows <= 0 or max_bytes <= 0:
         return False
-    size = df.agg(F.count(F.lit(1)).alias("n"), F.sum(_text_width(df)).alias("b")).first()
+    (size,) = df.agg(F.count(F.lit(1)).alias("n"), F.sum(_text_width(df)).alias("b")).collect()
     return size["n"] <= max_rows and (size["b"] or 0) <= max_bytes
 
 
