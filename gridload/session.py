@@ -41,30 +41,36 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
     spark.sparkContext.setLogLevel("ERROR")
     for key, value in ENGINE_CONF.items():
         spark.conf.set(key, value)
-    shared_dir(spark)
     return spark
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
+def is_local(spark: SparkSession) -> bool:
+    """One JVM does all the work (``local``, ``local[n]``), so a folder of this
+    machine is reachable by every task."""
+    master = spark.conf.get("spark.master", "")
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    On a cluster this is set by the deployment and is read here. Only when it
-    is unset (local tests) is a fresh folder created and registered.
+    On a cluster this is set by the deployment and is read here. Only in local
+    mode, and only when it is unset, is a folder of this machine used (one per
+    application; the caller's checkpoint folder is left as it is). Elsewhere
+    an unset folder is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        try:
-            configured = spark.sparkContext.getCheckpointDir()
-        except Exception:  # no classic SparkContext (e.g. a remote session)
-            configured = None
     if configured:
         return configured.rstrip("/")
-    local = tempfile.mkdtemp(prefix="gridload-")
-    try:
-        spark.sparkContext.setCheckpointDir(local)
-    except Exception:
-        pass
-    return local
+    if not is_local(spark):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    app = spark.conf.get("spark.app.id", "local")
+    if app not in _LOCAL_DIRS:
+        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="gridload-")
+    return _LOCAL_DIRS[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -72,15 +78,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-
 @contextlib.contextmanager
 def job_description(spark: SparkSession, text: str):
     """Label the Spark jobs started inside the block (event log, cluster UI)."""
-    try:
-        sc = spark.sparkContext
-    except Exception:  # no classic SparkContext
-        yield
-        return
+    sc = spark.sparkContext
     previous = sc.getLocalProperty("spark.job.description")
     sc.setJobDescription(text)
     try:
