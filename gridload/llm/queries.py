@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (exact_dedup, language_id, license_scan, quality_rank, secret_scan, source_mix)
+from ..session import scratch_path
+from . import (exact_dedup, language_id, license_scan, quality_rank, secret_scan, source_mix,
+               token_output)
 from .common import id_remainder, read
 
 
@@ -30,6 +32,12 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(read(spark, sf_dir, "documents")))
 
 
+def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-files")
+    token_output.write_tokens(read(spark, sf_dir, "documents"), path)
+    return token_output.read_tokens(spark, path)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     held_out = id_remainder(F.col("doc_id"), 4) == 2
@@ -46,6 +54,7 @@ QUERIES = {
     "op2_source_mix": op2_source_mix,
     "op3_quality_rank": op3_quality_rank,
     "op4_secret_scan": op4_secret_scan,
+    "op6_token_output": op6_token_output,
     "op8_language_id": op8_language_id,
     "op9_exact_dedup": op9_exact_dedup,
 }
