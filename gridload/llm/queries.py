@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import (exact_dedup, language_id, license_scan, quality_rank, secret_scan, source_mix,
-               token_output)
+from . import (decontaminate, exact_dedup, language_id, license_scan, quality_rank, secret_scan,
+               source_mix, token_output)
 from .common import id_remainder, read
 
 
@@ -49,6 +49,11 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(read(spark, sf_dir, "documents"))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.decontaminate(
+        read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_source_mix": op2_source_mix,
@@ -57,4 +62,5 @@ QUERIES = {
     "op6_token_output": op6_token_output,
     "op8_language_id": op8_language_id,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_decontaminate": op10_decontaminate,
 }
