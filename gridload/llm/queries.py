@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import (decontaminate, exact_dedup, language_id, license_scan, quality_rank, secret_scan,
+from . import (decontaminate, exact_dedup, kn_lm, language_id, license_scan, quality_rank, secret_scan,
                source_mix, token_output)
 from .common import id_remainder, read
 
@@ -38,6 +38,13 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_tokens(spark, path)
 
 
+def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = id_remainder(F.col("doc_id"), 7) == 2
+    model = kn_lm.train(docs.where(~held_out).select("text"))
+    return kn_lm.score(docs, model).withColumn("held_out", held_out)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     held_out = id_remainder(F.col("doc_id"), 4) == 2
@@ -60,6 +67,7 @@ QUERIES = {
     "op3_quality_rank": op3_quality_rank,
     "op4_secret_scan": op4_secret_scan,
     "op6_token_output": op6_token_output,
+    "op7_kneser_ney": op7_kneser_ney,
     "op8_language_id": op8_language_id,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_decontaminate": op10_decontaminate,
