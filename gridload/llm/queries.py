@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import (decontaminate, exact_dedup, kn_lm, language_id, license_scan, quality_rank, secret_scan,
-               source_mix, token_output)
+from . import (decontaminate, exact_dedup, kn_lm, language_id, license_scan, ngram_join,
+               quality_rank, secret_scan, source_mix, token_output)
 from .common import id_remainder, read
 
 
@@ -32,6 +32,11 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(read(spark, sf_dir, "documents")))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(read(spark, sf_dir, "documents"), k=4, num=85, den=100).select(
+        "doc_id", "n_shingles", "component_id")
+
+
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     token_output.write_tokens(read(spark, sf_dir, "documents"), path)
@@ -66,6 +71,7 @@ QUERIES = {
     "op2_source_mix": op2_source_mix,
     "op3_quality_rank": op3_quality_rank,
     "op4_secret_scan": op4_secret_scan,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_token_output": op6_token_output,
     "op7_kneser_ney": op7_kneser_ney,
     "op8_language_id": op8_language_id,
