@@ -257,8 +257,10 @@ def _collisions(docs, several, id_col, text_col, digest_bytes, broadcast_keys) -
     different texts; normally none."""
     texts = written(_texts(docs, several, id_col, text_col, digest_bytes, broadcast_keys),
                     "dedup-texts")
-    stays = (texts.join(several.select("digest", "keep_id"), "digest")
-             .where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    keeper = several.select(F.col("digest").alias("_d"), "keep_id")
+    # dealt by digest and id, so the rows of one digest do not meet here
+    stays = (texts.join(keeper, (F.col("digest") == F.col("_d"))
+                        & F.col("doc_id").eqNullSafe(F.col("keep_id")))
              .groupBy("digest").agg(F.min("_t").alias("_kept_text")))
     differ = (texts.hint("merge").join(stays, "digest").where("_t != _kept_text")
               .select("digest").distinct())
