@@ -32,7 +32,7 @@ from .common import WORD, written
 
 MAX_EPOCHS = 3
 WEIGHTS = (5, 2, 1)
-RANGE_ROWS = 20_000
+RANGE_ROWS = 2_000
 SEED = 11
 MENDS = 3
 
