@@ -7,7 +7,7 @@ Subpackages:
 * ``functions`` column expressions: casts and the measure aggregates
 * ``operators`` relational steps: aggregates, load, ranking, profile, metrics
 * ``plans``     whole jobs (load, extraction) and the registered queries
-* ``streaming`` nothing: the computation is a batch job (see README)
+* ``llm``       operations of a training-data pipeline (optional, see README)
 """
 
 from .operators.aggregate import aggregate_generation, aggregate_interchange, attach_subsystem

@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from ..functions.measures import mean_of_parts, row_mean, total
 from ..schemas import (DAILY, PLANT_GUID, RESOURCE_GUID, SUBSYSTEM, VALUE, check_unit,
                        group_keys)
-from .joins import DEFAULT_BROADCAST_MAX_BYTES, DEFAULT_BROADCAST_MAX_ROWS, bounded_broadcast
+from .joins import (DEFAULT_BROADCAST_MAX_BYTES, DEFAULT_BROADCAST_MAX_ROWS, bounded_broadcast,
+                    size_measures)
 
 _PART_SUM = "_valor_sum"
 _PART_COUNT = "_valor_count"
@@ -33,11 +34,19 @@ def _plant_dimension(resources: DataFrame) -> DataFrame:
     return resources.select(RESOURCE_GUID, SUBSYSTEM)
 
 
+def dimension_measures(resources: DataFrame) -> DataFrame:
+    """One row (n, b): rows and bytes of the plant dimension."""
+    dim = _plant_dimension(resources)
+    return dim.agg(*size_measures(dim))
+
+
 def attach_subsystem(generation: DataFrame, resources: DataFrame,
                      broadcast_max_rows: int | None = DEFAULT_BROADCAST_MAX_ROWS,
                      broadcast_max_bytes: int = DEFAULT_BROADCAST_MAX_BYTES) -> DataFrame:
     """Generation rows with the ``subsistema`` of their plant (inner join on
-    ``guid_usina = guid_recurso``). Columns: generation's, then ``subsistema``."""
+    ``guid_usina = guid_recurso``). Columns: generation's, then ``subsistema``.
+    Over the bound the fact rows are shuffled by plant; a hot plant's partition
+    is then split by adaptive execution, which must be on."""
     dim, small = bounded_broadcast(_plant_dimension(resources), broadcast_max_rows,
                                    broadcast_max_bytes)
     fact = generation if small else generation.hint("merge")
@@ -51,15 +60,19 @@ def _measure(unit: str, value: str = VALUE):
 
 def aggregate_generation(generation: DataFrame, resources: DataFrame, unit: str,
                          broadcast_max_rows: int | None = DEFAULT_BROADCAST_MAX_ROWS,
-                         broadcast_max_bytes: int = DEFAULT_BROADCAST_MAX_BYTES) -> DataFrame:
+                         broadcast_max_bytes: int = DEFAULT_BROADCAST_MAX_BYTES,
+                         dimension_size: tuple[int, int] | None = None) -> DataFrame:
     """Generation per subsystem: ``sum`` per (subsystem, instant) for
-    ``diario``, mean of rows per subsystem for ``mensal``.
+    ``diario``, mean of rows per subsystem for ``mensal``. ``dimension_size``
+    is the plant dimension's size where it was measured before
+    (:func:`dimension_measures`). Which path is taken changes the plan only;
+    sums of doubles may differ in the last digit between the two.
 
     Columns: ``subsistema``[, ``data``], ``valor`` (double).
     """
     keys = group_keys(unit)
     dim, small = bounded_broadcast(_plant_dimension(resources), broadcast_max_rows,
-                                   broadcast_max_bytes)
+                                   broadcast_max_bytes, dimension_size)
     if small:
         joined = generation.join(dim, generation[PLANT_GUID] == dim[RESOURCE_GUID], "inner")
         return joined.groupBy(*[dim[SUBSYSTEM] if k == SUBSYSTEM else generation[k]

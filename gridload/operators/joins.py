@@ -30,21 +30,32 @@ def _text_width(df: DataFrame):
                F.lit(0))
 
 
+def size_measures(df: DataFrame) -> list:
+    """The aggregates that measure a side: rows ``n`` and bytes ``b``."""
+    return [F.count(F.lit(1)).alias("n"),
+            F.coalesce(F.sum(_text_width(df)), F.lit(0)).cast("bigint").alias("b")]
+
+
 def fits_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_MAX_ROWS,
-                   max_bytes: int = DEFAULT_BROADCAST_MAX_BYTES) -> bool:
+                   max_bytes: int = DEFAULT_BROADCAST_MAX_BYTES,
+                   size: tuple[int, int] | None = None) -> bool:
+    """Whether ``df`` is within both bounds. ``size`` (rows, bytes) spares the
+    job that measures it."""
     if max_rows <= 0 or max_bytes <= 0:
         return False
-    (size,) = df.agg(F.count(F.lit(1)).alias("n"), F.sum(_text_width(df)).alias("b")).collect()
-    return size["n"] <= max_rows and (size["b"] or 0) <= max_bytes
+    if size is None:
+        size = tuple(df.agg(*size_measures(df)).collect()[0])
+    return size[0] <= max_rows and size[1] <= max_bytes
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int | None = DEFAULT_BROADCAST_MAX_ROWS,
-                      max_bytes: int = DEFAULT_BROADCAST_MAX_BYTES) -> tuple[DataFrame, bool]:
+                      max_bytes: int = DEFAULT_BROADCAST_MAX_BYTES,
+                      size: tuple[int, int] | None = None) -> tuple[DataFrame, bool]:
     """``(broadcast(df), True)`` if ``df`` is within both bounds, else
     ``(df, False)``; ``(df, True)`` unchecked and unhinted when ``max_rows``
-    is None."""
+    is None. Without ``size`` the check is a job, run while the plan is built."""
     if max_rows is None:
         return df, True
-    if fits_broadcast(df, max_rows, max_bytes):
+    if fits_broadcast(df, max_rows, max_bytes, size):
         return F.broadcast(df), True
     return df, False

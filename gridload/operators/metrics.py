@@ -1,22 +1,22 @@
 """Stage metrics: record count and highest value of each intermediate result.
 
-Two forms of the same numbers:
-
-* :func:`observe_stage` attaches an ``Observation`` to a DataFrame. The
-  metrics are collected by whatever action runs the plan (the final write),
-  so measuring costs no extra job and the intermediate is not evaluated again.
-* :func:`stage_summary` is the same numbers as a DataFrame for any named
-  DataFrames; :func:`load_stage_summary` gives the three load stages in one
-  pass over the two aggregates (see there).
-
-:func:`metric_rows` turns a run's measurements into long-format rows
-(``run_id, stage, metric, value, text``) appended to a Parquet table.
+The generation aggregate, the interchange aggregate and the load are measured
+on one join: a full outer merge join of the two aggregates, where presence
+flags tell the sides apart. An ``Observation`` on an aggregate *below* an inner
+join would not do: a sort-merge join stops reading one side when the other is
+at its end, so rows without a partner would go uncounted.
+
+* :func:`observed_load` is the load with such an ``Observation``: the action
+  that writes the load fills the metrics, and nothing is evaluated twice.
+* :func:`load_stage_summary` is the same numbers as a DataFrame.
+
+:func:`metric_rows` turns a stage's measurements into long-format rows
+(``run_id, stage, recorded_at, metric, value, text``) of a Parquet table.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
-from functools import reduce
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
@@ -49,54 +49,61 @@ METRICS_SCHEMA = T.StructType([
 ])
 
 
-def _stage_aggs():
-    return [F.count(F.lit(1)).alias(RECORD_COUNT), F.max(VALUE).alias(MAX_VALUE)]
+def _both_sides(generation_aggr: DataFrame, interchange_aggr: DataFrame,
+                unit: str) -> DataFrame:
+    """The aggregates side by side, one row for each key of either: values
+    ``_g`` and ``_i``, presence flags ``_gp`` and ``_ip``. Both are partitioned
+    on the keys already, so the join adds no shuffle."""
+    keys = group_keys(unit)
+    g = generation_aggr.select(*keys, F.col(VALUE).alias("_g"), F.lit(True).alias("_gp"))
+    i = interchange_aggr.select(*keys, F.col(VALUE).alias("_i"), F.lit(True).alias("_ip"))
+    return g.hint("merge").join(i, on=keys, how="full_outer")
+
+
+def _measures() -> list:
+    matched = F.col("_gp") & F.col("_ip")
+    return [F.count(F.when(F.col("_gp"), 1)).alias("gn"), F.max("_g").alias("gm"),
+            F.count(F.when(F.col("_ip"), 1)).alias("in"), F.max("_i").alias("im"),
+            F.count(F.when(matched, 1)).alias("cn"),
+            F.max(F.when(matched, F.col("_g") - F.col("_i"))).alias("cm")]
+
 
+_STAGES = ((STAGE_GENERATION, "gn", "gm"), (STAGE_INTERCHANGE, "in", "im"),
+           (STAGE_LOAD, "cn", "cm"))
 
-def observe_stage(df: DataFrame, stage: str) -> tuple[DataFrame, Observation]:
-    obs = Observation(stage)
-    return df.observe(obs, *_stage_aggs()), obs
 
+def observed_load(generation_aggr: DataFrame, interchange_aggr: DataFrame,
+                  unit: str) -> tuple[DataFrame, Observation]:
+    """The load (as :func:`~gridload.operators.load.compute_load` gives it) and
+    the observation that the first action on it fills; see :func:`stage_values`."""
+    seen = Observation("load_stages")
+    both = _both_sides(generation_aggr, interchange_aggr, unit).observe(seen, *_measures())
+    load = both.where(F.col("_gp") & F.col("_ip")).select(
+        *group_keys(unit), (F.col("_g") - F.col("_i")).alias(VALUE))
+    return load, seen
 
-def stage_summary(stages: dict[str, DataFrame]) -> DataFrame:
-    """One row per stage: ``stage``, ``record_count`` (bigint), ``max_valor``."""
-    parts = [df.agg(*_stage_aggs()).select(F.lit(name).alias(STAGE), RECORD_COUNT, MAX_VALUE)
-             for name, df in stages.items()]
-    return reduce(DataFrame.unionByName, parts)
+
+def stage_values(seen: Observation) -> dict[str, dict]:
+    """``{stage: {record_count, max_valor}}`` of a filled observation."""
+    values = seen.get
+    return {stage: {RECORD_COUNT: values[n], MAX_VALUE: values[m]} for stage, n, m in _STAGES}
 
 
 def load_stage_summary(generation_aggr: DataFrame, interchange_aggr: DataFrame,
                        unit: str) -> DataFrame:
     """Rows ``(stage, record_count, max_valor)`` for the generation aggregate,
-    the interchange aggregate and the load, from one pass.
-
-    The three summaries cannot simply be unioned: the load's inner join adds
-    ``IS NOT NULL`` filters on the keys below its aggregates, so those differ
-    from the plain ones and both aggregates would be computed twice. Here the
-    aggregates meet once in a full outer join on their keys (co-partitioned,
-    no extra shuffle); each key occurs once per side, so presence flags give
-    exact counts, and matched rows are exactly the load's rows.
-    """
-    keys = group_keys(unit)
-    g = generation_aggr.select(*keys, F.col(VALUE).alias("_g"), F.lit(True).alias("_gp"))
-    i = interchange_aggr.select(*keys, F.col(VALUE).alias("_i"), F.lit(True).alias("_ip"))
-    both = g.hint("merge").join(i, on=keys, how="full_outer")
-    matched = F.col("_gp") & F.col("_ip")
-    totals = both.agg(
-        F.count(F.when(F.col("_gp"), 1)).alias("gn"), F.max("_g").alias("gm"),
-        F.count(F.when(F.col("_ip"), 1)).alias("in"), F.max("_i").alias("im"),
-        F.count(F.when(matched, 1)).alias("cn"),
-        F.max(F.when(matched, F.col("_g") - F.col("_i"))).alias("cm"))
+    the interchange aggregate and the load, from one pass over the join that
+    the job observes."""
+    totals = _both_sides(generation_aggr, interchange_aggr, unit).agg(*_measures())
     rows = [F.struct(F.lit(stage).alias(STAGE), F.col(n).alias(RECORD_COUNT),
-                     F.col(m).alias(MAX_VALUE))
-            for stage, n, m in ((STAGE_GENERATION, "gn", "gm"), (STAGE_INTERCHANGE, "in", "im"),
-                                (STAGE_LOAD, "cn", "cm"))]
+                     F.col(m).alias(MAX_VALUE)) for stage, n, m in _STAGES]
     return totals.select(F.inline(F.array(*rows)))
 
 
 def metric_rows(run_id: str, stage: str, values: dict) -> list[tuple]:
-    """Long-format rows for one stage: numbers go to ``value``, anything else
-    (subsystem names, units, file lists) to ``text``."""
+    """Long-format rows for one stage, stamped now (call it when the stage
+    ends): numbers go to ``value``, anything else (subsystem names, units, file
+    lists) to ``text``."""
     now = _dt.datetime.now(_dt.timezone.utc)
     rows = []
     for metric, v in values.items():

@@ -11,12 +11,6 @@ from pyspark.sql import functions as F
 
 from ..schemas import DATA, SUBSYSTEM, VALUE
 
-# Largest n for top_loads: every partition hands its n best rows to one task
-# for the final merge, so n x partitions rows meet there. Use order_load
-# (range-partitioned) for long orderings.
-MAX_TOP_N = 10_000
-
-
 def _order_cols(df: DataFrame) -> list:
     cols = [F.col(VALUE).desc_nulls_last(), F.col(SUBSYSTEM).asc_nulls_last()]
     if DATA in df.columns:
@@ -36,9 +30,11 @@ def top_loads(load: DataFrame, n: int, position: str = "pos") -> DataFrame:
     ``orderBy().limit(n)`` plans as a per-partition bounded heap
     (``TakeOrderedAndProject``); the position is numbered over those ``n``
     rows only, so the un-partitioned window never sees more than ``n`` rows.
+    Every task keeps a heap of ``n`` rows and these meet in one task: for a long
+    ordering take :func:`order_load`, which sorts by range.
     """
-    if not 0 < n <= MAX_TOP_N:
-        raise ValueError(f"n must be in 1..{MAX_TOP_N}; use order_load for a whole ordering")
+    if n <= 0:
+        raise ValueError("n must be positive")
     order = _order_cols(load)
     head = load.orderBy(*order).limit(n)
     return head.withColumn(position, F.row_number().over(Window.orderBy(*order)).cast("bigint"))

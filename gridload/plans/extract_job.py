@@ -3,7 +3,7 @@ catalog, from partitioned catalog tables to header ``;`` CSV directories that
 :func:`gridload.plans.load_job.run_load_job` reads directly.
 
 Partition filters prune the month at planning time; each output is written in
-parallel (one file per task) unless ``single_file`` asks for one file.
+parallel, one file per task.
 
 Command line::
 
@@ -30,26 +30,35 @@ def _frame(spark: SparkSession, source: DataFrame | str) -> DataFrame:
     return spark.table(source) if isinstance(source, str) else source
 
 
-def run_extract_job(spark: SparkSession, interchange: DataFrame | str,
-                    generation: DataFrame | str, resources: DataFrame | str,
-                    year: int | str, month: int | str, out_dir: str, sep: str = ";",
-                    mode: str = "errorifexists", single_file: bool = False,
-                    period: str = DAILY_PERIOD, interchange_class: str = INTERCHANGE_CLASS,
-                    generation_class: str = GENERATION_CLASS) -> dict[str, str]:
-    """Write the three extracts under ``out_dir``; returns name -> path."""
-    base = out_dir.rstrip("/")
-    frames = {
+def extract_frames(spark: SparkSession, interchange: DataFrame | str,
+                   generation: DataFrame | str, resources: DataFrame | str,
+                   year: int | str, month: int | str, period: str = DAILY_PERIOD,
+                   interchange_class: str = INTERCHANGE_CLASS,
+                   generation_class: str = GENERATION_CLASS) -> dict[str, DataFrame]:
+    """The three extracts, lazily. Sources are frames or names of tables."""
+    return {
         INTERCHANGE: extract_interchange(_frame(spark, interchange), year, month, period,
                                          interchange_class),
         GENERATION: extract_generation(_frame(spark, generation), year, month, period,
                                        generation_class),
         RESOURCES: extract_resources(_frame(spark, resources)),
     }
+
+
+def run_extract_job(spark: SparkSession, interchange: DataFrame | str,
+                    generation: DataFrame | str, resources: DataFrame | str,
+                    year: int | str, month: int | str, out_dir: str, sep: str = ";",
+                    mode: str = "errorifexists", period: str = DAILY_PERIOD,
+                    interchange_class: str = INTERCHANGE_CLASS,
+                    generation_class: str = GENERATION_CLASS) -> dict[str, str]:
+    """Write the three extracts under ``out_dir``; returns name -> path."""
+    base = out_dir.rstrip("/")
+    frames = extract_frames(spark, interchange, generation, resources, year, month, period,
+                            interchange_class, generation_class)
     paths = {}
     for name, df in frames.items():
         with job_description(spark, f"gridload extract {year}-{month}: {name}"):
-            paths[name] = write_csv(df, f"{base}/{name}", sep=sep, mode=mode,
-                                    single_file=single_file)
+            paths[name] = write_csv(df, f"{base}/{name}", sep=sep, mode=mode)
     return paths
 
 
@@ -65,12 +74,11 @@ def main(argv: list[str] | None = None) -> dict[str, str]:
     p.add_argument("--out", required=True)
     p.add_argument("--sep", default=";")
     p.add_argument("--mode", default="errorifexists")
-    p.add_argument("--single-file", action="store_true")
     p.add_argument("--master", default="local[*]")
     a = p.parse_args(argv)
     spark = build_session(a.master)
     paths = run_extract_job(spark, a.interchange, a.generation, a.resources, a.year, a.month,
-                            a.out, a.sep, a.mode, a.single_file)
+                            a.out, a.sep, a.mode)
     print(json.dumps(paths))
     return paths
 

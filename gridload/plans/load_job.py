@@ -1,23 +1,26 @@
 """The load job: read the three tables, profile them, compute the regional
 load, write it, find its peak, and record per-stage metrics.
 
-Actions, in order (everything else is lazy):
-
-1. one header line per input file (schema check on the driver);
-2. one job counting every table (``initial_data_stats``). Counts are not
-   taken by observing the inputs inside the main job: those observations
-   would sit in map stages, whose metrics are applied again when a lost
-   executor's map output is recomputed. For CSV input this is a second read
-   of the data; ``profile=False`` skips it (schemas are still recorded);
-3. one write of the load, which also fills the ``Observation`` metrics of the
-   generation aggregate, the interchange aggregate and the load (record
-   count, highest value). These sit after the final aggregation, in result
-   stages, where Spark applies each task's update once; no aggregate is
-   evaluated twice;
-4. the peak, read back from the written table (a bounded top-1 over the
-   small result; the written table also cuts the lineage, so a lost executor
-   never recomputes the aggregates);
-5. an append of the metric rows to a Parquet table, when a path is given.
+Input is CSV or Parquet files, or DataFrames. Actions, in order (everything
+else is lazy):
+
+1. CSV: one header line per input file (schema check on the driver);
+2. one job counting every table (``initial_data_stats``) and measuring the
+   plant dimension, so the broadcast check needs no job of its own. For CSV
+   input this is a second read of the data (for Parquet, footers and the
+   dimension's two columns); ``profile=False`` skips it;
+3. one write of the load, which also fills the metrics of the generation
+   aggregate, the interchange aggregate and the load (see
+   :mod:`gridload.operators.metrics`); no aggregate is evaluated twice;
+4. the peak, read back from the rows this run wrote (a bounded top-1; the
+   written table also cuts the lineage);
+5. an append of the metric rows to a Parquet table, when a path is given, also
+   when collecting the rows fails. Rows are stamped when their stage ends.
+
+A run writes the partition ``run_id=...`` of the output and reads that only, so
+runs may be appended to one output. The join, the subtraction and both
+aggregates are one plan: ``elapsed_s`` of ``calculate_carga`` is the time of
+the write that runs it.
 
 Command line::
 
@@ -38,19 +41,23 @@ from __future__ import annotations
 import argparse
 import json
 import os
+import re
 import time
 import uuid
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators.aggregate import aggregate_generation, aggregate_interchange
+from ..operators.aggregate import (aggregate_generation, aggregate_interchange,
+                                   dimension_measures)
 from ..operators.joins import DEFAULT_BROADCAST_MAX_BYTES, DEFAULT_BROADCAST_MAX_ROWS
-from ..operators.load import compute_load
 from ..operators.metrics import (MAX_VALUE, METRICS_SCHEMA, RECORD_COUNT, STAGE_END,
                                  STAGE_GENERATION, STAGE_INITIAL_STATS, STAGE_INTERCHANGE,
                                  STAGE_LOAD, STAGE_LOAD_DATA, STAGE_PROCESS, STAGE_START,
-                                 STAGE_TO_LIST, metric_rows, observe_stage)
+                                 STAGE_TO_LIST, metric_rows, observed_load, stage_values)
 from ..operators.profile import COUNT, TABLE, schema_json, table_counts
 from ..operators.rank import peak_load
 from ..schemas import DATA, GENERATION, INTERCHANGE, RESOURCES, SUBSYSTEM, VALUE, check_unit
@@ -58,6 +65,12 @@ from ..session import job_description
 from ..sources.catalog import load_tables
 from ..sources.sinks import append_rows, to_rows, write_csv, write_parquet
 
+RUN_ID = "run_id"
+MODES = ("errorifexists", "error", "append", "overwrite")
+# The table each aggregate stage reads.
+STAGE_TABLES = {STAGE_GENERATION: GENERATION, STAGE_INTERCHANGE: INTERCHANGE}
+_DIMENSION = "_dimension"
+
 
 @dataclass
 class LoadJobResult:
@@ -71,70 +84,114 @@ class LoadJobResult:
     elapsed: dict[str, float] = field(default_factory=dict)
 
 
-def _compute_and_write(spark, tables, unit, out, sep, output_format, mode,
-                       broadcast_max_rows, broadcast_max_bytes):
-    """The load with its stage observations, written once; returns the
-    written table and the observations (filled by that write)."""
-    g, obs_g = observe_stage(aggregate_generation(
-        tables[GENERATION], tables[RESOURCES], unit, broadcast_max_rows, broadcast_max_bytes),
-        STAGE_GENERATION)
-    i, obs_i = observe_stage(aggregate_interchange(tables[INTERCHANGE], unit),
-                             STAGE_INTERCHANGE)
-    load, obs_c = observe_stage(compute_load(g, i, unit), STAGE_LOAD)
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.format("binaryFile").load(path).schema
+    except AnalysisException:
+        return False
+    return True
+
+
+def _profile(tables: dict[str, DataFrame]) -> tuple[dict[str, int], tuple[int, int]]:
+    """Counts of all tables, and the plant dimension's rows and bytes: one job."""
+    size = dimension_measures(tables[RESOURCES])
+    parts = [table_counts(tables).withColumn("b", F.lit(0).cast("bigint")),
+             size.select(F.lit(_DIMENSION).alias(TABLE), F.col("n").alias(COUNT), "b")]
+    rows = {r[TABLE]: r for r in reduce(DataFrame.unionByName, parts).collect()}
+    dimension = rows.pop(_DIMENSION)
+    return {name: r[COUNT] for name, r in rows.items()}, (dimension[COUNT], dimension["b"])
+
+
+def _write_run(spark, load, run_id, out, sep, output_format, mode):
+    """Writes the load as this run's partition of ``out``; returns its path and
+    the rows read back from it alone."""
+    marked = load.withColumn(RUN_ID, F.lit(run_id))
+    path = f"{out.rstrip('/')}/{RUN_ID}={run_id}"
     if output_format == "parquet":
-        write_parquet(load, out, mode=mode)
-        written = spark.read.parquet(out)
+        write_parquet(marked, out, mode=mode, partition_by=[RUN_ID])
+        reader = spark.read.schema(load.schema)
+        rows = reader.parquet(path) if _exists(spark, path) else None
     else:
-        write_csv(load, out, sep=sep, mode=mode)
-        written = spark.read.schema(load.schema).option("sep", sep).option("header", True).csv(out)
-    return written, {STAGE_GENERATION: obs_g, STAGE_INTERCHANGE: obs_i, STAGE_LOAD: obs_c}
+        write_csv(marked, out, sep=sep, mode=mode, partition_by=[RUN_ID])
+        reader = spark.read.schema(load.schema).option("sep", sep).option("header", True)
+        rows = reader.csv(path) if _exists(spark, path) else None
+    # an empty load makes no partition
+    return path, spark.createDataFrame([], load.schema) if rows is None else rows
 
 
-def run_load_job(spark: SparkSession, datafiles: list[str], table_names: list[str],
-                 unit: str, out: str, sep: str = ";", metrics_path: str | None = None,
+def run_load_job(spark: SparkSession, datafiles: list[str] | dict[str, DataFrame],
+                 table_names: list[str] | None = None,
+                 unit: str = "", out: str = "", sep: str = ";", metrics_path: str | None = None,
                  output_format: str = "parquet", mode: str = "errorifexists",
                  collect_rows: bool = False, run_id: str | None = None,
                  broadcast_max_rows: int | None = DEFAULT_BROADCAST_MAX_ROWS, ntz: bool = False,
                  value_type: str = "double",
                  broadcast_max_bytes: int = DEFAULT_BROADCAST_MAX_BYTES,
-                 profile: bool = True) -> LoadJobResult:
-    """Run the whole job; see the module docstring. ``ntz`` reads instants as
-    local (zone-less) timestamps; ``value_type`` ``decimal(p,s)`` makes every
-    sum exact."""
+                 profile: bool = True, input_format: str = "csv",
+                 max_collect_rows: int | None = None) -> LoadJobResult:
+    """Run the whole job; see the module docstring.
+
+    ``datafiles`` are paths of ``input_format`` (``csv`` or ``parquet``), named
+    by ``table_names``, or a dict of DataFrames by table name. ``ntz`` reads
+    instants as local (zone-less) timestamps; ``value_type`` ``decimal(p,s)``
+    makes every sum exact. ``mode`` is ``errorifexists``, ``append`` or
+    ``overwrite`` and concerns ``out`` as a whole."""
     check_unit(unit)
     if output_format not in ("parquet", "csv"):
         raise ValueError(f"unknown output format {output_format!r}")
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {MODES}, not {mode!r}")
+    frames = datafiles if isinstance(datafiles, dict) else None
+    table_names = list(frames) if frames is not None else list(table_names or [])
     missing = [n for n in (GENERATION, INTERCHANGE, RESOURCES) if n not in table_names]
     if missing:
         raise ValueError(f"table_names must include {missing}")
     run_id = run_id or uuid.uuid4().hex
+    if not re.fullmatch(r"[A-Za-z0-9_.-]+", run_id):
+        raise ValueError(f"run_id {run_id!r} must be of letters, digits, '_', '.' and '-'")
+    if mode == "append" and _exists(spark, f"{out.rstrip('/')}/{RUN_ID}={run_id}"):
+        raise ValueError(f"{out!r} holds a run {run_id!r} already")
     t_job = time.time()
+    elapsed: dict[str, float] = {}
     metrics = metric_rows(run_id, STAGE_START, {
-        "datafiles": datafiles, "tables": table_names, "aggregation_unit": unit,
-        "csv_separator": sep})
+        "datafiles": table_names if frames is not None else datafiles, "tables": table_names,
+        "aggregation_unit": unit, "csv_separator": sep})
+
+    def ended(stage: str, since: float, values: dict) -> None:
+        elapsed[stage] = time.time() - since
+        metrics.extend(metric_rows(run_id, stage, {"elapsed_s": elapsed[stage], **values}))
 
     t = time.time()
     with job_description(spark, f"gridload {run_id}: {STAGE_LOAD_DATA}"):
-        tables = load_tables(spark, datafiles, table_names, sep, ntz=ntz, value_type=value_type)
-    elapsed = {STAGE_LOAD_DATA: time.time() - t}
+        tables = frames if frames is not None else load_tables(
+            spark, datafiles, table_names, sep, ntz=ntz, value_type=value_type,
+            fmt=input_format, register=False)
+    ended(STAGE_LOAD_DATA, t, {})
 
     t = time.time()
-    with job_description(spark, f"gridload {run_id}: {STAGE_INITIAL_STATS}"):
-        counts = ({r[TABLE]: r[COUNT] for r in table_counts(tables).collect()}
-                  if profile else {})
-    elapsed[STAGE_INITIAL_STATS] = time.time() - t
+    counts, size = {}, None
+    if profile:
+        with job_description(spark, f"gridload {run_id}: {STAGE_INITIAL_STATS}"):
+            counts, size = _profile(tables)
     stats = {"num_tables": len(tables)}
     for name, df in tables.items():
         stats[f"count.{name}"] = counts.get(name)
         stats[f"schema.{name}"] = json.dumps(schema_json(df))
+    ended(STAGE_INITIAL_STATS, t, stats)
 
-    t = time.time()
+    t_process = time.time()
+    generation = aggregate_generation(tables[GENERATION], tables[RESOURCES], unit,
+                                      broadcast_max_rows, broadcast_max_bytes, size)
+    load, seen = observed_load(generation, aggregate_interchange(tables[INTERCHANGE], unit), unit)
+    t_load = time.time()
     with job_description(spark, f"gridload {run_id}: {STAGE_PROCESS}"):
-        written, observations = _compute_and_write(
-            spark, tables, unit, out, sep, output_format, mode, broadcast_max_rows,
-            broadcast_max_bytes)
-    elapsed[STAGE_PROCESS] = time.time() - t
-
+        path, written = _write_run(spark, load, run_id, out, sep, output_format, mode)
+    t_written = time.time()
+    stages = stage_values(seen)
+    for name, values in stages.items():
+        if name in STAGE_TABLES:
+            metrics.extend(metric_rows(run_id, name, {
+                "tablename": STAGE_TABLES[name], "aggregation_unit": unit, **values}))
     t = time.time()
     with job_description(spark, f"gridload {run_id}: peak"):
         top = peak_load(written).collect()
@@ -144,37 +201,26 @@ def run_load_job(spark: SparkSession, datafiles: list[str], table_names: list[st
         if DATA in written.columns:
             peak[DATA] = top[0][DATA].isoformat() if top[0][DATA] is not None else None
     elapsed["peak"] = time.time() - t
+    elapsed[STAGE_LOAD] = t_written - t_load
+    metrics.extend(metric_rows(run_id, STAGE_LOAD, {
+        "aggregation_unit": unit, **stages[STAGE_LOAD], "elapsed_s": elapsed[STAGE_LOAD],
+        "elapsed_s_stats": elapsed["peak"], "peak_subsistema": peak and peak[SUBSYSTEM],
+        "peak_valor": peak and peak[VALUE], "peak_data": peak and peak.get(DATA)}))
+    ended(STAGE_PROCESS, t_process, {"aggregation_unit": unit, "output": path})
 
     rows = None
-    if collect_rows:
-        t = time.time()
-        rows = to_rows(written)
-        elapsed[STAGE_TO_LIST] = time.time() - t
-
-    stages = {name: dict(obs.get) for name, obs in observations.items()}
-    elapsed[STAGE_END] = time.time() - t_job
-
-    metrics += metric_rows(run_id, STAGE_LOAD_DATA, {"elapsed_s": elapsed[STAGE_LOAD_DATA]})
-    metrics += metric_rows(run_id, STAGE_INITIAL_STATS,
-                           {"elapsed_s": elapsed[STAGE_INITIAL_STATS], **stats})
-    for name, vals in stages.items():
-        metrics += metric_rows(run_id, name, {
-            "aggregation_unit": unit, RECORD_COUNT: vals.get(RECORD_COUNT),
-            MAX_VALUE: vals.get(MAX_VALUE)})
-    metrics += metric_rows(run_id, STAGE_LOAD, {
-        "elapsed_s_stats": elapsed["peak"],
-        "peak_subsistema": peak and peak[SUBSYSTEM], "peak_valor": peak and peak[VALUE],
-        "peak_data": peak and peak.get(DATA)})
-    metrics += metric_rows(run_id, STAGE_PROCESS, {
-        "aggregation_unit": unit, "elapsed_s": elapsed[STAGE_PROCESS], "output": out})
-    if collect_rows:
-        metrics += metric_rows(run_id, STAGE_TO_LIST, {
-            "elapsed_s": elapsed[STAGE_TO_LIST], RECORD_COUNT: len(rows)})
-    metrics += metric_rows(run_id, STAGE_END, {"elapsed_s_total": elapsed[STAGE_END]})
-    if metrics_path:
-        append_rows(spark, metrics, METRICS_SCHEMA, metrics_path)
-
-    return LoadJobResult(run_id=run_id, unit=unit, output=out, table_counts=counts,
+    try:
+        if collect_rows:
+            t = time.time()
+            rows = to_rows(written, max_collect_rows)
+            ended(STAGE_TO_LIST, t, {RECORD_COUNT: len(rows)})
+    finally:
+        elapsed[STAGE_END] = time.time() - t_job
+        metrics.extend(metric_rows(run_id, STAGE_END, {"elapsed_s_total": elapsed[STAGE_END]}))
+        if metrics_path:
+            append_rows(spark, metrics, METRICS_SCHEMA, metrics_path)
+
+    return LoadJobResult(run_id=run_id, unit=unit, output=path, table_counts=counts,
                          stages=stages, peak=peak, rows=rows, elapsed=elapsed)
 
 
@@ -194,6 +240,7 @@ def main(argv: list[str] | None = None) -> LoadJobResult:
     from ..session import build_session, scratch_path
 
     p = argparse.ArgumentParser(description="Regional electric load (generation - interchange)")
+    # Flag names of the command line.
     p.add_argument("--datafiles", nargs="+", required=True)
     p.add_argument("--table_names", nargs="+", required=True)
     p.add_argument("--aggreg_unit", required=True, choices=("diario", "mensal"))
@@ -203,7 +250,8 @@ def main(argv: list[str] | None = None) -> LoadJobResult:
     p.add_argument("--collect", action="store_true", help="also print the load rows")
     p.add_argument("--metrics")
     p.add_argument("--format", default="parquet", choices=("parquet", "csv"))
-    p.add_argument("--mode", default="errorifexists")
+    p.add_argument("--input-format", default="csv", choices=("csv", "parquet"))
+    p.add_argument("--mode", default="errorifexists", choices=MODES)
     p.add_argument("--value-type", default="double",
                    help="measure type: double, or decimal(p,s) for exact sums")
     p.add_argument("--local-time", action="store_true",
@@ -217,7 +265,8 @@ def main(argv: list[str] | None = None) -> LoadJobResult:
     out = a.out or scratch_path(spark, f"carga-{a.aggreg_unit}")
     res = run_load_job(spark, files, _split(a.table_names), a.aggreg_unit, out, a.sep,
                        a.metrics, a.format, a.mode, collect_rows=a.collect, ntz=a.local_time,
-                       value_type=a.value_type, profile=not a.no_profile)
+                       value_type=a.value_type, profile=not a.no_profile,
+                       input_format=a.input_format)
     report = {"run_id": res.run_id, "output": res.output, "peak": res.peak,
               "stages": res.stages, "table_counts": res.table_counts, "elapsed": res.elapsed}
     if a.collect:

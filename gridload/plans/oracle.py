@@ -43,6 +43,13 @@ def _with(body: str) -> str:
     return f"WITH {DOMAIN_MAP} {body}"
 
 
+STAGES = """
+SELECT 'aggreg_geracao' AS stage, COUNT(0) AS record_count, MAX(valor) AS max_valor FROM gd
+UNION ALL SELECT 'aggreg_intercambio' AS stage, COUNT(0) AS record_count, MAX(valor) AS max_valor
+FROM id
+UNION ALL SELECT 'calculate_carga' AS stage, COUNT(0) AS record_count, MAX(valor) AS max_valor
+FROM cd"""
+
 ORACLE_SQL: dict[str, str] = {
     "generation_with_subsystem": _with(
         "SELECT r.subsistema, t.data, t.guid_usina, CAST(t.valor AS DOUBLE) AS valor "
@@ -54,8 +61,12 @@ ORACLE_SQL: dict[str, str] = {
     "load_daily": _with("SELECT subsistema, data, valor FROM cd"),
     "load_monthly": _with("SELECT subsistema, valor FROM cm"),
     "load_job_daily": _with("SELECT subsistema, data, valor FROM cd"),
+    "load_job_csv": _with("SELECT subsistema, data, valor FROM cd"),
+    "load_job_metrics": _with(STAGES),
     "load_daily_large_dimension": _with("SELECT subsistema, data, valor FROM cd"),
     "load_ranked": _with(
+        "SELECT subsistema, data, valor FROM cd ORDER BY valor DESC, subsistema, data"),
+    "load_top_n": _with(
         "SELECT subsistema, data, valor, "
         "CAST(ROW_NUMBER() OVER (ORDER BY valor DESC, subsistema, data) AS BIGINT) AS pos "
         "FROM cd ORDER BY valor DESC, subsistema, data LIMIT 100"),
@@ -86,7 +97,7 @@ FROM customer WHERE NULLIF(c_mktsegment, 'MACHINERY') IS NOT NULL""",
     "sink_csv_roundtrip": (
         "SELECT o_orderdate AS data, o_orderpriority AS subsistema, o_totalprice AS valor "
         "FROM orders"),
-    "scan_select_all": "SELECT * FROM region",
+    "scan_select_all": "SELECT * FROM nation JOIN region ON n_regionkey = r_regionkey",
     "cast_timestamp": (
         "SELECT event_id, CAST(CAST(ts AS VARCHAR(30)) AS TIMESTAMP) AS ts FROM events"),
     "cast_string": (
@@ -112,10 +123,6 @@ counts AS (
   UNION ALL SELECT 'supplier' AS tabela, COUNT(0) AS registros FROM supplier)
 SELECT c.tabela, c.posicao, c.coluna, c.tipo, c.anulavel, n.registros
 FROM cols c JOIN counts n ON c.tabela = n.tabela""",
-    "stage_metrics": _with("""
-SELECT 'aggreg_geracao' AS stage, COUNT(0) AS record_count, MAX(valor) AS max_valor FROM gd
-UNION ALL SELECT 'aggreg_intercambio' AS stage, COUNT(0) AS record_count, MAX(valor) AS max_valor
-FROM id
-UNION ALL SELECT 'calculate_carga' AS stage, COUNT(0) AS record_count, MAX(valor) AS max_valor
-FROM cd"""),
+    "stage_metrics": _with(STAGES),
 }
+ORACLE_SQL["extract_job_generation"] = ORACLE_SQL["extract_generation"]

@@ -7,6 +7,7 @@ frame read back). The equivalent SQL for each lives in ``oracle.py``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,17 +16,18 @@ from pyspark.sql import functions as F
 from ..functions.casts import cast_string, cast_timestamp
 from ..operators.aggregate import aggregate_generation, aggregate_interchange, attach_subsystem
 from ..operators.load import regional_load
-from ..operators.metrics import load_stage_summary
+from ..operators.metrics import MAX_VALUE, RECORD_COUNT, STAGE, load_stage_summary
 from ..operators.profile import table_counts, table_schemas
-from ..operators.rank import peak_load, peak_load_per_day, top_loads
+from ..operators.rank import order_load, peak_load, peak_load_per_day, top_loads
 from ..schemas import (DAILY, DATA, GENERATION, INTERCHANGE, MONTHLY, PLANT_GUID,
                        RESOURCE_GUID, RESOURCE_ID, RESOURCES, SUBSYSTEM, VALUE)
 from ..session import scratch_path
 from ..sources import extract as X
 from ..sources import tpch
-from ..sources.catalog import load_tables, select_all
-from ..sources.csv import read_interchange
+from ..sources.catalog import drop_table, load_tables, select_all
+from ..sources.csv import read_generation, read_interchange
 from ..sources.sinks import write_csv
+from .extract_job import run_extract_job
 from .load_job import run_load_job
 
 # The period the extraction queries select and the codes that
@@ -92,6 +94,12 @@ def load_daily_large_dimension(spark, sf_dir):
 
 
 def load_ranked(spark, sf_dir):
+    """The whole load, highest first."""
+    return order_load(_load(spark, sf_dir, DAILY))
+
+
+def load_top_n(spark, sf_dir):
+    """The ``TOP_N`` highest loads with their positions."""
     return top_loads(_load(spark, sf_dir, DAILY), TOP_N, position="pos")
 
 
@@ -132,26 +140,84 @@ def sink_csv_roundtrip(spark, sf_dir):
 
 
 def scan_select_all(spark, sf_dir):
-    """Load a table by name through the multi-table loader, then read it back
-    whole by that name."""
-    load_tables(spark, [f"{sf_dir.rstrip('/')}/region.parquet"], ["region"], fmt="parquet",
-                schemas={"region": tpch.TABLE_SCHEMAS["region"]})
-    return select_all(spark, "region")
+    """Load several tables by name through the multi-table loader, then read
+    two of them back whole by those names: every nation with its region, all
+    columns of both. The views have a name of their own and are dropped."""
+    base, prefix = sf_dir.rstrip("/"), f"scan_{uuid.uuid4().hex}_"
+    names = ["region", "nation", "supplier"]
+    load_tables(spark, [f"{base}/{n}.parquet" for n in names], names, fmt="parquet",
+                prefix=prefix)
+    nation, region = select_all(spark, f"{prefix}nation"), select_all(spark, f"{prefix}region")
+    out = nation.join(region, nation["n_regionkey"] == region["r_regionkey"])
+    for n in names:
+        drop_table(spark, f"{prefix}{n}")
+    return out
+
+
+def _run_job(spark, sf_dir, base):
+    return run_load_job(spark, tpch.domain_tables(spark, sf_dir), unit=DAILY, out=f"{base}/carga",
+                        metrics_path=f"{base}/metrics")
 
 
 def load_job_daily(spark, sf_dir):
-    """The whole load job over CSV copies of the mapped tables (written under
-    the shared folder): header-checked read, profile, load with observed stage
-    metrics, one write, peak and metrics table. Returns the written load."""
+    """The whole load job over the mapped tables: profile, load with observed
+    stage metrics, one write, peak and metrics table. Returns the load of that
+    run, read back."""
+    return spark.read.parquet(_run_job(spark, sf_dir, scratch_path(spark, "load-job")).output)
+
+
+def load_job_metrics(spark, sf_dir):
+    """The stage metrics that the load job wrote, read back from its table."""
     base = scratch_path(spark, "load-job")
+    run = _run_job(spark, sf_dir, base)
+    rows = spark.read.parquet(f"{base}/metrics").where(F.col("run_id") == run.run_id)
+    wide = rows.groupBy(STAGE).agg(*[
+        F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m)
+        for m in (RECORD_COUNT, MAX_VALUE)])
+    return (wide.where(F.col(RECORD_COUNT).isNotNull())
+            .select(STAGE, F.col(RECORD_COUNT).cast("bigint").alias(RECORD_COUNT), MAX_VALUE))
+
+
+def load_job_csv(spark, sf_dir):
+    """The load job end to end on text: the mapped tables as ``;`` CSV,
+    header-checked typed read with DECIMAL measures, load."""
+    base = scratch_path(spark, "load-job-csv")
     names = [GENERATION, INTERCHANGE, RESOURCES]
     tables = tpch.domain_tables(spark, sf_dir)
     paths = [write_csv(tables[n], f"{base}/input/{n}") for n in names]
     result = run_load_job(spark, paths, names, DAILY, f"{base}/carga", ntz=True,
-                          value_type=tpch.VALUE_TYPE, metrics_path=f"{base}/metrics")
+                          value_type=tpch.VALUE_TYPE)
     return spark.read.parquet(result.output)
 
 
+def partitioned_sources(spark, sf_dir) -> tuple[str, str, str]:
+    """Names of the three catalog-shaped sources: the measurements as Parquet
+    partitioned by year and month, the plants as they are."""
+    base, tag = scratch_path(spark, "catalog"), uuid.uuid4().hex
+    names = []
+    for name, df in (("interchange", tpch.interchange_source(spark, sf_dir)),
+                     ("generation", tpch.generation_source(spark, sf_dir))):
+        by = [X.YEAR_COL, X.MONTH_COL]
+        df.repartition(*by).write.partitionBy(*by).parquet(f"{base}/{name}")
+        spark.read.schema(df.schema).parquet(f"{base}/{name}").createOrReplaceTempView(
+            f"{name}_{tag}")
+        names.append(f"{name}_{tag}")
+    tpch.resources_source(spark, sf_dir).createOrReplaceTempView(f"plants_{tag}")
+    return names[0], names[1], f"plants_{tag}"
+
+
+def extract_job_generation(spark, sf_dir):
+    """The extraction job over tables by name, partitioned by year and month:
+    the generation extract of one month, read back from its CSV."""
+    names = partitioned_sources(spark, sf_dir)
+    paths = run_extract_job(spark, *names, EXTRACT_YEAR, EXTRACT_MONTH,
+                            scratch_path(spark, "extract"), period=GENERATION_CODES[0],
+                            generation_class=GENERATION_CODES[1])
+    for n in names:
+        drop_table(spark, n)
+    return read_generation(spark, paths[GENERATION], ntz=True)
+
+
 def cast_timestamp_q(spark, sf_dir):
     ev = tpch.read_table(spark, sf_dir, "events")
     as_text = ev.select("event_id", F.col("ts").cast("string").alias("ts"))
@@ -193,6 +259,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "load_monthly": load_monthly,
     "load_daily_large_dimension": load_daily_large_dimension,
     "load_ranked": load_ranked,
+    "load_top_n": load_top_n,
     "peak_load_daily": peak_load_daily,
     "peak_load_monthly": peak_load_monthly,
     "peak_load_per_day": peak_load_per_day_q,
@@ -207,6 +274,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "table_schemas": table_schemas_q,
     "stage_metrics": stage_metrics,
     "load_job_daily": load_job_daily,
+    "load_job_metrics": load_job_metrics,
+    "load_job_csv": load_job_csv,
+    "extract_job_generation": extract_job_generation,
 }
 
 

@@ -7,6 +7,7 @@ return DataFrames.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from ..schemas import GENERATION, INTERCHANGE, RESOURCES, schema_for
 from .csv import read_csv_table
@@ -29,15 +30,45 @@ def select_all(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(name).select("*")
 
 
+def checked_parquet(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A Parquet table whose columns must be ``schema``'s, by name and type
+    (numbers of another width are cast to the declared one); columns come out in
+    ``schema``'s order. Spark alone would read a misnamed column as NULL."""
+    return checked_frame(spark.read.parquet(path), schema, path)
+
+
+def checked_frame(df: DataFrame, schema: T.StructType, what: str) -> DataFrame:
+    """``df`` held against ``schema`` as :func:`checked_parquet` does."""
+    found = {f.name: f.dataType for f in df.schema}
+    missing = [f.name for f in schema if f.name not in found]
+    unexpected = [n for n in found if n not in schema.fieldNames()]
+    if missing or unexpected:
+        raise ValueError(f"columns of {what!r} are {list(found)}; expected {schema.fieldNames()} "
+                         f"(missing {missing}, unexpected {unexpected})")
+    columns = []
+    for f in schema:
+        kind = found[f.name]
+        if kind == f.dataType:
+            columns.append(df[f.name])
+        elif isinstance(kind, T.NumericType) and isinstance(f.dataType, T.NumericType):
+            columns.append(df[f.name].cast(f.dataType).alias(f.name))
+        else:
+            raise ValueError(f"column {f.name!r} of {what!r} is {kind.simpleString()}, not "
+                             f"{f.dataType.simpleString()}")
+    return df.select(*columns)
+
+
 def load_tables(spark: SparkSession, paths: list[str], names: list[str], sep: str = ";",
                 ntz: bool = False, schemas: dict | None = None, fmt: str = "csv",
-                value_type: str = "double") -> dict[str, DataFrame]:
-    """Read ``paths[k]`` as table ``names[k]`` and register it as a view.
+                value_type: str = "double", register: bool = True,
+                prefix: str = "") -> dict[str, DataFrame]:
+    """Read ``paths[k]`` as table ``names[k]`` and, with ``register``, make it a
+    view named ``prefix + names[k]``.
 
     The schema comes from ``schemas[name]`` or, for the three domain tables,
     from the name (measures as ``value_type``). ``fmt`` is ``csv`` (header,
-    ``sep``) or ``parquet``; a Parquet table with no known schema keeps the
-    file's own. Lists of unequal length are an error.
+    ``sep``) or ``parquet``. Both check the columns; a Parquet table with no
+    known schema keeps the file's own. Lists of unequal length are an error.
     """
     if len(paths) != len(names):
         raise ValueError(f"{len(paths)} files but {len(names)} table names: {paths} / {names}")
@@ -52,7 +83,9 @@ def load_tables(spark: SparkSession, paths: list[str], names: list[str], sep: st
             schema = schema_for(name, ntz, value_type)
         if fmt == "csv":
             df = read_csv_table(spark, path, schema, sep)
+        elif schema is None:
+            df = spark.read.parquet(path)
         else:
-            df = (spark.read.schema(schema) if schema is not None else spark.read).parquet(path)
-        tables[name] = register_table(name, df)
+            df = checked_parquet(spark, path, schema)
+        tables[name] = register_table(f"{prefix}{name}", df) if register else df
     return tables

@@ -1,10 +1,6 @@
-"""Writers, and the guarded collect.
+"""Writers, and the collect.
 
-Writes are parallel (one file per task) unless a single file is asked for.
-``single_file`` shuffles into one final task (the upstream stages stay
-parallel); it first checks that the output has at most
-``single_file_max_rows`` rows and refuses otherwise, so a large table is never
-funnelled through one task by accident.
+Writes are parallel, one file per task.
 """
 
 from __future__ import annotations
@@ -17,28 +13,18 @@ from pyspark.sql import types as T
 INSTANT_WRITE_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 LOCAL_WRITE_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
-# Upper bound on rows ``to_rows`` brings to the driver.
-DEFAULT_MAX_COLLECT_ROWS = 1_000_000
-# Upper bound on rows written through one task by ``single_file``.
-DEFAULT_SINGLE_FILE_MAX_ROWS = 10_000_000
-
 
 def write_csv(df: DataFrame, path: str, sep: str = ";", mode: str = "errorifexists",
-              header: bool = True, single_file: bool = False,
-              single_file_max_rows: int = DEFAULT_SINGLE_FILE_MAX_ROWS) -> str:
+              header: bool = True, partition_by: list[str] | None = None) -> str:
     """Write ``df`` as separator CSV with a header row; returns ``path``."""
-    # A plain count: partial counts per task. (limit + count would funnel up to
-    # the bound's worth of rows from every partition into one task.)
-    if single_file and df.count() > single_file_max_rows:
-        raise ValueError(f"more than {single_file_max_rows} rows: write in parallel instead "
-                         "of a single file")
-    out = df.repartition(1) if single_file else df
-    (out.write.mode(mode)
-        .option("sep", sep)
-        .option("header", header)
-        .option("timestampFormat", INSTANT_WRITE_FORMAT)
-        .option("timestampNTZFormat", LOCAL_WRITE_FORMAT)
-        .csv(path))
+    w = (df.write.mode(mode)
+         .option("sep", sep)
+         .option("header", header)
+         .option("timestampFormat", INSTANT_WRITE_FORMAT)
+         .option("timestampNTZFormat", LOCAL_WRITE_FORMAT))
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.csv(path)
     return path
 
 
@@ -51,12 +37,12 @@ def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists",
     return path
 
 
-def to_rows(df: DataFrame, max_rows: int = DEFAULT_MAX_COLLECT_ROWS) -> list[list]:
-    """Rows as a list of lists, for small (aggregated) results only.
-
-    Raises rather than truncating when ``df`` has more than ``max_rows`` rows;
-    write large results with :func:`write_csv` or :func:`write_parquet`.
-    """
+def to_rows(df: DataFrame, max_rows: int | None = None) -> list[list]:
+    """All rows as a list of lists, for aggregated results: they must fit on the
+    driver. ``max_rows``, if given, raises beyond that many rows instead of
+    collecting them."""
+    if max_rows is None:
+        return [list(r) for r in df.collect()]
     rows = df.limit(max_rows + 1).collect()
     if len(rows) > max_rows:
         raise ValueError(f"result has more than {max_rows} rows; write it instead of collecting")

@@ -21,9 +21,6 @@ join, where AQE splits a customer that owns a large share of the orders.
 
 from __future__ import annotations
 
-import hashlib
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,43 +30,10 @@ from . import extract as X
 
 VALUE_TYPE = "decimal(18,4)"
 
-# The stored schemas of the test tables. Declaring them skips the
-# footer-reading inference pass on every read (tests check they match).
-TABLE_SCHEMAS = {
-    "region": "r_regionkey int, r_name string",
-    "nation": "n_nationkey int, n_name string, n_regionkey int",
-    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
-                "c_mktsegment string",
-    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
-    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, "
-              "o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
-    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
-                "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
-                "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
-    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
-              "value double, props string",
-}
-
-
-def view_name(sf_dir: str, name: str) -> str:
-    """A view name unique to the table's full path."""
-    path = sf_dir.rstrip("/")
-    tag = re.sub(r"\W", "_", path.rsplit("/", 1)[-1])
-    return f"{name}__{tag}_{hashlib.sha1(path.encode()).hexdigest()[:10]}"
-
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The table as a lazy scan. Like the loader's tables, it is registered
-    once per session as a view and later calls resolve the name, so the
-    file listing is not repeated for every query."""
-    view = view_name(sf_dir, name)
-    if spark.catalog.tableExists(view):
-        return spark.table(view)
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    schema = TABLE_SCHEMAS.get(name)
-    df = (spark.read.schema(schema) if schema else spark.read).parquet(path)
-    df.createOrReplaceTempView(view)
-    return spark.table(view)
+    """The table as a lazy scan, with the files and the columns it has now."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _region_of_nation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,8 +10,6 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 SF_SMALL = "/root/testdata/sf0.001"
 SF_ORACLE = "/root/testdata/sf0.01"
-# Optional: a real daily interchange CSV to profile (tests skip when unset).
-INTERCHANGE_SAMPLE = os.environ.get("GRIDLOAD_INTERCHANGE_SAMPLE")
 
 
 @pytest.fixture(scope="session")

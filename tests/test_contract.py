@@ -4,6 +4,8 @@ import inspect
 
 import __spark_entry__ as E
 from conftest import SF_SMALL
+from gridload.plans.oracle import ORACLE_SQL
+from gridload.plans.queries import QUERIES
 
 
 def test_entry_schema_is_stable(spark):
@@ -13,15 +15,17 @@ def test_entry_schema_is_stable(spark):
 
 
 def test_every_query_has_oracle_sql_and_takes_spark_and_dir():
-    queries, oracle = E.queries(), E.oracle_sql()
+    queries, oracle = QUERIES, ORACLE_SQL
     assert set(queries) == set(oracle)
+    assert set(queries) <= set(E.queries()) and set(oracle) <= set(E.oracle_sql())
+    assert set(E.oracle_sql()) <= set(E.queries())
     for name, fn in queries.items():
         assert list(inspect.signature(fn).parameters)[:2] == ["spark", "sf_dir"], name
         assert oracle[name].strip(), name
 
 
 def test_output_columns_are_unique(spark):
-    for name, fn in E.queries().items():
+    for name, fn in QUERIES.items():
         cols = fn(spark, SF_SMALL).columns
         assert len(cols) == len(set(cols)), name
 

@@ -172,38 +172,29 @@ def test_order_load_total_order(spark):
         ("N", D1, 9.0), ("SE", D1, 5.0), ("SE", D2, 5.0), ("S", D2, None)]
 
 
-def test_single_file_write_refuses_large(spark, workdir):
-    import os
-
-    from gridload.sources.sinks import write_csv
-    df = spark.range(100).toDF("x")
-    with pytest.raises(ValueError):
-        write_csv(df, os.path.join(workdir, "big"), single_file=True, single_file_max_rows=10)
-    path = write_csv(df, os.path.join(workdir, "ok"), single_file=True)
-    assert len([f for f in os.listdir(path) if f.endswith(".csv")]) == 1
-
-
 def test_top_n_bounds(spark):
     load = inter(spark, [(D1, "SE", 1.0)])
     with pytest.raises(ValueError):
         top_loads(load, 0)
-    with pytest.raises(ValueError):
-        top_loads(load, 10**9)
+    assert len(top_loads(load, 20_000).collect()) == 1
 
 
 @pytest.mark.parametrize("unit", [DAILY, MONTHLY])
 def test_single_pass_stage_summary_equals_union(spark, unit):
     from gridload import compute_load
-    from gridload.operators.metrics import load_stage_summary, stage_summary
+    from gridload.operators.metrics import load_stage_summary
 
     g = gen(spark, [(D1, 5.0, "1", "a"), (None, 7.0, "1", "a"), (D2, 1.0, "2", "b"),
                     (D1, None, "3", "c")])
     r = res(spark, [("1", "a", "SE"), ("2", "b", "S"), ("3", "c", None)])
     i = inter(spark, [(D1, "SE", 1.0), (None, "SE", 2.0), (D2, "N", 3.0), (D1, None, 4.0)])
     ga, ia = aggregate_generation(g, r, unit), aggregate_interchange(i, unit)
-    naive = stage_summary({"aggreg_geracao": ga, "aggreg_intercambio": ia,
-                           "calculate_carga": compute_load(ga, ia, unit)})
-    assert sorted(load_stage_summary(ga, ia, unit).collect()) == sorted(naive.collect())
+    alone = []
+    for name, df in (("aggreg_geracao", ga), ("aggreg_intercambio", ia),
+                     ("calculate_carga", compute_load(ga, ia, unit))):
+        values = [x.valor for x in df.collect()]
+        alone.append((name, len(values), max(v for v in values if v is not None)))
+    assert sorted(map(tuple, load_stage_summary(ga, ia, unit).collect())) == sorted(alone)
 
 
 def test_permissive_mode_turns_bad_values_into_null(spark, workdir):

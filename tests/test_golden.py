@@ -5,7 +5,6 @@ import datetime as dt
 
 import pytest
 
-from conftest import INTERCHANGE_SAMPLE
 from fixtures import (GENERATION_CSV, GENERATION_MONTHLY, INTERCHANGE_CSV, INTERCHANGE_DAILY,
                       INTERCHANGE_MONTHLY, LOAD_DAILY, LOAD_MONTHLY, RESOURCES_CSV, write)
 from gridload import (DAILY, MONTHLY, aggregate_generation, aggregate_interchange,
@@ -85,26 +84,29 @@ def test_compute_load_is_inner(tables):
     assert keys == {("S", day(1)), ("S", day(2)), ("SE", day(1)), ("SE", day(2))}
 
 
-@pytest.mark.skipif(not INTERCHANGE_SAMPLE, reason="GRIDLOAD_INTERCHANGE_SAMPLE not set")
-def test_real_interchange_sample_profile(spark):
-    """Profile of a real month of daily interchange (434 rows, 7 subsystems,
-    31 days, 14 rows a day netting to zero)."""
-    df = read_interchange(spark, INTERCHANGE_SAMPLE)
+def test_generated_month_profile(spark, workdir):
+    """A month of daily interchange made by rule: 7 subsystems x 31 days, two
+    rows each; every day nets to zero and three subsystems stand on this side
+    only."""
+    subs = ["SE", "S", "N", "NE", "AR", "PY", "UY"]
+    lines = ["data;subsistema;valor"]
+    for d in range(1, 32):
+        for k, sub in enumerate(subs):
+            out = d * (k + 1) * 1.5
+            # what one subsystem sends, the next one of the ring receives
+            lines.append(f"2018-01-{d:02d}T00:00:00.000Z;{sub};{out}")
+            lines.append(f"2018-01-{d:02d}T00:00:00.000Z;{subs[(k + 1) % 7]};{-out}")
+    df = read_interchange(spark, write(workdir, "month.csv", "\n".join(lines) + "\n"))
     assert df.count() == 434
-    monthly = by_sub(aggregate_interchange(df, MONTHLY))
-    assert monthly == pytest.approx({
-        "AR": 0.008810483870967742, "N": 1895.023548387097, "NE": -1263.8275806451616,
-        "PY": 0.0, "S": -389.6395895806452, "SE": 98.7192041182795, "UY": 0.0}, abs=1e-9)
     daily = by_day(aggregate_interchange(df, DAILY))
     assert len(daily) == 217
-    for sub, v1, v2 in [("N", 2230.92, 4093.19), ("NE", -2391.04, -3565.03),
-                        ("S", -3503.356, -1226.4991), ("SE", 3663.476, 698.3391)]:
-        assert daily[(sub, 1)] == pytest.approx(v1, abs=1e-6)
-        assert daily[(sub, 2)] == pytest.approx(v2, abs=1e-6)
-    per_day = {}
-    for (_, d), v in daily.items():
-        per_day[d] = per_day.get(d, 0.0) + v
-    assert len(per_day) == 31 and all(abs(v) < 1e-6 for v in per_day.values())
+    for k, sub in enumerate(subs):
+        before = (k - 1) % 7 + 1
+        assert daily[(sub, 2)] == pytest.approx(2 * 1.5 * (k + 1 - before))
+    for d in range(1, 32):
+        assert sum(v for (_, day_), v in daily.items() if day_ == d) == pytest.approx(0)
+    monthly = by_sub(aggregate_interchange(df, MONTHLY))
+    assert monthly["S"] == pytest.approx(16 * 1.5 * 1 / 2)
 
 
 def test_session_time_zone_does_not_change_groups(spark, workdir):

@@ -4,21 +4,21 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF_ORACLE
+from gridload.plans.oracle import ORACLE_SQL as ORACLE
+from gridload.plans.queries import QUERIES
 from oracle_compare import compare
 
-ORACLE = E.oracle_sql()
-
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_oracle(spark, name):
-    r = compare(spark, E.queries()[name], ORACLE[name], SF_ORACLE)
+    r = compare(spark, QUERIES[name], ORACLE[name], SF_ORACLE)
     assert r["columns_match"], r
     assert r["spark_rows"] == r["oracle_rows"], r
     assert r["values_match"], r
 
 
 def test_every_query_has_oracle_or_is_declared_rows_only():
-    rows_only = set(E.queries()) - set(ORACLE)
+    rows_only = set(QUERIES) - set(ORACLE)
     assert rows_only == set()
 
 
@@ -29,7 +29,7 @@ def test_entry_smoke(spark):
 
 
 def test_table_schemas_rows(spark):
-    df = E.queries()["table_schemas"](spark, SF_ORACLE)
+    df = QUERIES["table_schemas"](spark, SF_ORACLE)
     rows = {(r.tabela, r.coluna): r for r in df.collect()}
     assert rows[("lineitem", "l_shipdate")].tipo == "timestamp_ntz"
     assert rows[("supplier", "s_suppkey")].posicao == 1
@@ -54,3 +54,10 @@ def test_shuffle_path_matches_oracle(spark, unit, name):
 
     r = compare(spark, query, ORACLE[name], SF_ORACLE)
     assert r["spark_rows"] == r["oracle_rows"] and r["values_match"] and r["exact_match"], r
+
+
+def test_load_ranked_is_the_whole_load_in_order(spark):
+    rows = QUERIES["load_ranked"](spark, SF_ORACLE).collect()
+    assert len(rows) == QUERIES["load_daily"](spark, SF_ORACLE).count()
+    keys = [(-r.valor, r.subsistema, r.data) for r in rows]
+    assert keys == sorted(keys)

@@ -3,8 +3,8 @@ aggregates and joins inside whole-stage codegen."""
 
 import pytest
 
-import __spark_entry__ as E
 from conftest import SF_SMALL
+from gridload.plans.queries import QUERIES
 from plan_text import plan
 
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython",
@@ -12,9 +12,9 @@ FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython",
 FUSED = ("HashAggregate", "BroadcastHashJoin", "SortMergeJoin")
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_plan_hygiene(spark, name):
-    df = E.queries()[name](spark, SF_SMALL)
+    df = QUERIES[name](spark, SF_SMALL)
     df.collect()  # the final adaptive plan shows the codegen stages
     text = plan(df, "formatted").split("== Initial Plan ==")[0]
     for op in FORBIDDEN:

@@ -155,3 +155,16 @@ def test_size_check_has_no_single_task_funnel(spark, monkeypatch):
     monkeypatch.setattr(type(df), "limit", lambda self, n: calls.append(n) or original(self, n))
     assert fits_broadcast(df)
     assert calls == []
+
+
+def test_registered_extraction_prunes_partitions(spark):
+    from gridload.plans.extract_job import extract_frames
+
+    names = Q.partitioned_sources(spark, SF_SMALL)
+    frames = extract_frames(spark, *names, Q.EXTRACT_YEAR, Q.EXTRACT_MONTH,
+                            period=Q.GENERATION_CODES[0], generation_class=Q.GENERATION_CODES[1])
+    text = plan(frames["geracao"])
+    assert re.search(r"PartitionFilters: \[.*p_ano#\d+ = 1998\).*p_mes#\d+ = 1\)", text)
+    assert "EqualTo(tip_classificacao,F)" in text
+    for n in names:
+        spark.catalog.dropTempView(n)

@@ -1,4 +1,4 @@
-"""Declared test-table schemas equal the stored ones; CSV round trip."""
+"""Table reads, checked Parquet input, CSV round trip, the shared folder."""
 
 import datetime as dt
 import os
@@ -6,21 +6,86 @@ import os
 import pytest
 from pyspark.sql import types as T
 
-from conftest import SF_ORACLE, SF_SMALL
+from conftest import SF_SMALL
+from gridload.plans import queries as Q
+from gridload.schemas import interchange_schema
+from gridload.session import scratch_path, shared_dir
 from gridload.sources import tpch
+from gridload.sources.catalog import checked_parquet, load_tables
 from gridload.sources.csv import read_interchange
 from gridload.sources.sinks import write_csv
 
 
-@pytest.mark.parametrize("sf", [SF_SMALL, SF_ORACLE, "/root/testdata/sf0.1"])
-@pytest.mark.parametrize("name", sorted(tpch.TABLE_SCHEMAS))
-def test_declared_schema_matches_file(spark, sf, name):
-    path = f"{sf}/{name}.parquet"
-    if not os.path.exists(path):
-        pytest.skip("table not present")
-    stored = spark.read.parquet(path).schema
-    declared = tpch.read_table(spark, sf, name).schema
-    assert [(f.name, f.dataType) for f in declared] == [(f.name, f.dataType) for f in stored]
+def test_read_table_sees_appended_files(spark, workdir):
+    path = os.path.join(workdir, "events.parquet")
+    spark.range(3).write.parquet(path)
+    assert tpch.read_table(spark, workdir, "events").count() == 3
+    spark.range(5).write.mode("append").parquet(path)
+    assert tpch.read_table(spark, workdir, "events").count() == 8
+
+
+def test_read_table_keeps_every_column(spark, workdir):
+    df = spark.createDataFrame([(1, "ASIA", "new")], "r_regionkey int, r_name string, extra string")
+    df.write.parquet(os.path.join(workdir, "region.parquet"))
+    assert tpch.read_table(spark, workdir, "region").columns == ["r_regionkey", "r_name", "extra"]
+
+
+def test_scan_select_all_leaves_no_view_and_keeps_the_callers(spark):
+    spark.range(2).createOrReplaceTempView("region")
+    before = {t.name for t in spark.catalog.listTables()}
+    out = Q.scan_select_all(spark, SF_SMALL)
+    assert out.columns == ["n_nationkey", "n_name", "n_regionkey", "r_regionkey", "r_name"]
+    assert {t.name for t in spark.catalog.listTables()} == before
+    assert spark.table("region").count() == 2
+    spark.catalog.dropTempView("region")
+
+
+def test_parquet_input_is_checked(spark, workdir):
+    schema = interchange_schema()
+    good = spark.createDataFrame([(dt.datetime(2018, 1, 1), "SE", 1.5)], schema)
+    good.write.parquet(os.path.join(workdir, "good"))
+    assert checked_parquet(spark, os.path.join(workdir, "good"), schema).collect() == good.collect()
+    path = os.path.join(workdir, "misnamed")
+    good.withColumnRenamed("valor", "val_intercambio").write.parquet(path)
+    with pytest.raises(ValueError, match="val_intercambio"):
+        load_tables(spark, [path], ["intercambio"], fmt="parquet", register=False)
+    path = os.path.join(workdir, "text")
+    good.withColumn("valor", good["valor"].cast("string")).write.parquet(path)
+    with pytest.raises(ValueError, match="valor"):
+        load_tables(spark, [path], ["intercambio"], fmt="parquet", register=False)
+    path = os.path.join(workdir, "whole")
+    good.withColumn("valor", good["valor"].cast("int")).write.parquet(path)
+    t = load_tables(spark, [path], ["intercambio"], fmt="parquet", register=False)
+    assert t["intercambio"].schema["valor"].dataType == T.DoubleType()
+
+
+class Conf:
+    def __init__(self, **values):
+        self.values = values
+
+    def get(self, key, default=None):
+        return self.values.get(key, default)
+
+
+class Session:
+    def __init__(self, **values):
+        self.conf = Conf(**{k.replace("__", "."): v for k, v in values.items()})
+
+
+def test_shared_folder_off_local_mode_must_be_set():
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_dir(Session(spark__master=master))
+    cluster = Session(spark__master="yarn", spark__checkpoint__dir="hdfs:///shared/")
+    assert scratch_path(cluster, "x").startswith("hdfs:///shared/x-")
+    local = Session(spark__master="local[4]", spark__app__id="app-1")
+    assert shared_dir(local) == shared_dir(local) and os.path.isdir(shared_dir(local))
+
+
+def test_shared_folder_is_not_registered_as_checkpoint_folder(spark):
+    before = spark.sparkContext.getCheckpointDir()
+    shared_dir(spark)
+    assert spark.sparkContext.getCheckpointDir() == before
 
 
 def test_csv_round_trip_keeps_instants_and_values(spark, workdir):
@@ -44,7 +109,7 @@ def test_load_tables_parquet_and_decimal(spark, workdir):
     from decimal import Decimal
 
     from fixtures import INTERCHANGE_CSV, write
-    from gridload.sources.catalog import load_tables, select_all
+    from gridload.sources.catalog import select_all
 
     t = load_tables(spark, [f"{SF_SMALL}/region.parquet"], ["regiao"], fmt="parquet")
     assert list(t) == ["regiao"] and select_all(spark, "regiao").count() == 5
@@ -56,8 +121,3 @@ def test_load_tables_parquet_and_decimal(spark, workdir):
         load_tables(spark, ["x"], ["intercambio"], value_type="string")
     with pytest.raises(ValueError):
         load_tables(spark, ["x"], ["intercambio"], fmt="orc")
-
-
-def test_view_names_differ_by_full_path():
-    assert tpch.view_name("/a/sf0.1", "orders") != tpch.view_name("/b/sf0.1", "orders")
-    assert tpch.view_name("/a/sf0.1/", "orders") == tpch.view_name("/a/sf0.1", "orders")
