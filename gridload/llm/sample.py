@@ -6,17 +6,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+SALTS = 16
+
+
 def sample_ids(rows: DataFrame, id_col: str, label_col: str, per_label: int,
                seed: int) -> DataFrame:
-    """``(_id, _label)``: the ``per_label`` rows of each label whose hashed ids
-    are lowest. Only ids and labels are read; each task keeps its own lowest
-    rows before the shuffle. Null labels are left out."""
-    order = Window.partitionBy("_label").orderBy("_order", "_id")
+    """``(_id, _label)``: about ``per_label`` rows of each label, at most a
+    quarter more. A label's rows are dealt to ``SALTS`` parts by their hashed
+    ids and each part gives its lowest hashes, so a frequent label is no single
+    task's. Only ids and labels are read; each task keeps its own lowest rows
+    before the shuffle. Null labels are left out."""
+    order = Window.partitionBy("_label", "_salt").orderBy("_order", "_id")
+    each = -(-per_label * 5 // (4 * SALTS))
     return (rows.where(F.col(label_col).isNotNull())
             .select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label"),
                     F.xxhash64(F.col(id_col), F.lit(seed)).alias("_order"))
+            .withColumn("_salt", F.pmod(F.xxhash64("_order"), F.lit(SALTS)))
             .withColumn("_n", F.row_number().over(order))
-            .where(F.col("_n") <= per_label).select("_id", "_label"))
+            .where(F.col("_n") <= each).select("_id", "_label"))
 
 
 def with_texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str,
