@@ -209,6 +209,8 @@ class Model:
     def log10(self, context: np.ndarray, context_count: np.ndarray, word: np.ndarray):
         """log10 probability of each word after its context."""
         low = self.low(word)
+        if not self.bigrams:
+            return np.log10(low)
         key = (context.astype(np.uint64) << np.uint64(32)) | word.astype(np.uint64)
         _, first, back = np.unique(key, return_index=True, return_inverse=True)
         count, classes = (x[..., back] for x in self.bigram_counts(context[first], word[first]))

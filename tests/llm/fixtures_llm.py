@@ -1,0 +1,77 @@
+"""Small tables with every odd case, and plain-Python rules to hold results to."""
+
+import os
+import re
+import zlib
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+ALNUM = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+LOWER = {c: c + 32 for c in range(65, 91)}
+
+ITEM = "the quick brown fox jumps over the lazy dog while rain falls on every old roof"
+LONG = " ".join(f"w{k % 977}x{k % 31}" for k in range(60_000))  # some 450,000 characters
+
+DOCS = [
+    (1, "Alpha beta gamma delta epsilon zeta eta theta.", "en", "a"),
+    (2, "Alpha beta gamma delta epsilon zeta eta theta.", "en", "b"),
+    (3, "alpha  beta\tgamma\ndelta epsilon zeta eta theta.", "en", "a"),
+    (4, None, "en", "a"),
+    (5, "", None, None),
+    (6, " \t\n ", "fr", None),
+    (7, "12345 67890 !!", "de", "b"),
+    (8, ITEM.upper() + " tail", "en", "c"),
+    (9, "before " + " ".join(ITEM.split()[3:13]) + " after", None, "c"),
+    (9, "same id, other text", "en", "c"),
+    (10, LONG, "en", "d"),
+    (10, LONG, "en", "d"),
+    (11, "ünïcödé ŸŸ 漢字 token = 'abcdef123456' straße K", "de", "é"),
+    (12, "x" * 5000, None, "d"),
+    (13, "a\x00b <|endoftext|> c", "en", "c"),
+    (None, "no id at all, but text", "en", "a"),
+    (None, "no id at all, but text", "en", "a"),
+    (None, None, None, None),
+    (-5, "negative id", "en", "a"),
+    (14, 'db = "Zx81kjQ99aaPQ"\npassword = db\nsecret: tok', "en", "a"),
+]
+
+# Columns whose names the operators use themselves.
+CLASHES = ["row", "size", "n", "token", "score", "first", "kept", "digest", "file", "lang_pred",
+           "_id", "_key", "_doc", "target", "matches", "rejected", "text_key", "component"]
+
+
+def docs_frame(spark, rows=DOCS):
+    extra = ", ".join(f"`{c}` string" for c in CLASHES)
+    return spark.createDataFrame(
+        [(*r, *(f"{c}{k}" for c in CLASHES)) for k, r in enumerate(rows)],
+        f"doc_id bigint, text string, lang string, source string, {extra}")
+
+
+def write_tables(spark, folder, rows=DOCS, items=None, labels=None):
+    items = [(1, ITEM), (2, "one two"), (3, None), (4, "..."), (None, ITEM)] \
+        if items is None else items
+    labels = [(r[0], k % 2, 0) for k, r in enumerate(rows)] + [(1, 1, 0), (None, None, None)] \
+        if labels is None else labels
+    docs_frame(spark, rows).write.parquet(os.path.join(folder, "documents.parquet"))
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(
+        os.path.join(folder, "benchmark.parquet"))
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(
+        os.path.join(folder, "labels.parquet"))
+    return folder
+
+
+def words(text, pattern=WORD):
+    return pattern.findall((text or "").translate(LOWER))
+
+
+def remainder(doc_id, modulus):
+    return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % modulus
+
+
+def read_docs(sf_dir):
+    import pyarrow.parquet as pq
+
+    return pq.read_table(f"{sf_dir}/documents.parquet").to_pylist()
+
+
+def multiset(rows, *names):
+    return sorted((tuple(r[n] for n in names) for r in rows), key=repr)
