@@ -1,0 +1,135 @@
+"""Huffman codes, token files, and both against the tokenizers library."""
+
+import heapq
+import os
+import struct
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from conftest import SF_SMALL
+from fixtures_llm import docs_frame, read_docs
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from gridload.llm import huffman as H
+from gridload.llm import token_output as T
+from gridload.llm.queries import QUERIES
+
+
+def optimal_bits(counts):
+    heap = [int(c) for c in counts]
+    heapq.heapify(heap)
+    total = 0
+    while len(heap) > 1:
+        pair = heapq.heappop(heap) + heapq.heappop(heap)
+        total += pair
+        heapq.heappush(heap, pair)
+    return total
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(1, 10**9), min_size=2, max_size=300))
+def test_lengths_are_optimal_and_limited(counts):
+    counts = np.array(counts)
+    free = H.code_lengths(counts, 64)
+    assert int((counts * free).sum()) == optimal_bits(counts)
+    tight = H.code_lengths(counts, 9)
+    assert tight.max() <= 9 and sum(2.0 ** -float(x) for x in tight) <= 1.0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 40), max_size=70), min_size=1, max_size=9),
+       st.sampled_from([1, 3, 64]))
+def test_blocks_decode_to_what_was_encoded(texts, block):
+    ids = np.array([x for t in texts for x in t], np.uint32)
+    if not len(ids):
+        return
+    symbols, counts = np.unique(ids * 1000, return_counts=True)
+    book = H.Codebook.of_counts(symbols, counts)
+    starts = np.cumsum([0, *map(len, texts)])
+    data, byte, bits, blocks = book.encode(ids * 1000, starts, block)
+    sizes = np.concatenate([np.minimum(block, len(t) - np.arange(0, len(t), block))
+                            for t in texts if t]).astype(np.int64)
+    at = bits + np.repeat(byte[:-1] * 8, blocks)
+    assert book.decode(data, at, sizes).tolist() == (ids * 1000).tolist()
+    # any block alone
+    k = len(sizes) // 2
+    first = int(sizes[:k].sum())
+    alone = book.decode(data, at[k:k + 1], sizes[k:k + 1])
+    assert alone.tolist() == (ids * 1000)[first:first + int(sizes[k])].tolist()
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="ab1.é漢 \n\t\r '\x1c", max_size=25), min_size=1, max_size=6))
+def test_pieces_give_the_librarys_ids(texts):
+    encoder = T.encoder(T.default_tokenizer())
+    ids, starts = encoder.encode(pa.array(texts))
+    want = encoder.tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert [ids[a:b].tolist() for a, b in zip(starts[:-1], starts[1:])] == [w.ids for w in want]
+
+
+def brute(rows):
+    """(doc_id, start, n, crc) with null ids first; rows of one id as a set."""
+    tokenizer = T.encoder(T.default_tokenizer()).tokenizer
+    out = []
+    for doc_id, text in rows:
+        ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [2]
+        out.append((doc_id, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+    return out
+
+
+def held_to_brute(got, rows):
+    want = brute(rows)
+    assert sorted(map(repr, ((r.doc_id, r.n_tokens, r.ids_crc32) for r in got))) == \
+        sorted(map(repr, want))
+    # in order of start, ids rise and nothing is between one text and the next
+    ranked, at = sorted(got, key=lambda r: r.start), 0
+    keys = [(r.doc_id is not None, r.doc_id or 0) for r in ranked]
+    assert keys == sorted(keys)
+    for r in ranked:
+        assert r.start == at
+        at += r.n_tokens
+
+
+def test_query_on_given_and_odd_tables(spark, edge_dir, small_batches):
+    for sf in (SF_SMALL, edge_dir):
+        rows = [(d["doc_id"], d["text"]) for d in read_docs(sf)]
+        held_to_brute(QUERIES["op6_token_output"](spark, sf).collect(), rows)
+
+
+def test_many_files_and_long_texts(spark, workdir, monkeypatch):
+    monkeypatch.setattr(T, "FILE_CHARS", 2000)
+    rows = [(k % 37, f"text {k} " * (k % 50)) for k in range(200)] + [(99, "long word " * 3000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    path = os.path.join(workdir, "tokens")
+    made = T.write_tokens(df, path)
+    files = [f for f in os.listdir(path) if f.startswith("part-")]
+    assert made["texts"] == 201 and made["files"] == len(files) > 5
+    assert not [f for f in os.listdir(path) if f.startswith("_")]
+    got = T.read_tokens(spark, path, with_ids=True).collect()
+    held_to_brute(got, rows)
+    assert sum(r.n_tokens for r in got) == made["tokens"]
+    long = max(got, key=lambda r: r.n_tokens)
+    assert zlib.crc32(bytes(long.ids)) == long.ids_crc32 and long.n_tokens > T.BLOCK
+
+
+def test_a_repeated_task_leaves_one_file(spark, workdir):
+    df = docs_frame(spark, [(1, "one two", "en", "a")])
+    path = os.path.join(workdir, "tokens")
+    T.write_tokens(df, path)
+    first = sorted(os.listdir(path))
+    T.write_tokens(df, path)  # the same files again
+    assert sorted(os.listdir(path)) == first
+    assert T.read_tokens(spark, path).count() == 1
+
+
+def test_foreign_file_is_refused():
+    book = H.Codebook.of_counts(np.array([1, 2], np.uint32), np.array([3, 4]))
+    with pytest.raises(ValueError):
+        list(T.segments(struct.pack(T.HEADER, b"OTHER\n", 0, 0, 0), book))
+
+
+def test_empty(spark, empty_dir):
+    assert QUERIES["op6_token_output"](spark, empty_dir).collect() == []
