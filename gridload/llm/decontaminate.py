@@ -10,8 +10,9 @@ and a lost shard is read again from the written table.
 terms are not all there is out at once; for the others the postings of the
 rarest term, moved back by its offset, are the candidate starts, and the lists
 of the next rarest terms, moved likewise, are intersected with them. With
-``slop`` a term may stand up to that many places off (proximity); a match's
-``slack`` is the largest displacement, 0 for an exact phrase.
+``slop`` up to that many words may stand between the terms (proximity): each is
+taken at its occurrence nearest to its place beside the rarest term. A match's
+``slack`` is the number of words between, 0 for an exact phrase.
 
 The benchmark's windows are broadcast in blocks of at most ``QUERY_WORDS``
 words (8 bytes each); a larger benchmark is searched block after block.
@@ -104,7 +105,7 @@ class Block:
         start = self.postings(at[order[0]]) - order[0]
         start = start[start >= -slop]
         low, high = start + order[0], start + order[0]
-        slack = np.zeros(len(start), np.int64)
+        least, most = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
         for k in order[1:]:
             if not len(start):
                 break
@@ -114,10 +115,11 @@ class Block:
             left = np.maximum(right - 1, 0)
             near = np.where(np.abs(there[left] - want) < np.abs(there[right] - want),
                             there[left], there[right])
-            off = np.abs(near - want)
-            ok = off <= slop
-            start, slack = start[ok], np.maximum(slack, off)[ok]
+            least, most = np.minimum(least, near - want), np.maximum(most, near - want)
+            ok = most - least <= slop
+            start, least, most = start[ok], least[ok], most[ok]
             low, high = np.minimum(low, near)[ok], np.maximum(high, near)[ok]
+        slack = most - least
         # all within one text
         text = np.searchsorted(self.first, low, side="right")
         ok = text == np.searchsorted(self.first, high, side="right")
