@@ -11,7 +11,8 @@ both linear, a worker needs only ``embeddings @ weights``: one row of
 
 Rejection is calibrated on a part of the sample that SGD does not see: a
 temperature is fitted to it, and a text is rejected when its calibrated
-probability is under the value that ``KEEP`` of the rightly named texts reach.
+probability is under the value that ``KEEP`` of the rightly named texts reach,
+though never when its language is more likely than not (``EVEN``).
 
 Edge cases: a null text or one without a letter is ``und``, score 0 and
 rejected; without a learnable row every text is; repeated rows and ties in the
@@ -39,6 +40,7 @@ DIMENSION = 16
 PER_LANGUAGE = 600
 MAX_CHARS = 10_000
 KEEP = 0.999
+EVEN = 0.5
 UNDETERMINED = "und"
 
 # Letters of lower-cased ASCII and all bytes of multi-byte characters; every
@@ -132,8 +134,10 @@ def _means(emb: np.ndarray, docs: list, picked: np.ndarray) -> tuple[np.ndarray,
 
 
 def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: int = 7,
-          epochs: int = 5, batch: int = 32, rate: float = 0.4) -> LanguageModel:
-    """SGD over the sample; one text in five is kept for calibration."""
+          epochs: int = 5, batch: int = 32, rate: float = 0.4,
+          least_steps: int = 300) -> LanguageModel:
+    """SGD over the sample, ``epochs`` times or, for a small one, as often as
+    ``least_steps`` batches take; one text in five is kept for calibration."""
     keep = [k for k, d in enumerate(docs) if len(d[0])]
     docs, labels = [docs[k] for k in keep], [labels[k] for k in keep]
     languages = sorted(set(labels))
@@ -146,6 +150,8 @@ def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: in
     held, fit = order[::5] if len(order) >= 20 else order, order[np.arange(len(order)) % 5 > 0]
     if len(order) < 20:
         fit = order
+    epochs = max(epochs, -(-least_steps * batch // max(1, len(fit))) if len(fit) else 0)
+    epochs = min(epochs, least_steps)
     for epoch in range(epochs if len(languages) > 1 else 0):
         lr = rate * (1 - epoch / epochs)
         for a in range(0, len(fit), batch):
@@ -168,7 +174,7 @@ def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: in
         temperature = float(grid[int(np.argmin(loss))])
         p = _softmax(logits / temperature)
         right = p.max(1)[p.argmax(1) == y[held]]
-        reject = float(min(0.6, np.quantile(right, 1 - KEEP))) if len(right) else 0.0
+        reject = float(min(EVEN, np.quantile(right, 1 - KEEP))) if len(right) else 0.0
     table[0] = 0
     return LanguageModel(languages, (table / temperature).astype(np.float32),
                          bias / temperature, reject)

@@ -100,7 +100,7 @@ def test_query_on_given_and_odd_tables(spark, edge_dir, small_batches):
 
 
 def test_many_files_and_long_texts(spark, workdir, monkeypatch):
-    monkeypatch.setattr(T, "FILE_CHARS", 2000)
+    monkeypatch.setattr(T, "FILE_IDS", 1500)
     rows = [(k % 37, f"text {k} " * (k % 50)) for k in range(200)] + [(99, "long word " * 3000)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
     path = os.path.join(workdir, "tokens")
