@@ -1,16 +1,16 @@
 """Token ids as Huffman-coded binary files.
 
-1. Every text is encoded once and the occurrences of each id are summed (a row
-   for each id and task; at most the vocabulary reaches the driver).
-2. The codes are made from these global counts.
-3. Every text is encoded again, its ids are coded, and the coded texts go to
-   files by ranges of doc_id; a task writes one file, sorted by doc_id, under
-   a temporary name and moves it (a repeated task writes the same file).
+1. Every text is encoded once and its ids are staged in the shared folder.
+2. The occurrences of each id are summed over the staged ids (a row for each id
+   and task; at most the vocabulary reaches the driver) and the codes made from
+   these global counts.
+3. The staged ids are coded, and the coded texts go to files by ranges of
+   doc_id; a task writes one file, sorted by doc_id, under a temporary name and
+   moves it (a repeated task writes the same file).
 4. Spark reads the files back; blocks of ``BLOCK`` ids decode independently
    from their bit offsets.
 
-Encoding twice keeps one copy of the coded ids on disk less than storing the
-ids would. Texts are cut at single blanks and line ends between other
+Texts are cut at single blanks and line ends between other
 characters, where the byte-level pre-tokenizer always begins a new piece; a
 piece is encoded once and remembered (up to ``REMEMBER`` pieces a worker).
 Texts with other blanks are cut by a stricter rule.
@@ -26,6 +26,7 @@ file and no row; other columns are not read.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import uuid
@@ -40,13 +41,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import slices, utf8, written
 from .huffman import Codebook
 
 END_ID = 2
 BLOCK = 1024
-FILE_CHARS = 8_000_000
+FILE_IDS = 4_000_000
 SEGMENT_BYTES = 4 << 20
-REMEMBER = 1_000_000
+REMEMBER = 1_500_000
 HEADER = "<6sQQQ"
 MAGIC = b"TIDS1\n"
 
@@ -60,8 +62,51 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class Pieces:
+    """Remembered pieces of one kind and their ids, in one growing array."""
+
+    def __init__(self, dtype: np.dtype):
+        self.at: dict[str, int] = {}
+        self.ids = np.zeros(1 << 16, dtype)
+        self.ends = np.zeros(1 << 14, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def add(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, used = len(self.at), int(self.ends[len(self.at) - 1]) if self.at else 0
+        while len(self.ids) < used + len(ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while len(self.ends) < n + len(pieces):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.ids[used:used + len(ids)] = ids
+        self.ends[n:n + len(pieces)] = used + np.cumsum(sizes)
+        self.at.update(zip(pieces, range(n, n + len(pieces))))
+
+    def take(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of known pieces, and how many each has."""
+        at = np.fromiter(map(self.at.__getitem__, pieces), np.int64, len(pieces))
+        start = np.where(at > 0, self.ends[at - 1], 0)
+        return _ranges(self.ids, start, sizes := self.ends[at] - start), sizes
+
+
+def _ranges(store: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The elements of ``store`` in ranges, one range after the other."""
+    ends = np.cumsum(size)
+    take = np.arange(int(ends[-1]) if len(ends) else 0)
+    take += np.repeat(start - (ends - size), size)
+    return store[take]
+
+
 class Encoder:
-    """Ids of many texts at once, piece by remembered piece."""
+    """Ids of many texts at once, piece by remembered piece.
+
+    New pieces are encoded many in one text, parted by the blank they begin
+    with or by line ends; the parts are told by the tokens that begin with the
+    blank, or are the line end. Where their number does not fit, each piece is
+    encoded by itself."""
+
+    JOINED = 2000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -69,18 +114,42 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype(np.uint16 if size <= 1 << 16 else np.uint32)
-        self.known: dict[str, bytes] = {}
-
-    def pieces(self, pieces: list[str]) -> list[bytes]:
-        if len(self.known) + len(pieces) > REMEMBER:
-            self.known.clear()
-        new = [p for p in pieces if p not in self.known]
-        for a in range(0, len(new), 10_000):
-            part = new[a:a + 10_000]
-            for piece, found in zip(part, self.tokenizer.encode_batch_fast(
-                    part, add_special_tokens=False)):
-                self.known[piece] = np.array(found.ids, self.dtype).tobytes()
-        return [self.known[p] for p in pieces]
+        self.begins = np.zeros(size, bool)
+        for token, k in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            self.begins[k] = token.startswith("\u0120")  # the byte-level blank
+        self.line = self._ids("\n")[-1:].astype(np.int64)
+        self.kinds = {k: Pieces(self.dtype) for k in ("spaced", "bare", "whole")}
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
+
+    def _learn(self, kind: str, new: list[str]) -> None:
+        known = self.kinds[kind]
+        for a in range(0, len(new), self.JOINED):
+            part, sizes = new[a:a + self.JOINED], None
+            if kind == "spaced":
+                ids = self._ids(" " + " ".join(part))
+                first = np.flatnonzero(self.begins[ids])
+                if len(first) == len(part) and first[0] == 0:
+                    sizes = np.diff(first, append=len(ids))
+            elif kind == "bare":
+                ids = self._ids("\n".join(part))
+                cut = np.flatnonzero(ids == self.line[0])
+                if len(cut) == len(part) - 1:
+                    sizes = np.diff(cut, prepend=-1, append=len(ids)) - 1
+                    ids = np.delete(ids, cut)
+            if sizes is None:
+                lead = " " if kind == "spaced" else ""
+                each = [self._ids(lead + p) for p in part]
+                ids, sizes = np.concatenate(each), np.array([len(e) for e in each])
+            known.add(part, ids, sizes)
+
+    def look_up(self, kind: str, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        known = self.kinds[kind]
+        if len(known) + len(pieces) > REMEMBER:
+            known = self.kinds[kind] = Pieces(self.dtype)
+        self._learn(kind, [p for p in pieces if p not in known.at])
+        return known.take(pieces)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids and where each text's begin (one more than texts)."""
@@ -88,54 +157,60 @@ class Encoder:
         cut = pc.split_pattern(pc.replace_substring(texts, "\n", " \n "), " ")
         flat, number = cut.flatten(), pc.list_value_length(cut).to_numpy()
         coded = flat.dictionary_encode()
-        code, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        code, words = coded.indices.to_numpy(), coded.dictionary
         text = np.repeat(np.arange(len(texts)), number)
-        first = np.zeros(len(code), bool)
+        first = np.zeros(len(code) + 1, bool)
         first[np.cumsum(number) - number] = True
+        first, last = first[:-1], np.concatenate([first[1:-1], [True]])[:len(code)]
         # a word may stand alone unless it is empty or has a blank at its ends
-        odd = np.array([not w or (w != "\n" and (w[0].isspace() or w[-1].isspace()))
-                        for w in words], bool)
-        line = np.array([w == "\n" for w in words], bool)
+        line = pc.equal(words, "\n").to_numpy(zero_copy_only=False)
+        odd = pc.or_(pc.equal(words, ""), pc.not_equal(pc.utf8_trim_whitespace(words), words))
+        odd = odd.to_numpy(zero_copy_only=False) & ~line
         is_line = line[code]
-        after_line = np.concatenate([[False], is_line[:-1]]) & ~first
-        last = np.concatenate([first[1:], [True]]) if len(first) else first
-        bare = first | after_line | is_line
+        bare = first | is_line
+        bare[1:] |= is_line[:-1]
         strict = np.zeros(len(texts), bool)
         strict[text[odd[code] | (is_line & (first | last))]] = True
         use = ~strict[text]
-        plain, spaced = (np.unique(code[use & b]) for b in (bare, ~bare))
-        units = [words[c] for c in plain] + [" " + words[c] for c in spaced]
-        place = np.zeros((2, max(1, len(words))), np.int64)
-        place[0, plain] = np.arange(len(plain))
-        place[1, spaced] = np.arange(len(spaced)) + len(plain)
-        row = [text[use]]
-        unit = [place[(~bare[use]).astype(np.int64), code[use]]]
+        units: list[tuple[np.ndarray, np.ndarray]] = []
+        place = np.zeros((2, len(words)), np.int64)
+        n = 0
+        for j, kind in enumerate(("spaced", "bare")):
+            mine = np.zeros(len(words), bool)
+            mine[code[use & (bare if j else ~bare)]] = True
+            if j and (at := np.flatnonzero(mine & line)).size:  # the line end itself
+                mine[at] = False
+                units.append(self.look_up("whole", ["\n"]))
+                place[j, at], n = n, n + 1
+            at = np.flatnonzero(mine)
+            units.append(self.look_up(kind, words.take(pa.array(at)).to_pylist()))
+            place[j, at] = n + np.arange(len(at))
+            n += len(at)
+        row, unit = [text[use]], [place[bare[use].astype(np.int64), code[use]]]
         extra: dict[str, int] = {}
         for k in np.flatnonzero(strict):
             whole = texts[int(k)].as_py()
             ends = [m.start() for m in _SAFE_BLANK.finditer(whole)]
             own = [whole[a:b] for a, b in zip([0, *ends], [*ends, len(whole)]) if b > a]
-            unit.append(np.array([extra.setdefault(p, len(units) + len(extra)) for p in own],
-                                 np.int64))
+            unit.append(np.array([extra.setdefault(p, n + len(extra)) for p in own], np.int64))
             row.append(np.full(len(own), k))
+        if extra:
+            units.append(self.look_up("whole", list(extra)))
         row_all, unit_all = np.concatenate(row), np.concatenate(unit)
         if strict.any():
             order = np.argsort(row_all, kind="stable")
             row_all, unit_all = row_all[order], unit_all[order]
-        found = self.pieces(units + list(extra))
-        size = np.array([len(f) // self.dtype.itemsize for f in found], np.int64)
-        start = np.cumsum(size) - size
-        store = np.frombuffer(b"".join(found), self.dtype)
+        size = np.concatenate([s for _, s in units])
+        store = np.concatenate([i for i, _ in units])
         length = size[unit_all]
-        ends = np.cumsum(length)
-        take = np.arange(int(ends[-1]) if len(ends) else 0)
-        take += np.repeat(start[unit_all] - (ends - length), length)
+        ids = _ranges(store, (np.cumsum(size) - size)[unit_all], length)
         tokens = np.bincount(row_all, length, len(texts)).astype(np.int64)
-        return store[take], np.concatenate([[0], np.cumsum(tokens)])
+        return ids, np.concatenate([[0], np.cumsum(tokens)])
 
 
 def encoder(path: str) -> Encoder:
     if path not in _ENCODERS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
 
@@ -164,37 +239,58 @@ def _encoded(batch: pa.RecordBatch, column: int, tokenizer: str, end_id: int,
         a = b
 
 
-def count_ids(docs: DataFrame, tokenizer: str, text_col: str = "text",
+def stage_ids(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
               end_id: int = END_ID) -> DataFrame:
-    """(id, n): occurrences over all texts, ends included."""
+    """(doc_id, n, ids): the ids of each text, the end included; written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
         for batch in batches:
-            for _, _, ids, _ in _encoded(batch, 0, tokenizer, end_id):
-                part = np.bincount(ids)
-                if len(part) > len(total):
-                    part[:len(total)] += total
-                    total = part
-                else:
-                    total[:len(part)] += part
+            for a, b, ids, starts in _encoded(batch, 1, tokenizer, end_id):
+                raw = ids.astype(np.uint16 if wide <= 1 << 16 else np.uint32).tobytes()
+                at = (starts * (2 if wide <= 1 << 16 else 4)).tolist()
+                yield pa.record_batch(
+                    [batch.column(0).slice(a, b - a), pa.array(np.diff(starts)),
+                     pa.array([raw[x:y] for x, y in zip(at[:-1], at[1:])], pa.binary())],
+                    ["doc_id", "n", "ids"])
+
+    wide = id_space(tokenizer, end_id)
+    return written(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_col)
+                   .mapInArrow(run, "doc_id bigint, n bigint, ids binary"), "token-ids")
+
+
+def id_space(tokenizer: str, end_id: int) -> int:
+    """One more than the largest id."""
+    return max(len(encoder(tokenizer).begins), end_id + 1)
+
+
+def _staged_ids(column: pa.Array, wide: int) -> np.ndarray:
+    return utf8(column)[0].view(np.uint16 if wide <= 1 << 16 else np.uint32)
+
+
+def count_ids(staged: DataFrame, wide: int) -> DataFrame:
+    """(id, n): occurrences over all staged texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(wide, np.int64)
+        for batch in batches:
+            total += np.bincount(_staged_ids(batch.column(0), wide), minlength=wide)
         used = np.flatnonzero(total)
         yield pa.record_batch([pa.array(used), pa.array(total[used])], ["id", "n"])
 
-    return (docs.select(text_col).mapInArrow(run, "id bigint, n bigint")
+    return (staged.select("ids").mapInArrow(run, "id bigint, n bigint")
             .groupBy("id").agg(F.sum("n").alias("n")))
 
 
-def _file_bounds(docs: DataFrame, id_col: str, text_col: str) -> list[int]:
-    """Ids at which the files after the first begin, for files of about
-    ``FILE_CHARS`` characters."""
-    chars = docs.agg(F.sum(F.length(text_col)).alias("c"), F.count(F.lit(1)).alias("n")).collect()[0]
-    files = max(1, -(-((chars["c"] or 0) + chars["n"]) // FILE_CHARS))
+def _file_bounds(staged: DataFrame) -> list[int]:
+    """Doc ids at which the files after the first begin, for files of about
+    ``FILE_IDS`` ids."""
+    total = staged.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).collect()[0]["n"]
+    files = max(1, -(-total // FILE_IDS))
     if files == 1:
         return []
     shares = [k / files for k in range(1, files)]
-    found = docs.agg(F.percentile_approx(F.col(id_col).cast("bigint"), shares,
-                                         max(10_000, 20 * files)).alias("q")).collect()[0]["q"]
+    found = staged.agg(F.percentile_approx("doc_id", shares, max(10_000, 20 * files))
+                       .alias("q")).collect()[0]["q"]
     return sorted(set(found or []))
 
 
@@ -203,8 +299,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None,
     """Writes ``docs`` under ``path`` (any file system pyarrow knows and all
     executors reach); returns the number of texts, ids and files."""
     tokenizer = tokenizer or default_tokenizer()
-    counts = count_ids(docs, tokenizer, text_col, end_id).collect()
-    counts.sort()
+    wide = id_space(tokenizer, end_id)
+    staged = stage_ids(docs, tokenizer, id_col, text_col, end_id)
+    counts = sorted(count_ids(staged, wide).collect())
     symbols = np.array([r["id"] for r in counts], np.uint32)
     book = Codebook.of_counts(symbols, np.array([r["n"] for r in counts], np.int64))
     fs, root = pafs.FileSystem.from_uri(path)
@@ -213,19 +310,23 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None,
         f.write(struct.pack("<Q", len(symbols)) + book.symbols.astype("<u4").tobytes()
                 + book.lengths.tobytes())
     shared = docs.sparkSession.sparkContext.broadcast(book)
-    bounds = np.array(_file_bounds(docs, id_col, text_col), np.int64)
+    bounds = np.array(_file_bounds(staged), np.int64)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, ids, starts in _encoded(batch, 1, tokenizer, end_id):
-                data, byte, bits, blocks = shared.value.encode(ids, starts, BLOCK)
-                key = batch.column(0).slice(a, b - a)
+            sizes = np.concatenate([[0], np.cumsum(batch.column(1).to_numpy())])
+            for a, b in slices(sizes, 1 << 21):
+                part = batch.slice(a, b - a)
+                starts = sizes[a:b + 1] - sizes[a]
+                data, byte, bits, blocks = shared.value.encode(
+                    _staged_ids(part.column(2), wide), starts, BLOCK)
+                key = part.column(0)
                 file = np.searchsorted(bounds, key.fill_null(np.iinfo(np.int64).min).to_numpy(),
                                        side="right")
                 ends = np.cumsum(blocks)
                 marks = bits.astype("<u8")
                 yield pa.record_batch(
-                    [pa.array(file.astype(np.int32)), key, pa.array(np.diff(starts)),
+                    [pa.array(file.astype(np.int32)), key, part.column(1),
                      pa.array([marks[e - n:e].tobytes() for e, n in zip(ends, blocks)],
                               pa.binary()),
                      pa.array([data[x:y] for x, y in zip(byte[:-1], byte[1:])], pa.binary())],
@@ -272,8 +373,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None,
         yield pa.record_batch([pa.array([texts], pa.int64()), pa.array([tokens], pa.int64())],
                               ["texts", "tokens"])
 
-    coded = (docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_col)
-             .mapInArrow(encode, "file int, doc_id bigint, n bigint, marks binary, bits binary"))
+    coded = staged.mapInArrow(
+        encode, "file int, doc_id bigint, n bigint, marks binary, bits binary")
     row = (coded.repartitionById(len(bounds) + 1, F.col("file"))
            .sortWithinPartitions("doc_id", "bits")
            .mapInArrow(write, "texts bigint, tokens bigint")
