@@ -4,6 +4,15 @@ from __future__ import annotations
 
 from . import license_scan
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _words(pattern: str) -> str:
+    """Lower-cased (A-Z only) words of the column text; none for null."""
+    return (f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), "
+            f"'{pattern}')")
+
+
 ORACLE_SQL = {
     "op1_license_scan": license_scan.oracle_sql(),
     # Equal texts are grouped by the text itself; the smallest id stays.
@@ -13,4 +22,39 @@ WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+',
 g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(d.t) AS text_sha256
 FROM d JOIN g ON d.t = g.t""",
+    # All pairs that share a shingle, counted; components by reachability.
+    "op5_ngram_jaccard": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {_words(r'[^\x20\x09-\x0D]+')} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 3], ' ') AS g
+      FROM d, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS t(k) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+      FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+      WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(v, u) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.v, e.b FROM r JOIN e ON r.u = e.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id
+       JOIN (SELECT v, min(u) AS c FROM r GROUP BY v) m ON m.v = d.doc_id""",
+    # Every window of every document against every window of every item.
+    "op10_decontaminate": rf"""
+WITH d AS (SELECT doc_id, {_words(r'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')} AS w FROM documents),
+i AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item,
+             {_words(r'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')} AS w FROM benchmark),
+q AS (SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[k:k + 9], ' ') AS g
+      FROM i, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS t(k) WHERE len(w) > 0),
+x AS (SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS g
+      FROM d, (SELECT DISTINCT n FROM q), unnest(range(1, len(w) - n + 2)) AS t(k)
+      WHERE len(w) >= n),
+h AS (SELECT doc_id, k, x.n, item FROM x JOIN q ON x.n = q.n AND x.g = q.g),
+p AS (SELECT doc_id, count(DISTINCT place) AS hit
+      FROM (SELECT doc_id, unnest(range(k, k + n)) AS place FROM h) GROUP BY doc_id),
+m AS (SELECT doc_id, count(DISTINCT item) AS items,
+             sha256(string_agg(DISTINCT item, ',' ORDER BY item)) AS digest
+      FROM h GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(hit, 0) AS n_hit,
+       coalesce(items, 0) AS n_items, coalesce(digest, sha256('')) AS items_sha256,
+       hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN p ON p.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id""",
 }

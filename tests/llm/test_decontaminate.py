@@ -85,3 +85,13 @@ def test_empty(spark, empty_dir, edge_dir):
     none = spark.createDataFrame([], "item_id int, text string")
     found = D.decontaminate(spark.read.parquet(f"{edge_dir}/documents.parquet"), none)
     assert all(r.matches == [] for r in found.collect())
+
+
+def test_matches_sql_on_the_given_tables(spark):
+    from conftest import SF_ORACLE
+    from oracle_compare import compare
+
+    from gridload.llm.oracle import ORACLE_SQL
+
+    r = compare(spark, QUERIES["op10_decontaminate"], ORACLE_SQL["op10_decontaminate"], SF_ORACLE)
+    assert r["columns_match"] and r["exact_match"], r
