@@ -18,8 +18,10 @@ Exact: no link between different texts is lost. Sizes below are for sets of
    needed, the group stays closed. Only qualifying groups are opened, and their
    sets with that shingle compared. Sets of one group are not compared again,
    as they are in one component already.
-5. *Comparing.* Parity sketches of 1,024 bits bound the difference of two sets
-   from below; what they cannot rule out is compared shingle by shingle.
+   Lists of two sets hold no other pair than the leader's and are left out.
+5. *Comparing.* Parity sketches of two bits a shingle or more bound the
+   difference of two sets from below; what they cannot rule out is compared
+   shingle by shingle.
 
 Lists of very frequent shingles are salted by their magnitude, and the leaders
 of the parts led by one of them, so no list is one task's. Groups as large as
@@ -49,7 +51,7 @@ from .words import mix, shingles, words
 CELL_BITS = 22
 CELLS = 1 << CELL_BITS
 PARTS = 64  # of the table of cells
-SKETCH_BITS = 1024
+SKETCH_BITS = (512, 1 << 17)  # least and most bits of a sketch
 SALT_FROM = 13  # magnitudes (powers of two) above this are salted
 BROADCAST_IDS = 1_000_000
 
@@ -109,10 +111,24 @@ def magnitudes(docs: DataFrame, k: int, text_col: str = "text") -> np.ndarray:
 
 
 def parity_sketch(values: np.ndarray) -> bytes:
-    """One bit for each cell that an odd number of the set's hashes fall in.
-    The sketches of two sets differ in at most as many bits as the sets do."""
-    cell = (mix(values) >> np.uint64(54)).astype(np.int64)
-    return np.packbits(np.bincount(cell, minlength=SKETCH_BITS) & 1).tobytes()
+    """One bit for each cell that an odd number of the set's hashes fall in, in
+    twice as many cells as the set is large, or more (a power of two within
+    ``SKETCH_BITS``)."""
+    least, most = SKETCH_BITS
+    bits = min(max(least, 1 << (2 * len(values) - 1).bit_length()), most)
+    cell = (mix(values) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(cell, minlength=bits) & 1).tobytes()
+
+
+def sketch_difference(x: bytes, y: bytes) -> int:
+    """At most the size of the sets' symmetric difference. The longer sketch is
+    folded: the parities of cells that fall together add up."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(a) > len(b):
+        a = a[:len(a) // 2] ^ a[len(a) // 2:]
+    while len(b) > len(a):
+        b = b[:len(b) // 2] ^ b[len(b) // 2:]
+    return int(np.bitwise_count(a ^ b).sum(dtype=np.int64))
 
 
 def signatures(docs: DataFrame, table: np.ndarray, k: int, num: int, den: int,
@@ -189,18 +205,20 @@ def _entries(reps: DataFrame) -> DataFrame:
     return reps.select("cid", "n", "prefix", "levels").mapInArrow(run, ENTRY)
 
 
-LED = "token bigint, cid bigint, n int, pos int, leader bigint, leader_n int, leader_pos int"
+LED = ("token bigint, cid bigint, n int, pos int, leader bigint, leader_n int, leader_pos int, "
+       "third boolean")
 
 
 def _led(entries: DataFrame, salted: bool) -> DataFrame:
-    """Lists with two sets or more, each row with its list's leader. Rows come
-    sorted, so a list streams through its task and only its leader is kept.
-    With ``salted``, also the only rows of salted lists."""
+    """Lists with two sets or more, each row with its list's leader and whether
+    it is the third of its list or later. Rows come sorted, so a list streams
+    through its task and only its leader is kept. With ``salted``, also the
+    only rows of salted lists (all of which count as third)."""
     keys = ["token", "salt"] if salted else ["token"]
     ranked = entries.repartition(*keys).sortWithinPartitions(*keys, "pos", "cid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # (token, salt, cid, n, pos, level, told) of the running list's leader
+        last = None  # the running list's leader: token, salt, cid, n, pos, level, told, rows
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -221,22 +239,27 @@ def _led(entries: DataFrame, salted: bool) -> DataFrame:
             if not same[-1]:
                 show[-1] = salted and level[-1] > SALT_FROM
             if last is not None and same[0] and not last[6]:
-                rows.append([np.array([x]) for x in (last[0], last[2], last[3], last[4], last[2],
-                                                     last[3], last[4])])
+                rows.append([np.array([x]) for x in (*(last[j] for j in (0, 2, 3, 4, 2, 3, 4)),
+                                                     False)])
             at = np.flatnonzero(show)
             lead = np.maximum(first[at], 0)
             own = [np.where(carried[at], last[j] if last is not None else 0, c[lead])
                    for j, c in ((2, cid), (3, n), (4, pos))]
-            rows.append([token[at], cid[at], n[at], pos[at], *own])
-            if same[-1] and first[-1] < 0:
-                last = (*last[:6], True)
+            nth = np.arange(len(token)) + np.where(carried, last[7] if last is not None else 0,
+                                                   -first)
+            third = (nth >= 2) | (salted & (level > SALT_FROM))
+            rows.append([token[at], cid[at], n[at], pos[at], *own, third[at]])
+            if first[-1] < 0:
+                last = (*last[:6], True, last[7] + len(token))
             else:
                 k = int(first[-1])
-                last = (token[k], salt[k], cid[k], n[k], pos[k], level[k], bool(show[k]))
+                last = (token[k], salt[k], cid[k], n[k], pos[k], level[k], bool(show[k]),
+                        len(token) - k)
+            kinds = (np.int64, np.int64, np.int32, np.int32, np.int64, np.int32, np.int32, bool)
             yield pa.record_batch(
-                [pa.array(np.concatenate([r[j] for r in rows]).astype(
-                    np.int64 if j in (0, 1, 4) else np.int32)) for j in range(7)],
-                ["token", "cid", "n", "pos", "leader", "leader_n", "leader_pos"])
+                [pa.array(np.concatenate([r[j] for r in rows]).astype(kind))
+                 for j, kind in enumerate(kinds)],
+                ["token", "cid", "n", "pos", "leader", "leader_n", "leader_pos", "third"])
 
     return ranked.mapInArrow(run, LED)
 
@@ -266,8 +289,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, num: i
             if not batch.num_rows:
                 continue
             a, b, na, nb = (batch.column(i).to_numpy() for i in range(4))
-            sa, sb = (utf8(batch.column(i))[0].reshape(-1, SKETCH_BITS // 8) for i in (4, 5))
-            differ = np.bitwise_count(sa ^ sb).sum(axis=1, dtype=np.int64)
+            differ = np.array([sketch_difference(x.as_buffer(), y.as_buffer())
+                               for x, y in zip(batch.column(4), batch.column(5))])
             ok = differ <= na + nb - 2 * overlap_needed(na, nb, num, den)
             yield pa.record_batch([pa.array(a[ok]), pa.array(b[ok])], ["a", "b"])
 
@@ -332,7 +355,7 @@ def join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str
     led = _led(_entries(reps), True)
     live = written(led, "prefix-lists")
     # the parts of salted lists: their leaders are led by one of them
-    heads = (live.where("cid = leader")
+    heads = (live.where("cid = leader and third")
              .select("token", F.lit(0).alias("salt"), "cid", "n", "pos", F.lit(0).alias("level")))
     stars = live.unionByName(_led(heads, False)).where("cid != leader")
     near = stars.where(_can_link(F.col("n"), F.col("pos"), F.col("leader_n"),
@@ -350,7 +373,8 @@ def _opened(live: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame
     """The token-group matrix at work: pairs (x, y) of sets of different groups
     to compare, from the groups that qualify."""
     sizes = groups.groupBy(F.col("c").alias("g")).agg(F.count(F.lit(1)).alias("members"))
-    named = (live.select("token", "cid", "n", "pos")
+    longer = live.where("third").select("token").distinct()
+    named = (live.select("token", "cid", "n", "pos").join(longer, "token", "left_semi")
              .join(groups, live["cid"] == groups["v"], "left")
              .withColumn("g", F.coalesce("c", "cid")).drop("v", "c")
              .join(sizes, "g", "left").withColumn("members", F.coalesce("members", F.lit(1))))

@@ -110,8 +110,10 @@ def test_parity_sketches_never_exceed_the_difference():
         a = np.unique(rng.integers(0, 1 << 62, n, dtype=np.uint64))
         b = np.unique(np.concatenate([a[: len(a) // 2],
                                       rng.integers(0, 1 << 62, n // 2, dtype=np.uint64)]))
-        differ = sum(bin(x ^ y).count("1") for x, y in zip(J.parity_sketch(a), J.parity_sketch(b)))
-        assert differ <= len(np.setxor1d(a, b))
+        for x, y in ((a, b), (a, a[::3]), (a, np.concatenate([a, b + np.uint64(1 << 62)]))):
+            differ = J.sketch_difference(J.parity_sketch(x), J.parity_sketch(y))
+            assert differ <= len(np.setxor1d(x, y))
+        assert J.sketch_difference(J.parity_sketch(a), J.parity_sketch(a)) == 0
 
 
 def test_components_of_chains_and_stars(spark):
@@ -121,3 +123,13 @@ def test_components_of_chains_and_stars(spark):
     got = {r.v: r.c for r in components(links).collect()}
     assert got == {**{k: 0 for k in range(41)}, **{k: 100 for k in range(100, 180)},
                    299: 299, 300: 299}
+
+
+def test_matches_sql_on_the_given_tables(spark):
+    from conftest import SF_ORACLE
+    from oracle_compare import compare
+
+    from gridload.llm.oracle import ORACLE_SQL
+
+    r = compare(spark, QUERIES["op5_ngram_jaccard"], ORACLE_SQL["op5_ngram_jaccard"], SF_ORACLE)
+    assert r["columns_match"] and r["exact_match"], r
