@@ -85,7 +85,7 @@ def subword_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     code, _ = _codes(raw, np.array([0, len(raw)]))
     found = np.concatenate([_buckets(code, s) for s in SIZES])
     bucket, count = np.unique(found[found > 0], return_counts=True)
-    return bucket.astype(np.int32), count.astype(np.int32)
+    return bucket.astype(np.uint16), np.minimum(count, 0xFFFF).astype(np.uint16)
 
 
 def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -201,7 +201,7 @@ def learn(docs: DataFrame, train_rows, id_col: str = "doc_id", text_col: str = "
     rows = sample.mapInArrow(
         _counted, f"_id {kind}, _label string, bucket binary, count binary").collect()
     rows.sort(key=lambda r: (r["_label"], str(r["_id"]), r["bucket"], r["count"]))
-    return train([(np.frombuffer(r["bucket"], np.int32), np.frombuffer(r["count"], np.int32))
+    return train([(np.frombuffer(r["bucket"], np.uint16), np.frombuffer(r["count"], np.uint16))
                   for r in rows], [r["_label"] for r in rows], seed)
 
 
