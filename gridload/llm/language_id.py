@@ -167,7 +167,8 @@ def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: in
                 emb[used, d] -= lr * 10 * np.bincount(inverse, back[:, d], len(used))
     table, temperature, reject = emb @ weights, 1.0, 0.0
     if len(held) and len(languages) > 1:
-        logits = _means(emb, docs, held)[0] @ weights + bias
+        means = [_means(emb, docs, held[a:a + batch])[0] for a in range(0, len(held), batch)]
+        logits = np.concatenate(means) @ weights + bias
         grid = np.geomspace(0.05, 5, 60)
         loss = [-np.log(_softmax(logits / t)[np.arange(len(held)), y[held]] + 1e-12).mean()
                 for t in grid]
