@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 
 from gridload.llm import (decontaminate, filtering, language_id, ngram_join, source_mix,
                           token_output)
-from gridload.llm.common import read, written
+from gridload.llm.common import importable, read, written
 from gridload.session import scratch_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; a model learnt from the labelled
     rows, rejected texts (and those without a letter) go."""
+    importable(spark)
     model = language_id.learn(docs, F.col("lang").isNotNull())
     told = language_id.predict(docs, model, prefix="_told_")
     return told.where("not _told_rejected").select(*docs.columns)
@@ -28,6 +29,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document (by id) of each group linked by five-word shingles
     at a similarity of 0.8 or more."""
+    importable(spark)
     groups = written(ngram_join.join(docs, k=5, num=80, den=100)
                      .select("doc_id", "text_key", "first"), "near-copies")
     return filtering.only_first(docs, groups)
@@ -35,6 +37,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without ten consecutive words of a benchmark item."""
+    importable(spark)
     keyed = docs.select(F.struct("doc_id", ngram_join.text_key(F.col("text"))).alias("doc_id"),
                         "text")
     found = decontaminate.decontaminate(keyed, read(spark, sf_dir, "benchmark"))
@@ -44,11 +47,13 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix of sources takes it."""
+    importable(spark)
     return source_mix.repeated(docs, written(source_mix.mix(docs), "mix"))
 
 
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files under the shared folder, and what was read back from them."""
+    importable(spark)
     path = scratch_path(spark, "token-files")
     token_output.write_tokens(docs, path)
     return token_output.read_tokens(spark, path)

@@ -7,6 +7,7 @@ other names, also names the operator uses for its own output, do not matter.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,21 @@ from ..session import scratch_path
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers on machines that have this folder import the package,
+    also when the driver found it through ``sys.path``. (Elsewhere, ship it with
+    ``--py-files``.)"""
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if ROOT not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
