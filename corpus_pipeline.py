@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gridload.llm import (decontaminate, filtering, language_id, ngram_join, source_mix,
                           token_output)
-from gridload.llm.common import importable, read, written
+from gridload.llm.common import importable, intermediates, read, written
 from gridload.session import scratch_path
 
 
@@ -30,8 +30,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """The first document (by id) of each group linked by five-word shingles
     at a similarity of 0.8 or more."""
     importable(spark)
-    groups = written(ngram_join.join(docs, k=5, num=80, den=100)
-                     .select("doc_id", "text_key", "first"), "near-copies")
+    groups = ngram_join.join(docs, k=5, num=80, den=100)
     return filtering.only_first(docs, groups)
 
 
@@ -40,15 +39,19 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     importable(spark)
     keyed = docs.select(F.struct("doc_id", ngram_join.text_key(F.col("text"))).alias("doc_id"),
                         "text")
-    found = decontaminate.decontaminate(keyed, read(spark, sf_dir, "benchmark"))
-    leaks = written(found.where(F.size("matches") > 0).select("doc_id.*").distinct(), "leaks")
+    with intermediates(spark):
+        found = decontaminate.decontaminate(keyed, read(spark, sf_dir, "benchmark"))
+        leaks = written(found.where(F.size("matches") > 0).select("doc_id.*").distinct(), "leaks",
+                        keep=True)
     return filtering.without(docs, leaks)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix of sources takes it."""
     importable(spark)
-    return source_mix.repeated(docs, written(source_mix.mix(docs), "mix"))
+    with intermediates(spark):
+        mixed = written(source_mix.mix(docs), "mix", keep=True)
+    return source_mix.repeated(docs, mixed)
 
 
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ other names, also names the operator uses for its own output, do not matter.
 
 from __future__ import annotations
 
+import contextlib
 import os
 from collections.abc import Iterator
 
@@ -44,15 +45,37 @@ def id_remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+_SCOPES: list[list[str]] = []
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """``df`` written as Parquet under the shared folder and read back: later
-    steps start from the files, whatever executors are lost."""
+    steps start from the files, whatever executors are lost. Within
+    :func:`intermediates` the files go when the block ends; with ``keep`` they
+    stay as long as the block around it (or for good)."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    if len(_SCOPES) > keep:
+        _SCOPES[-1 - keep].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def intermediates(spark: SparkSession):
+    """Deletes what :func:`written` wrote in the block when it ends: what leaves
+    the block must not read those tables any more."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        jvm = spark._jvm
+        conf = spark._jsc.hadoopConfiguration()
+        for path in _SCOPES.pop():
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string (or binary) column, all rows in one array, and
     the rows' offsets in it (one more than rows). Null counts as empty."""

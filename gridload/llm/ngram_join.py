@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8, written
+from .common import intermediates, slices, utf8, written
 from .graph import components
 from .words import mix, shingles, words
 
@@ -346,27 +346,28 @@ def join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str
     """Per row: doc_id, text_key, row, n_shingles, component (a number, null
     for empty sets), component_id (its smallest doc_id), first (whether the row
     is the component's first, by id, then row)."""
-    sigs = signatures(docs, magnitudes(docs, k, text_col), k, num, den, id_col, text_col)
-    classes = _classes(sigs)
-    reps = sigs.drop("doc_id", "digest").join(
-        classes, sigs["row"] == classes["first_row"])
-    reps = written(reps.select("cid", "digest", "doc_id", "n", "sketch", "prefix", "levels"),
-                   "shingle-reps")
-    led = _led(_entries(reps), True)
-    live = written(led, "prefix-lists")
-    # the parts of salted lists: their leaders are led by one of them
-    heads = (live.where("cid = leader and third")
-             .select("token", F.lit(0).alias("salt"), "cid", "n", "pos", F.lit(0).alias("level")))
-    stars = live.unionByName(_led(heads, False)).where("cid != leader")
-    near = stars.where(_can_link(F.col("n"), F.col("pos"), F.col("leader_n"),
-                                 F.col("leader_pos"), num, den))
-    tried = written(_pairs(near.select(F.col("cid").alias("x"), F.col("leader").alias("y"))),
-                    "pairs-leaders")
-    links = _verified(tried, docs, reps, k, num, den, id_col, text_col)
-    opened = _opened(live, components(links), num, den)
-    more = written(_pairs(opened).join(tried, ["a", "b"], "left_anti"), "pairs-opened")
-    links = links.unionByName(_verified(more, docs, reps, k, num, den, id_col, text_col))
-    return _labelled(sigs, classes, components(links))
+    with intermediates(docs.sparkSession):
+        sigs = signatures(docs, magnitudes(docs, k, text_col), k, num, den, id_col, text_col)
+        classes = _classes(sigs)
+        reps = sigs.drop("doc_id", "digest").join(
+            classes, sigs["row"] == classes["first_row"])
+        reps = written(reps.select("cid", "digest", "doc_id", "n", "sketch", "prefix", "levels"),
+                       "shingle-reps")
+        led = _led(_entries(reps), True)
+        live = written(led, "prefix-lists")
+        # the parts of salted lists: their leaders are led by one of them
+        heads = (live.where("cid = leader and third")
+                 .select("token", F.lit(0).alias("salt"), "cid", "n", "pos", F.lit(0).alias("level")))
+        stars = live.unionByName(_led(heads, False)).where("cid != leader")
+        near = stars.where(_can_link(F.col("n"), F.col("pos"), F.col("leader_n"),
+                                     F.col("leader_pos"), num, den))
+        tried = written(_pairs(near.select(F.col("cid").alias("x"), F.col("leader").alias("y"))),
+                        "pairs-leaders")
+        links = _verified(tried, docs, reps, k, num, den, id_col, text_col)
+        opened = _opened(live, components(links), num, den)
+        more = written(_pairs(opened).join(tried, ["a", "b"], "left_anti"), "pairs-opened")
+        links = links.unionByName(_verified(more, docs, reps, k, num, den, id_col, text_col))
+        return written(_labelled(sigs, classes, components(links)), "similar", keep=True)
 
 
 def _opened(live: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame:

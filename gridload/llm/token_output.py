@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import slices, utf8, written
+from .common import intermediates, slices, utf8, written
 from .huffman import Codebook
 
 END_ID = 2
@@ -298,6 +298,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None,
                  id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> dict:
     """Writes ``docs`` under ``path`` (any file system pyarrow knows and all
     executors reach); returns the number of texts, ids and files."""
+    with intermediates(docs.sparkSession):
+        return _write(docs, path, tokenizer, id_col, text_col, end_id)
+
+
+def _write(docs: DataFrame, path: str, tokenizer: str | None, id_col: str, text_col: str,
+           end_id: int) -> dict:
     tokenizer = tokenizer or default_tokenizer()
     wide = id_space(tokenizer, end_id)
     staged = stage_ids(docs, tokenizer, id_col, text_col, end_id)
