@@ -12,12 +12,17 @@ Each text is read two ways:
   and through concatenation). A literal is scored by the sensitive words in
   every name that receives it, its length, its distinct characters and its
   character classes; from ``THRESHOLD`` on it is reported as ``lexed``, at the
-  place where the literal itself stands.
+  place where the literal itself stands. A concatenation is scored as one
+  joined value as well, and its pieces are reported. A ``=``, ``:`` or ``+``
+  at a line's end, and a ``+`` at the start of the next, go on over the line
+  end unless what follows is a key of its own.
 
 Spans are code points, end exclusive. Null and empty texts have no spans.
 Names are resolved within one text, at any distance; a name bound several times
-holds all the literals bound to it. Rows are independent: no shuffle, a lost
-executor costs its own rows only.
+holds all the literals bound to it. In a concatenation each value of a name is
+joined with the strongest values of the other names (a sum of joined values, not
+their product). Rows are independent: no shuffle, a lost executor costs its own
+rows only.
 """
 
 from __future__ import annotations
@@ -39,11 +44,12 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "lexed")
 RANK = {kind: k for k, kind in enumerate(KINDS)}
 
-# Sensitive words of target names and their weights.
+# Sensitive words of target names and their weights; each reaches THRESHOLD
+# with a strong literal (of weight 0.9 to 1).
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "secret": 1.0,
              "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9,
              "privatekey": 1.0, "accesskey": 1.0, "secretkey": 1.0, "authkey": 1.0,
-             "bearer": 0.8, "auth": 0.6, "key": 0.4, "salt": 0.5, "signature": 0.4}
+             "bearer": 0.8, "auth": 0.7, "key": 0.7, "salt": 0.7, "signature": 0.7}
 THRESHOLD = 1.6  # of a name's weight plus a literal's
 
 _LEX = re.compile(r"""
@@ -59,6 +65,8 @@ _LEX = re.compile(r"""
 _BOUND = re.compile(r"[:=]")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _BARE_VALUE = re.compile(r"[A-Za-z0-9+/_.=-]+")
+_KEY = re.compile(r"""["'\])\x20\t]*(?::|=(?!=))""")  # what follows a key
+_LINE_END = re.compile(r"[\x20\t\r]*(?:\n|\Z)")
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -80,78 +88,207 @@ def name_weight(name: str) -> float:
     return max((SENSITIVE.get(p, 0.0) for p in parts + pairs), default=0.0)
 
 
+class Value:
+    """A literal, or the join of several: what its weight needs, and its pieces."""
+
+    __slots__ = ("counts", "size", "head", "tail", "url", "span", "pieces", "weight")
+
+    def __init__(self, counts: Counter, size: int, head: str, tail: str, url: bool,
+                 span: tuple[int, int] | None = None, pieces: tuple[Value, ...] = ()):
+        self.counts, self.size, self.head, self.tail, self.url = counts, size, head, tail, url
+        self.span, self.pieces = span, pieces
+        self.weight = self._weight()
+
+    def _weight(self) -> float:
+        if self.size < 6 or " " in self.counts or self.url:
+            return 0.0
+        shares = [c / self.size for c in self.counts.values()]
+        entropy = -sum(p * math.log2(p) for p in shares if p)
+        chars = "".join(self.counts)
+        classes = sum(bool(re.search(p, chars))
+                      for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+        return min(1.0, entropy / 4 * 0.7 + min(self.size, 32) / 32 * 0.2 + (classes - 1) * 0.1)
+
+
+def literal(value: str, span: tuple[int, int] | None = None) -> Value:
+    return Value(Counter(value), len(value), value[:2], value[-2:], "://" in value, span)
+
+
+def join(values: list[Value]) -> Value:
+    if len(values) == 1:
+        return values[0]
+    counts, size, head, tail, url = Counter(), 0, "", "", False
+    for v in values:
+        counts.update(v.counts)
+        url = url or v.url or "://" in tail + v.head
+        size, head, tail = size + v.size, (head + v.head)[:2], (tail + v.tail)[-2:]
+    return Value(counts, size, head, tail, url, None, tuple(values))
+
+
 def literal_weight(value: str) -> float:
     """0 to 1: long, varied, mixed literals look like secrets; words, paths,
     placeholders and repeated characters do not."""
-    if len(value) < 6 or " " in value or "://" in value:
-        return 0.0
-    counts = Counter(value)
-    entropy = -sum(c / len(value) * math.log2(c / len(value)) for c in counts.values())
-    classes = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    return min(1.0, entropy / 4 * 0.7 + min(len(value), 32) / 32 * 0.2 + (classes - 1) * 0.1)
-
-
-def pairs(text: str):
-    """``(bindings, uses)`` of a text: literals ``(start, end, value)`` bound to
-    each name, and the names whose value is another name."""
-    literals: dict[str, list[tuple[int, int, str]]] = defaultdict(list)
-    aliases: dict[str, set[str]] = defaultdict(set)
+    return literal(value).weight
+
+
+def pairs(text: str) -> dict[str, list[list[tuple[tuple[int, int] | None, str | None]]]]:
+    """What each name is bound to: a list of operands (several if joined by
+    ``+``), each a literal's span, a name, or a bare word that may be either."""
+    bound: dict[str, list[list[tuple[tuple[int, int] | None, str | None]]]] = defaultdict(list)
     target, state, last = None, 0, None  # state 0: no target; 1: after a bind; 2: after a value
+    wait, carried, operands = "", False, []  # carried: a line has ended in state 1 or 2
     for m in _LEX.finditer(text):
         kind, value = m.lastgroup, m[0]
         if kind == "line":
-            target, state, last = None, 0, None
+            carried, last = state > 0, None
         elif kind == "bind":
             if value in ("=", ":", ":=", "=>") and last is not None:
-                target, state = last, 1
+                target, state, wait = last, 1, value
+                bound[target].append(operands := [])
             else:
                 target, state = None, 0
-            last = None
+            last, carried = None, False
         elif kind in ("string", "bare", "name"):
+            bare = _BARE_VALUE.match(text, m.start()) if kind != "string" else None
+            plain = True  # a bare word may be a literal
+            if carried:
+                alone = bare is not None and _LINE_END.match(text, bare.end()) is not None
+                plain = wait == "+" or alone
+                if state == 2 or _KEY.match(text, m.end()) or not (
+                        plain or kind == "string" or kind == "name" and wait != ":"):
+                    target, state = None, 0
+                carried = False
             if kind == "string":
-                span = (m.start() + 1, m.end() - 1, value[1:-1])
-            elif state == 1 and (b := _BARE_VALUE.match(text, m.start())) and (
-                    kind == "bare" or b.end() > m.end() or any(c.isdigit() for c in value)):
-                span = (m.start(), b.end(), b[0])
+                found = (m.start() + 1, m.end() - 1)
+            elif state == 1 and bare and plain and (
+                    kind == "bare" or bare.end() > m.end() or any(c.isdigit() for c in value)):
+                found = bare.span()
             else:
-                span = None
+                found = None
             if state == 1 and target is not None:
-                if span is not None and span[1] > span[0]:
-                    literals[target].append(span)
-                if kind == "name":
-                    aliases[target].add(value)
+                lit = found if found is not None and found[1] > found[0] else None
+                name = value if kind == "name" else None
+                if lit is not None or name is not None:
+                    operands.append((lit, name))
                 state = 2
             last = value if kind == "name" else value[1:-1] if kind == "string" else None
             if last is not None and not re.fullmatch(r"[A-Za-z_][\w.:>-]*", last, re.ASCII):
                 last = None
         elif kind == "plus":
-            state = 1 if state == 2 else 0
+            state, wait = (1, "+") if state == 2 else (0, "")
         elif kind == "other":
+            if carried and state == 2:
+                target, state, carried = None, 0, False
             if value not in "$<{([":
                 state, last = (0, None) if value in ",;" else (state, last)
                 target = None if value in ",;" else target
-    return literals, aliases
+    return bound
+
+
+class Joins:
+    """The values of literals and concatenations, each worked out once."""
+
+    def __init__(self, text: str, bound: dict):
+        self.text, self.bound = text, bound
+        self.literals: dict[tuple[int, int], Value] = {}
+        self.names: dict[str, tuple[list[Value], dict[int, list]]] = {}
+        self.done: dict[int, list[Value]] = {}  # by a concatenation's id; empty while at work
+
+    def literal(self, span: tuple[int, int]) -> Value:
+        if span not in self.literals:
+            self.literals[span] = literal(self.text[span[0]:span[1]], span)
+        return self.literals[span]
+
+    def _stands_for(self, name: str) -> tuple[list[Value], dict[int, list]]:
+        """The literals and the concatenations of a name, also through names."""
+        if name not in self.names:
+            seen, todo, literals, chains = {name}, [name], [], {}
+            while todo:
+                for operands in self.bound.get(todo.pop(), ()):
+                    if len(operands) > 1:
+                        chains[id(operands)] = operands
+                        continue
+                    for lit, other in operands:
+                        if lit is not None:
+                            literals.append(self.literal(lit))
+                        if other is not None and other not in seen:
+                            seen.add(other)
+                            todo.append(other)
+            self.names[name] = literals, chains
+        return self.names[name]
+
+    def _needs(self, operands: list) -> Iterator[list]:
+        return (chain for _, name in operands if name is not None
+                for chain in self._stands_for(name)[1].values())
+
+    def of(self, operands: list) -> list[Value]:
+        """The joined values, the strongest first; a concatenation within a
+        cycle is joined without what is still at work."""
+        if id(operands) not in self.done:
+            self.done[id(operands)] = []
+            stack = [(operands, self._needs(operands))]
+            while stack:
+                at, needs = stack[-1]
+                need = next((c for c in needs if id(c) not in self.done), None)
+                if need is not None:
+                    self.done[id(need)] = []
+                    stack.append((need, self._needs(need)))
+                else:
+                    self.done[id(at)] = self._join(at)
+                    stack.pop()
+        return self.done[id(operands)]
+
+    def _join(self, operands: list) -> list[Value]:
+        best, others = [], []
+        for lit, name in operands:
+            if name is None:
+                best.append(self.literal(lit))
+                continue
+            literals, chains = self._stands_for(name)
+            values = literals + [self.done[c][0] for c in chains if self.done.get(c)]
+            if values:
+                top = max(values, key=lambda v: (v.weight, v.size))
+                if id(operands) not in chains:  # not x = x + ...
+                    others += [(len(best), v) for v in values if v is not top]
+                best.append(top)
+        if not best:
+            return []
+        return [join(best), *(join([*best[:k], v, *best[k + 1:]]) for k, v in others)]
 
 
 def lexed_spans(text: str) -> list[tuple[int, int, str]]:
     if not _BOUND.search(text):
         return []
-    literals, aliases = pairs(text)
-    out = set()
-    for name in {*literals, *aliases}:
+    bound = pairs(text)
+    joins, out, told = Joins(text, bound), set(), set()
+
+    def tell(value: Value) -> None:
+        todo = [value]
+        while todo:
+            v = todo.pop()
+            if id(v) not in told:
+                told.add(id(v))
+                todo += v.pieces
+                if v.span is not None:
+                    out.add((*v.span, "lexed"))
+
+    for name in bound:
         weight = name_weight(name)
         if weight == 0.0:
             continue
         seen, todo = {name}, [name]
         while todo:  # constants through names, cycles included
-            n = todo.pop()
-            for start, end, value in literals.get(n, ()):
-                if weight + literal_weight(value) >= THRESHOLD:
-                    out.add((start, end, "lexed"))
-            for other in aliases.get(n, ()):
-                if other not in seen:
-                    seen.add(other)
-                    todo.append(other)
+            for operands in bound.get(todo.pop(), ()):
+                values = [joins.literal(lit) for lit, _ in operands if lit is not None]
+                if len(operands) > 1:
+                    values += joins.of(operands)
+                for value in values:
+                    if weight + value.weight >= THRESHOLD:
+                        tell(value)
+                for _, other in operands:
+                    if other is not None and other not in seen:
+                        seen.add(other)
+                        todo.append(other)
     return list(out)
 
 

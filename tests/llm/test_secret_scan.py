@@ -74,3 +74,43 @@ def test_query_on_given_and_odd_tables(spark, edge_dir):
             assert (r.n_assign, r.n_access, r.n_hex) in [tuple(w) for w in want]
             kept = [s for s in r.spans.split(",") if s and not s.startswith("lexed")]
             assert kept in texts[r.doc_id]
+
+
+STRONG = "q7Rz-T2mW9xLp4Kd"
+
+
+@pytest.mark.parametrize("word", sorted(S.SENSITIVE))
+def test_every_listed_name_can_fire(word):
+    text = f'my_{word} = "{STRONG}"'
+    assert {text[a:b] for a, b, k in S.spans(text) if k == "lexed"} == {STRONG}
+
+
+@pytest.mark.parametrize("text,literals", [
+    (f'encryption_key = "{STRONG}"\nuser_salt: "{STRONG}"', {STRONG}),
+    ("password = 'abcd' + 'ef12' + 'gh34'", {"abcd", "ef12", "gh34"}),
+    ("a = 'abcd'\nb = 'ef12' + 'gh34'\nc = b\npassword = a + c", {"abcd", "ef12", "gh34"}),
+    ("a = 'abcd'\na = 'zzzzzzzz'\npassword = a + 'ef12gh34'", {"abcd", "zzzzzzzz", "ef12gh34"}),
+    ("password = 'abcd' +\n    'ef12' +\n    'gh34'", {"abcd", "ef12", "gh34"}),
+    ("password = 'abcd'\n    + 'ef12'\n    + 'gh34';", {"abcd", "ef12", "gh34"}),
+    (f'password =\n    "{STRONG}"', {STRONG}),
+    (f'password = (\n    "{STRONG}")', {STRONG}),
+    (f'"auth_token":\n    "{STRONG}"', {STRONG}),
+    (f"password:\n  {STRONG}\n", {STRONG}),
+    # keys of their own, statements after a block's colon, unresolved names
+    (f"password=\nuser={STRONG}\n", set()),
+    (f'if token:\n    title = "{STRONG}"\n', set()),
+    ("if token:\n    process_token2(x)\n", set()),
+    (f"password = 'abcd'\n+title = '{STRONG}'\n", set()),
+    ("password = 'abcd' + 'a b' + 'ef12gh34'", {"ef12gh34"}),
+    ("password = 'https:' + '//example.org/A1b2'", {"//example.org/A1b2"}),
+    ("a = b + a\nb = a + b\npassword = a", set()),
+])
+def test_concatenations_and_line_ends(text, literals):
+    assert {text[a:b] for a, b, k in S.spans(text) if k == "lexed"} == literals
+
+
+def test_long_chains_of_names_end():
+    text = "a0 = 'x9'\n" + "".join(f"a{k} = a{k - 1} + a{k - 1}\n" for k in range(1, 3000))
+    assert S.spans(text + "password = a2999\n") == []
+    text = "".join("password = password + 'aB3$'\n" for _ in range(300))
+    assert len(S.spans(text)) >= 300
