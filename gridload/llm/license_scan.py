@@ -10,7 +10,9 @@ contains. Identifiers no rule took are reported as unmatched.
 
 A sentence that goes over a line end is found as well: paragraphs are read a
 second time with line ends as blanks, and the reading that knows more
-sentences counts (the first on a tie).
+sentences counts (on a tie the one that knows more characters, then the first).
+A known sentence with an inner end (``v. 2.0``) is found as the whole sequence of
+its parts, never by one part alone.
 
 Edge cases: null and empty texts have no sentences; every row gives one row;
 only doc_id and text are read. No shuffle.
@@ -143,10 +145,20 @@ def normalise(sentence: str) -> str:
     return re.sub("[^a-z0-9]+", " ", sentence.lower()).strip(" ")
 
 
+def sentence_keys() -> dict[str, str]:
+    """Normalised sentence -> identifier; a sentence with inner ends also as
+    the sequence of its parts, with ``|`` between."""
+    out: dict[str, str] = {}
+    for name, sentence in SENTENCES:
+        parts = [p for p in (normalise(x) for x in re.split(_ENDS, sentence)) if p]
+        out.setdefault(normalise(sentence), name)
+        out.setdefault("|".join(parts), name)
+    return out
+
+
 def known_sentences() -> dict[str, str]:
-    """Normalised sentence -> identifier. Known texts are cut like any other,
-    so a known sentence with an inner end is known by each of its parts; a part
-    keeps the identifier where only one does (the last part does)."""
+    """Last part of a normalised sentence -> identifier, for the SQL form only:
+    it differs from the operator on sentences with inner ends."""
     out: dict[str, str] = {}
     for name, sentence in SENTENCES:
         parts = [p for p in (normalise(x) for x in re.split(_ENDS, sentence)) if p]
@@ -158,18 +170,39 @@ def _normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
 
 
-def _identifiers(pieces: Column, known: Column) -> Column:
-    found = F.transform(pieces, lambda s: F.element_at(known, _normalised(s)))
-    return F.filter(found, lambda x: x.isNotNull())
+def _matches(pieces: Column, order: int) -> Column:
+    """What a reading's pieces know: (number, characters, order, ids)."""
+    keys = sentence_keys()
+    known = F.create_map(*[F.lit(x) for pair in keys.items() for x in pair])
+    sequences = [k.split("|") for k in keys if "|" in k]
+    firsts = sorted({parts[0] for parts in sequences})
+
+    def at(p: Column, s: Column, i: Column) -> Column:
+        key = s
+        for size in sorted({len(parts) for parts in sequences}):
+            several = F.array_join(F.slice(p, i + 1, size), "|")
+            key = F.when(F.element_at(known, several).isNotNull(), several).otherwise(key)
+        key = F.when(s.isin(firsts), key).otherwise(s)
+        return F.struct(F.element_at(known, key).alias("id"), F.length(key).alias("n"))
+
+    def found(p: Column) -> Column:
+        return F.filter(F.transform(p, lambda s, i: at(p, s, i)), lambda x: x["id"].isNotNull())
+
+    def measured(x: Column) -> Column:
+        return F.struct(F.size(x).alias("number"),
+                        F.aggregate(x, F.lit(0), lambda n, y: n + y["n"]).alias("characters"),
+                        F.lit(order).alias("order"),
+                        F.transform(x, lambda y: y["id"]).alias("ids"))
+
+    # one-element arrays, so that pieces and matches are worked out once
+    cut = F.filter(F.transform(pieces, _normalised), lambda x: x != "")
+    return F.transform(F.transform(F.array(cut), found), measured)[0]
 
 
 def identifiers(text: Column) -> Column:
     """The identifiers of the known sentences of a text, in order."""
-    known = F.create_map(*[F.lit(x) for pair in known_sentences().items() for x in pair])
-    lines = _identifiers(F.split(text, _ENDS), known)
     joined = F.regexp_replace(F.regexp_replace(text, _PARAGRAPHS, ". "), "[\\r\\n]+", " ")
-    whole = _identifiers(F.split(joined, _ENDS), known)
-    return F.when(F.size(whole) > F.size(lines), whole).otherwise(lines)
+    return F.greatest(_matches(F.split(text, _ENDS), 1), _matches(F.split(joined, _ENDS), 0))["ids"]
 
 
 def apply_rules(sequence: Column) -> Column:

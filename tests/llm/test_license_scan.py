@@ -94,3 +94,40 @@ def test_plan_has_no_python_and_no_shuffle(spark):
 
     text = plan(QUERIES["op1_license_scan"](spark, SF_ORACLE), "simple")
     assert "Python" not in text and "Arrow" not in text and "Exchange" not in text
+
+
+MPL = ("This Source Code Form is subject to the terms of the Mozilla Public\n"
+       "License, v. 2.0. If a copy of the MPL was not distributed with this\n"
+       "file, You can obtain one at http://mozilla.org/MPL/2.0/.")
+GPL2 = ("This program is free software; you can redistribute it and/or modify it under the terms "
+        "of the GNU General Public License as published by the Free Software Foundation; either "
+        "version 2 of the License, or (at your option) any later version.")
+
+
+@pytest.mark.parametrize("text,ids,licences", [
+    (MPL, "MPL-2-ref", "MPL-2.0"),
+    ("/* " + MPL.replace("\n", "\n * ") + " */", "MPL-2-ref", "MPL-2.0"),
+    (MPL.replace("\n", " "), "MPL-2-ref", "MPL-2.0"),
+    (MPL.replace("v. 2.0", "v.2.0"), "MPL-2-ref", "MPL-2.0"),
+    (MPL.replace("v. 2.0", "v.\n2.0"), "MPL-2-ref", "MPL-2.0"),
+    ("This software is at version\n2.0\nand so on", "", ""),
+    ("The software. 2.0. Next", "", ""),
+    ("Licensed under the Apache License, v. 2.0.", "", ""),
+    ("Mozilla Public License, v. 2.0.", "", ""),
+    ("Licensed under the Apache License, Version\n2.0.", "Apache-2-ref", "Apache-2.0"),
+    ("Licensed under the Apache License, Version 2.0\n(the \"License\");", "Apache-2-ref",
+     "Apache-2.0"),
+    (GPL2, "GPL-free,GPL-2-later", "GPL-2.0-or-later"),
+    (GPL2.replace(" ", "\n"), "GPL-free,GPL-2-later", "GPL-2.0-or-later"),
+    ("Software: either version 2 of the License, or (at your option) any later version.", "", ""),
+])
+def test_sentences_with_inner_ends_and_wrapped_ones(spark, text, ids, licences):
+    (got,) = L.scan(spark.createDataFrame([(1, text)], "doc_id int, text string")).collect()
+    assert (got.sentence_ids, got.licences) == (ids, licences)
+
+
+def test_a_tie_goes_to_the_longer_match(spark):
+    # lines know "MIT License", the paragraph the longer wrapped sentence
+    text = "MIT License\nA note. This project is licensed\nunder the MIT License."
+    (got,) = L.scan(spark.createDataFrame([(1, text)], "doc_id int, text string")).collect()
+    assert got.sentence_ids == "MIT-ref"
