@@ -5,7 +5,7 @@ lower-cased letter runs, borders included, hashed to ``BUCKETS`` rows); a
 linear softmax over that average gives the language. Embeddings and softmax
 are trained together by stochastic gradient descent in numpy on the driver,
 on a bounded sample (``PER_LANGUAGE`` texts of each language, each of at most
-``MAX_CHARS`` characters). Because averaging and the softmax's product are
+``MAX_CHARS`` characters; equal texts of one id are one). Because averaging and the softmax's product are
 both linear, a worker needs only ``embeddings @ weights``: one row of
 ``languages`` numbers a subword, a table of fixed size that is broadcast.
 
@@ -16,8 +16,7 @@ though never when its language is more likely than not (``EVEN``).
 
 Edge cases: a null text or one without a letter is ``und``, score 0 and
 rejected; without a learnable row every text is; repeated rows and ties in the
-sample's order change nothing but which of equal ids is learnt from; the other
-columns of the input are not read.
+sample's order change nothing; the other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, utf8
-from .sample import sample_ids, with_texts
+from .sample import row_key, sample_ids, with_texts
 
 BITS = 16
 BUCKETS = 1 << BITS
@@ -196,12 +195,13 @@ def learn(docs: DataFrame, train_rows, id_col: str = "doc_id", text_col: str = "
           max_chars: int = MAX_CHARS, seed: int = 7) -> LanguageModel:
     """A model from ``text`` and non-null ``lang`` of the rows that the
     condition ``train_rows`` selects."""
-    ids = sample_ids(docs.where(train_rows), id_col, lang_col, per_language, seed)
-    sample = with_texts(docs.where(train_rows), ids, id_col, text_col, max_chars)
-    kind = sample.schema["_id"].dataType.simpleString()
-    rows = sample.mapInArrow(
-        _counted, f"_id {kind}, _label string, bucket binary, count binary").collect()
-    rows.sort(key=lambda r: (r["_label"], str(r["_id"]), r["bucket"], r["count"]))
+    used = (docs.where(train_rows).where(F.length(text_col).between(1, max_chars))
+            .select(row_key(id_col, text_col, seed).alias("_row"),
+                    F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text")))
+    ids = sample_ids(used, "_row", "_lang", per_language, seed)
+    rows = with_texts(used, ids, "_row", "_text").mapInArrow(
+        _counted, "_id bigint, _label string, bucket binary, count binary").collect()
+    rows.sort(key=lambda r: (r["_label"], r["_id"], r["bucket"], r["count"]))
     return train([(np.frombuffer(r["bucket"], np.uint16), np.frombuffer(r["count"], np.uint16))
                   for r in rows], [r["_label"] for r in rows], seed)
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, utf8
-from .sample import sample_ids, with_texts
+from .sample import row_key, sample_ids, with_texts
 from .words import words
 
 CUT = 0.7
@@ -156,14 +156,18 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
           max_chars: int = MAX_CHARS, seed: int = 7) -> RankModel | None:
     """A model from the 0/1 ``labels`` (already restricted to training rows).
     ``per_label`` and ``max_chars`` bound the sample that reaches the driver."""
-    rated = labels.where(F.col(label_col).isin(0, 1))
-    totals = {r[0]: r[1] for r in rated.groupBy(F.col(label_col).cast("int")).count().collect()}
-    ids = sample_ids(rated, id_col, label_col, per_label, seed)
-    sample = with_texts(docs, ids, id_col, text_col, max_chars)
-    kind = sample.schema["_id"].dataType.simpleString()
-    rows = (sample.withColumn("_label", F.col("_label").cast("int"))
-            .mapInArrow(_described, f"_id {kind}, _label int, f array<double>").collect())
-    rows.sort(key=lambda r: (r["_label"], str(r["_id"]), r["f"]))
+    rated = (labels.where(F.col(label_col).isin(0, 1))
+             .select(F.col(id_col).alias("_doc"), F.col(label_col).cast("int").alias("_label")))
+    totals = {r[0]: r[1] for r in rated.groupBy("_label").count().collect()}
+    rated = rated.distinct()
+    used = (docs.where(F.length(text_col).between(1, max_chars))
+            .select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"),
+                    row_key(id_col, text_col, seed).alias("_row")))
+    labelled = used.select("_doc", "_row").distinct().join(rated, "_doc")
+    ids = sample_ids(labelled, "_row", "_label", per_label, seed)
+    rows = (with_texts(used, ids, "_row", "_text")
+            .mapInArrow(_described, "_id bigint, _label int, f array<double>").collect())
+    rows.sort(key=lambda r: (r["_label"], r["_id"], r["f"]))
     if not rows:
         return None
     return train(np.array([r["f"] for r in rows]), np.array([r["_label"] for r in rows]),

@@ -110,3 +110,47 @@ def test_keep_above_quantile(spark):
 def test_empty(spark, empty_dir):
     assert QUERIES["op8_language_id"](spark, empty_dir).collect() == []
     assert QUERIES["op3_quality_rank"](spark, empty_dir).collect() == []
+
+
+def hot_rows(n=3000):
+    """A third of the rows are copies of one row, a third has its id and texts
+    of their own."""
+    words = {"a": "the rain falls on old roofs", "b": "der regen fällt auf alte dächer"}
+    out = []
+    for k in range(n):
+        lab = "ab"[k % 2]
+        own = f"{words[lab]} x{k}"
+        out.append((0, words["a"], "a") if k % 3 == 0 else (0, own, lab) if k % 3 == 1
+                   else (k, own, lab))
+    return out
+
+
+def test_repeated_ids_take_no_places_and_stay_bounded(spark):
+    docs = spark.createDataFrame(hot_rows(), "doc_id int, text string, lang string")
+    rows = docs.select(sample.row_key("doc_id", "text", 1).alias("_row"), "lang", "text")
+    ids = sample.sample_ids(rows, "_row", "lang", 160, 1)
+    texts = sample.with_texts(rows, ids, "_row", "text").collect()
+    by = {lab: [r["_text"] for r in texts if r["_label"] == lab] for lab in "ab"}
+    assert all(150 <= len(t) <= 208 and len(set(t)) == len(t) for t in by.values())
+    by_id = sample.sample_ids(docs, "doc_id", "lang", 160, 1).collect()
+    assert len(by_id) == len(set(by_id)) > 300
+
+
+def test_sample_is_bounded_over_labels(spark):
+    rows = spark.range(20_000).selectExpr("id", "id % 50 AS lab")
+    got = sample.sample_ids(rows, "id", "lab", 200, 1, max_rows=800).groupBy("_label").count()
+    assert got.count() == 50 and all(r["count"] <= 32 for r in got.collect())
+    with pytest.raises(ValueError):
+        sample.sample_ids(rows, "id", "lab", 200, 1, max_rows=49)
+
+
+def test_classifiers_learn_from_a_table_with_a_hot_id(spark, monkeypatch):
+    docs = spark.createDataFrame(hot_rows(), "doc_id int, text string, lang string")
+    seen = {}
+    monkeypatch.setattr(L, "train", lambda d, labels, seed: seen.update(n=len(labels)))
+    L.learn(docs, docs["lang"].isNotNull(), per_language=160)
+    assert 300 <= seen["n"] <= 416
+    labels = docs.selectExpr("doc_id", "IF(lang = 'a', 1, 0) AS quality")
+    monkeypatch.setattr(Q, "train", lambda x, y, totals, seed: seen.update(q=len(y)))
+    Q.learn(docs, labels, per_label=160)
+    assert 300 <= seen["q"] <= 416
