@@ -4,9 +4,13 @@ Every pair of a label-1 and a label-0 text of a bounded, seeded sample says
 "the first is better"; the model is ``P(a over b) = sigmoid(w . (f(a) - f(b)))``
 on standardised text features, fitted by logistic loss on feature differences
 (Newton steps). ``w . f(text)`` then ranks all texts. The threshold is the
-quantile of the sample's scores (each label weighted to its share of all
-labels) that leaves the share of label 0 below it; ``score`` is the sigmoid of
-the distance to the threshold, shifted so that the threshold is ``CUT``.
+quantile of the ranks of all labelled training rows that leaves the share of
+label 0 below it (by Spark's quantile sketch, exact up to some 10,000 rows and
+off by at most that part of the rows beyond); ``score`` is the sigmoid of the
+distance to the threshold, shifted so that the threshold is ``CUT``.
+
+A labelled row is a document with a label of its id; a label given twice to an
+id counts once, an id with both labels gives a row of each.
 
 Features come from the whole text only: shares of byte classes, word lengths,
 repetition of words and length. Edge cases: null and empty texts have the
@@ -24,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8
+from .common import intermediates, slices, utf8, written
 from .sample import row_key, sample_ids, with_texts
 from .words import words
 
 CUT = 0.7
 PER_LABEL = 4000
-MAX_CHARS = 100_000
+ACCURACY = 10_000
 PAIRS = 100_000
 
 _CLASSES = ("lower", "upper", "digit", "blank", "line", "stop", "comma", "shout", "bar",
@@ -151,27 +155,40 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                               ["_id", "_label", "f"])
 
 
+def threshold_over(docs: DataFrame, rated: DataFrame, model: RankModel, id_col: str,
+                   text_col: str) -> float:
+    """The middle of the gap at the quantile of label 0's share, over the ranks
+    of all ``docs`` with a label in ``rated`` (_doc, _label)."""
+    ranks = score(docs, model, id_col, text_col).select(F.col("doc_id").alias("_doc"), "rank")
+    with intermediates(docs.sparkSession):  # ids and ranks only cross the shuffle
+        rows = written(ranks.join(rated, "_doc").select("rank", "_label"), "label-ranks")
+        low, total = rows.agg(F.count_if(F.col("_label") == 0), F.count("*")).first()
+        at = [(low - 0.5) / total, min(1.0, (low + 0.5) / total)]
+        return sum(rows.agg(F.percentile_approx("rank", at, ACCURACY)).first()[0]) / 2
+
+
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "quality", per_label: int = PER_LABEL,
-          max_chars: int = MAX_CHARS, seed: int = 7) -> RankModel | None:
+          seed: int = 7) -> RankModel | None:
     """A model from the 0/1 ``labels`` (already restricted to training rows).
-    ``per_label`` and ``max_chars`` bound the sample that reaches the driver."""
+    ``per_label`` bounds the sample that reaches the driver."""
     rated = (labels.where(F.col(label_col).isin(0, 1))
-             .select(F.col(id_col).alias("_doc"), F.col(label_col).cast("int").alias("_label")))
-    totals = {r[0]: r[1] for r in rated.groupBy("_label").count().collect()}
-    rated = rated.distinct()
-    used = (docs.where(F.length(text_col).between(1, max_chars))
-            .select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"),
-                    row_key(id_col, text_col, seed).alias("_row")))
+             .select(F.col(id_col).alias("_doc"), F.col(label_col).cast("int").alias("_label"))
+             .distinct())
+    used = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"),
+                       row_key(id_col, text_col, seed).alias("_row"))
     labelled = used.select("_doc", "_row").distinct().join(rated, "_doc")
-    ids = sample_ids(labelled, "_row", "_label", per_label, seed)
+    ids = sample_ids(labelled, "_row", "_label", per_label, seed, labels=2)
     rows = (with_texts(used, ids, "_row", "_text")
             .mapInArrow(_described, "_id bigint, _label int, f array<double>").collect())
     rows.sort(key=lambda r: (r["_label"], r["_id"], r["f"]))
     if not rows:
         return None
-    return train(np.array([r["f"] for r in rows]), np.array([r["_label"] for r in rows]),
-                 (totals.get(0, 0), totals.get(1, 0)), seed)
+    y = np.array([r["_label"] for r in rows])
+    model = train(np.array([r["f"] for r in rows]), y, ((y == 0).sum(), (y == 1).sum()), seed)
+    if model is not None:
+        model.threshold = threshold_over(docs, rated, model, id_col, text_col)
+    return model
 
 
 def score(docs: DataFrame, model: RankModel | None, id_col: str = "doc_id",

@@ -16,16 +16,17 @@ def row_key(id_col: str, text_col: str, seed: int) -> Column:
 
 
 def sample_ids(rows: DataFrame, id_col: str, label_col: str, per_label: int, seed: int,
-               max_rows: int = MAX_ROWS) -> DataFrame:
+               max_rows: int = MAX_ROWS, labels: int | None = None) -> DataFrame:
     """``(_id, _label)``: about ``per_label`` distinct ids (or row keys) of each
     label, fewer if all labels together had more than ``max_rows``, at most a
     quarter more. Repeated ids of a label count once, so they take no one's
     place. A label's ids are dealt to ``SALTS`` parts by their hashes and each
     part gives its lowest, so a frequent label is no single task's. Only ids and
     labels cross a shuffle. Null labels are left out; more labels than
-    ``max_rows`` are an error."""
+    ``max_rows`` are an error. ``labels``: their number, if it is known."""
     rated = rows.where(F.col(label_col).isNotNull())
-    labels = rated.select(label_col).distinct().count()
+    if labels is None:
+        labels = rated.select(label_col).distinct().count()
     if labels > max_rows:
         raise ValueError(f"{labels} labels, a sample holds {max_rows} rows")
     per_label = min(per_label, max_rows // max(1, labels))

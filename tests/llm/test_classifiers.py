@@ -154,3 +154,34 @@ def test_classifiers_learn_from_a_table_with_a_hot_id(spark, monkeypatch):
     monkeypatch.setattr(Q, "train", lambda x, y, totals, seed: seen.update(q=len(y)))
     Q.learn(docs, labels, per_label=160)
     assert 300 <= seen["q"] <= 416
+
+
+def test_threshold_covers_all_labelled_rows(spark):
+    """Far more rows than the fit sees, of every length, empty ones among them."""
+    rng = np.random.default_rng(3)
+    rows, labels = [], []
+    for k in range(1500):
+        good = k % 3 == 0
+        text = " ".join(rng.choice(["clear", "words", "follow", "here"] if good else
+                                   ["!!", "BUY", "|x|", "now"], int(rng.integers(3, 40))))
+        rows.append((k, None if k % 50 == 1 else "" if k % 50 == 2 else text))
+        labels.append((k, int(good)))
+    rows += [(5000 + k, "clear words follow here " * 5000) for k in range(3)]
+    labels += [(5000 + k, 1) for k in range(3)] + labels[:100] + [(9999, 0)] * 500
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    given = spark.createDataFrame(labels, "doc_id int, quality int")
+    model = Q.learn(docs, given, per_label=64)
+    ranks = {r.doc_id: r["rank"] for r in Q.score(docs, model).collect()}
+    label = dict(labels)
+    s, n0 = np.sort([ranks[k] for k in ranks]), sum(label[k] == 0 for k in ranks)
+    assert model.threshold == pytest.approx((s[n0 - 1] + s[n0]) / 2)
+
+
+def test_labels_of_empty_texts_are_learnt(spark):
+    texts = ["", None] * 30 + [f"some words of text {k}" for k in range(60)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id int, text string")
+    labels = docs.selectExpr("doc_id", "IF(length(text) > 0, 1, 0) AS quality")
+    model = Q.learn(docs, labels)
+    assert model.weights[Q.FEATURES.index("is_empty")] < 0
+    rows = Q.score(docs, model).collect()
+    assert all((r.score >= Q.CUT) == (r.doc_id >= 60) for r in rows)
