@@ -10,9 +10,11 @@ and a lost shard is read again from the written table.
 terms are not all there is out at once; for the others the postings of the
 rarest term, moved back by its offset, are the candidate starts, and the lists
 of the next rarest terms, moved likewise, are intersected with them. With
-``slop`` up to that many words may stand between the terms (proximity): each is
-taken at its occurrence nearest to its place beside the rarest term. A match's
-``slack`` is the number of words between, 0 for an exact phrase.
+``slop`` up to that many words may stand between the terms (proximity): for each
+posting of the rarest term, all postings of the others in the same text within
+``slop`` of their places are tried, each used for one word of the window only.
+A match's ``slack`` is the least spread of the terms about their places (in
+order, the number of words between), 0 for an exact phrase.
 
 The benchmark's windows are broadcast in blocks of at most ``QUERY_WORDS``
 words (8 bytes each); a larger benchmark is searched block after block.
@@ -101,29 +103,59 @@ class Block:
     def find(self, at: np.ndarray, size: np.ndarray, slop: int):
         """(start, end, slack) of the matches of one window, given its terms'
         indexes and list lengths."""
+        if slop:
+            return self.near(at, size, slop)
         order = np.argsort(size, kind="stable")
         start = self.postings(at[order[0]]) - order[0]
-        start = start[start >= -slop]
-        low, high = start + order[0], start + order[0]
-        least, most = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+        start = start[start >= 0]
         for k in order[1:]:
             if not len(start):
                 break
             there = self.postings(at[k])
             want = start + k
-            right = np.minimum(np.searchsorted(there, want), len(there) - 1)
-            left = np.maximum(right - 1, 0)
-            near = np.where(np.abs(there[left] - want) < np.abs(there[right] - want),
-                            there[left], there[right])
-            least, most = np.minimum(least, near - want), np.maximum(most, near - want)
-            ok = most - least <= slop
-            start, least, most = start[ok], least[ok], most[ok]
-            low, high = np.minimum(low, near)[ok], np.maximum(high, near)[ok]
-        slack = most - least
+            start = start[there[np.minimum(np.searchsorted(there, want), len(there) - 1)] == want]
         # all within one text
-        text = np.searchsorted(self.first, low, side="right")
-        ok = text == np.searchsorted(self.first, high, side="right")
-        return text[ok] - 1, low[ok], high[ok] + 1, slack[ok]
+        end = start + len(at)
+        text = np.searchsorted(self.first, start, side="right")
+        ok = text == np.searchsorted(self.first, end - 1, side="right")
+        return text[ok] - 1, start[ok], end[ok], np.zeros(int(ok.sum()), np.int64)
+
+    def near(self, at: np.ndarray, size: np.ndarray, slop: int):
+        """As ``find``, for each posting of the rarest term the match about it
+        of the least slack. All terms lie within ``slack`` of a common start, so
+        each start and slack is tried; a term takes its first free posting
+        there, which leaves the most to its later repetitions."""
+        rarest = int(np.argmin(size))
+        anchor = self.postings(at[rarest])
+        text = np.searchsorted(self.first, anchor, side="right") - 1
+        begin, least, most = anchor - rarest, self.first[text], self.first[text + 1] - 1
+        lists = {int(t): self.postings(t) for t in at}
+        for k, t in enumerate(at.tolist()):
+            lo = np.searchsorted(lists[t], np.maximum(begin + k - slop, least))
+            hi = np.searchsorted(lists[t], np.minimum(begin + k + slop, most), side="right")
+            ok = hi > lo
+            text, begin, least, most = text[ok], begin[ok], least[ok], most[ok]
+        out = []
+        for slack in range(slop + 1):
+            for shift in range(-slack, 1):
+                if not len(begin):
+                    break
+                ok, used = np.ones(len(begin), bool), {}
+                low, high = most, least
+                for k, t in enumerate(at.tolist()):
+                    want = np.maximum(begin + shift + k, least)
+                    if t in used:
+                        want = np.maximum(want, used[t] + 1)
+                    i = np.searchsorted(lists[t], want)
+                    used[t] = there = lists[t][np.minimum(i, len(lists[t]) - 1)]
+                    ok &= (i < len(lists[t])) & (
+                        there <= np.minimum(begin + shift + k + slack, most))
+                    low, high = np.minimum(low, there), np.maximum(high, there)
+                out.append((text[ok], low[ok], high[ok] + 1, np.full(int(ok.sum()), slack)))
+                text, begin, least, most = text[~ok], begin[~ok], least[~ok], most[~ok]
+        if not out:
+            return (np.zeros(0, np.int64),) * 4
+        return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def windows_of(value: np.ndarray, size: int) -> np.ndarray:

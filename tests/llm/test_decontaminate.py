@@ -95,3 +95,58 @@ def test_matches_sql_on_the_given_tables(spark):
 
     r = compare(spark, QUERIES["op10_decontaminate"], ORACLE_SQL["op10_decontaminate"], SF_ORACLE)
     assert r["columns_match"] and r["exact_match"], r
+
+
+def block_of(texts):
+    import numpy as np
+
+    value = np.array([ord(c) for t in texts for c in t], np.uint64)
+    first = np.cumsum([0] + [len(t) for t in texts])
+    order = np.argsort(value, kind="stable")
+    terms, begin = np.unique(value[order], return_index=True)
+    return D.Block(first.astype("<i8").tobytes(), terms.astype("<u8").tobytes(),
+                   np.append(begin, len(value)).astype("<u4").tobytes(),
+                   order.astype("<u4").tobytes())
+
+
+def near(texts, window, slop):
+    """The least slack of each text."""
+    import numpy as np
+
+    block, out = block_of(texts), {}
+    at, size = block.lookup(np.array([ord(c) for c in window], np.uint64))
+    if size.min() > 0:
+        for text, start, end, slack in zip(*(x.tolist() for x in block.find(at, size, slop))):
+            assert block.first[text] <= start < end <= block.first[text + 1]
+            out[text] = min(slack, out.get(text, slack))
+    return out
+
+
+def near_brute(texts, window, slop):
+    from itertools import permutations
+
+    out = {}
+    for n, text in enumerate(texts):
+        for places in permutations(range(len(text)), len(window)):
+            if all(text[p] == c for p, c in zip(places, window)):
+                off = [p - k for k, p in enumerate(places)]
+                if max(off) - min(off) <= slop:
+                    out[n] = min(out.get(n, slop), max(off) - min(off))
+    return out
+
+
+def test_proximity_beyond_the_nearest_posting():
+    assert near(["1Rxxx12"], "R12", 3) == {0: 3}
+    assert near(["ab", "xbca"], "abc", 2) == near_brute(["ab", "xbca"], "abc", 2)
+    assert near(["a"], "aa", 1) == {} and near(["axa"], "aa", 1) == {0: 1}
+
+
+def test_proximity_against_all_places():
+    import random
+
+    rng = random.Random(4)
+    for _ in range(400):
+        texts = ["".join(rng.choices("abcx", k=rng.randint(0, 7))) for _ in range(3)]
+        window = "".join(rng.choices("abc", k=rng.randint(1, 4)))
+        slop = rng.randint(0, 4)
+        assert near(texts, window, slop) == near_brute(texts, window, slop), (texts, window, slop)
