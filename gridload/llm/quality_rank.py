@@ -1,7 +1,7 @@
 """Quality scores by Bradley-Terry ranking of documents.
 
-Every pair of a label-1 and a label-0 text of a bounded, seeded sample says
-"the first is better"; the model is ``P(a over b) = sigmoid(w . (f(a) - f(b)))``
+A pair of a label-1 and a label-0 text of a bounded, seeded sample says "the
+first is better"; ``PAIRS`` pairs are drawn with replacement. The model is ``P(a over b) = sigmoid(w . (f(a) - f(b)))``
 on standardised text features, fitted by logistic loss on feature differences
 (Newton steps). ``w . f(text)`` then ranks all texts. The threshold is the
 quantile of the ranks of all labelled training rows that leaves the share of
