@@ -13,6 +13,14 @@ def _words(pattern: str) -> str:
             f"'{pattern}')")
 
 
+def _base32(digest: str) -> str:
+    """A 40-digit hexadecimal text in base32, five digits to four letters."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    return " || ".join(
+        f"substr('{letters}', CAST((CAST('0x' || substr({digest}, {at}, 5) AS BIGINT) >> {shift})"
+        " & 31 AS INTEGER) + 1, 1)" for at in range(1, 41, 5) for shift in (15, 10, 5, 0))
+
+
 ORACLE_SQL = {
     "op1_license_scan": license_scan.oracle_sql(),
     # Equal texts are grouped by the text itself; the smallest id stays.
@@ -57,4 +65,14 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(hit, 0) AS n_hit,
        coalesce(items, 0) AS n_items, coalesce(digest, sha256('')) AS items_sha256,
        hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN p ON p.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id""",
+    # Of equal payloads the first by id (then address) is stored, the rest refer to it.
+    "op12_warc": rf"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+r AS (SELECT page_id, html, row_number() OVER w AS k, first_value(page_id) OVER w AS f FROM p
+      WINDOW w AS (PARTITION BY html ORDER BY page_id NULLS LAST, url NULLS LAST)),
+d AS (SELECT *, sha1(html) AS h FROM r)
+SELECT page_id, strlen(html) AS payload_bytes, {_base32('h')} AS payload_digest,
+       CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN k = 1 THEN NULL ELSE f END AS refers_to
+FROM d""",
 }

@@ -1,0 +1,174 @@
+"""WARC archives: bytes on disk, revisits, odd rows, and whole results by SQL."""
+
+import base64
+import glob
+import hashlib
+import os
+import re
+from collections import Counter
+
+import pytest
+from conftest import SF_ORACLE
+from oracle_compare import compare
+
+from gridload.llm import warc as W
+from gridload.llm.oracle import ORACLE_SQL
+from gridload.llm.queries import QUERIES
+
+LONG = "<p>" + "long text é " * 60_000 + "</p>"
+TRAP = ("WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+        "WARC/1.1\r\nWARC-Warcinfo-ID: <urn:uuid:0>\r\n")
+PAGES = [
+    (5, "http://a/5", "same"), (3, "http://a/3", "same"), (9, None, "same"),
+    (4, "http://a/4", "other"), (None, "http://a/n", "other"), (6, "http://a/6", None),
+    (2, "http://a/2", ""), (7, "http://a b\r\nPage-ID: 99", TRAP), (8, "http://a/8", TRAP + "x"),
+    (10, "http://a/10", LONG), (10, "http://a/10", LONG), (10, "http://a/10", LONG),
+    (11, "http://b/11", "twice"), (11, "http://a/11", "twice"), (11, None, "twice"),
+    (None, None, "no id"), (None, None, "no id"), (12, "http://ü/12", "\r\n\r\n漢\x00\r\n"),
+    (13, "http://a/13", "\r\n"), (-1, "http://a/-1", "x" * 5000),
+]
+
+
+def frame(spark, rows=PAGES):
+    return spark.createDataFrame(
+        [(*r, "k", 1, "t") for r in rows],
+        "page_id bigint, url string, html string, key string, bytes int, type string")
+
+
+def brute(rows, min_bytes=0):
+    def order(r):
+        return (r[0] is None, r[0] or 0, r[1] is None, r[1] or "")
+
+    first, out = {}, []
+    for page, url, html in sorted(rows, key=order):
+        body = (html or "").encode()
+        digest = base64.b32encode(hashlib.sha1(body).digest()).decode()
+        if len(body) < min_bytes or body not in first:
+            first.setdefault(body, page)
+            out.append((page, len(body), digest, "response", None))
+        else:
+            out.append((page, len(body), digest, "revisit", first[body]))
+    return sorted(map(repr, out))
+
+
+def result(spark, path):
+    return sorted(repr(tuple(r)) for r in W.digest(W.read_archives(spark, path)).collect())
+
+
+@pytest.mark.parametrize("min_bytes", [0, 3, 10**9])
+@pytest.mark.parametrize("parts", [1, 7])
+def test_matches_brute_force(spark, workdir, min_bytes, parts):
+    path = W.write_archives(frame(spark).repartition(parts), f"{workdir}/w", min_bytes=min_bytes)
+    assert result(spark, path) == brute(PAGES, min_bytes)
+
+
+def test_archives_are_split_anywhere(spark, workdir):
+    path = W.write_archives(frame(spark).coalesce(1), f"{workdir}/w")
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    try:
+        for size in ("997", "4099", "70001"):
+            spark.conf.set(key, size)
+            assert result(spark, path) == brute(PAGES)
+    finally:
+        spark.conf.set(key, before)
+
+
+def records_of(path):
+    """An own reading of the files by Content-Length."""
+    for name in sorted(glob.glob(f"{path}/part-*")):
+        data = open(name, "rb").read()
+        at = 0
+        while at < len(data):
+            assert data[at:at + 10] == b"WARC/1.1\r\n"
+            end = data.index(b"\r\n\r\n", at)
+            fields = dict(line.split(": ", 1) for line in
+                          data[at:end].decode().split("\r\n")[1:])
+            size = int(fields["Content-Length"])
+            yield fields, data[end + 4:end + 4 + size]
+            at = end + 4 + size
+            assert data[at:at + 4] == b"\r\n\r\n"
+            at += 4
+
+
+def test_files_are_warc(spark, workdir):
+    path = W.write_archives(frame(spark), f"{workdir}/w", date="2024-01-02T03:04:05Z")
+    seen = list(records_of(path))
+    assert len(seen) == len(PAGES)
+    assert len({f["WARC-Record-ID"] for f, _ in seen}) == len(PAGES)
+    responses = {f["WARC-Record-ID"]: f for f, _ in seen if f["WARC-Type"] == "response"}
+    for f, block in seen:
+        assert re.fullmatch(r"<urn:uuid:[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}>",
+                            f["WARC-Record-ID"])
+        assert f["WARC-Date"] == "2024-01-02T03:04:05Z" and "\n" not in f["WARC-Target-URI"]
+        head, _, body = block.partition(b"\r\n\r\n")
+        assert head.startswith(b"HTTP/1.1 200 OK")
+        if f["WARC-Type"] == "response":
+            assert f["WARC-Payload-Digest"] == "sha1:" + base64.b32encode(
+                hashlib.sha1(body).digest()).decode()
+        else:
+            assert body == b"" and f["WARC-Profile"] == W.PROFILE
+            first = responses[f["WARC-Refers-To"]]
+            assert first["WARC-Payload-Digest"] == f["WARC-Payload-Digest"]
+            assert first["WARC-Target-URI"] == f["WARC-Refers-To-Target-URI"]
+
+
+def test_payloads_come_back(spark, workdir):
+    path = W.write_archives(frame(spark), f"{workdir}/w")
+    back = W.with_payloads(W.read_archives(spark, path)).collect()
+    assert Counter((r.page_id, r.payload) for r in back) == Counter(
+        (p, h or "") for p, _, h in PAGES)
+
+
+def test_merge_join_gives_the_same(spark, workdir, monkeypatch):
+    monkeypatch.setattr(W, "bounded_broadcast", lambda df: (df, False))
+    path = W.write_archives(frame(spark), f"{workdir}/w")
+    assert result(spark, path) == brute(PAGES)
+
+
+def test_many_equal_rows(spark, workdir, monkeypatch):
+    monkeypatch.setattr(W, "BLOCK", 7)
+    rows = [(1, "http://a", "same")] * 50 + [(2, "http://b", "same")] * 15 + [(3, "u", "own")]
+    path = W.write_archives(frame(spark, rows), f"{workdir}/w")
+    assert result(spark, path) == brute(rows)
+    assert len({f["WARC-Record-ID"] for f, _ in records_of(path)}) == len(rows)
+
+
+def test_empty_table(spark, workdir):
+    path = W.write_archives(frame(spark, []), f"{workdir}/w")
+    assert result(spark, path) == []
+
+
+def test_damage_is_noticed(spark, workdir):
+    path = W.write_archives(frame(spark, PAGES[:4]).coalesce(1), f"{workdir}/w")
+    name = next(n for n in glob.glob(f"{path}/part-*") if b"same" in open(n, "rb").read())
+    data = open(name, "rb").read()
+    os.unlink(f"{path}/.{os.path.basename(name)}.crc")
+    open(name, "wb").write(data.replace(b"\r\n\r\nsame", b"\r\n\r\nsane"))
+    with pytest.raises(Exception, match="another digest"):
+        result(spark, path)
+    open(name, "wb").write(data.replace(b"\r\n\r\nsame", b"\r\n\r\nsame and more"))
+    with pytest.raises(Exception, match="another length"):
+        result(spark, path)
+    os.mkdir(f"{workdir}/old")
+    open(f"{workdir}/old/a.warc", "wb").write(b"WARC/1.0\r\nWARC-Type: response\r\n\r\n")
+    with pytest.raises(ValueError, match="no archive"):
+        W.read_archives(spark, f"{workdir}/old")
+
+
+def test_matches_sql_on_the_given_tables(spark):
+    r = compare(spark, QUERIES["op12_warc"], ORACLE_SQL["op12_warc"], SF_ORACLE)
+    assert r["columns_match"] and r["exact_match"] and r["spark_rows"] > 0, r
+
+
+def test_sql_holds_on_odd_rows(spark, workdir):
+    import duckdb
+
+    frame(spark).write.parquet(f"{workdir}/pages.parquet")
+    got = QUERIES["op12_warc"](spark, workdir)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{workdir}/pages.parquet/*.parquet')")
+    cur = con.execute(ORACLE_SQL["op12_warc"])
+    names = [c[0] for c in cur.description]
+    want = sorted(repr(tuple(dict(zip(names, r))[c] for c in got.columns)) for r in cur.fetchall())
+    assert sorted(repr(tuple(r)) for r in got.collect()) == want
