@@ -21,6 +21,84 @@ def _base32(digest: str) -> str:
         " & 31 AS INTEGER) + 1, 1)" for at in range(1, 41, 5) for shift in (15, 10, 5, 0))
 
 
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII text: a byte, then eight ticks, and so on."""
+    steps = (f"flatten(list_transform(range(1, length({text}) + 1), lambda k: "
+             f"[CAST(ascii(substr({text}, CAST(k AS INTEGER), 1)) AS BIGINT), "
+             + ", ".join(["-1"] * 8) + "]))")
+    return (f"xor(list_reduce(list_concat([4294967295], {steps}), lambda a, e: "
+            "CASE WHEN e >= 0 THEN xor(a, e) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) "
+            "ELSE a >> 1 END), 4294967295)")
+
+
+def _repair_sql() -> str:
+    """One row after another: for each state the cheapest edits so far, as a text
+    of cost (12 digits), initials, chr(1) and the repaired rows; the least such
+    text is the best."""
+    def add(v: str, cost: str, letter: str, tail: str = "''") -> str:
+        return (f"CASE WHEN {v} = '~' THEN '~' ELSE lpad(CAST(CAST(substr({v}, 1, 12) AS BIGINT) "
+                f"+ {cost} AS VARCHAR), 12, '0') || substr({v}, 13, strpos({v}, chr(1)) - 13) || "
+                f"'{letter}' || substr({v}, strpos({v}, chr(1))) || {tail} END")
+
+    def only(condition: str, value: str) -> str:
+        return f"CASE WHEN {condition} THEN {value} ELSE '~' END"
+
+    t2 = "least(s2, " + ", ".join(add(v, "3", "I", "chr(10) || 'user:'")
+                                  for v in ("s0", "s1", "s3")) + ")"
+    t3 = f"least(s3, {add('t2', '3', 'I', chr(39).join(['chr(10) || ', 'assistant:', '']))})"
+    kept = "chr(10) || role || ':' || text"
+    key = ("(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || "
+           "coalesce(CAST(turn AS VARCHAR), ' '))")
+    return rf"""
+WITH RECURSIVE c AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {_crc32(key)} % 20 AS m FROM conversations),
+d AS (SELECT conv_id, turn, CASE WHEN m = 4 THEN 'user' ELSE role END AS role,
+             CASE WHEN m = 1 THEN '' WHEN m = 2 THEN regexp_replace(text, '[.!?]', '', 'g')
+                  ELSE text END AS text
+      FROM c JOIN (SELECT unnest([1, 2]) AS copy) ON copy = 1 OR m = 3 WHERE m <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+             sha256(length(role) || ':' || role || text)) AS i,
+             rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS x FROM d),
+f AS (SELECT conv_id, turn, role, text, i, substr(role, 1, 1) AS l,
+             CASE WHEN x = '' THEN 'blank'
+                  WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1
+                  THEN 'duplicate'
+                  WHEN right(x, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+             lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before
+      FROM o),
+s(conv_id, i, s0, s1, s2, s3) AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT), '000000000000' || chr(1), '~', '~', '~' FROM f
+  UNION ALL
+  SELECT conv_id, i, {add('s0', '4', 'D')},
+         least({add('s1', '4', 'D')}, {only("ok AND l = 's'", add('s0', 'e', 'K', kept))}),
+         least({add('t2', '4', 'D')}, {only("ok AND l = 'u'", add('u', 'e', 'K', kept))},
+               {only("ok", add('u', '(3 + e)', 'R', "chr(10) || 'user:' || text"))}),
+         least({add('t3', '4', 'D')}, {only("ok AND l = 'a'", add('t2', 'e', 'K', kept))},
+               {only("ok", add('t2', '(3 + e)', 'R', "chr(10) || 'assistant:' || text"))})
+  FROM (SELECT *, least(s0, s1, t3) AS u FROM (SELECT *, {t3} AS t3 FROM (
+    SELECT s.conv_id, f.i, s0, s1, s2, s3, {t2} AS t2, role, text, l,
+           fault NOT IN ('blank', 'duplicate') AS ok,
+           CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS e
+    FROM s JOIN f ON f.conv_id IS NOT DISTINCT FROM s.conv_id AND f.i = s.i + 1)))),
+n AS (SELECT conv_id, max(i) AS i, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps,
+             count(*) FILTER (fault = 'blank') AS blank,
+             count(*) FILTER (fault = 'duplicate') AS duplicate,
+             count(*) FILTER (fault = 'truncated') AS truncated,
+             count(*) FILTER (before || l NOT IN ('su', 'ua', 'au')) AS illegal
+      FROM f GROUP BY conv_id),
+z AS (SELECT n.*, least(s0, t3) AS best FROM (SELECT *, {t3} AS t3 FROM (
+        SELECT *, {t2} AS t2 FROM s)) q
+      JOIN n ON n.conv_id IS NOT DISTINCT FROM q.conv_id AND n.i = q.i)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank,
+       coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(CAST(substr(best, 1, 12) AS BIGINT), 0) AS cost,
+       coalesce(substr(best, 13, strpos(best, chr(1)) - 13), '') AS audit,
+       sha256(coalesce(substr(best, strpos(best, chr(1)) + 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a
+     LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM a.conv_id"""
+
+
 ORACLE_SQL = {
     "op1_license_scan": license_scan.oracle_sql(),
     # Equal texts are grouped by the text itself; the smallest id stays.
@@ -65,6 +143,7 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(hit, 0) AS n_hit,
        coalesce(items, 0) AS n_items, coalesce(digest, sha256('')) AS items_sha256,
        hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN p ON p.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id""",
+    "op11_conversation_repair": _repair_sql(),
     # Of equal payloads the first by id (then address) is stored, the rest refer to it.
     "op12_warc": rf"""
 WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from . import (decontaminate, exact_dedup, kn_lm, language_id, license_scan, ngram_join,
-               quality_rank, secret_scan, source_mix, token_output, warc)
+               quality_rank, repair, secret_scan, source_mix, token_output, warc)
 from .common import id_remainder, read, written
 
 
@@ -66,6 +66,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations")
+    return repair.digest(turns, *repair.repair(repair.damaged(turns)))
+
+
 def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.write_archives(read(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
     return warc.digest(written(warc.read_archives(spark, path).drop("payload"), "warc-records"))
@@ -82,5 +87,6 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_decontaminate": op10_decontaminate,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_warc": op12_warc,
 }
