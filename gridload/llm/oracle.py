@@ -154,4 +154,30 @@ SELECT page_id, strlen(html) AS payload_bytes, {_base32('h')} AS payload_digest,
        CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN k = 1 THEN NULL ELSE f END AS refers_to
 FROM d""",
+    # Prefixes as lists; each node is added to all its prefixes.
+    "op13_prefix_trie": rf"""
+WITH o AS (SELECT conv_id, list(struct_pack(r := r, x := x) ORDER BY turn NULLS FIRST,
+                  sha256(length(r) || ':' || r || x)) AS t
+           FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x
+                 FROM conversations) GROUP BY conv_id),
+h AS (SELECT conv_id, t, CAST(CASE WHEN conv_id % 20 <> 0 THEN
+             {_crc32("CAST(conv_id AS VARCHAR)")} % 4 ELSE 0 END AS INTEGER) AS h FROM o),
+b AS (SELECT h.conv_id, list_concat(coalesce(o.t, [])[1:h], h.t[h + 1:]) AS t
+      FROM h LEFT JOIN o ON o.conv_id = h.conv_id - h.conv_id % 20),
+p AS (SELECT conv_id, CAST(d AS BIGINT) AS d, t[1:d] AS p, len(t) = d AS ends
+      FROM b, unnest(range(0, len(t) + 1)) AS u(d)),
+n AS (SELECT d, p, min(conv_id) AS conv_id, count(*) AS n_convs,
+             CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(p[d].x,
+                  '[^\x20\x09-\x0D]+')) END AS words,
+             sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)
+                             FILTER (ends), '')) AS ends_sha256
+      FROM p GROUP BY d, p),
+c AS (SELECT d - 1 AS d, p[1:d - 1] AS p, count(*) AS n FROM n WHERE d > 0 GROUP BY ALL),
+l AS (SELECT n.*, coalesce(c.n, 0) AS n_children FROM n LEFT JOIN c ON c.d = n.d AND c.p = n.p),
+s AS (SELECT k AS d, p[1:k] AS p, count(*) FILTER (n_children = 0) AS n_leaves,
+             CAST(sum((n_convs - 1) * words) AS BIGINT) AS saved_tokens
+      FROM l, unnest(range(0, d + 1)) AS u(k) GROUP BY ALL)
+SELECT l.conv_id, l.d AS depth, f.conv_id AS parent_conv_id, l.n_convs, l.n_children,
+       s.n_leaves, s.saved_tokens, l.ends_sha256
+FROM l JOIN s ON s.d = l.d AND s.p = l.p LEFT JOIN n f ON f.d = l.d - 1 AND f.p = l.p[1:l.d - 1]""",
 }

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from . import (decontaminate, exact_dedup, kn_lm, language_id, license_scan, ngram_join,
-               quality_rank, repair, secret_scan, source_mix, token_output, warc)
-from .common import id_remainder, read, written
+               prefix_trie, quality_rank, repair, secret_scan, source_mix, token_output, warc)
+from .common import id_remainder, intermediates, read, written
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +68,9 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations")
-    return repair.digest(turns, *repair.repair(repair.damaged(turns)))
+    with intermediates(spark):
+        return written(repair.digest(turns, *repair.repair(repair.damaged(turns))),
+                       "conversations-repaired", keep=True)
 
 
 def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +78,12 @@ def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(written(warc.read_archives(spark, path).drop("payload"), "warc-records"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with intermediates(spark):
+        turns = prefix_trie.turns(read(spark, sf_dir, "conversations"))
+        return written(prefix_trie.trie(*prefix_trie.spliced(*turns)), "trie", keep=True)
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_source_mix": op2_source_mix,
@@ -89,4 +97,5 @@ QUERIES = {
     "op10_decontaminate": op10_decontaminate,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_warc": op12_warc,
+    "op13_prefix_trie": op13_prefix_trie,
 }
