@@ -1,15 +1,19 @@
 """Words of many texts at once, as 64-bit hashes, in numpy.
 
-A word is a run of bytes that are no separators; A-Z are lower-cased. The hash
-is a sum of random byte values times powers of an odd number, so all words of
-a buffer come from one ``add.reduceat``; a mixing step ends it.
+A word is a run of bytes that are no separators; A-Z are lower-cased. Its hash
+starts from its length and takes in eight bytes at a time, each time through a
+mixing step that is one-to-one; words over ``LONG`` bytes go to XXH3. It is no
+sum or polynomial, so no pattern of letters makes two words collide whatever
+the constants. Two different words still have one hash by a chance of 2 ** -64.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 PIECE = 1 << 20
+LONG = 256
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -20,10 +24,8 @@ BLANKS[[0x20, *range(0x09, 0x0E)]] = True
 NO_ALNUM = np.zeros(256, bool)
 NO_ALNUM[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
 
-_BYTE_VALUES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) | 1
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_SEED = 0x9E3779B97F4A7C15
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -34,18 +36,22 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = PIECE
-    while size < n:
-        size *= 2
-    if size not in _POWERS:
-        up = np.full(size, _BASE, np.uint64)
-        down = np.full(size, _BASE_INVERSE, np.uint64)
-        up[0] = down[0] = 1
-        if size > PIECE:
-            _POWERS.pop(max(_POWERS), None) if len(_POWERS) > 1 else None
-        _POWERS[size] = (np.multiply.accumulate(up), np.multiply.accumulate(down))
-    return _POWERS[size]
+def _hashes(low: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of the words at ``start`` with ``size`` bytes in ``low``."""
+    padded = np.concatenate([low, np.zeros(8, np.uint8)])
+    lanes = np.ndarray((len(low) + 1,), "<u8", padded, strides=(1,))
+    h = mix(size.astype(np.uint64) * np.uint64(_SEED | 1) + np.uint64(_SEED >> 7))
+    left = np.flatnonzero(size <= LONG)
+    for at in range(0, LONG, 8):
+        if len(left) == 0:
+            break
+        rest = size[left] - at
+        h[left] = mix(h[left] ^ (lanes[start[left] + at] & _MASKS[np.minimum(rest, 8)]))
+        left = left[rest > 8]
+    for k in np.flatnonzero(size > LONG).tolist():
+        word = low[start[k]:start[k] + size[k]].tobytes()
+        h[k] = xxhash.xxh3_64_intdigest(word, _SEED)
+    return h
 
 
 def _pieces(data: np.ndarray, separator: np.ndarray, offsets: np.ndarray):
@@ -72,7 +78,6 @@ def _pieces(data: np.ndarray, separator: np.ndarray, offsets: np.ndarray):
 def words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = BLANKS):
     """``(starts, hashes, first)``: byte position and hash of every word, in
     order, and for each text the index of its first word (and the total)."""
-    table = np.where(separator[LOWER], np.uint64(0), _BYTE_VALUES[LOWER])
     starts, hashes = [], []
     begins = np.unique(offsets[:-1])
     for a, b in _pieces(data, separator[LOWER], offsets):
@@ -86,10 +91,10 @@ def words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = BLANKS)
         s = np.flatnonzero(fresh)
         if len(s) == 0:
             continue
-        up, down = _powers(b - a)
-        h = np.add.reduceat(table[piece] * up[:b - a], s) * down[s]
+        last = word.copy()
+        last[:-1] &= ~word[1:] | fresh[1:]
         starts.append(s + a)
-        hashes.append(mix(h))
+        hashes.append(_hashes(LOWER[piece], s, np.flatnonzero(last) + 1 - s))
     start = np.concatenate(starts) if starts else np.zeros(0, np.int64)
     value = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
     return start, value, np.searchsorted(start, offsets)

@@ -39,6 +39,13 @@ CLASHES = ["row", "size", "n", "token", "score", "first", "kept", "digest", "fil
            "_id", "_key", "_doc", "target", "matches", "rejected", "text_key", "component"]
 
 
+def thue_morse(letters, first="ab"):
+    """Two words of equal letter counts that collide under every polynomial
+    hash modulo 2 ** 64: the Thue-Morse word and its complement."""
+    word = "".join(first[bin(k).count("1") % 2] for k in range(letters))
+    return word, word.translate(str.maketrans(first, first[::-1]))
+
+
 def docs_frame(spark, rows=DOCS):
     extra = ", ".join(f"`{c}` string" for c in CLASHES)
     return spark.createDataFrame(

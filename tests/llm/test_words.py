@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
-from fixtures_llm import ALNUM, LONG, WORD
+from fixtures_llm import ALNUM, LONG, WORD, thue_morse
 from fixtures_llm import words as plain
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -59,3 +59,34 @@ def test_utf8_of_sliced_and_chunked_columns():
         data, offsets = utf8(column)
         assert bytes(data) == b"abcd" and offsets.tolist() == [0, 1, 1, 3, 4]
     assert utf8(pa.array([], pa.string()))[1].tolist() == [0]
+
+
+@pytest.mark.parametrize("letters", [64, 256, 1024, 4096])
+def test_no_pattern_of_letters_collides(letters):
+    data, offsets = utf8(pa.array([*thue_morse(letters), *thue_morse(letters, "xy")]))
+    assert len(set(W.words(data, offsets)[1].tolist())) == 4
+
+
+def test_words_of_zero_bytes_differ_by_length():
+    texts = ["\x00" * n for n in range(1, 40)] + ["a" + "\x00" * n for n in range(40)]
+    texts += ["x" * n for n in range(1, 600)]
+    data, offsets = utf8(pa.array(texts))
+    assert len(set(W.words(data, offsets)[1].tolist())) == len(texts)
+
+
+def test_adversarial_words_are_told_apart(spark):
+    """Documents of one word each that a polynomial hash takes for equal: no
+    link, no benchmark hit, and unknown to a model of the other."""
+    from gridload.llm import decontaminate, kn_lm, ngram_join
+
+    one, two = thue_morse(1024)
+    docs = spark.createDataFrame([(1, one), (2, two)], "doc_id bigint, text string")
+    for k, num, den in ((4, 85, 100), (5, 80, 100)):
+        got = ngram_join.join(docs, k=k, num=num, den=den).collect()
+        assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 2}
+    items = spark.createDataFrame([(1, one)], "item_id bigint, text string")
+    hit = decontaminate.digest(decontaminate.decontaminate(docs, items)).collect()
+    assert {r.doc_id: r.n_hit for r in hit} == {1: 1, 2: 0}
+    model = kn_lm.train(docs.where("doc_id = 1").select("text"))
+    known = kn_lm.score(docs, model).collect()
+    assert {r.doc_id: r.n_known for r in known} == {1: 2, 2: 1}
