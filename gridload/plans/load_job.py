@@ -47,7 +47,6 @@ import uuid
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +62,7 @@ from ..operators.rank import peak_load
 from ..schemas import DATA, GENERATION, INTERCHANGE, RESOURCES, SUBSYSTEM, VALUE, check_unit
 from ..session import job_description
 from ..sources.catalog import load_tables
+from ..sources.files import path_exists
 from ..sources.sinks import append_rows, to_rows, write_csv, write_parquet
 
 RUN_ID = "run_id"
@@ -84,14 +84,6 @@ class LoadJobResult:
     elapsed: dict[str, float] = field(default_factory=dict)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.format("binaryFile").load(path).schema
-    except AnalysisException:
-        return False
-    return True
-
-
 def _profile(tables: dict[str, DataFrame]) -> tuple[dict[str, int], tuple[int, int]]:
     """Counts of all tables, and the plant dimension's rows and bytes: one job."""
     size = dimension_measures(tables[RESOURCES])
@@ -110,11 +102,11 @@ def _write_run(spark, load, run_id, out, sep, output_format, mode):
     if output_format == "parquet":
         write_parquet(marked, out, mode=mode, partition_by=[RUN_ID])
         reader = spark.read.schema(load.schema)
-        rows = reader.parquet(path) if _exists(spark, path) else None
+        rows = reader.parquet(path) if path_exists(spark, path) else None
     else:
         write_csv(marked, out, sep=sep, mode=mode, partition_by=[RUN_ID])
         reader = spark.read.schema(load.schema).option("sep", sep).option("header", True)
-        rows = reader.csv(path) if _exists(spark, path) else None
+        rows = reader.csv(path) if path_exists(spark, path) else None
     # an empty load makes no partition
     return path, spark.createDataFrame([], load.schema) if rows is None else rows
 
@@ -149,7 +141,7 @@ def run_load_job(spark: SparkSession, datafiles: list[str] | dict[str, DataFrame
     run_id = run_id or uuid.uuid4().hex
     if not re.fullmatch(r"[A-Za-z0-9_.-]+", run_id):
         raise ValueError(f"run_id {run_id!r} must be of letters, digits, '_', '.' and '-'")
-    if mode == "append" and _exists(spark, f"{out.rstrip('/')}/{RUN_ID}={run_id}"):
+    if mode == "append" and path_exists(spark, f"{out.rstrip('/')}/{RUN_ID}={run_id}"):
         raise ValueError(f"{out!r} holds a run {run_id!r} already")
     t_job = time.time()
     elapsed: dict[str, float] = {}

@@ -125,4 +125,16 @@ SELECT c.tabela, c.posicao, c.coluna, c.tipo, c.anulavel, n.registros
 FROM cols c JOIN counts n ON c.tabela = n.tabela""",
     "stage_metrics": _with(STAGES),
 }
-ORACLE_SQL["extract_job_generation"] = ORACLE_SQL["extract_generation"]
+for _name, _same in (("extract_job_generation", "extract_generation"),
+                     ("extract_job_interchange", "extract_interchange"),
+                     ("extract_job_resources", "extract_resources"),
+                     ("load_daily_bucketed", "load_daily"), ("load_published", "load_daily")):
+    ORACLE_SQL[_name] = ORACLE_SQL[_same]
+ORACLE_SQL["extract_job_periods"] = """
+SELECT l_shipdate AS data, l_quantity AS valor, CAST(l_partkey AS VARCHAR(20)) AS id_usina,
+       CAST(l_suppkey AS VARCHAR(20)) AS guid_usina
+FROM lineitem
+WHERE (YEAR(l_shipdate), MONTH(l_shipdate)) IN (
+        SELECT (YEAR(o_orderdate), MONTH(o_orderdate)) FROM orders
+        WHERE YEAR(o_orderdate) = 1995 AND o_orderstatus = 'P')
+  AND l_returnflag = 'A' AND l_linestatus = 'F'"""

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.casts import cast_string, cast_timestamp
 from ..operators.aggregate import aggregate_generation, aggregate_interchange, attach_subsystem
-from ..operators.load import regional_load
+from ..operators.load import compute_load, regional_load
 from ..operators.metrics import MAX_VALUE, RECORD_COUNT, STAGE, load_stage_summary
 from ..operators.profile import table_counts, table_schemas
 from ..operators.rank import order_load, peak_load, peak_load_per_day, top_loads
@@ -25,7 +25,9 @@ from ..session import scratch_path
 from ..sources import extract as X
 from ..sources import tpch
 from ..sources.catalog import drop_table, load_tables, select_all
-from ..sources.csv import read_generation, read_interchange
+from ..sources.catalog_tables import (append_partitions, create_partitioned,
+                                      drop_catalog_table, publish_run, write_bucketed)
+from ..sources.csv import read_generation, read_interchange, read_resources
 from ..sources.sinks import write_csv
 from .extract_job import run_extract_job
 from .load_job import run_load_job
@@ -191,33 +193,93 @@ def load_job_csv(spark, sf_dir):
 
 
 def partitioned_sources(spark, sf_dir) -> tuple[str, str, str]:
-    """Names of the three catalog-shaped sources: the measurements as Parquet
-    partitioned by year and month, the plants as they are."""
+    """Names of the three source tables in the session catalog: the measurements
+    partitioned by year and month, partitions registered, and the plants."""
     base, tag = scratch_path(spark, "catalog"), uuid.uuid4().hex
     names = []
     for name, df in (("interchange", tpch.interchange_source(spark, sf_dir)),
                      ("generation", tpch.generation_source(spark, sf_dir))):
-        by = [X.YEAR_COL, X.MONTH_COL]
-        df.repartition(*by).write.partitionBy(*by).parquet(f"{base}/{name}")
-        spark.read.schema(df.schema).parquet(f"{base}/{name}").createOrReplaceTempView(
-            f"{name}_{tag}")
-        names.append(f"{name}_{tag}")
-    tpch.resources_source(spark, sf_dir).createOrReplaceTempView(f"plants_{tag}")
+        table = create_partitioned(spark, f"{name}_{tag}", df.schema, [X.YEAR_COL, X.MONTH_COL],
+                                   f"{base}/{name}")
+        append_partitions(df, table)
+        names.append(table)
+    plants = tpch.resources_source(spark, sf_dir)
+    plants.write.option("path", f"{base}/plants").saveAsTable(f"plants_{tag}")
     return names[0], names[1], f"plants_{tag}"
 
 
+def _run_extract(spark, sf_dir, year=EXTRACT_YEAR, month=EXTRACT_MONTH, periods=None):
+    """The extraction job over catalog tables by name; returns its CSV paths."""
+    names = partitioned_sources(spark, sf_dir)
+    paths = run_extract_job(spark, *names, year, month, scratch_path(spark, "extract"),
+                            period=GENERATION_CODES[0], generation_class=GENERATION_CODES[1],
+                            interchange_class=INTERCHANGE_CODES[1], periods=periods)
+    for n in names:
+        drop_catalog_table(spark, n)
+    return paths
+
+
 def extract_job_generation(spark, sf_dir):
-    """The extraction job over tables by name, partitioned by year and month:
-    the generation extract of one month, read back from its CSV."""
+    """The extraction job over catalog tables by name, partitioned by year and
+    month: the generation extract of one month, read back from its CSV."""
+    return read_generation(spark, _run_extract(spark, sf_dir)[GENERATION], ntz=True)
+
+
+def extract_job_interchange(spark, sf_dir):
+    """The same job with the interchange's period code: its interchange extract."""
     names = partitioned_sources(spark, sf_dir)
     paths = run_extract_job(spark, *names, EXTRACT_YEAR, EXTRACT_MONTH,
-                            scratch_path(spark, "extract"), period=GENERATION_CODES[0],
+                            scratch_path(spark, "extract"), period=INTERCHANGE_CODES[0],
+                            interchange_class=INTERCHANGE_CODES[1],
                             generation_class=GENERATION_CODES[1])
     for n in names:
-        drop_table(spark, n)
+        drop_catalog_table(spark, n)
+    return read_interchange(spark, paths[INTERCHANGE], ntz=True)
+
+
+def extract_job_resources(spark, sf_dir):
+    """The plants the extraction job wrote."""
+    return read_resources(spark, _run_extract(spark, sf_dir)[RESOURCES])
+
+
+def wanted_periods(spark, sf_dir):
+    """The months of 1995 in which an order is still open in part."""
+    o = tpch.read_table(spark, sf_dir, "orders")
+    return o.where((F.year("o_orderdate") == 1995) & (F.col("o_orderstatus") == "P")).select(
+        F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"))
+
+
+def extract_job_periods(spark, sf_dir):
+    """The extraction job over several months at once, named by the rows of a
+    table: the generation extract."""
+    paths = _run_extract(spark, sf_dir, None, None, periods=wanted_periods(spark, sf_dir))
     return read_generation(spark, paths[GENERATION], ntz=True)
 
 
+def load_daily_bucketed(spark, sf_dir):
+    """The daily load from its two aggregates as bucketed catalog tables: the
+    join needs no shuffle."""
+    base, tag = scratch_path(spark, "bucketed"), uuid.uuid4().hex
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sides = []
+    for name, aggr in (("generation", _gen_aggr), ("interchange", _inter_aggr)):
+        table = write_bucketed(aggr(spark, sf_dir, DAILY), f"{name}_daily_{tag}",
+                               [SUBSYSTEM, DATA], buckets, f"{base}/{name}")
+        sides.append(spark.table(table))
+    return compute_load(*sides, DAILY)
+
+
+def load_published(spark, sf_dir):
+    """The daily load as the table of published runs shows it: a run first
+    published with half of its rows and then replaced, beside another run."""
+    base, name = scratch_path(spark, "published"), f"carga_{uuid.uuid4().hex}"
+    load = _load(spark, sf_dir, DAILY)
+    publish_run(load.where(F.col(VALUE) > 0), name, "run-1", base)
+    publish_run(load.where(F.col(VALUE) <= 0), name, "run-2", base)
+    publish_run(load, name, "run-1", base)
+    return spark.table(name).where("run_id = 'run-1'").drop("run_id")
+
+
 def cast_timestamp_q(spark, sf_dir):
     ev = tpch.read_table(spark, sf_dir, "events")
     as_text = ev.select("event_id", F.col("ts").cast("string").alias("ts"))
@@ -277,6 +339,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "load_job_metrics": load_job_metrics,
     "load_job_csv": load_job_csv,
     "extract_job_generation": extract_job_generation,
+    "extract_job_interchange": extract_job_interchange,
+    "extract_job_resources": extract_job_resources,
+    "extract_job_periods": extract_job_periods,
+    "load_daily_bucketed": load_daily_bucketed,
+    "load_published": load_published,
 }
 
 
