@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schemas import DATA, SUBSYSTEM, VALUE
 
@@ -40,6 +41,31 @@ def top_loads(load: DataFrame, n: int, position: str = "pos") -> DataFrame:
     return head.withColumn(position, F.row_number().over(Window.orderBy(*order)).cast("bigint"))
 
 
+def load_positions(load: DataFrame, path: str, position: str = "pos") -> DataFrame:
+    """Every row of the load with its 1-based position in the whole order.
+
+    The load is sorted by range and written under ``path``; within a range
+    partition rows count up, and the sizes of the partitions before it are added.
+    So no task sees more than its range (a window over everything would be one
+    task), and the written table fixes what the numbers refer to. Only the
+    partitions' sizes, as many numbers as there are tasks, reach the driver.
+    """
+    spark = load.sparkSession
+    part, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    order_load(load).withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
+    schema = T.StructType([*load.schema.fields, T.StructField("_at", T.LongType())])
+    rows = spark.read.schema(schema).parquet(path)
+    sizes = {r["part"]: r["n"] for r in rows.groupBy(part.alias("part")).agg(
+        F.count(F.lit(1)).alias("n")).collect()}
+    before, start = [], 0
+    for k in sorted(sizes):
+        before.append((k, start))
+        start += sizes[k]
+    bases = F.broadcast(spark.createDataFrame(before, "_part bigint, _base bigint"))
+    return rows.join(bases, part == F.col("_part")).select(
+        *load.columns, (within + F.col("_base") + 1).alias(position))
+
+
 def peak_load(load: DataFrame) -> DataFrame:
     """The most demanding subsystem (and instant, in daily mode): one row, or
     none when the load is empty."""

@@ -128,7 +128,9 @@ FROM cols c JOIN counts n ON c.tabela = n.tabela""",
 for _name, _same in (("extract_job_generation", "extract_generation"),
                      ("extract_job_interchange", "extract_interchange"),
                      ("extract_job_resources", "extract_resources"),
-                     ("load_daily_bucketed", "load_daily"), ("load_published", "load_daily")):
+                     ("load_daily_bucketed", "load_daily"), ("load_published", "load_daily"),
+                     ("load_daily_incremental", "load_daily"),
+                     ("load_monthly_incremental", "load_monthly")):
     ORACLE_SQL[_name] = ORACLE_SQL[_same]
 ORACLE_SQL["extract_job_periods"] = """
 SELECT l_shipdate AS data, l_quantity AS valor, CAST(l_partkey AS VARCHAR(20)) AS id_usina,
@@ -138,3 +140,46 @@ WHERE (YEAR(l_shipdate), MONTH(l_shipdate)) IN (
         SELECT (YEAR(o_orderdate), MONTH(o_orderdate)) FROM orders
         WHERE YEAR(o_orderdate) = 1995 AND o_orderstatus = 'P')
   AND l_returnflag = 'A' AND l_linestatus = 'F'"""
+ORACLE_SQL["load_job_retried"] = _with(STAGES)
+ORACLE_SQL["load_rows"] = _with(
+    "SELECT CAST(ROW_NUMBER() OVER (ORDER BY valor DESC, subsistema) AS BIGINT) AS linha, "
+    "subsistema, valor FROM cm")
+ORACLE_SQL["load_positions"] = _with(
+    "SELECT subsistema, data, valor, "
+    "CAST(ROW_NUMBER() OVER (ORDER BY valor DESC, subsistema, data) AS BIGINT) AS pos FROM cd")
+
+# The lines of the damaged file, and what is wrong with each.
+DAMAGED = """
+t AS (SELECT o_orderkey AS k, o_orderpriority AS subsistema, o_totalprice AS valor,
+             CASE WHEN o_orderkey % 89 = 0 THEN 'soon'
+                  ELSE strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') END AS d,
+             CASE WHEN o_orderkey % 97 = 0 THEN 'n/a'
+                  ELSE printf('%.2f', CAST(o_totalprice AS DOUBLE)) END AS v FROM orders),
+l AS (SELECT *, CASE WHEN k % 83 = 0 THEN concat_ws(';', d, subsistema, v, 'more')
+                     WHEN k % 79 = 0 THEN concat_ws(';', d, subsistema)
+                     ELSE concat_ws(';', d, subsistema, v) END AS linha,
+             CASE WHEN k % 83 = 0 OR k % 79 = 0 THEN 'wrong number of fields'
+                  WHEN d = 'soon' OR v = 'n/a' THEN 'bad value' END AS motivo FROM t)
+"""
+ORACLE_SQL["quarantine_lines"] = f"""
+WITH {DAMAGED} SELECT motivo, CASE WHEN motivo = 'bad value' THEN
+  CASE WHEN d = 'soon' THEN 'data' ELSE 'valor' END END AS coluna, linha
+FROM l WHERE motivo IS NOT NULL"""
+ORACLE_SQL["quarantine_counts"] = f"""
+WITH {DAMAGED} SELECT subsistema, COUNT(0) AS c,
+  CAST(SUM(CAST(v AS DECIMAL(18,4))) AS DOUBLE) AS valor
+FROM l WHERE motivo IS NULL GROUP BY subsistema
+UNION ALL SELECT NULL, COUNT(0), NULL FROM l WHERE motivo IS NOT NULL"""
+
+
+def _footer(table: str, columns: tuple) -> str:
+    rows = [f"SELECT '{table}' AS tabela, NULL AS coluna, COUNT(0) AS c, NULL AS menor, "
+            f"NULL AS maior FROM {table}"]
+    rows += [f"SELECT '{table}', '{c}', COUNT({c}), CAST(MIN({c}) AS VARCHAR), "
+             f"CAST(MAX({c}) AS VARCHAR) FROM {table}" for c in columns]
+    return " UNION ALL ".join(rows)
+
+
+ORACLE_SQL["table_footers"] = " UNION ALL ".join(
+    _footer(t, c) for t, c in (("lineitem", ("l_orderkey", "l_suppkey")),
+                               ("orders", ("o_custkey",)), ("supplier", ("s_suppkey",))))

@@ -17,10 +17,14 @@ from ..functions.casts import cast_string, cast_timestamp
 from ..operators.aggregate import aggregate_generation, aggregate_interchange, attach_subsystem
 from ..operators.load import compute_load, regional_load
 from ..operators.metrics import MAX_VALUE, RECORD_COUNT, STAGE, load_stage_summary
-from ..operators.profile import table_counts, table_schemas
-from ..operators.rank import order_load, peak_load, peak_load_per_day, top_loads
+from ..operators.profile import footer_profile, table_counts, table_schemas
+from ..operators.rank import (load_positions, order_load, peak_load, peak_load_per_day,
+                              top_loads)
+from ..operators.registry import runs
+from ..operators.state import LoadState
 from ..schemas import (DAILY, DATA, GENERATION, INTERCHANGE, MONTHLY, PLANT_GUID,
-                       RESOURCE_GUID, RESOURCE_ID, RESOURCES, SUBSYSTEM, VALUE)
+                       RESOURCE_GUID, RESOURCE_ID, RESOURCES, SUBSYSTEM, VALUE,
+                       interchange_schema)
 from ..session import scratch_path
 from ..sources import extract as X
 from ..sources import tpch
@@ -28,7 +32,8 @@ from ..sources.catalog import drop_table, load_tables, select_all
 from ..sources.catalog_tables import (append_partitions, create_partitioned,
                                       drop_catalog_table, publish_run, write_bucketed)
 from ..sources.csv import read_generation, read_interchange, read_resources
-from ..sources.sinks import write_csv
+from ..sources.quarantine import COLUMN, LINE, REASON, read_quarantined
+from ..sources.sinks import to_rows, write_csv
 from .extract_job import run_extract_job
 from .load_job import run_load_job
 
@@ -168,16 +173,47 @@ def load_job_daily(spark, sf_dir):
     return spark.read.parquet(_run_job(spark, sf_dir, scratch_path(spark, "load-job")).output)
 
 
+def _stage_numbers(rows, measure):
+    """Record count and highest value of each stage that counts records."""
+    wide = rows.groupBy(STAGE).agg(*[
+        measure(F.when(F.col("metric") == m, F.col("value"))).alias(m)
+        for m in (RECORD_COUNT, MAX_VALUE)])
+    return (wide.where(F.col(RECORD_COUNT).isNotNull())
+            .select(STAGE, F.col(RECORD_COUNT).cast("bigint").alias(RECORD_COUNT), MAX_VALUE))
+
+
 def load_job_metrics(spark, sf_dir):
     """The stage metrics that the load job wrote, read back from its table."""
     base = scratch_path(spark, "load-job")
     run = _run_job(spark, sf_dir, base)
     rows = spark.read.parquet(f"{base}/metrics").where(F.col("run_id") == run.run_id)
-    wide = rows.groupBy(STAGE).agg(*[
-        F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m)
-        for m in (RECORD_COUNT, MAX_VALUE)])
-    return (wide.where(F.col(RECORD_COUNT).isNotNull())
-            .select(STAGE, F.col(RECORD_COUNT).cast("bigint").alias(RECORD_COUNT), MAX_VALUE))
+    return _stage_numbers(rows, F.max)
+
+
+def load_job_retried(spark, sf_dir):
+    """The stage metrics of a run whose first attempt failed in the write of the
+    load and that was then run again: the registry's one set of rows."""
+    base, tables = scratch_path(spark, "load-job"), tpch.domain_tables(spark, sf_dir)
+    broken = tables["intercambio"].withColumn(VALUE, F.when(
+        F.col(VALUE).isNotNull(), F.raise_error(F.lit("unreadable"))).cast(tpch.VALUE_TYPE))
+    args = {"unit": DAILY, "out": f"{base}/carga", "metrics_path": f"{base}/metrics",
+            "mode": "append", "run_id": "retried"}
+    try:
+        run_load_job(spark, {**tables, "intercambio": broken}, **args)
+    except Exception as error:
+        if "unreadable" not in str(error):
+            raise
+    run_load_job(spark, tables, **args)
+    # a sum, so a row that is there twice would show
+    return _stage_numbers(runs(spark, f"{base}/metrics"), F.sum)
+
+
+def load_rows(spark, sf_dir):
+    """The monthly load collected as a list of lists, as a frame again, with
+    the place in the list (one row a subsystem, so it fits the driver)."""
+    listed = to_rows(order_load(_load(spark, sf_dir, MONTHLY)))
+    return spark.createDataFrame([[k, *row] for k, row in enumerate(listed, 1)],
+                                 "linha bigint, subsistema string, valor double")
 
 
 def load_job_csv(spark, sf_dir):
@@ -280,6 +316,85 @@ def load_published(spark, sf_dir):
     return spark.table(name).where("run_id = 'run-1'").drop("run_id")
 
 
+def load_positions_q(spark, sf_dir):
+    """Every row of the daily load with its position in the whole order."""
+    return load_positions(_load(spark, sf_dir, DAILY), scratch_path(spark, "positions"))
+
+
+def _load_incremental(spark, sf_dir, unit):
+    """The load from states that arrived year by year, the latest year first; one
+    year is first delivered in part and then again."""
+    t = tpch.domain_tables(spark, sf_dir)
+    state = LoadState(spark, scratch_path(spark, "load-state"))
+
+    def rows(name, year):
+        return t[name].where(F.year(DATA) == year)
+
+    both = t["geracao"].select(DATA).unionByName(t["intercambio"].select(DATA))
+    years = sorted((r[0] for r in both.select(F.year(DATA)).distinct().collect()), reverse=True)
+    for k, year in enumerate(years):
+        generation, interchange = rows("geracao", year), rows("intercambio", year)
+        if k == 0:
+            early = F.month(DATA) <= 6
+            state.add(generation.where(early), interchange.where(early), t["recursos"], str(year))
+        state.add(generation, interchange, t["recursos"], str(year))
+    return state.load(unit)
+
+
+def load_daily_incremental(spark, sf_dir):
+    return _load_incremental(spark, sf_dir, DAILY)
+
+
+def load_monthly_incremental(spark, sf_dir):
+    return _load_incremental(spark, sf_dir, MONTHLY)
+
+
+def table_footers(spark, sf_dir):
+    """Rows of the profiled tables and the bounds of some columns, from the
+    footers of their files alone."""
+    base = sf_dir.rstrip("/")
+    return footer_profile(spark, {n: f"{base}/{n}.parquet" for n in PROFILED_TABLES},
+                          {"lineitem": ["l_orderkey", "l_suppkey"], "supplier": ["s_suppkey"],
+                           "orders": ["o_custkey"]})
+
+
+def damaged_interchange(spark, sf_dir):
+    """Path of the orders as interchange CSV, some lines damaged on purpose: a
+    value or an instant that is none, a field too many or too few."""
+    o = tpch.read_table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+    data = F.when(key % 89 == 0, "soon").otherwise(
+        F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"))
+    value = F.when(key % 97 == 0, "n/a").otherwise(
+        F.format_string("%.2f", F.col("o_totalprice").cast("double")))
+    line = F.concat_ws(";", data, F.col("o_orderpriority"), value)
+    line = F.when(key % 83 == 0, F.concat(line, F.lit(";more"))).when(
+        key % 79 == 0, F.substring_index(line, ";", 2)).otherwise(line)
+    path = scratch_path(spark, "damaged-csv")
+    o.select(line.alias("data;subsistema;valor")).write.option("header", True).option(
+        "quote", "\x00").option("sep", "\x01").csv(path)
+    return path
+
+
+def quarantine_lines(spark, sf_dir):
+    """The lines that the quarantining reader sets aside, with reason and column."""
+    schema = interchange_schema(ntz=True)
+    found = read_quarantined(spark, damaged_interchange(spark, sf_dir), schema)
+    return found.bad.select(REASON, COLUMN, LINE)
+
+
+def quarantine_counts(spark, sf_dir):
+    """Good rows of the same file by subsystem, with their sum, and the bad lines
+    as one row with a null subsystem: together all lines."""
+    schema = interchange_schema(ntz=True, value_type=tpch.VALUE_TYPE)
+    found = read_quarantined(spark, damaged_interchange(spark, sf_dir), schema)
+    good = found.good.groupBy(SUBSYSTEM).agg(F.count(F.lit(1)).alias("c"),
+                                             F.sum(VALUE).cast("double").alias(VALUE))
+    bad = found.bad.agg(F.count(F.lit(1)).alias("c")).select(
+        F.lit(None).cast("string").alias(SUBSYSTEM), "c", F.lit(None).cast("double").alias(VALUE))
+    return good.unionByName(bad)
+
+
 def cast_timestamp_q(spark, sf_dir):
     ev = tpch.read_table(spark, sf_dir, "events")
     as_text = ev.select("event_id", F.col("ts").cast("string").alias("ts"))
@@ -322,6 +437,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "load_daily_large_dimension": load_daily_large_dimension,
     "load_ranked": load_ranked,
     "load_top_n": load_top_n,
+    "load_positions": load_positions_q,
+    "load_daily_incremental": load_daily_incremental,
+    "load_monthly_incremental": load_monthly_incremental,
+    "quarantine_lines": quarantine_lines,
+    "quarantine_counts": quarantine_counts,
+    "table_footers": table_footers,
     "peak_load_daily": peak_load_daily,
     "peak_load_monthly": peak_load_monthly,
     "peak_load_per_day": peak_load_per_day_q,
@@ -338,6 +459,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "load_job_daily": load_job_daily,
     "load_job_metrics": load_job_metrics,
     "load_job_csv": load_job_csv,
+    "load_job_retried": load_job_retried,
+    "load_rows": load_rows,
     "extract_job_generation": extract_job_generation,
     "extract_job_interchange": extract_job_interchange,
     "extract_job_resources": extract_job_resources,

@@ -26,3 +26,9 @@ def subfolders(spark: SparkSession, path: str) -> list[str]:
     """Paths of the folders in ``path``, sorted."""
     fs, where = folder(spark, path)
     return sorted(s.getPath().toString() for s in fs.listStatus(where) if s.isDirectory())
+
+
+def delete_folder(spark: SparkSession, path: str) -> bool:
+    """Deletes a folder and what is in it; ``False`` if there was none."""
+    fs, where = folder(spark, path)
+    return fs.delete(where, True)

@@ -15,8 +15,10 @@ LOCAL_WRITE_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ";", mode: str = "errorifexists",
-              header: bool = True, partition_by: list[str] | None = None) -> str:
-    """Write ``df`` as separator CSV with a header row; returns ``path``."""
+              header: bool = True, partition_by: list[str] | None = None,
+              only_partitions: bool = False) -> str:
+    """Write ``df`` as separator CSV with a header row; returns ``path``. With
+    ``only_partitions`` an overwrite replaces the partitions written, no others."""
     w = (df.write.mode(mode)
          .option("sep", sep)
          .option("header", header)
@@ -24,15 +26,19 @@ def write_csv(df: DataFrame, path: str, sep: str = ";", mode: str = "errorifexis
          .option("timestampNTZFormat", LOCAL_WRITE_FORMAT))
     if partition_by:
         w = w.partitionBy(*partition_by)
+    if only_partitions:
+        w = w.option("partitionOverwriteMode", "dynamic")
     w.csv(path)
     return path
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists",
-                  partition_by: list[str] | None = None) -> str:
+                  partition_by: list[str] | None = None, only_partitions: bool = False) -> str:
     w = df.write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
+    if only_partitions:
+        w = w.option("partitionOverwriteMode", "dynamic")
     w.parquet(path)
     return path
 

@@ -3,6 +3,7 @@
 import os
 import re
 
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from conftest import SF_SMALL
@@ -168,3 +169,40 @@ def test_registered_extraction_prunes_partitions(spark):
     assert "EqualTo(tip_classificacao,F)" in text
     for n in names:
         spark.catalog.dropTempView(n)
+
+
+def test_positions_have_no_single_partition_window(spark, workdir):
+    from gridload import load_positions
+
+    rows = spark.range(0, 5000, 1, 7).select(
+        F.lit("S").alias("subsistema"), F.col("id").cast("timestamp").alias("data"),
+        (F.col("id") % 97).cast("double").alias("valor"))
+    rows = rows.unionByName(spark.createDataFrame(
+        [("S", None, None), ("S", None, float("nan"))],
+        "subsistema string, data timestamp, valor double"))
+    df = load_positions(rows, f"{workdir}/p")
+    got = {r.pos: (r.valor, r.data) for r in df.collect()}
+    assert sorted(got) == list(range(1, 5003))
+    text = plan(df, "formatted")
+    assert "Window" not in text and "SinglePartition" not in text
+    want = rows.orderBy(F.desc_nulls_last("valor"), "subsistema", "data").collect()
+    assert [repr(got[k + 1]) for k in range(5002)] == [repr((r.valor, r.data)) for r in want]
+    assert load_positions(rows.limit(0), f"{workdir}/q").collect() == []
+
+
+def test_footer_profile_reads_no_rows(spark):
+    import pytest
+    from gridload.operators.profile import footer_profile
+
+    df = footer_profile(spark, {"lineitem": f"{SF_SMALL}/lineitem.parquet"},
+                        {"lineitem": ["l_orderkey"]})
+    text = plan(df)
+    assert "PushedAggregation: [COUNT(*), COUNT(l_orderkey), MIN(l_orderkey), MAX(l_orderkey)]" \
+        in text
+    assert {r.coluna: r.c for r in df.collect()}[None] == spark.read.parquet(
+        f"{SF_SMALL}/lineitem.parquet").count()
+    # the caller's session still reads as before
+    assert spark.conf.get("spark.sql.parquet.aggregatePushdown") == "false"
+    with pytest.raises(ValueError, match="no footer statistics"):
+        footer_profile(spark, {"lineitem": f"{SF_SMALL}/lineitem.parquet"},
+                       {"lineitem": ["l_shipdate"]})

@@ -1,0 +1,123 @@
+"""Mergeable state: any order of arrival, redelivery, equal to the full load."""
+
+import datetime as dt
+import itertools
+import re
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import SF_SMALL
+from gridload import DAILY, MONTHLY, regional_load
+from gridload.operators import state as S
+from gridload.operators.state import LoadState
+from gridload.sources import tpch
+from plan_text import plan
+
+
+def rows_of(df):
+    return sorted(map(repr, (tuple(r) for r in df.collect())))
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    return tpch.domain_tables(spark, SF_SMALL)
+
+
+def part(tables, name, year):
+    return tables[name].where(F.year("data") == year)
+
+
+@pytest.mark.parametrize("order", [(1995, 1996, 1997), (1997, 1995, 1996), (1996, 1997, 1995)])
+@pytest.mark.parametrize("unit", [DAILY, MONTHLY])
+def test_any_order_of_arrival_gives_the_full_load(spark, workdir, tables, order, unit):
+    state = LoadState(spark, workdir)
+    for year in order:
+        state.add(part(tables, "geracao", year), part(tables, "intercambio", year),
+                  tables["recursos"], str(year))
+    within = F.year("data").isin(*order)
+    full = regional_load(tables["geracao"].where(within), tables["intercambio"].where(within),
+                         tables["recursos"], unit)
+    assert rows_of(state.load(unit)) == rows_of(full) != []
+
+
+def test_redelivery_replaces_and_periods_are_pruned(spark, workdir, tables):
+    state = LoadState(spark, workdir)
+    for year in (1995, 1996, 1995, 1995):
+        state.add(part(tables, "geracao", year), part(tables, "intercambio", year),
+                  tables["recursos"], str(year))
+    one = regional_load(part(tables, "geracao", 1996), part(tables, "intercambio", 1996),
+                        tables["recursos"], MONTHLY)
+    assert rows_of(state.load(MONTHLY, ["1996"])) == rows_of(one)
+    text = plan(state.side("generation", ["1996"]))
+    assert re.search(r"PartitionFilters: \[.*period#\d+ = 1996", text)
+    assert state.side("generation").where("period = '1995'").agg(F.sum("rows")).collect() == \
+        S.generation_state(part(tables, "geracao", 1995), tables["recursos"]).agg(
+            F.sum("rows")).collect()
+
+
+def test_the_rows_of_a_period_come_only_from_it(spark, tables):
+    """The state keeps (sum, count, rows): an instant that comes in two periods
+    and values that are null are right after the merge."""
+    day = dt.datetime(2018, 1, 1)
+    schema = "data timestamp, subsistema string, valor decimal(10,2)"
+    parts = [[(day, "SE", Decimal(1)), (day, "SE", None)], [(day, "SE", Decimal(5))],
+             [(day, "S", None)], []]
+    frames = [S.interchange_state(spark.createDataFrame(p, schema)) for p in parts]
+    merged = {r.subsistema: (r.valor_sum, r.valor_count, r.rows)
+              for r in S.merge_states(*frames).collect()}
+    assert merged == {"SE": (Decimal(6), 2, 3), "S": (None, 0, 1)}
+    whole = spark.createDataFrame(list(itertools.chain(*parts)), schema)
+    for unit in (DAILY, MONTHLY):
+        from gridload import aggregate_interchange
+
+        assert rows_of(S.aggregate_of_state(S.merge_states(*frames), unit)) == rows_of(
+            aggregate_interchange(whole, unit))
+        unmerged = frames[0].unionByName(frames[1]).unionByName(frames[2])
+        assert rows_of(S.aggregate_of_state(unmerged, unit)) == rows_of(
+            aggregate_interchange(whole, unit))
+
+
+def test_a_column_of_periods_and_names_that_look_like_numbers(spark, workdir):
+    rows = spark.createDataFrame(
+        [(dt.datetime(2018, 1, 1), "SE", 1.0, "007"), (dt.datetime(2018, 1, 1), "SE", 2.0, "7")],
+        "data timestamp, subsistema string, valor double, period string")
+    S.put_periods(S.interchange_state(rows, "period"), f"{workdir}/s")
+    stored = S.stored_state(spark, f"{workdir}/s")
+    assert sorted(r.period for r in stored.collect()) == ["007", "7"]
+    assert stored.where("period = '007'").count() == 1
+    with pytest.raises(Exception, match="no period"):
+        S.put_periods(S.interchange_state(rows.withColumn("period", F.lit(None).cast("string")),
+                                          "period"), f"{workdir}/s")
+
+
+def test_merging_the_past_and_empty_states(spark, workdir, tables):
+    state = LoadState(spark, workdir)
+    with pytest.raises(ValueError, match="no state"):
+        state.load(DAILY)
+    for year in (1995, 1996):
+        state.add(part(tables, "geracao", year), part(tables, "intercambio", year),
+                  tables["recursos"], str(year))
+    state.compact("generation", "1995-1996", ["1995", "1996"])
+    merged = S.stored_state(spark, f"{workdir}/generation-compact")
+    assert rows_of(S.aggregate_of_state(merged, DAILY)) == rows_of(
+        S.aggregate_of_state(state.side("generation"), DAILY))
+    with pytest.raises(ValueError, match="no states"):
+        S.merge_states()
+
+
+def test_a_side_without_rows_gives_an_empty_load(spark, workdir, tables):
+    state = LoadState(spark, workdir)
+    none = tables["geracao"].where("false")
+    state.add(none, tables["intercambio"], tables["recursos"], "all")
+    assert state.load(DAILY).collect() == [] and state.load(MONTHLY).collect() == []
+    state.add(tables["geracao"], tables["intercambio"], tables["recursos"], "all")
+    assert rows_of(state.load(DAILY)) == rows_of(regional_load(
+        tables["geracao"], tables["intercambio"], tables["recursos"], DAILY)) != []
+
+
+def test_both_join_paths_give_one_state(spark, tables):
+    a = S.generation_state(tables["geracao"], tables["recursos"])
+    b = S.generation_state(tables["geracao"], tables["recursos"], broadcast_max_rows=0)
+    assert rows_of(a) == rows_of(b)
