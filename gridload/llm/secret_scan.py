@@ -53,15 +53,17 @@ SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "sec
 THRESHOLD = 1.6  # of a name's weight plus a literal's
 
 _LEX = re.compile(r"""
-    (?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)
+    (?P<quote>["'`])
   | (?P<name>[A-Za-z_][A-Za-z0-9_]*(?:(?:\.|->|::|-)[A-Za-z_][A-Za-z0-9_]*)*)
   | (?P<bind>:=|=>|==|!=|<=|>=|=|:)
   | (?P<bare>[0-9][A-Za-z0-9+/_.=-]*)
   | (?P<plus>\+)
-  | (?P<close>["'\])])
+  | (?P<close>[\])])
   | (?P<line>\n)
   | (?P<other>[^\s\w])
 """, re.VERBOSE | re.ASCII)
+_STRINGS = {'"': re.compile(r'"(?:[^"\\\n]++|\\.)*+"'), "'": re.compile(r"'(?:[^'\\\n]++|\\.)*+'"),
+            "`": re.compile(r"`[^`\n]*+`")}
 _BOUND = re.compile(r"[:=]")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _BARE_VALUE = re.compile(r"[A-Za-z0-9+/_.=-]+")
@@ -131,14 +133,36 @@ def literal_weight(value: str) -> float:
     return literal(value).weight
 
 
+def tokens(text: str) -> Iterator[tuple[str, int, int]]:
+    """(kind, start, end) of each token. A quote that no other closes on its line
+    is a ``close`` (a backtick an ``other``); then the same holds for all quotes
+    of its kind behind it on that line, as an open string reads the rest of the
+    line the same way from any of them. So no line is read twice."""
+    at, open_until = 0, {}
+    while m := _LEX.search(text, at):
+        kind, start, at = m.lastgroup, m.start(), m.end()
+        if kind == "quote":
+            quote = m[0]
+            kind = "other" if quote == "`" else "close"
+            if open_until.get(quote, 0) <= start:
+                string = _STRINGS[quote].match(text, start)
+                if string:
+                    kind, at = "string", string.end()
+                else:
+                    line_end = text.find("\n", start)
+                    open_until[quote] = len(text) if line_end < 0 else line_end
+        yield kind, start, at
+
+
 def pairs(text: str) -> dict[str, list[list[tuple[tuple[int, int] | None, str | None]]]]:
     """What each name is bound to: a list of operands (several if joined by
     ``+``), each a literal's span, a name, or a bare word that may be either."""
     bound: dict[str, list[list[tuple[tuple[int, int] | None, str | None]]]] = defaultdict(list)
     target, state, last = None, 0, None  # state 0: no target; 1: after a bind; 2: after a value
     wait, carried, operands = "", False, []  # carried: a line has ended in state 1 or 2
-    for m in _LEX.finditer(text):
-        kind, value = m.lastgroup, m[0]
+    run_end = 0  # of the last run of bare characters
+    for kind, start, end in tokens(text):
+        value = text[start:end]
         if kind == "line":
             carried, last = state > 0, None
         elif kind == "bind":
@@ -149,20 +173,24 @@ def pairs(text: str) -> dict[str, list[list[tuple[tuple[int, int] | None, str |
                 target, state = None, 0
             last, carried = None, False
         elif kind in ("string", "bare", "name"):
-            bare = _BARE_VALUE.match(text, m.start()) if kind != "string" else None
+            bare = None
+            if kind != "string":  # from anywhere within a run it ends at the same place
+                if start >= run_end:
+                    run_end = _BARE_VALUE.match(text, start).end()
+                bare = (start, run_end)
             plain = True  # a bare word may be a literal
             if carried:
-                alone = bare is not None and _LINE_END.match(text, bare.end()) is not None
+                alone = bare is not None and _LINE_END.match(text, bare[1]) is not None
                 plain = wait == "+" or alone
-                if state == 2 or _KEY.match(text, m.end()) or not (
+                if state == 2 or _KEY.match(text, end) or not (
                         plain or kind == "string" or kind == "name" and wait != ":"):
                     target, state = None, 0
                 carried = False
             if kind == "string":
-                found = (m.start() + 1, m.end() - 1)
+                found = (start + 1, end - 1)
             elif state == 1 and bare and plain and (
-                    kind == "bare" or bare.end() > m.end() or any(c.isdigit() for c in value)):
-                found = bare.span()
+                    kind == "bare" or bare[1] > end or any(c.isdigit() for c in value)):
+                found = bare
             else:
                 found = None
             if state == 1 and target is not None:

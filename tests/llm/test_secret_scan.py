@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import pytest
 from conftest import SF_ORACLE
@@ -114,3 +115,37 @@ def test_long_chains_of_names_end():
     assert S.spans(text + "password = a2999\n") == []
     text = "".join("password = password + 'aB3$'\n" for _ in range(300))
     assert len(S.spans(text)) >= 300
+
+
+# The lexer as one pattern: right, but quadratic on a line of open quotes.
+SLOW = re.compile(r"""
+    (?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)
+  | (?P<name>[A-Za-z_][A-Za-z0-9_]*(?:(?:\.|->|::|-)[A-Za-z_][A-Za-z0-9_]*)*)
+  | (?P<bind>:=|=>|==|!=|<=|>=|=|:)
+  | (?P<bare>[0-9][A-Za-z0-9+/_.=-]*)
+  | (?P<plus>\+)
+  | (?P<close>["'\])])
+  | (?P<line>\n)
+  | (?P<other>[^\s\w])
+""", re.VERBOSE | re.ASCII)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="""ab1"'`\\\n =:+é.-]""", max_size=60))
+def test_tokens_are_those_of_the_slow_lexer(text):
+    want = [(m.lastgroup, m.start(), m.end()) for m in SLOW.finditer(text)]
+    assert list(S.tokens(text)) == want
+
+
+@pytest.mark.parametrize("unit", ['\\"', "\\'", "'", '"', "`", '\\"x', "a/", "1=", "it's ", "a.",
+                                  "\\", "' + '", "a = 'b' + ", "token: ", "\\`"])
+def test_hostile_lines_take_linear_time(unit):
+    def cost(n):
+        text = "x = " + unit * (n // len(unit))
+        start = time.process_time()
+        S.spans(text)
+        return time.process_time() - start
+
+    cost(1000)
+    small, large = cost(100_000), cost(800_000)
+    assert large < 30 and large < 20 * max(small, 0.05), (small, large)
