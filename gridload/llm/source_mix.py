@@ -15,7 +15,9 @@ Documents are always taken whole.
 
 The beginnings are found without gathering a source: each source is cut into
 hash ranges of about ``RANGE_ROWS`` rows; sums of ranges give every range its
-start, and running sums are taken within a range only.
+start, and running sums are taken within a range only. The hash is of id and
+text, so rows of one id lie in many ranges; rows of equal hash, id and size are
+the same to the mix, whichever comes first, so reruns agree.
 
 Edge cases: null and empty texts have size 0 and are taken 0 times their size
 (their repetitions follow the same order); the null source is a source, last
@@ -28,6 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.joins import bounded_broadcast
 from .common import WORD, written
 
 MAX_EPOCHS = 3
@@ -78,7 +81,14 @@ def water_fill(sources: DataFrame, total: int, max_epochs: float = MAX_EPOCHS) -
     return sources.withColumn("target", F.least(cap, share).cast("double"))
 
 
-def _prefix(rows: DataFrame, want: str) -> DataFrame:
+def _by_source(table: DataFrame, small: bool) -> DataFrame:
+    """A table of one row a source, to be joined by source: broadcast if the
+    table of sources was measured to be small, so no source's rows meet in one
+    task; else left to a merge join, whose skew adaptive execution splits."""
+    return F.broadcast(table) if small else table
+
+
+def _prefix(rows: DataFrame, want: str, small: bool) -> DataFrame:
     """``rows`` (``_key``, ``_hash``, ``size``, ``_pick`` candidates, ``want``)
     with ``_in``: among the candidates of a source, in hash order, those whose
     middle is within ``want`` words of the beginning. Ranges are cut on the
@@ -88,7 +98,7 @@ def _prefix(rows: DataFrame, want: str) -> DataFrame:
         F.ceil(F.count(F.lit(1)) / F.lit(RANGE_ROWS)).cast("bigint").alias("_parts"))
     # the hash as 0..1 decides the range; equal hashes share one
     unit = (F.shiftrightunsigned("_hash", 11).cast("double") / F.lit(float(1 << 53)))
-    ranged = (candidates.join(parts, "_key")
+    ranged = (candidates.join(_by_source(parts, small), "_key")
               .withColumn("_range", F.floor(unit * F.col("_parts")).cast("bigint")))
     sums = ranged.groupBy("_key", "_range").agg(F.sum("size").alias("_sum"))
     before = Window.partitionBy("_key").orderBy("_range").rowsBetween(
@@ -96,7 +106,7 @@ def _prefix(rows: DataFrame, want: str) -> DataFrame:
     starts = sums.select("_key", "_range",
                          F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
     within = (Window.partitionBy("_key", "_range").orderBy(F.shiftrightunsigned("_hash", 11),
-                                                           "_hash", "_id")
+                                                           "_hash", "_id", "size")
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     placed = (ranged.join(starts, ["_key", "_range"])
               .withColumn("_end", F.col("_start") + F.sum("size").over(within)))
@@ -113,7 +123,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
         F.col(id_col).alias("_id"), F.col(source_col).alias("_source"),
         F.concat(F.when(F.col(source_col).isNull(), "1").otherwise("0"),
                  F.coalesce(F.col(source_col).cast("string"), F.lit(""))).alias("_key"),
-        F.xxhash64(F.col(id_col), F.lit(seed)).alias("_hash"),
+        F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed)).alias("_hash"),
         word_count(F.col(text_col)).alias("size"))
     rows = written(rows.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
     sums = rows.groupBy("_key").agg(F.sum("size").alias("source_size"))
@@ -129,12 +139,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
                    F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     wanted = (targets.withColumn("_whole", whole.cast("bigint"))
               .withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size")))
-    every = rows.join(wanted.select("_key", "source_size", "target", "_whole", "_rest"), "_key")
+    side, small = bounded_broadcast(
+        wanted.select("_key", "source_size", "target", "_whole", "_rest"))
+    every = rows.join(side, "_key")
 
-    chosen = _prefix(every.withColumn("_pick", F.col("_rest") > 0), "_rest").where("_in")
+    chosen = _prefix(every.withColumn("_pick", F.col("_rest") > 0), "_rest", small).where("_in")
     extra = written(chosen.select("_row", "_key", "_hash", "_id", "size"), "mix-extra")
     for _ in range(MENDS):
-        extra = _mended(every, extra, wanted)
+        extra = _mended(every, extra, wanted, small)
     picked = extra.select("_row", F.lit(1).cast("bigint").alias("_more"))
     out = every.join(picked, "_row", "left")
     times = F.col("_whole") + F.coalesce("_more", F.lit(0))
@@ -143,7 +155,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
                       (times * F.col("size")).alias("taken"))
 
 
-def _mended(every: DataFrame, extra: DataFrame, wanted: DataFrame) -> DataFrame:
+def _mended(every: DataFrame, extra: DataFrame, wanted: DataFrame, small: bool) -> DataFrame:
     """Brings each source's extra words nearer to its rest: where words lack,
     documents not chosen yet and no larger than the lack are added; where there
     are too many, chosen ones no larger than the surplus go."""
@@ -152,11 +164,11 @@ def _mended(every: DataFrame, extra: DataFrame, wanted: DataFrame) -> DataFrame:
             .select("_key", (F.col("_rest") - F.coalesce("_got", F.lit(0))).alias("_lack")))
     # A document of size 0 changes no sum and stays as it is.
     small = (every.select("_row", "_key", "_hash", "_id", "size").where("size > 0")
-             .join(lack, "_key").where(F.col("size") <= F.abs("_lack")))
+             .join(_by_source(lack, small), "_key").where(F.col("size") <= F.abs("_lack")))
     has = small.join(extra.select("_row", F.lit(True).alias("_has")), "_row", "left")
     able = has.withColumn("_pick", F.coalesce("_has", F.lit(False)) == (F.col("_lack") < 0))
     able = able.withColumn("_want", F.abs("_lack"))
-    turn = written(_prefix(able, "_want").where("_in")
+    turn = written(_prefix(able, "_want", small).where("_in")
                    .select("_row", "_key", "_hash", "_id", "size"), "mix-turn")
     stay = extra.join(turn.select("_row"), "_row", "left_anti")
     come = turn.join(extra.select("_row"), "_row", "left_anti")

@@ -89,3 +89,28 @@ def test_repeated_takes_whole_rows(spark, edge_dir):
 
 def test_empty(spark, empty_dir):
     assert QUERIES["op2_source_mix"](spark, empty_dir).collect() == []
+
+
+def test_reruns_agree_when_ids_repeat(spark):
+    """One id on most rows, sizes apart: the same rows in other orders and
+    partitionings give the same mix."""
+    rows = [(7 if k % 6 else k, " ".join(["w"] * (k % 37)), "ab"[k % 7 == 0]) for k in range(350)]
+    rows += [(7, "same text here", "a")] * 40
+    schema = "doc_id bigint, text string, source string"
+    seen = []
+    for parts, order in ((1, rows), (9, rows[::-1]), (4, sorted(rows, key=repr))):
+        got = M.mix(spark.createDataFrame(order, schema).repartition(parts)).collect()
+        seen.append(sorted((r.doc_id, r.source, r.size, r.repetitions, r.taken, r.target)
+                           for r in got))
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) == len(rows)
+    taken = {s: sum(r[4] for r in seen[0] if r[1] == s) for s in "ab"}
+    target = {s: next(r[5] for r in seen[0] if r[1] == s) for s in "ab"}
+    assert all(abs(taken[s] - target[s]) <= 40 for s in "ab")
+
+
+def test_shuffled_sources_give_the_same(spark, monkeypatch):
+    rows = [(k, " ".join(["w"] * (k % 11)), "abc"[k % 3]) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    one = sorted(map(repr, M.mix(docs).collect()))
+    monkeypatch.setattr(M, "bounded_broadcast", lambda df: (df, False))
+    assert sorted(map(repr, M.mix(docs).collect())) == one
