@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import contextlib
 import os
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,8 @@ from ..session import scratch_path
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
+BATCH_BYTES = 8 << 20
+
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -33,6 +36,17 @@ def importable(spark: SparkSession) -> None:
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
+    bound_batches(spark)
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``BATCH_BYTES`` (or one row) in this session, so
+    that what a Python worker holds does not grow with the length of rows. A
+    smaller bound that the caller has set stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(re.match(r"\d+", spark.conf.get(key)).group())
+    if now > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -76,6 +90,21 @@ def intermediates(spark: SparkSession):
             folder.getFileSystem(conf).delete(folder, True)
 
 
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keep(owner: str, clear: Callable[[], None]) -> None:
+    """Names how to clear what ``owner`` keeps in a Python worker between tasks."""
+    _KEPT[owner] = clear
+
+
+def release_others(owner: str) -> None:
+    """Clears what other operators keep in this worker: Spark uses a worker for
+    the tasks of one stage after another, and the memory of all would add up."""
+    for name in [n for n in _KEPT if n != owner]:
+        _KEPT.pop(name)()
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string (or binary) column, all rows in one array, and
     the rows' offsets in it (one more than rows). Null counts as empty."""

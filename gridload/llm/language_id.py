@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8
+from .common import release_others, slices, utf8
 from .sample import row_key, sample_ids, with_texts
 
 BITS = 16
@@ -216,6 +216,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text",
     text_at = kept.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_others("language_id")
         m = shared.value
         for batch in batches:
             data, offsets = utf8(batch.column(text_at))

@@ -12,6 +12,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from .common import release_others
+
 PIECE = 1 << 20
 LONG = 256
 
@@ -78,6 +80,7 @@ def _pieces(data: np.ndarray, separator: np.ndarray, offsets: np.ndarray):
 def words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = BLANKS):
     """``(starts, hashes, first)``: byte position and hash of every word, in
     order, and for each text the index of its first word (and the total)."""
+    release_others("words")
     starts, hashes = [], []
     begins = np.unique(offsets[:-1])
     for a, b in _pieces(data, separator[LOWER], offsets):

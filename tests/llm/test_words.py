@@ -90,3 +90,18 @@ def test_adversarial_words_are_told_apart(spark):
     model = kn_lm.train(docs.where("doc_id = 1").select("text"))
     known = kn_lm.score(docs, model).collect()
     assert {r.doc_id: r.n_known for r in known} == {1: 2, 2: 1}
+
+
+def test_a_worker_keeps_one_operators_memory():
+    from gridload.llm import common
+
+    cleared = []
+    common.keep("a", lambda: cleared.append("a"))
+    common.release_others("a")
+    assert cleared == []
+    common.keep("b", lambda: cleared.append("b"))
+    common.release_others("b")
+    common.release_others("b")
+    assert cleared == ["a"]
+    common.release_others("c")
+    assert cleared == ["a", "b"]
