@@ -32,6 +32,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import intermediates, slices, utf8, written
+from .common import intermediates, keep, release_others, slices, utf8, written
 from .huffman import Codebook
 
 END_ID = 2
@@ -83,9 +84,12 @@ class Pieces:
         self.ends[n:n + len(pieces)] = used + np.cumsum(sizes)
         self.at.update(zip(pieces, range(n, n + len(pieces))))
 
-    def take(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of known pieces, and how many each has."""
-        at = np.fromiter(map(self.at.__getitem__, pieces), np.int64, len(pieces))
+    def places(self, pieces: list[str]) -> np.ndarray:
+        """The number of each piece; -1 of those that are not known."""
+        return np.fromiter(map(self.at.get, pieces, repeat(-1)), np.int64, len(pieces))
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the pieces with these numbers, and how many each has."""
         start = np.where(at > 0, self.ends[at - 1], 0)
         return _ranges(self.ids, start, sizes := self.ends[at] - start), sizes
 
@@ -121,7 +125,9 @@ class Encoder:
         self.kinds = {k: Pieces(self.dtype) for k in ("spaced", "bare", "whole")}
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
+        # the same ids as of encode, without the offsets nobody needs here
+        coded = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(coded[0].ids, self.dtype)
 
     def _learn(self, kind: str, new: list[str]) -> None:
         known = self.kinds[kind]
@@ -148,8 +154,11 @@ class Encoder:
         known = self.kinds[kind]
         if len(known) + len(pieces) > REMEMBER:
             known = self.kinds[kind] = Pieces(self.dtype)
-        self._learn(kind, [p for p in pieces if p not in known.at])
-        return known.take(pieces)
+        at, before = known.places(pieces), len(known)
+        new = np.flatnonzero(at < 0)
+        self._learn(kind, [pieces[k] for k in new.tolist()])  # each is there once
+        at[new] = before + np.arange(len(new))
+        return known.take(at)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids and where each text's begin (one more than texts)."""
@@ -209,6 +218,8 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
+    keep("token_output", _ENCODERS.clear)
+    release_others("token_output")
     if path not in _ENCODERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
         _ENCODERS[path] = Encoder(path)
