@@ -21,7 +21,7 @@ def test_stages_and_registration(spark):
     assert P.ORACLE_SQL is None and E.queries()["pipeline"] is P.run
     assert set(QUERIES) <= set(E.queries())
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
 
 
 def stage(spark, name, docs, sf_dir):
