@@ -171,14 +171,22 @@ def text_key(text: Column) -> Column:
 
 
 def _classes(sigs: DataFrame) -> DataFrame:
-    """(digest, cid, first_row, doc_id): one row for each distinct set. ``cid``
+    """(digest, cid, first_row, doc_id): one row for each distinct set; kept
+    for the block around the running one. ``cid``
     numbers it; ``first_row`` is the row with the smallest id, null last."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("d"),
                            F.col("row").alias("r")))
     groups = sigs.where("n > 0").groupBy("digest").agg(first.alias("_f"))
     return written(groups.select("digest", F.monotonically_increasing_id().alias("cid"),
                                  F.col("_f.r").alias("first_row"),
-                                 F.col("_f.d").alias("doc_id")), "shingle-classes")
+                                 F.col("_f.d").alias("doc_id")), "shingle-classes", keep=True)
+
+
+def _firsts(sigs: DataFrame, classes: DataFrame, *columns: str) -> DataFrame:
+    """These columns of the first row of each class, with its cid, digest and
+    doc_id. Both sides grow with the input: a sort-merge join at every size."""
+    return (sigs.select("row", *columns).hint("merge")
+            .join(classes, F.col("row") == F.col("first_row")).drop("row", "first_row"))
 
 
 ENTRY = "token bigint, salt int, cid bigint, n int, pos int, level int"
@@ -277,9 +285,27 @@ def _pairs(rows: DataFrame) -> DataFrame:
             .where("a != b").distinct())
 
 
+def _named(pairs: DataFrame) -> DataFrame:
+    """The classes that stand in these pairs."""
+    return pairs.select(F.col("a").alias("cid")).unionByName(
+        pairs.select(F.col("b").alias("cid"))).distinct()
+
+
+def _only(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The rows whose ``column`` is one of ``ids`` (a written table of one
+    column). Up to ``BROADCAST_IDS`` ids are broadcast; more are joined by a
+    shuffle."""
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return rows.join(ids, F.col(column).eqNullSafe(ids[ids.columns[0]]), "left_semi")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, num: int, den: int,
               id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) of classes that link."""
+    """The pairs (a, b) of classes that link. Only sketches and sets of classes
+    with a pair are moved."""
+    named = written(_named(pairs), "classes-paired")
+    reps = _only(reps, named, "cid")
     side = {s: reps.select(F.col("cid").alias(s), F.col("n").alias(f"n{s}"),
                            F.col("sketch").alias(f"s{s}")) for s in "ab"}
     sketched = pairs.join(side["a"], "a").join(side["b"], "b")
@@ -296,9 +322,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, num: i
 
     maybe = written(sketched.select("a", "b", "na", "nb", "sa", "sb")
                     .mapInArrow(bound, "a bigint, b bigint"), "pairs-possible")
-    wanted = maybe.select(F.col("a").alias("cid")).unionByName(
-        maybe.select(F.col("b").alias("cid"))).distinct()
-    wanted = written(wanted.join(reps.select("cid", "digest", "doc_id"), "cid"), "sets-wanted")
+    wanted = written(_named(maybe).join(reps.select("cid", "digest", "doc_id"), "cid"),
+                     "sets-wanted")
     sets = _fetch(docs, wanted, k, id_col, text_col)
     left = maybe.join(sets.select(F.col("cid").alias("a"), F.col("set").alias("x")), "a")
     both = left.join(sets.select(F.col("cid").alias("b"), F.col("set").alias("y")), "b")
@@ -319,13 +344,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, num: i
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(cid, set) of the wanted classes, made again from their documents. Up to
-    ``BROADCAST_IDS`` ids are broadcast; more are joined by a shuffle."""
-    ids = wanted.select(F.col("doc_id").alias("_id")).distinct()
-    if wanted.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    """(cid, set) of the wanted classes, made again from their documents."""
     rows = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text"))
-    rows = rows.join(ids, F.col("_doc").eqNullSafe(F.col("_id")), "left_semi")
+    rows = _only(rows, wanted.select(F.col("doc_id").alias("_id")).distinct(), "_doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -336,9 +357,10 @@ def _fetch(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col: st
                               pa.binary()), pa.array(raw, pa.binary())], ["digest", "set"])
 
     made = rows.select("text").mapInArrow(run, "digest binary, set binary")
-    # an id may stand for several texts: the digest says which is meant
-    found = made.join(wanted.select("digest", "cid"), "digest").select("cid", "set")
-    return written(found.dropDuplicates(["cid"]), "sets")
+    # an id may stand for several texts: the digest says which is meant, and as
+    # it names the class, one shuffle serves the join and the repeated rows
+    found = made.join(wanted.select("digest", "cid"), "digest")
+    return written(found.dropDuplicates(["digest"]).select("cid", "set"), "sets")
 
 
 def join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id",
@@ -346,15 +368,16 @@ def join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str
     """Per row: doc_id, text_key, row, n_shingles, component (a number, null
     for empty sets), component_id (its smallest doc_id), first (whether the row
     is the component's first, by id, then row)."""
-    with intermediates(docs.sparkSession):
-        sigs = signatures(docs, magnitudes(docs, k, text_col), k, num, den, id_col, text_col)
-        classes = _classes(sigs)
-        reps = sigs.drop("doc_id", "digest").join(
-            classes, sigs["row"] == classes["first_row"])
-        reps = written(reps.select("cid", "digest", "doc_id", "n", "sketch", "prefix", "levels"),
-                       "shingle-reps")
-        led = _led(_entries(reps), True)
-        live = written(led, "prefix-lists")
+    spark = docs.sparkSession
+    with intermediates(spark):
+        with intermediates(spark):  # the prefixes go once the lists are written
+            sigs = signatures(docs, magnitudes(docs, k, text_col), k, num, den, id_col, text_col)
+            classes = _classes(sigs)
+            rows = written(sigs.select("doc_id", "text_key", "row", "n", "digest"),
+                           "shingle-rows", keep=True)
+            reps = written(_firsts(sigs, classes, "n", "sketch"), "shingle-reps", keep=True)
+            led = _led(_entries(_firsts(sigs, classes, "n", "prefix", "levels")), True)
+            live = written(led, "prefix-lists", keep=True)
         # the parts of salted lists: their leaders are led by one of them
         heads = (live.where("cid = leader and third")
                  .select("token", F.lit(0).alias("salt"), "cid", "n", "pos", F.lit(0).alias("level")))
@@ -367,7 +390,7 @@ def join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str
         opened = _opened(live, components(links), num, den)
         more = written(_pairs(opened).join(tried, ["a", "b"], "left_anti"), "pairs-opened")
         links = links.unionByName(_verified(more, docs, reps, k, num, den, id_col, text_col))
-        return written(_labelled(sigs, classes, components(links)), "similar", keep=True)
+        return written(_labelled(rows, classes, components(links)), "similar", keep=True)
 
 
 def _opened(live: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame:
@@ -405,7 +428,7 @@ def _opened(live: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame
             .where(_can_link(F.col("xn"), F.col("xp"), F.col("yn"), F.col("yp"), num, den)))
 
 
-def _labelled(sigs: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+def _labelled(rows: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
     named = (classes.join(labels, classes["cid"] == labels["v"], "left")
              .select("digest", "doc_id", "first_row", F.coalesce("c", "cid").alias("component")))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("d"),
@@ -415,7 +438,6 @@ def _labelled(sigs: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFra
                  .select(F.col("digest").alias("_digest"), "component",
                          F.col("_f.d").alias("_id"), F.col("_f.r").alias("_row")),
                  "shingle-components")
-    rows = sigs.select("doc_id", "text_key", "row", "n", "digest")
     # many rows may have one digest: a sort-merge join, split where it is skewed
     linked = rows.where("n > 0").hint("merge").join(of, F.col("digest") == F.col("_digest"))
     empty = rows.where("n = 0").select(
