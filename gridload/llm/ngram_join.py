@@ -295,9 +295,10 @@ def _only(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """The rows whose ``column`` is one of ``ids`` (a written table of one
     column). Up to ``BROADCAST_IDS`` ids are broadcast; more are joined by a
     shuffle."""
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return rows.join(ids, F.col(column).eqNullSafe(ids[ids.columns[0]]), "left_semi")
+    few = ids.count() <= BROADCAST_IDS
+    ids = ids.toDF("_wanted")
+    return rows.join(F.broadcast(ids) if few else ids,
+                     F.col(column).eqNullSafe(F.col("_wanted")), "left_semi")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, num: int, den: int,
@@ -346,7 +347,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, num: i
 def _fetch(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     """(cid, set) of the wanted classes, made again from their documents."""
     rows = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text"))
-    rows = _only(rows, wanted.select(F.col("doc_id").alias("_id")).distinct(), "_doc")
+    rows = _only(rows, wanted.select("doc_id").distinct(), "_doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
