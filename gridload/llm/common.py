@@ -8,6 +8,7 @@ other names, also names the operator uses for its own output, do not matter.
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import os
 import re
 from collections.abc import Callable, Iterator
@@ -91,6 +92,7 @@ def intermediates(spark: SparkSession):
 
 
 _KEPT: dict[str, Callable[[], None]] = {}
+_LAST: list[str] = []
 
 
 def keep(owner: str, clear: Callable[[], None]) -> None:
@@ -100,9 +102,16 @@ def keep(owner: str, clear: Callable[[], None]) -> None:
 
 def release_others(owner: str) -> None:
     """Clears what other operators keep in this worker: Spark uses a worker for
-    the tasks of one stage after another, and the memory of all would add up."""
+    the tasks of one stage after another, and the memory of all would add up. What
+    the allocators hold on to goes back as well when the operator changes."""
     for name in [n for n in _KEPT if n != owner]:
         _KEPT.pop(name)()
+    if _LAST != [owner]:
+        _LAST[:] = [owner]
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's only
+        if trim:
+            trim(0)
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

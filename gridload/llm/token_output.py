@@ -12,7 +12,9 @@
 
 Texts are cut at single blanks and line ends between other
 characters, where the byte-level pre-tokenizer always begins a new piece; a
-piece is encoded once and remembered (up to ``REMEMBER`` pieces a worker).
+piece is encoded once and remembered, up to ``REMEMBER`` pieces of a kind in a
+worker: when half as many are new, the older half goes, but for what was used
+since. What was forgotten is encoded again.
 Texts with other blanks are cut by a stricter rule.
 
 A file is a row of segments: counts (``HEADER``), doc ids, null flags, numbers
@@ -49,7 +51,7 @@ END_ID = 2
 BLOCK = 1024
 FILE_IDS = 4_000_000
 SEGMENT_BYTES = 4 << 20
-REMEMBER = 1_500_000
+REMEMBER = 600_000
 HEADER = "<6sQQQ"
 MAGIC = b"TIDS1\n"
 
@@ -122,7 +124,8 @@ class Encoder:
         for token, k in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.begins[k] = token.startswith("\u0120")  # the byte-level blank
         self.line = self._ids("\n")[-1:].astype(np.int64)
-        self.kinds = {k: Pieces(self.dtype) for k in ("spaced", "bare", "whole")}
+        self.kinds = {k: (Pieces(self.dtype), Pieces(self.dtype))
+                      for k in ("spaced", "bare", "whole")}  # lately used, older
 
     def _ids(self, text: str) -> np.ndarray:
         # the same ids as of encode, without the offsets nobody needs here
@@ -130,7 +133,7 @@ class Encoder:
         return np.array(coded[0].ids, self.dtype)
 
     def _learn(self, kind: str, new: list[str]) -> None:
-        known = self.kinds[kind]
+        known = self.kinds[kind][0]
         for a in range(0, len(new), self.JOINED):
             part, sizes = new[a:a + self.JOINED], None
             if kind == "spaced":
@@ -151,13 +154,17 @@ class Encoder:
             known.add(part, ids, sizes)
 
     def look_up(self, kind: str, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        known = self.kinds[kind]
-        if len(known) + len(pieces) > REMEMBER:
-            known = self.kinds[kind] = Pieces(self.dtype)
+        known, older = self.kinds[kind]
+        if len(known) and len(known) + len(pieces) > REMEMBER // 2:
+            known, older = self.kinds[kind] = Pieces(self.dtype), known
         at, before = known.places(pieces), len(known)
-        new = np.flatnonzero(at < 0)
-        self._learn(kind, [pieces[k] for k in new.tolist()])  # each is there once
-        at[new] = before + np.arange(len(new))
+        absent = np.flatnonzero(at < 0)
+        names = [pieces[k] for k in absent.tolist()]  # each is there once
+        place = older.places(names)
+        again, new = np.flatnonzero(place >= 0), np.flatnonzero(place < 0)
+        known.add([names[k] for k in again.tolist()], *older.take(place[again]))
+        self._learn(kind, [names[k] for k in new.tolist()])
+        at[absent[np.concatenate([again, new])]] = before + np.arange(len(absent))
         return known.take(at)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -133,3 +133,20 @@ def test_foreign_file_is_refused():
 
 def test_empty(spark, empty_dir):
     assert QUERIES["op6_token_output"](spark, empty_dir).collect() == []
+
+
+def test_forgotten_pieces_are_encoded_again(monkeypatch):
+    """A memory of few pieces: some go, some come back from the older half."""
+    from gridload.llm import token_output as out
+
+    monkeypatch.setattr(out, "REMEMBER", 8)
+    path = out.default_tokenizer()
+    encoder = out.Encoder(path)
+    rounds = [["a bb a ccc", "dd\nee a"], ["ccc bb zz", "", "a"], ["q r s t u v w x y", "a bb"],
+              ["a bb a ccc", "dd\nee a", "zz  zz"], ["y x bb", "a\n\nb"]]
+    for texts in rounds * 2:
+        ids, starts = encoder.encode(pa.array(texts))
+        for k, text in enumerate(texts):
+            alone = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+            assert ids[starts[k]:starts[k + 1]].tolist() == alone
+        assert all(len(young) <= 16 and len(old) <= 16 for young, old in encoder.kinds.values())
