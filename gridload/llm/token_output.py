@@ -4,9 +4,11 @@
 2. The occurrences of each id are summed over the staged ids (a row for each id
    and task; at most the vocabulary reaches the driver) and the codes made from
    these global counts.
-3. The staged ids are coded, and the coded texts go to files by ranges of
-   doc_id; a task writes one file, sorted by doc_id, under a temporary name and
-   moves it (a repeated task writes the same file).
+3. The staged texts are dealt by ranges of (doc_id, hash of the ids, row), so an
+   id that many rows share is many ranges. A task codes its range in that order
+   and begins a new file when one would hold more than ``2 * FILE_IDS`` ids; it
+   writes under temporary names and moves (a repeated task writes the same
+   files). There are at most ``RANGES`` ranges; beyond, each has more files.
 4. Spark reads the files back; blocks of ``BLOCK`` ids decode independently
    from their bit offsets.
 
@@ -22,7 +24,8 @@ of ids, bit offset of each block, coded bytes. ``codes.bin`` holds symbols and
 code lengths.
 
 Edge cases: null and empty texts hold the end id only; null ids come first;
-rows with the same id are ordered by their coded bytes; an empty table gives no
+rows with the same id are ordered by a hash of their ids, equal ones as they
+were staged; a text of more than ``2 * FILE_IDS`` ids is a file; an empty table gives no
 file and no row; other columns are not read.
 """
 
@@ -41,7 +44,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import intermediates, keep, release_others, slices, utf8, written
@@ -50,8 +53,10 @@ from .huffman import Codebook
 END_ID = 2
 BLOCK = 1024
 FILE_IDS = 4_000_000
+RANGES = 50_000
 SEGMENT_BYTES = 4 << 20
 REMEMBER = 600_000
+FILES_A_RANGE = 10**9  # above the number of files that a range can have
 HEADER = "<6sQQQ"
 MAGIC = b"TIDS1\n"
 
@@ -259,7 +264,8 @@ def _encoded(batch: pa.RecordBatch, column: int, tokenizer: str, end_id: int,
 
 def stage_ids(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
               end_id: int = END_ID) -> DataFrame:
-    """(doc_id, n, ids): the ids of each text, the end included; written."""
+    """(doc_id, n, tie, row, ids): the ids of each text, the end included;
+    written. ``tie`` and ``row`` order the rows of one id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -273,7 +279,9 @@ def stage_ids(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
 
     wide = id_space(tokenizer, end_id)
     return written(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_col)
-                   .mapInArrow(run, "doc_id bigint, n bigint, ids binary"), "token-ids")
+                   .mapInArrow(run, "doc_id bigint, n bigint, ids binary")
+                   .select("doc_id", "n", F.xxhash64("ids").alias("tie"),
+                           F.monotonically_increasing_id().alias("row"), "ids"), "token-ids")
 
 
 def id_space(tokenizer: str, end_id: int) -> int:
@@ -299,17 +307,46 @@ def count_ids(staged: DataFrame, wide: int) -> DataFrame:
             .groupBy("id").agg(F.sum("n").alias("n")))
 
 
-def _file_bounds(staged: DataFrame) -> list[int]:
-    """Doc ids at which the files after the first begin, for files of about
-    ``FILE_IDS`` ids."""
-    total = staged.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).collect()[0]["n"]
-    files = max(1, -(-total // FILE_IDS))
-    if files == 1:
-        return []
-    shares = [k / files for k in range(1, files)]
-    found = staged.agg(F.percentile_approx("doc_id", shares, max(10_000, 20 * files))
-                       .alias("q")).collect()[0]["q"]
-    return sorted(set(found or []))
+class TokenFile:
+    """A token file while it is written, under a temporary name."""
+
+    def __init__(self, fs: pafs.FileSystem, root: str, name: str):
+        self.fs, self.path = fs, f"{root}/{name}"
+        self.temporary = f"{root}/_{name}.{uuid.uuid4().hex}"
+        self.out = fs.open_output_stream(self.temporary)
+        self.parts: list[tuple] = []
+        self.size = self.texts = self.tokens = 0
+
+    def add(self, key: pa.Array, number: np.ndarray, coded: tuple) -> None:
+        data, byte, bits, blocks = coded
+        self.parts.append((number, np.diff(byte), bits, blocks, key, data))
+        self.size += len(data)
+        self.texts, self.tokens = self.texts + len(number), self.tokens + int(number.sum())
+        if self.size >= SEGMENT_BYTES:
+            self.flush()
+
+    def flush(self) -> None:
+        """Writes a segment."""
+        if not self.parts:
+            return
+        *numbers, keys, data = zip(*self.parts)
+        number, length, bits, blocks = map(np.concatenate, numbers)
+        key = pa.concat_arrays(keys)
+        at = bits.astype("<u8") + np.repeat(8 * (np.cumsum(length) - length), blocks).astype("<u8")
+        self.out.write(struct.pack(HEADER, MAGIC, len(number), len(at), self.size))
+        self.out.write(key.fill_null(0).to_numpy().astype("<i8").tobytes())
+        self.out.write(key.is_null().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes())
+        self.out.write(number.astype("<i8").tobytes() + at.tobytes())
+        for part in data:
+            self.out.write(part)
+        self.parts, self.size = [], 0
+
+    def close(self) -> None:
+        self.flush()
+        self.out.close()
+        if self.fs.get_file_info(self.path).type != pafs.FileType.NotFound:
+            self.fs.delete_file(self.path)
+        self.fs.move(self.temporary, self.path)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None,
@@ -334,76 +371,38 @@ def _write(docs: DataFrame, path: str, tokenizer: str | None, id_col: str, text_
         f.write(struct.pack("<Q", len(symbols)) + book.symbols.astype("<u4").tobytes()
                 + book.lengths.tobytes())
     shared = docs.sparkSession.sparkContext.broadcast(book)
-    bounds = np.array(_file_bounds(staged), np.int64)
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = np.concatenate([[0], np.cumsum(batch.column(1).to_numpy())])
-            for a, b in slices(sizes, 1 << 21):
-                part = batch.slice(a, b - a)
-                starts = sizes[a:b + 1] - sizes[a]
-                data, byte, bits, blocks = shared.value.encode(
-                    _staged_ids(part.column(2), wide), starts, BLOCK)
-                key = part.column(0)
-                file = np.searchsorted(bounds, key.fill_null(np.iinfo(np.int64).min).to_numpy(),
-                                       side="right")
-                ends = np.cumsum(blocks)
-                marks = bits.astype("<u8")
-                yield pa.record_batch(
-                    [pa.array(file.astype(np.int32)), key, part.column(1),
-                     pa.array([marks[e - n:e].tobytes() for e, n in zip(ends, blocks)],
-                              pa.binary()),
-                     pa.array([data[x:y] for x, y in zip(byte[:-1], byte[1:])], pa.binary())],
-                    ["file", "doc_id", "n", "marks", "bits"])
+    file_ids = FILE_IDS
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, seen, texts, tokens = None, [], 0, 0
+        release_others("token_output")
         fs, root = pafs.FileSystem.from_uri(path)
-        name = f"part-{TaskContext.get().partitionId():07d}.bin"
-        temporary = f"{root}/_{name}.{uuid.uuid4().hex}"
-
-        def flush():
-            table = pa.Table.from_batches(seen)
-            key, n = table["doc_id"].combine_chunks(), table["n"].to_numpy()
-            bits, marks = table["bits"].to_pylist(), table["marks"].to_pylist()
-            byte = np.cumsum([0, *map(len, bits)])
-            at = np.frombuffer(b"".join(marks), "<u8") + np.repeat(
-                byte[:-1] * 8, [len(m) // 8 for m in marks]).astype(np.uint64)
-            out.write(struct.pack(HEADER, MAGIC, len(n), len(at), int(byte[-1])))
-            out.write(key.fill_null(0).to_numpy().astype("<i8").tobytes())
-            out.write(key.is_null().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes())
-            out.write(n.astype("<i8").tobytes() + at.astype("<u8").tobytes() + b"".join(bits))
-            seen.clear()
-
-        size = 0
+        done, file = [], None
         for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                part = batch.slice(a, 1000)
-                out = out or fs.open_output_stream(temporary)
-                seen.append(part)
-                texts, tokens = texts + part.num_rows, tokens + pc.sum(part["n"]).as_py()
-                size += pc.sum(pc.binary_length(part["bits"])).as_py()
-                if size >= SEGMENT_BYTES:
-                    flush()
-                    size = 0
-        if out is None:
-            return
-        if seen:
-            flush()
-        out.close()
-        if fs.get_file_info(f"{root}/{name}").type != pafs.FileType.NotFound:
-            fs.delete_file(f"{root}/{name}")
-        fs.move(temporary, f"{root}/{name}")
-        yield pa.record_batch([pa.array([texts], pa.int64()), pa.array([tokens], pa.int64())],
-                              ["texts", "tokens"])
-
-    coded = staged.mapInArrow(
-        encode, "file int, doc_id bigint, n bigint, marks binary, bits binary")
-    row = (coded.repartitionById(len(bounds) + 1, F.col("file"))
-           .sortWithinPartitions("doc_id", "bits")
-           .mapInArrow(write, "texts bigint, tokens bigint")
-           .agg(F.sum("texts").alias("texts"), F.sum("tokens").alias("tokens"),
-                F.count(F.lit(1)).alias("files")).collect()[0])
+            number = batch.column(1).to_numpy()
+            sizes = np.concatenate([[0], np.cumsum(number)])
+            for a, b in slices(sizes, min(file_ids, 1 << 21)):
+                if file and file.tokens + sizes[b] - sizes[a] > 2 * file_ids:
+                    file.close()
+                    file = None
+                if file is None:
+                    file = TokenFile(fs, root, f"part-{TaskContext.get().partitionId():07d}"
+                                               f"-{len(done):05d}.bin")
+                    done.append(file)
+                file.add(batch.column(0).slice(a, b - a), number[a:b], shared.value.encode(
+                    _staged_ids(batch.column(2).slice(a, b - a), wide), sizes[a:b + 1] - sizes[a],
+                    BLOCK))
+        if file:
+            file.close()
+        yield pa.record_batch([pa.array([sum(f.texts for f in done)], pa.int64()),
+                               pa.array([sum(f.tokens for f in done)], pa.int64()),
+                               pa.array([len(done)], pa.int64())], ["texts", "tokens", "files"])
+
+    order = ("doc_id", "tie", "row")
+    total = staged.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).collect()[0]["n"]
+    row = (staged.repartitionByRange(min(RANGES, max(1, -(-total // file_ids))), *order)
+           .sortWithinPartitions(*order).select("doc_id", "n", "ids")
+           .mapInArrow(write, "texts bigint, tokens bigint, files bigint")
+           .agg(*(F.sum(c).alias(c) for c in ("texts", "tokens", "files"))).collect()[0])
     return {k: row[k] or 0 for k in ("texts", "tokens", "files")}
 
 
@@ -456,9 +455,11 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
                     base += int(starts[-1])
                     yield pa.record_batch(columns, names)
 
+    def number(k: int) -> Column:
+        return F.regexp_extract("path", r"part-(\d+)-(\d+)\.bin$", k).cast("bigint")
+
     files = (spark.read.format("binaryFile").option("pathGlobFilter", "part-*.bin").load(path)
-             .select(F.regexp_extract("path", r"part-(\d+)\.bin$", 1).cast("bigint").alias("file"),
-                     "content"))
+             .select((number(1) * FILES_A_RANGE + number(2)).alias("file"), "content"))
     rows = files.mapInArrow(run, "file bigint, doc_id bigint, at bigint, n_tokens bigint, "
                             "ids_crc32 bigint" + ", ids binary" * with_ids)
 

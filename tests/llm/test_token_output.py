@@ -115,6 +115,35 @@ def test_many_files_and_long_texts(spark, workdir, monkeypatch):
     assert zlib.crc32(bytes(long.ids)) == long.ids_crc32 and long.n_tokens > T.BLOCK
 
 
+def ids_of_files(path):
+    return [T._ids_in(open(os.path.join(path, f), "rb").read())
+            for f in sorted(os.listdir(path)) if f.startswith("part-")]
+
+
+def test_an_id_of_most_rows_is_many_files_of_like_size(spark, workdir, monkeypatch):
+    monkeypatch.setattr(T, "FILE_IDS", 6000)
+    rows = [(k if k % 4 == 0 else 500, f"word {k % 1000} " * 3) for k in range(4000)]
+    rows += [(500, "equal rows")] * 2000
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    path = os.path.join(workdir, "tokens")
+    made = T.write_tokens(df, path)
+    sizes = ids_of_files(path)
+    assert made["files"] == len(sizes) >= 5 and max(sizes) < 2 * sorted(sizes)[len(sizes) // 2]
+    held_to_brute(T.read_tokens(spark, path).collect(), rows)
+
+
+def test_a_range_of_long_texts_is_many_files(spark, workdir, monkeypatch):
+    monkeypatch.setattr(T, "FILE_IDS", 2000)
+    monkeypatch.setattr(T, "RANGES", 3)
+    rows = [(k, "short") for k in range(600)] + [(1000 + k, "one two three " * 300)
+                                                 for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    path = os.path.join(workdir, "tokens")
+    made = T.write_tokens(df, path)
+    assert made["files"] > 3 and max(ids_of_files(path)) <= 4000
+    held_to_brute(T.read_tokens(spark, path).collect(), rows)
+
+
 def test_a_repeated_task_leaves_one_file(spark, workdir):
     df = docs_frame(spark, [(1, "one two", "en", "a")])
     path = os.path.join(workdir, "tokens")
