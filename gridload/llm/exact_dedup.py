@@ -12,8 +12,10 @@ arrive in batches. A batch is taken in like this:
 4. the new digests become the next snapshot: immutable Parquet in buckets by
    digest prefix, with one filter for each bucket.
 
-Byte checks: rows that share a digest are compared to the row that stays; rows
-whose bytes differ (a digest collision) are grouped by the text itself.
+Byte checks: rows that share a digest are compared to the row that stays, in
+parts of about ``PART_ROWS`` rows, each with a copy of that row, so one text's
+copies are many tasks; rows whose bytes differ (a digest collision) are grouped
+by the text itself.
 
 The filter of a bucket is a static function over its keys (8-bit fingerprints,
 three slots from a window of consecutive segments, 1.13 to 1.3 bytes a key).
@@ -39,6 +41,7 @@ BATCHES = 3
 BUCKET_KEYS = 200_000
 DIGEST_BYTES = 32
 BROADCAST_KEYS = 500_000  # of 32 bytes
+PART_ROWS = 1_000
 
 
 def normalised(text: Column) -> Column:
@@ -239,16 +242,17 @@ def dedup(docs: DataFrame, batches: int = BATCHES, id_col: str = "doc_id",
 
 def _texts(docs: DataFrame, several: DataFrame, id_col: str, text_col: str, digest_bytes: int,
            broadcast_keys: int) -> DataFrame:
-    """(digest, doc_id, text) of the rows whose digest occurs twice or more.
-    Up to ``broadcast_keys`` wanted digests are broadcast; more are joined by a
+    """(digest, doc_id, text) of the rows whose digest occurs twice or more, and
+    the parts of that digest and the row's part. Up to ``broadcast_keys`` wanted digests are broadcast; more are joined by a
     shuffle."""
     text = normalised(F.col(text_col))
     hexed = F.substring(F.sha2(text.cast("binary"), 256), 1, 2 * digest_bytes)
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("_t"), F.unhex(hexed).alias("digest"))
-    wanted = several.select("digest")
+    wanted = several.select("digest", (F.floor(F.col("n") / PART_ROWS) + 1).alias("parts"))
     if several.count() <= broadcast_keys:
         wanted = F.broadcast(wanted)
-    return rows.join(wanted, "digest", "left_semi")
+    return rows.join(wanted, "digest").withColumn(
+        "part", F.pmod(F.monotonically_increasing_id(), F.col("parts")))
 
 
 def _collisions(docs, several, id_col, text_col, digest_bytes, broadcast_keys) -> DataFrame:
@@ -258,13 +262,16 @@ def _collisions(docs, several, id_col, text_col, digest_bytes, broadcast_keys) -
     texts = written(_texts(docs, several, id_col, text_col, digest_bytes, broadcast_keys),
                     "dedup-texts")
     keeper = several.select(F.col("digest").alias("_d"), "keep_id")
-    # dealt by digest and id, so the rows of one digest do not meet here
+    # dealt by digest and id first, so the rows of one digest do not meet here
     stays = (texts.join(keeper, (F.col("digest") == F.col("_d"))
                         & F.col("doc_id").eqNullSafe(F.col("keep_id")))
-             .groupBy("digest").agg(F.min("_t").alias("_kept_text")))
-    differ = (texts.hint("merge").join(stays, "digest").where("_t != _kept_text")
+             .groupBy("digest", "parts").agg(F.min("_t").alias("_kept_text"))
+             .select("digest", "_kept_text",
+                     F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))
+                     .alias("part")))
+    differ = (texts.hint("merge").join(stays, ["digest", "part"]).where("_t != _kept_text")
               .select("digest").distinct())
-    return texts.join(differ, "digest", "left_semi")
+    return texts.join(differ, "digest", "left_semi").select("digest", "doc_id", "_t")
 
 
 def _by_text(collided: DataFrame) -> DataFrame:

@@ -67,6 +67,15 @@ def test_odd_rows_and_colliding_digests(spark, digest_bytes, broadcast):
                           bucket_keys=50).collect(), rows)
 
 
+def test_a_hot_digest_in_many_parts(spark, monkeypatch):
+    """The copies of one text, and colliding texts, over parts of a few rows."""
+    monkeypatch.setattr(D, "PART_ROWS", 7)
+    rows = [(k % 150 if k % 5 else None, "hot" if k % 3 else f"text {k % 9}") for k in range(400)]
+    df = docs_frame(spark, [(*r, "en", "a") for r in rows]).repartition(5)
+    for digest_bytes in (32, 0):
+        held_to_brute(D.dedup(df, digest_bytes=digest_bytes).collect(), rows)
+
+
 @pytest.mark.parametrize("batches", [1, 5])
 def test_number_of_batches_does_not_matter(spark, batches):
     rows = [(k, f"same {k % 7}" if k % 3 else "hot") for k in range(120)]
