@@ -52,6 +52,7 @@ UNKNOWN = 0xFFFFFFFF
 SHARD_CHARS = 8_000_000
 LEAST_SHARDS = 64
 CHUNK_KEYS = 4_000_000
+MAPPED = 4096  # files that a worker keeps mapped
 
 
 def mounted(path: str) -> str:
@@ -85,16 +86,16 @@ def map_arrays(path: str) -> list[np.ndarray]:
     return out
 
 
-_MAPPED: dict[str, list[list[np.ndarray] | None]] = {}
+_MAPPED: dict[str, list[np.ndarray]] = {}
 
 
 def _shard(folder: str, kind: str, shard: int) -> list[np.ndarray]:
     key = f"{folder}/{kind}-{shard}"
-    if key not in _MAPPED:
-        if len(_MAPPED) > 4096:
-            _MAPPED.clear()
-        _MAPPED[key] = map_arrays(f"{key}.bin")
-    return _MAPPED[key]
+    found = _MAPPED.pop(key, None) or map_arrays(f"{key}.bin")
+    _MAPPED[key] = found
+    if len(_MAPPED) > MAPPED:  # the one not used for longest
+        _MAPPED.pop(next(iter(_MAPPED)))
+    return found
 
 
 def pack(sorted_values: np.ndarray) -> bytes:
@@ -312,27 +313,34 @@ def _count_words(texts: DataFrame, model: Model) -> DataFrame:
 
 
 def _store_words(packed: DataFrame, model: Model):
-    least = 4 * model.shards
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = _unpacked(batches)
         if found is None:
             return
         shard, key, count = found
         save_arrays(f"{model.folder}/words-{shard}.bin", [key, count.astype("<u8")])
-        top = np.argsort(-count, kind="stable")[:least]
         end = np.searchsorted(key, END)
         texts = int(count[end]) if end < len(key) and key[end] == END else 0
         yield pa.record_batch(
             [pa.array([shard], pa.int32()), pa.array([len(key)], pa.int64()),
-             pa.array([int(count.sum())], pa.int64()), pa.array([texts], pa.int64()),
-             pa.array([top.tolist()], pa.list_(pa.int64())),
-             pa.array([count[top].tolist()], pa.list_(pa.int64()))],
-            ["shard", "types", "tokens", "texts", "top", "top_counts"])
+             pa.array([int(count.sum())], pa.int64()), pa.array([texts], pa.int64())],
+            ["shard", "types", "tokens", "texts"])
 
     return packed.repartitionById(model.shards, F.col("shard")).mapInArrow(
-        run, "shard int, types bigint, tokens bigint, texts bigint, top array<bigint>, "
-        "top_counts array<bigint>")
+        run, "shard int, types bigint, tokens bigint, texts bigint")
+
+
+def _words_over(shards: DataFrame, model: Model, limit: float) -> DataFrame:
+    """Ids of the words that occur more than ``limit`` times (fewer than
+    ``tokens / limit``), from the stored shards."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard in batch.column(0).to_pylist():
+                _, count = _shard(model.folder, "words", shard)
+                yield pa.record_batch([pa.array(np.flatnonzero(count > limit)
+                                                + model.bases[shard])], ["id"])
+
+    return shards.mapInArrow(run, "id bigint")
 
 
 def _count_bigrams(texts: DataFrame, model: Model) -> DataFrame:
@@ -435,8 +443,7 @@ def train(texts: DataFrame, folder: str | None = None) -> Model:
     if model.types >= UNKNOWN - 1:
         raise ValueError("more word types than a 32-bit id can number")
     limit = model.tokens / (4 * shards)
-    hot = [int(i + model.bases[r["shard"]]) for r in rows
-           for i, n in zip(r["top"], r["top_counts"]) if n > limit]
+    hot = [r["id"] for r in _words_over(texts.sparkSession.range(shards), model, limit).collect()]
     hot += [model.start] if model.texts > limit else []
     model.dealt = {h: (0, 0, 0) for h in hot}
 
