@@ -11,6 +11,7 @@ import contextlib
 import ctypes
 import os
 import re
+import threading
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -60,7 +61,14 @@ def id_remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-_SCOPES: list[list[str]] = []
+class _Scopes(threading.local):
+    """Tables of the blocks that this thread is in, the innermost last."""
+
+    def __init__(self):
+        self.open: list[list[str]] = []
+
+
+_SCOPES = _Scopes()
 
 
 def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
@@ -71,8 +79,8 @@ def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    if len(_SCOPES) > keep:
-        _SCOPES[-1 - keep].append(path)
+    if len(_SCOPES.open) > keep:
+        _SCOPES.open[-1 - keep].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -80,13 +88,13 @@ def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
 def intermediates(spark: SparkSession):
     """Deletes what :func:`written` wrote in the block when it ends: what leaves
     the block must not read those tables any more."""
-    _SCOPES.append([])
+    _SCOPES.open.append([])
     try:
         yield
     finally:
         jvm = spark._jvm
         conf = spark._jsc.hadoopConfiguration()
-        for path in _SCOPES.pop():
+        for path in _SCOPES.open.pop():
             folder = jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(conf).delete(folder, True)
 
