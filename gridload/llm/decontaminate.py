@@ -21,8 +21,8 @@ words (8 bytes each); a larger benchmark is searched block after block.
 
 Edge cases: a null or empty text has no words and no match; an item without
 words has no window, an item with fewer words than a window is one window;
-equal windows of several items match for each; repeated rows are documents of
-their own; empty tables give no match; other columns are not read.
+equal windows of several items match for each; an item repeated with equal
+words is one; repeated documents are documents of their own; empty tables give no match; other columns are not read.
 """
 
 from __future__ import annotations
@@ -42,6 +42,7 @@ from .words import NO_ALNUM, words
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
 QUERY_WORDS = 200_000
+NEAR = 2  # words that may stand between those of a proximity match
 
 MATCHES = "array<struct<item_id:string,start:bigint,end:bigint,slack:int>>"
 
@@ -125,12 +126,18 @@ class Block:
         of the least slack. All terms lie within ``slack`` of a common start, so
         each start and slack is tried; a term takes its first free posting
         there, which leaves the most to its later repetitions."""
-        rarest = int(np.argmin(size))
+        order = np.argsort(size, kind="stable")
+        rarest = int(order[0])
         anchor = self.postings(at[rarest])
         text = np.searchsorted(self.first, anchor, side="right") - 1
         begin, least, most = anchor - rarest, self.first[text], self.first[text + 1] - 1
-        lists = {int(t): self.postings(t) for t in at}
-        for k, t in enumerate(at.tolist()):
+        lists = {}
+        for k in order.tolist():
+            if not len(begin):
+                return (np.zeros(0, np.int64),) * 4
+            t = int(at[k])
+            if t not in lists:
+                lists[t] = self.postings(t)
             lo = np.searchsorted(lists[t], np.maximum(begin + k - slop, least))
             hi = np.searchsorted(lists[t], np.minimum(begin + k + slop, most), side="right")
             ok = hi > lo
@@ -248,7 +255,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     """Per row of ``docs``: row (a number of its own), doc_id, n_words and
     ``matches``: (item_id, start, end, slack)."""
     index = build_index(docs, id_col, text_col)
-    items = written(item_words(benchmark, item_col, "text"), "benchmark-words")
+    items = written(item_words(benchmark, item_col, "text").distinct(), "benchmark-words")
     size = items.agg(F.coalesce(F.sum(F.length("words")), F.lit(0)).alias("b")).collect()[0]["b"]
     parts, out = max(1, -(-size // (8 * query_words))), None
     for part in range(parts):
@@ -278,11 +285,16 @@ def covered(matches: Column) -> Column:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Words hit by exact phrases, and the items they come from."""
+    """Words hit by exact phrases, the items they come from, and ``n_near``: the
+    items with any match, exact or within the slop that was searched."""
+    def items(matches: Column) -> Column:
+        return F.array_sort(F.array_distinct(F.transform(
+            matches, lambda m: F.coalesce(m["item_id"], F.lit("")))))
+
     exact = F.filter("matches", lambda m: m["slack"] == 0)
-    items = F.array_sort(F.array_distinct(F.transform(
-        exact, lambda m: F.coalesce(m["item_id"], F.lit("")))))
-    return (found.select("doc_id", "n_words", covered(exact).alias("n_hit"), items.alias("_items"))
+    return (found.select("doc_id", "n_words", covered(exact).alias("n_hit"),
+                         items(exact).alias("_items"), items(F.col("matches")).alias("_near"))
             .select("doc_id", "n_words", "n_hit", F.size("_items").cast("bigint").alias("n_items"),
                     F.sha2(F.array_join("_items", ",").cast("binary"), 256)
-                    .alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")))
+                    .alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+                    F.size("_near").cast("bigint").alias("n_near")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import license_scan
+from .decontaminate import NEAR
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -123,7 +124,9 @@ r(v, u) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.v, e.b FROM r JO
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id
        JOIN (SELECT v, min(u) AS c FROM r GROUP BY v) m ON m.v = d.doc_id""",
-    # Every window of every document against every window of every item.
+    # Every window of every document against every window of every item. Near: all
+    # words of a window at most two places behind a common start; a word that
+    # stands in the window several times needs as many places.
     "op10_decontaminate": rf"""
 WITH d AS (SELECT doc_id, {_words(r'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')} AS w FROM documents),
 i AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item,
@@ -138,11 +141,29 @@ p AS (SELECT doc_id, count(DISTINCT place) AS hit
       FROM (SELECT doc_id, unnest(range(k, k + n)) AS place FROM h) GROUP BY doc_id),
 m AS (SELECT doc_id, count(DISTINCT item) AS items,
              sha256(string_agg(DISTINCT item, ',' ORDER BY item)) AS digest
-      FROM h GROUP BY doc_id)
+      FROM h GROUP BY doc_id),
+v AS (SELECT DISTINCT n, g, string_split(g, ' ') AS w FROM q),
+vt AS (SELECT g, n, i, w[i] AS term FROM v, unnest(range(1, n + 1)) AS t(i)),
+dt AS (SELECT doc_id, k, w[k] AS term FROM d, unnest(range(1, len(w) + 1)) AS t(k)),
+b AS (SELECT doc_id, g, k - i - j AS b
+      FROM vt JOIN dt ON vt.term = dt.term, unnest(range(0, {NEAR + 1})) AS t(j)
+      GROUP BY doc_id, g, n, k - i - j HAVING count(DISTINCT i) = n),
+e AS (SELECT x.g, x.term, x.i AS lo, y.i AS hi,
+             len(list_filter(v.w[x.i:y.i], lambda z: z = x.term)) AS need
+      FROM vt x JOIN vt y ON x.g = y.g AND x.term = y.term AND x.i < y.i JOIN v ON v.g = x.g),
+f AS (SELECT DISTINCT doc_id, g, b
+      FROM (SELECT b.doc_id, b.g, b.b, lo, hi FROM b JOIN e ON e.g = b.g
+            LEFT JOIN dt ON dt.doc_id = b.doc_id AND dt.term = e.term
+                            AND dt.k BETWEEN b.b + lo AND b.b + hi + {NEAR}
+            GROUP BY b.doc_id, b.g, b.b, e.term, lo, hi, need HAVING count(dt.k) < need)),
+r AS (SELECT doc_id, count(DISTINCT item) AS near
+      FROM (SELECT DISTINCT doc_id, g FROM (SELECT * FROM b EXCEPT SELECT * FROM f)) JOIN q USING (g)
+      GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(hit, 0) AS n_hit,
        coalesce(items, 0) AS n_items, coalesce(digest, sha256('')) AS items_sha256,
-       hit IS NOT NULL AS contaminated
-FROM d LEFT JOIN p ON p.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id""",
+       hit IS NOT NULL AS contaminated, coalesce(near, 0) AS n_near
+FROM d LEFT JOIN p ON p.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id
+       LEFT JOIN r ON r.doc_id = d.doc_id""",
     "op11_conversation_repair": _repair_sql(),
     # Of equal payloads the first by id (then address) is stored, the rest refer to it.
     "op12_warc": rf"""

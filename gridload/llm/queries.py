@@ -63,7 +63,8 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.decontaminate(
-        read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
+        read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"),
+        slop=decontaminate.NEAR))
 
 
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:

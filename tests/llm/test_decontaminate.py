@@ -31,6 +31,57 @@ def brute(docs, items, window=10):
     return sorted(map(repr, out))
 
 
+def places_near(text, window, start, slop):
+    """Whether the window's words have places of their own, each at most
+    ``slop`` behind its place from ``start``."""
+    taken = -1
+    used = {}
+    for k, word in enumerate(window):
+        at = [p for p in range(max(0, start + k), min(len(text), start + k + slop + 1))
+              if text[p] == word and p > used.get(word, taken)]
+        if not at:
+            return False
+        used[word] = at[0]
+    return True
+
+
+def near_items(docs, items, window=10, slop=D.NEAR):
+    """(doc_id, number of items with a proximity match)."""
+    out = []
+    for doc_id, text in docs:
+        w, found = words(text, ALNUM), set()
+        for item_id, item in items:
+            t = words(item, ALNUM)
+            spans = [t[k:k + window] for k in range(max(1, len(t) - window + 1))] if t else []
+            if any(set(x) <= set(w) and any(places_near(w, x, b, slop)
+                                            for b in range(-slop, len(w)))
+                   for x in spans):
+                found.add("" if item_id is None else str(item_id))
+        out.append((doc_id, len(found)))
+    return sorted(map(repr, out))
+
+
+def test_near_items_of_the_query(spark, edge_dir):
+    for sf in (SF_SMALL, edge_dir):
+        docs = [(d["doc_id"], d["text"]) for d in read_docs(sf)]
+        got = QUERIES["op10_decontaminate"](spark, sf).select("doc_id", "n_near", "n_items").collect()
+        assert sorted(repr((r.doc_id, r.n_near)) for r in got) == near_items(docs, read_items(sf))
+        assert all(r.n_near >= r.n_items for r in got)
+
+
+def test_near_items_with_words_between_repeated_and_swapped(spark):
+    w = ITEM.split()[:10]
+    docs = [(1, " ".join([*w[:5], "x", *w[5:]])), (2, " ".join([*w[:3], "x", "y", "z", *w[3:]])),
+            (3, " ".join([w[1], w[0], *w[2:]])), (4, "a a b"), (5, "a b"), (6, "a x y a b")]
+    items = [(1, " ".join(w)), (2, "a a b"), (2, "a a b")]
+    found = D.digest(D.decontaminate(docs_frame(spark, [(*d, "en", "a") for d in docs]),
+                                     spark.createDataFrame(items, "item_id int, text string"),
+                                     slop=D.NEAR))
+    got = {r.doc_id: (r.n_items, r.n_near) for r in found.collect()}
+    assert got == {1: (0, 1), 2: (0, 0), 3: (0, 1), 4: (1, 1), 5: (0, 0), 6: (0, 1)}
+    assert sorted(repr((k, n)) for k, (_, n) in got.items()) == near_items(docs, items)
+
+
 def digests(df):
     return sorted(repr(tuple(r)) for r in df.select(
         "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect())
