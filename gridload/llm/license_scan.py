@@ -3,10 +3,15 @@
 A text is cut into sentences (at ``. ! ? ; :`` before a blank, and at line
 ends), each normalised (lower case, runs of other characters one blank) and
 looked up among the known licence sentences. The known ones' identifiers, in
-order, form a sequence; unknown sentences leave no mark. Ordered rules then
-consume the sequence: a rule whose identifiers stand next to each other gives
-its licence and takes all such places, so a longer rule comes before those it
-contains. Identifiers no rule took are reported as unmatched.
+order, form a sequence; unknown sentences leave no mark, however many stand
+between two known ones. Ordered rules then consume the sequence: a rule whose
+identifiers stand next to each other in it gives its licence and takes all such
+places, so a longer rule comes before those it contains. A place that was taken
+stays between its neighbours: identifiers on its two sides are never next to
+each other. Identifiers no rule took are reported as unmatched.
+
+Sentences, rules and hints are tables that the caller may give; those below are
+the default.
 
 A sentence that goes over a line end is found as well: paragraphs are read a
 second time with line ends as blanks, and the reading that knows more
@@ -145,41 +150,35 @@ def normalise(sentence: str) -> str:
     return re.sub("[^a-z0-9]+", " ", sentence.lower()).strip(" ")
 
 
-def sentence_keys() -> dict[str, str]:
+def sentence_keys(sentences=SENTENCES) -> dict[str, str]:
     """Normalised sentence -> identifier; a sentence with inner ends also as
     the sequence of its parts, with ``|`` between."""
     out: dict[str, str] = {}
-    for name, sentence in SENTENCES:
+    for name, sentence in sentences:
         parts = [p for p in (normalise(x) for x in re.split(_ENDS, sentence)) if p]
         out.setdefault(normalise(sentence), name)
         out.setdefault("|".join(parts), name)
     return out
 
 
-def known_sentences() -> dict[str, str]:
-    """Last part of a normalised sentence -> identifier, for the SQL form only:
-    it differs from the operator on sentences with inner ends."""
-    out: dict[str, str] = {}
-    for name, sentence in SENTENCES:
-        parts = [p for p in (normalise(x) for x in re.split(_ENDS, sentence)) if p]
-        out.setdefault(parts[-1], name)
-    return out
+def sequences(keys: dict[str, str]) -> tuple[list[int], list[str]]:
+    """How many parts sentences with inner ends have, and their first parts."""
+    several = [k.split("|") for k in keys if "|" in k]
+    return sorted({len(parts) for parts in several}), sorted({parts[0] for parts in several})
 
 
 def _normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
 
 
-def _matches(pieces: Column, order: int) -> Column:
+def _matches(pieces: Column, order: int, keys: dict[str, str]) -> Column:
     """What a reading's pieces know: (number, characters, order, ids)."""
-    keys = sentence_keys()
     known = F.create_map(*[F.lit(x) for pair in keys.items() for x in pair])
-    sequences = [k.split("|") for k in keys if "|" in k]
-    firsts = sorted({parts[0] for parts in sequences})
+    sizes, firsts = sequences(keys)
 
     def at(p: Column, s: Column, i: Column) -> Column:
         key = s
-        for size in sorted({len(parts) for parts in sequences}):
+        for size in sizes:
             several = F.array_join(F.slice(p, i + 1, size), "|")
             key = F.when(F.element_at(known, several).isNotNull(), several).otherwise(key)
         key = F.when(s.isin(firsts), key).otherwise(s)
@@ -199,41 +198,45 @@ def _matches(pieces: Column, order: int) -> Column:
     return F.transform(F.transform(F.array(cut), found), measured)[0]
 
 
-def identifiers(text: Column) -> Column:
+def identifiers(text: Column, sentences=SENTENCES) -> Column:
     """The identifiers of the known sentences of a text, in order."""
+    keys = sentence_keys(sentences)
     joined = F.regexp_replace(F.regexp_replace(text, _PARAGRAPHS, ". "), "[\\r\\n]+", " ")
-    return F.greatest(_matches(F.split(text, _ENDS), 1), _matches(F.split(joined, _ENDS), 0))["ids"]
+    return F.greatest(_matches(F.split(text, _ENDS), 1, keys),
+                      _matches(F.split(joined, _ENDS), 0, keys))["ids"]
 
 
-def apply_rules(sequence: Column) -> Column:
-    """(rest, found): what the ordered rules leave of ``|a|b|`` sequences and
-    the licences they give, in rule order."""
-    rules = F.array(*[F.struct(F.lit(name).alias("licence"),
+def apply_rules(sequence: Column, rules=RULES) -> Column:
+    """(rest, found): what the ordered rules leave of ``|a||b|`` sequences, with
+    ``#`` where places were taken, and the licences they give, in rule order."""
+    table = F.array(*[F.struct(F.lit(name).alias("licence"),
                                F.lit("|" + "||".join(ids) + "|").alias("ids"))
-                      for name, ids in RULES])
+                      for name, ids in rules])
     start = F.struct(sequence.alias("rest"), F.array().cast("array<string>").alias("found"))
 
     def step(acc, rule):
         hit = F.contains(acc["rest"], rule["ids"])
-        return F.struct(F.when(hit, F.replace(acc["rest"], rule["ids"], F.lit("")))
+        return F.struct(F.when(hit, F.replace(acc["rest"], rule["ids"], F.lit("#")))
                         .otherwise(acc["rest"]).alias("rest"),
                         F.when(hit, F.concat(acc["found"], F.array(rule["licence"])))
                         .otherwise(acc["found"]).alias("found"))
 
-    return F.aggregate(rules, start, step)
+    return F.aggregate(table, start, step)
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_known (known sentences), sentence_ids (joined by
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences=SENTENCES,
+         rules=RULES, hints=HINTS) -> DataFrame:
+    """``sentences`` are (identifier, sentence), ``rules`` (licence, identifiers);
+    texts without any of ``hints`` are not cut (none given: all are). Per row: doc_id, n_known (known sentences), sentence_ids (joined by
     commas, in order), licences (in rule order), unmatched (identifiers no rule
     took) and has_licence."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    hinted = F.lower(text).rlike("|".join(HINTS))
-    ids = F.when(hinted, identifiers(text)).otherwise(F.array().cast("array<string>"))
+    hinted = F.lower(text).rlike("|".join(map(re.escape, hints))) if hints else F.lit(True)
+    ids = F.when(hinted, identifiers(text, sentences)).otherwise(F.array().cast("array<string>"))
     rows = docs.select(F.col(id_col).alias("doc_id"), ids.alias("_ids"))
     sequence = F.array_join(F.transform("_ids", lambda x: F.concat(F.lit("|"), x, F.lit("|"))), "")
-    ruled = rows.withColumn("_ruled", apply_rules(sequence))
-    rest = F.regexp_replace(F.trim(F.col("_ruled.rest"), F.lit("|")), "[|]+", ",")
+    ruled = rows.withColumn("_ruled", apply_rules(sequence, rules))
+    rest = F.regexp_replace(F.trim(F.col("_ruled.rest"), F.lit("|#")), "[|#]+", ",")
     return ruled.select(
         "doc_id", F.size("_ids").cast("bigint").alias("n_known"),
         F.array_join("_ids", ",").alias("sentence_ids"),
@@ -248,32 +251,46 @@ def _sql(text: str) -> str:
 def oracle_sql() -> str:
     """The same as DuckDB SQL. Its regular expressions have no look-behind, so
     an end is marked first and split at the mark."""
-    pairs = known_sentences()
+    pairs = sentence_keys()
+    sizes, firsts = sequences(pairs)
     known = ("MAP([" + ", ".join(map(_sql, pairs)) + "], ["
              + ", ".join(map(_sql, pairs.values())) + "])")
 
-    def ids(text: str) -> str:
+    def pieces(text: str) -> str:
         marked = (f"regexp_replace(regexp_replace({text}, '([.!?;:])[ \\t]+', '\\1' || chr(1), 'g'),"
                   " '[\\r\\n]+', chr(1), 'g')")
         norm = "trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'), ' ')"
-        return (f"list_filter(list_transform(string_split({marked}, chr(1)), "
-                f"lambda s: {known}[{norm}]), lambda x: x IS NOT NULL)")
+        return (f"list_filter(list_transform(string_split({marked}, chr(1)), lambda s: {norm}), "
+                "lambda s: s <> '')")
+
+    def keys(p: str) -> str:
+        several = " ".join(
+            f"WHEN s IN ({', '.join(map(_sql, firsts))}) AND {known}[{part}] IS NOT NULL THEN {part}"
+            for part in (f"array_to_string({p}[i:i + {n - 1}], '|')" for n in reversed(sizes)))
+        key = f"CASE {several} ELSE s END" if sizes else "s"
+        return (f"list_filter(list_transform({p}, lambda s, i: {key}), "
+                f"lambda k: {known}[k] IS NOT NULL)")
+
+    def measure(k: str) -> str:
+        return f"(len({k}), coalesce(list_sum(list_transform({k}, lambda x: length(x))), 0))"
 
     joined = ("regexp_replace(regexp_replace(t, '\\n[ \\t\\r]*\\n', '. ', 'g'), "
               "'[\\r\\n]+', ' ', 'g')")
     steps, last = [], "s0"
     for k, (name, names) in enumerate(RULES, 1):
         pattern = _sql("|" + "||".join(names) + "|")
-        steps.append(f"r{k} AS (SELECT * REPLACE (replace(rest, {pattern}, '') AS rest, "
+        steps.append(f"r{k} AS (SELECT * REPLACE (replace(rest, {pattern}, '#') AS rest, "
                      f"CASE WHEN contains(rest, {pattern}) THEN list_append(found, {_sql(name)}) "
                      f"ELSE found END AS found) FROM {last})")
         last = f"r{k}"
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 h AS (SELECT doc_id, t, regexp_matches(lower(t), {_sql('|'.join(HINTS))}) AS hinted FROM d),
-i AS (SELECT doc_id, CASE WHEN hinted THEN {ids('t')} ELSE [] END AS a,
-             CASE WHEN hinted THEN {ids(joined)} ELSE [] END AS b FROM h),
-c AS (SELECT doc_id, CASE WHEN len(b) > len(a) THEN b ELSE a END AS ids FROM i),
+p AS (SELECT doc_id, CASE WHEN hinted THEN {pieces('t')} ELSE [] END AS p,
+             CASE WHEN hinted THEN {pieces(joined)} ELSE [] END AS q FROM h),
+i AS (SELECT doc_id, {keys('p')} AS a, {keys('q')} AS b FROM p),
+c AS (SELECT doc_id, list_transform(CASE WHEN {measure('b')} > {measure('a')} THEN b ELSE a END,
+                                    lambda k: {known}[k]) AS ids FROM i),
 s0 AS (SELECT doc_id, ids,
               coalesce(array_to_string(list_transform(ids, lambda x: '|' || x || '|'), ''), '')
               AS rest, CAST([] AS VARCHAR[]) AS found FROM c),
@@ -282,5 +299,5 @@ SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_known,
        coalesce(array_to_string(ids, ','), '') AS sentence_ids,
        coalesce(array_to_string(list_filter(found, lambda x, i: list_position(found, x) = i), ','), '')
        AS licences,
-       regexp_replace(trim(rest, '|'), '[|]+', ',', 'g') AS unmatched, len(found) > 0 AS has_licence
+       regexp_replace(trim(rest, '|#'), '[|#]+', ',', 'g') AS unmatched, len(found) > 0 AS has_licence
 FROM {last}"""

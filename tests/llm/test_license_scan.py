@@ -76,19 +76,6 @@ def test_matches_sql_on_the_given_tables(spark):
     assert r["columns_match"] and r["exact_match"], r
 
 
-def test_matches_sql_on_odd_rows(spark, workdir):
-    write_tables(spark, workdir, rows=[(k, t, "en", "a") for k, t, _, _ in CASES] +
-                 [(None, MIT.replace("\n", "\r\n"), None, None)])
-    got = QUERIES["op1_license_scan"](spark, workdir)
-    con = duckdb.connect()
-    con.execute("CREATE VIEW documents AS SELECT * FROM read_parquet("
-                f"'{os.path.join(workdir, 'documents.parquet')}/*.parquet')")
-    cur = con.execute(ORACLE_SQL["op1_license_scan"])
-    names = [c[0] for c in cur.description]
-    want = sorted(map(repr, cur.fetchall()))
-    assert sorted(repr(tuple(r[n] for n in names)) for r in got.collect()) == want
-
-
 def test_plan_has_no_python_and_no_shuffle(spark):
     from plan_text import plan
 
@@ -104,7 +91,7 @@ GPL2 = ("This program is free software; you can redistribute it and/or modify it
         "version 2 of the License, or (at your option) any later version.")
 
 
-@pytest.mark.parametrize("text,ids,licences", [
+INNER = [
     (MPL, "MPL-2-ref", "MPL-2.0"),
     ("/* " + MPL.replace("\n", "\n * ") + " */", "MPL-2-ref", "MPL-2.0"),
     (MPL.replace("\n", " "), "MPL-2-ref", "MPL-2.0"),
@@ -120,7 +107,10 @@ GPL2 = ("This program is free software; you can redistribute it and/or modify it
     (GPL2, "GPL-free,GPL-2-later", "GPL-2.0-or-later"),
     (GPL2.replace(" ", "\n"), "GPL-free,GPL-2-later", "GPL-2.0-or-later"),
     ("Software: either version 2 of the License, or (at your option) any later version.", "", ""),
-])
+]
+
+
+@pytest.mark.parametrize("text,ids,licences", INNER)
 def test_sentences_with_inner_ends_and_wrapped_ones(spark, text, ids, licences):
     (got,) = L.scan(spark.createDataFrame([(1, text)], "doc_id int, text string")).collect()
     assert (got.sentence_ids, got.licences) == (ids, licences)
@@ -131,3 +121,47 @@ def test_a_tie_goes_to_the_longer_match(spark):
     text = "MIT License\nA note. This project is licensed\nunder the MIT License."
     (got,) = L.scan(spark.createDataFrame([(1, text)], "doc_id int, text string")).collect()
     assert got.sentence_ids == "MIT-ref"
+
+
+APACHE = "Licensed under the Apache License, Version 2.0."
+SPLIT = GPL2.replace("software; you", f"software. {APACHE} You")
+
+
+def test_a_taken_place_stays_between_its_neighbours(spark):
+    far = GPL2.replace("software; you", "software.\n" + "Other prose here.\n" * 20 + "You")
+    rows = [(1, SPLIT), (2, far)]
+    got = {r.doc_id: r for r in L.scan(spark.createDataFrame(rows, "doc_id int, text string"))
+           .collect()}
+    assert (got[1].licences, got[1].unmatched) == ("Apache-2.0", "GPL-free,GPL-2-later")
+    assert (got[2].licences, got[2].unmatched) == ("GPL-2.0-or-later", "")
+
+
+def test_sentences_and_rules_of_the_caller(spark):
+    sentences = [("own-a", "Use at will. v. 7 applies"), ("own-b", "Do no harm")]
+    rules = [("Own-1", ("own-a", "own-b")), ("Own-2", ("own-b",))]
+    rows = [(1, "Use at will. v. 7 applies. Hello there. Do no harm!"), (2, "do no harm"),
+            (3, "use at will"), (4, MIT)]
+    for hints in ((), ("will", "harm")):
+        got = L.scan(spark.createDataFrame(rows, "doc_id int, text string"),
+                     sentences=sentences, rules=rules, hints=hints).collect()
+        assert {r.doc_id: r.licences for r in got} == {1: "Own-1", 2: "Own-2", 3: "", 4: ""}
+
+
+def test_empty(spark, empty_dir):
+    assert QUERIES["op1_license_scan"](spark, empty_dir).collect() == []
+
+
+def test_matches_sql_on_odd_rows(spark, workdir):
+    texts = [t for _, t, _, _ in CASES] + [t for t, _, _ in INNER] + [
+        SPLIT, MIT + MPL + GPL2, "MIT License\nA note. This project is licensed\nunder the MIT License.",
+        f"{MPL}\n\n2.0\n{APACHE} {APACHE} v. 2.0.", "software ; ; . 2.0 ! " * 40]
+    write_tables(spark, workdir, rows=[(k, t, "en", "a") for k, t in enumerate(texts)] +
+                 [(None, MIT.replace("\n", "\r\n"), None, None)])
+    got = QUERIES["op1_license_scan"](spark, workdir)
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM read_parquet("
+                f"'{os.path.join(workdir, 'documents.parquet')}/*.parquet')")
+    cur = con.execute(ORACLE_SQL["op1_license_scan"])
+    names = [c[0] for c in cur.description]
+    want = sorted(map(repr, cur.fetchall()))
+    assert sorted(repr(tuple(r[n] for n in names)) for r in got.collect()) == want
