@@ -184,7 +184,8 @@ def repeated(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id",
     cols = docs.columns
     packed = docs.select(F.struct(*[docs[c] for c in cols]).alias("_doc"),
                          docs[id_col].alias("_i"), docs[source_col].alias("_s"))
-    same = packed.join(plan, F.col("_i").eqNullSafe(F.col("_id"))
+    # both sides grow with the input: a sort-merge join at every size
+    same = packed.hint("merge").join(plan, F.col("_i").eqNullSafe(F.col("_id"))
                        & F.col("_s").eqNullSafe(F.col("_source")))
     # ids are as good as unique: the turn of a row matters only where they repeat
     once = same.where("_rows = 1").select("_doc", "_times")
