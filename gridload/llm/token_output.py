@@ -160,10 +160,12 @@ class Encoder:
 
     def look_up(self, kind: str, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         known, older = self.kinds[kind]
-        if len(known) and len(known) + len(pieces) > REMEMBER // 2:
-            known, older = self.kinds[kind] = Pieces(self.dtype), known
-        at, before = known.places(pieces), len(known)
+        at = known.places(pieces)
         absent = np.flatnonzero(at < 0)
+        if len(known) and len(known) + len(absent) > REMEMBER // 2:
+            known, older = self.kinds[kind] = Pieces(self.dtype), known
+            at, absent = np.full(len(pieces), -1), np.arange(len(pieces))
+        before = len(known)
         names = [pieces[k] for k in absent.tolist()]  # each is there once
         place = older.places(names)
         again, new = np.flatnonzero(place >= 0), np.flatnonzero(place < 0)
